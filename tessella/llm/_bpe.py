@@ -99,6 +99,19 @@ class Merges:
         return [x for x, on in zip(ids, alive, strict=True) if on]
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are met; ``fresh`` has those met since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class WordEncoder:
     """Ids of words, many at a time; keeps at most ``most`` words between calls.
 
@@ -113,7 +126,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -156,11 +169,10 @@ class WordEncoder:
         Past ``most`` words the table no longer grows: further words are merged for the call alone.
         """
         places, known = self.places, len(self.places)
-        fresh = [w for w in dict.fromkeys(words) if w not in places]
+        index = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        fresh, places.fresh = places.fresh, []
         if fresh:
             self._learn(fresh)
-            places.update(zip(fresh, range(known, known + len(fresh)), strict=True))
-        index = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[index]
         out = gather(self.flat, self.starts[index], lengths)
         if len(places) > self.most and fresh:
