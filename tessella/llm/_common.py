@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from tessella.session import cut_lineage  # noqa: F401  (re-exported for the operators)
 
-#: Characters of text that one slice of an Arrow batch may hold; bounds a worker's memory.
-SLICE_CHARS = 1 << 21
+#: Bytes of text (or of ids) that one slice of an Arrow batch may hold; bounds a worker's memory.
+SLICE_CHARS = 1 << 20
 
 #: The white space that separates words: space and the ASCII controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,7 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iter
         if text is None or batch.num_rows <= 1:
             yield batch
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        column = batch.column(text)
+        sizes = pc.fill_null(pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and held + n > SLICE_CHARS:

@@ -23,6 +23,8 @@ from tessella.llm._bpe import Merges, WordEncoder, gather
 from tessella.llm._common import map_texts
 
 CHUNK, OVERLAP = 32_768, 1_024
+#: Words that a worker keeps encoded.
+WORDS_KEPT = 200_000
 #: Characters that a match may look at beyond its end.
 LOOKAHEAD = 3
 
@@ -66,14 +68,7 @@ class ByteBpe:
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     splits[a, b] = (rank, rank)
         self.pretokens = Pretokens(pattern, public_tokenizers.PATTERN)
-        self.encoder = WordEncoder(Merges(splits), np.array([ranks[bytes([i])] for i in range(256)]), whole=ranks)
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            lengths[rank] = len(token)
-        self.lengths, self.at = lengths, np.cumsum(lengths) - lengths
-        self.bytes = np.zeros(int(lengths.sum()), np.uint8)
-        for token, rank in ranks.items():
-            self.bytes[self.at[rank] : self.at[rank] + len(token)] = np.frombuffer(token, np.uint8)
+        self.encoder = WordEncoder(Merges(splits), np.array([ranks[bytes([i])] for i in range(256)]), whole=ranks, most=WORDS_KEPT)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words, counts = [], []
@@ -85,6 +80,18 @@ class ByteBpe:
         cuts = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *counts])]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+
+class TokenBytes:
+    """The bytes of every token, for decoding; without the encoder's tables."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.at = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.bytes, self.at[ids], self.lengths[ids]).tobytes()
 
@@ -168,18 +175,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return short.union(done.select("doc_id", F.flatten(F.transform("all", lambda p: p["ids"])).alias("ids")))
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the raw bytes of its id lists (null: none) in ``out_col``. An id outside the vocabulary is an error."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, `{out_col}` binary"
 
     def make():
-        bpe = tokenizer(path, pattern)
+        tokens = TokenBytes(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(ids_col)
-            texts = [bpe.decode(np.asarray(x.values, dtype=np.int64)) if x.is_valid else b"" for x in ids]
+            texts = [tokens.decode(np.asarray(x.values, dtype=np.int64)) if x.is_valid else b"" for x in ids]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out_col])
 
         return step
 
-    return map_texts(rows, make, schema, text=None)
+    return map_texts(rows, make, schema, ids_col)
