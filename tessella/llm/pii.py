@@ -178,6 +178,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``docs`` with every found span of its texts replaced by ``[kind]``; all columns and rows stay. Where spans overlap, the first listed is masked."""
     found = discovered(cut_lineage(scan(docs, id_col, text_col))).withColumnRenamed("text_key", "__key").withColumnRenamed("found", "__found")
     rows = docs.withColumn("__key", F.xxhash64(text_col)).join(found, "__key", "left").drop("__key")
+    names = docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
 
     def make():
@@ -193,7 +194,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                             at = b
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in docs.columns], docs.columns)
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in names], names)
 
         return step
 

@@ -25,8 +25,10 @@ WINDOW, STRIDE = 24, 16
 WORDS, CHARS, HIDDEN, ATTEND = 8, 12, 8, 8
 GRAMS, BUCKETS = (3, 4, 5), 1 << 16
 #: The bound of the training sample: so many rows of label 1 and CLEAN_ROWS as many of label 0, none longer than so many characters.
-TRAIN_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_200, 3, 20_000
+TRAIN_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_200, 2, 20_000
 BATCH, STEPS, SEED = 256, 700, 11
+#: Words whose n-grams are spread out at a time.
+PART = 8_192
 #: Words that a worker keeps projected at most.
 CACHE = 250_000
 _WORD = re.compile(r"\w+")
@@ -56,7 +58,13 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[: len(ok)][ok])
     ids, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, owners))
     order = np.argsort(owners, kind="stable")
-    return ids[order], np.bincount(owners, minlength=len(raw))
+    return ids[order].astype(np.int32), np.bincount(owners, minlength=len(raw))
+
+
+def grams_by_part(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of a long list, PART words at a time."""
+    parts = [grams(words[k : k + PART]) for k in range(0, len(words), PART)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
 def mean_rows(table: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -87,6 +95,11 @@ class Model:
         known = np.fromiter((self.vocab.get(w, 0) for w in words), np.int64, len(words))
         return np.concatenate([self.p["word"][known], mean_rows(self.p["char"], ids, counts)], axis=1)
 
+    def projected(self, words: list[str]) -> np.ndarray:
+        """What both directions take in for each word, PART words at a time."""
+        parts = [self.project(self.inputs(words[k : k + PART]).astype(np.float32)) for k in range(0, len(words), PART)]
+        return np.concatenate(parts).astype(np.float32)
+
     def project(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]], axis=1)
 
@@ -195,38 +208,40 @@ def _start(vocabulary: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Model:
-    """The network of labelled texts. Without both labels it has no evidence and scores the share of label 1 (a half without rows)."""
+def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, prior: float | None = None) -> Model:
+    """The network of labelled texts. Without both labels it has no evidence and scores the share of label 1 (a half without rows).
+
+    prior: the share of label 1 where the model will be used, if the sample has another one.
+    """
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
     y = np.array(labels, np.float32)
-    counts: dict[str, int] = {}
+    places, docs = _Places(0), []
+    for t in texts:  # words as numbers at once: a list of strings for each text would not fit
+        docs.append(np.array([places[w] for w in words_of(t)], np.int32))
+    words = list(places)
+    counts = np.zeros(len(words), np.int64)
     for d in docs:
-        for w in set(d):
-            counts[w] = counts.get(w, 0) + 1
-    model = Model({w: i + 1 for i, w in enumerate(sorted(w for w, c in counts.items() if c >= 3))})
+        counts[np.unique(d)] += 1
+    model = Model({w: i + 1 for i, w in enumerate(sorted(w for w, c in zip(words, counts, strict=True) if c >= 3))})
     model.p = _start(len(model.vocab) + 1, rng)
     share = float((y.sum() + 0.5) / (len(y) + 1))
     if len(set(labels)) < 2:
         model.platt = (0.0, 0.0, float(np.log(share / (1 - share))))
         return model
     kept_out = rng.random(len(docs)) < 0.25
-    words = list(counts)
-    place = {w: i for i, w in enumerate(words)}
-    gram_ids, gram_counts = grams(words)
+    gram_ids, gram_counts = grams_by_part(words)
     gram_ends = np.cumsum(gram_counts)
-    known = np.array([model.vocab.get(w, 0) for w in words])
-    index, mask, target, source = [], [], [], []
+    known = np.array([model.vocab.get(w, 0) for w in words], np.int32)
+    index, lengths, source = [], [], []
     for k in np.flatnonzero(~kept_out):
-        ids = [place[w] for w in docs[k]]
-        for s in range(0, max(1, len(ids)), WINDOW):
-            part = ids[s : s + WINDOW]
-            if part:
-                index.append(part + [0] * (WINDOW - len(part)))
-                mask.append([True] * len(part) + [False] * (WINDOW - len(part)))
-                target.append(y[k])
-                source.append(k)
-    index, mask, target, source = np.array(index), np.array(mask), np.array(target, np.float32), np.array(source, np.int64)
+        for s in range(0, len(docs[k]), WINDOW):
+            part = docs[k][s : s + WINDOW]
+            index.append(np.pad(part, (0, WINDOW - len(part))))
+            lengths.append(len(part))
+            source.append(k)
+    index, source = np.array(index, np.int32).reshape(-1, WINDOW), np.array(source, np.int64)
+    mask = np.arange(WINDOW) < np.array(lengths, np.int64)[:, None]
+    target = y[source]
     if len(index):
         ones, zeros = np.flatnonzero(target == 1), np.flatnonzero(target == 0)
         squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in model.p.items()}
@@ -261,8 +276,14 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
                 model.p[k][which] -= rate * v / np.sqrt(squares[k][which])
             model.p["word"][0] = 0
     held = np.flatnonzero(kept_out) if kept_out.any() and len(set(y[kept_out])) == 2 else np.arange(len(docs))
-    top, many = Scorer(model).tops([docs[k] for k in held])
-    model.platt = _platt(top, np.log(many), y[held])
+    scorer, tops = Scorer(model), []
+    for k in range(0, len(held), 100):
+        tops.append(scorer.tops([[words[i] for i in docs[h]] for h in held[k : k + 100]]))
+    top, many = (np.concatenate(x) for x in zip(*tops, strict=True))
+    a, b, c = _platt(top, np.log(many), y[held])
+    share = float(y[held].mean())
+    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if prior and 0 < prior < 1 else 0.0
+    model.platt = (a, b, c + float(shift))
     return model
 
 
@@ -307,7 +328,7 @@ class Scorer:
                 more = np.zeros((2 * places.next, self.table.shape[1]), np.float32)
                 more[:first] = self.table[:first]
                 self.table = more
-            self.table[first : places.next] = self.model.project(self.model.inputs(fresh).astype(np.float32))
+            self.table[first : places.next] = self.model.projected(fresh)
         if len(places) > CACHE:  # the table is full: these were for this call alone
             for w in fresh:
                 del places[w]
@@ -316,7 +337,7 @@ class Scorer:
 
     def window_logits(self, words: list[str], index: np.ndarray, mask: np.ndarray, rows: int = 4096) -> np.ndarray:
         """Logits of windows given as rows of places in ``words``."""
-        table = self.model.project(self.model.inputs(words).astype(np.float32)).astype(np.float32)
+        table = self.model.projected(words)
         parts = [self.model.logits(table, index[k : k + rows].T, mask[k : k + rows].T) for k in range(0, len(index), rows)]
         return np.concatenate(parts)
 
@@ -351,11 +372,13 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Train on at most ``rows`` texts of label 1 and CLEAN_ROWS times as many of label 0, of at most ``chars`` characters, picked by a hash of text, none held out."""
     marks = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-    texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    both = texts.join(marks, "__id").select("text", "toxic")
-    picked = [both.where(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(n) for k, n in ((0, CLEAN_ROWS * rows), (1, rows))]
-    got = [(r.text, r.toxic) for part in picked for r in part.collect()]
-    return train([t for t, _ in got], [k for _, k in got])
+    counts = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("text"))
+    keys = usable.select("__id", "__key").join(marks, "__id")
+    picked = [keys.where(F.col("toxic") == k).orderBy("__key", "__id").limit(n) for k, n in ((0, CLEAN_ROWS * rows), (1, rows))]
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for part in picked for r in part.collect()], keys.schema)
+    got = usable.join(F.broadcast(chosen.distinct()), ["__id", "__key"]).select("__key", "text", "toxic").orderBy("__key", "text").collect()  # as many as were chosen, but for repeated rows
+    return train([r.text for r in got], [r.toxic for r in got], prior=counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "detection_search"
+from tessella.plans import registry, reports, scans, sequences  # noqa: F401  (registering)
+
+FLAGSHIP = "change_points"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
