@@ -1,7 +1,7 @@
 """One-to-one assignment and greedy matching inside small groups (the boxes of one frame).
 
 The group is the unit of work: pairs are scored by Spark expressions where that is enough, and the
-order-dependent choice runs on the group's boxes through ``applyInPandas``.
+order-dependent choice runs on arrays of boxes, a row for each group, many groups to an Arrow batch.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -182,34 +182,59 @@ def overlap_labels(boxes: np.ndarray, least: float) -> list[str | None]:
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
+def _listed(boxes: DataFrame, order: list[str]) -> Column:
+    """A frame's rows as one sorted array. A frame holds a bounded number of boxes, so it fits a row."""
+    return F.array_sort(F.collect_list(F.struct(*order, *(c for c in boxes.columns if c not in order))))
+
+
+def _flat(rows: Column) -> Column:
+    """x1, y1, x2, y2 of all boxes in a row."""
+    return F.flatten(F.transform(rows, lambda r: F.array(*(r[c].cast("double") for c in _BOX))))
+
+
+def _boxes(flat: np.ndarray) -> np.ndarray:
+    return np.asarray(flat, float).reshape(-1, 4)
+
+
 def per_frame(boxes: DataFrame, frame: str, order: list[str], keep: Callable[[np.ndarray, np.ndarray], list[int]]) -> DataFrame:
-    """The rows of each frame that ``keep`` (boxes, confidences) names, boxes in ``order``."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.iloc[keep(pdf[_BOX].to_numpy(), pdf["confidence"].to_numpy())]
+    """The rows of each frame that ``keep`` (boxes, confidences) names, boxes in ``order``.
+
+    Null frames are one frame; an empty table gives an empty one.
+    """
+
+    @F.pandas_udf("array<int>")
+    def kept(flat: pd.Series, confidence: pd.Series) -> pd.Series:
+        return pd.Series([keep(_boxes(f), np.asarray(c, float)) for f, c in zip(flat, confidence, strict=True)])
 
-    return boxes.groupBy(frame).applyInPandas(run, boxes.schema)
+    rows = boxes.groupBy(frame).agg(_listed(boxes, order).alias("__rows"))
+    rows = rows.withColumn("__kept", kept(_flat(F.col("__rows")), F.transform("__rows", lambda r: r["confidence"].cast("double"))))
+    return rows.select(F.inline(F.filter("__rows", lambda r, i: F.array_contains(F.col("__kept"), i)))).select(*boxes.columns)
 
 
 def label_overlaps(boxes: DataFrame, frame: str, order: list[str], least: float) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.assign(duplicate_group=pd.array(overlap_labels(pdf[_BOX].to_numpy(), least), dtype="object"))
+    """``boxes`` with duplicate_group, the label of ``overlap_labels`` inside its frame."""
+
+    @F.pandas_udf("array<string>")
+    def labels(flat: pd.Series) -> pd.Series:
+        return pd.Series([overlap_labels(_boxes(f), least) for f in flat])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", duplicate_group string"
-    return boxes.groupBy(frame).applyInPandas(run, schema)
+    rows = boxes.groupBy(frame).agg(_listed(boxes, order).alias("__rows")).withColumn("__labels", labels(_flat(F.col("__rows"))))
+    return rows.select(F.inline(F.transform("__rows", lambda r, i: F.struct(*(r[c].alias(c) for c in boxes.columns), F.get("__labels", i).alias("duplicate_group")))))
 
 
 def match_frames(truth: DataFrame, found: DataFrame, frame: str, order: list[str], match: Callable[[np.ndarray, np.ndarray, float], list[tuple[int, int]]], least: float) -> DataFrame:
-    """(frame, tp, fp, fn) of each frame that either side has."""
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = (a if len(a) else b)[frame].iloc[0]
-        a, b = (x.sort_values(order, kind="stable")[_BOX].to_numpy() for x in (a, b))
-        tp = len(match(a, b, least))
-        return pd.DataFrame({frame: [key], "tp": [tp], "fp": [len(b) - tp], "fn": [len(a) - tp]})
-
-    kind = dict(truth.dtypes)[frame]
-    return truth.groupBy(frame).cogroup(found.groupBy(frame)).applyInPandas(run, f"`{frame}` {kind}, tp long, fp long, fn long")
+    """(frame, tp, fp, fn) of each frame that either side has; both sides meet in one shuffle."""
+
+    @F.pandas_udf("long")
+    def matched(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(match(_boxes(x), _boxes(y), least)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    columns = list(dict.fromkeys([frame, *order, *_BOX]))
+    both = truth.select(*columns, F.lit(True).alias("__truth")).unionByName(found.select(*columns, F.lit(False).alias("__truth")))
+    entry = F.struct(*order, *_BOX)
+    sides = both.groupBy(frame).agg(*(F.array_sort(F.collect_list(F.when(on, entry))).alias(n) for n, on in (("__a", F.col("__truth")), ("__b", ~F.col("__truth")))))
+    counted = sides.withColumn("tp", matched(_flat(F.col("__a")), _flat(F.col("__b"))))
+    return counted.select(frame, "tp", (F.size("__b") - F.col("tp")).alias("fp"), (F.size("__a") - F.col("tp")).alias("fn"))
 
 
 def scored_assignment(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:

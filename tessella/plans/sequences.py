@@ -55,7 +55,7 @@ def stationary_points(spark, d):
     return windows.stationary(events(spark, d), "user_id", "ts", ["value"], 12 * HOUR, 30, "event_id").select("event_id")
 
 
-@query("with h as (select *, last_value(case when value >= 50 then epoch_us(ts) end ignore nulls) over w as at, last_value(case when value >= 50 then value end ignore nulls) over w as v from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)) select event_id, case when epoch_us(ts) - at <= 21600000000 then v end as held_value from h")
+@query("with h as (select *, last_value(case when value >= 50 then epoch_us(ts) end ignore nulls) over w as seen_at, last_value(case when value >= 50 then value end ignore nulls) over w as v from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)) select event_id, case when epoch_us(ts) - seen_at <= 21600000000 then v end as held_value from h")
 def occupancy_hold(spark, d):
     return windows.hold(events(spark, d), "user_id", "ts", F.col("value") >= 50, 6 * HOUR, "value", "event_id").select("event_id", "held_value")
 
