@@ -2,9 +2,10 @@
 
 A text longer than one chunk is cut into chunks that overlap; each is pre-tokenised by itself, as a row
 of its own.  A match of the pattern depends only on what follows its start, so from the first place
-where a token begins in both of two neighbours their tokens are the same: there the chunks are stitched.
-The pieces between the stitches are then encoded, each in its row, and put in order.  Where an overlap
-has no such place (a single token longer than it), the rest of that text is encoded as one piece.
+where a token begins in both of two neighbours their tokens are the same: there the chunks are stitched,
+but never behind white space, since a run of it looks at the character after it.  The pieces between
+the stitches are then encoded, each in its row, and put in order.  Where an overlap has no such place
+(a single token longer than it), the rest of that text is encoded as one piece.
 Decoding puts the tokens' raw bytes one after the other.
 """
 
@@ -152,7 +153,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 at = pretokens.starts(text) + k * chunk
                 stop = n + 1 if k * chunk + len(text) >= n else k * chunk + len(text) - LOOKAHEAD
                 heads.append(at[at < k * chunk + overlap])
-                tails.append(at[(at >= (k + 1) * chunk) & (at <= stop)])
+                near = at[(at >= (k + 1) * chunk) & (at <= stop)]
+                tails.append(near[[not text[p - k * chunk - 1].isspace() for p in near.tolist()]] if len(near) else near)
             return pa.RecordBatch.from_arrays([*batch.columns, _lists(heads), _lists(tails)], [*batch.schema.names, "heads", "tails"])
 
         return step
