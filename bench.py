@@ -11,7 +11,7 @@ from tessella.session import local_session
 
 HEADLINE = (
     "change_points", "range_scan", "keyset_page", "pricing_summary", "state_transitions", "sessionize_gap", "interval_match", "mutual_unique_match",
-    "gallery_top2_margin", "iou_pairs", "nms_frames", "box_match_global", "exact_dedup", "near_duplicate_pairs", "stratified_sample", "report_cube", "weekly_summary", "hist_quantile",
+    "gallery_top2_margin", "iou_pairs", "nms_frames", "box_match_global", "exact_dedup", "stratified_sample", "report_cube", "weekly_summary", "hist_quantile",
 )
 
 

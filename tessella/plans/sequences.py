@@ -9,6 +9,7 @@ from tessella.operators.graph import connected_components
 from tessella.plans.registry import events, query, table, text
 from tessella.plans.scans import boxes
 from tessella.streaming import hosts, steps
+from tessella.session import cut_lineage
 
 HOUR = 3600
 
@@ -202,7 +203,8 @@ def exact_dedup(spark, d):
 
 
 def _bits(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", dedup.text_bits(F.split("text", r"\s+")).alias("bits"), F.sha2("text", 256).alias("sha256"))
+    """Written once: the bits are named often later on, and a plan would compute them anew each time."""
+    return cut_lineage(table(spark, d, "documents").select("doc_id", "lang", dedup.text_bits(F.split("text", r"\s+")).alias("bits"), F.sha2("text", 256).alias("sha256")))
 
 
 @query()
