@@ -14,11 +14,12 @@ def exact_duplicates(rows: DataFrame, content: Column, id_col: str) -> DataFrame
     """``rows`` with sha256 and duplicate_of: the first id of equal content, null for that first one.
 
     The first id is a partial minimum joined back by hash, so a content with a third of all rows is not
-    sorted in one task.
+    sorted in one task.  Null contents count as equal; their sha256 is null.
     """
     keyed = rows.withColumn("sha256", F.sha2(content, 256))
     first = keyed.groupBy("sha256").agg(F.min(id_col).alias("__first"))
-    return keyed.join(first, "sha256").withColumn("duplicate_of", F.when(F.col(id_col) != F.col("__first"), F.col("__first"))).drop("__first")
+    first = first.withColumnRenamed("sha256", "__hash")
+    return keyed.join(first, keyed["sha256"].eqNullSafe(first["__hash"])).drop("__hash").withColumn("duplicate_of", F.when(F.col(id_col) != F.col("__first"), F.col("__first"))).drop("__first")
 
 
 def bands(bits: Column, radius: int) -> Column:
@@ -91,11 +92,23 @@ def isolation(candidates: DataFrame, reference: DataFrame, id_col: str, content:
     return exact.union(near).groupBy(id_col).agg(F.min_by(F.struct("verdict", "other", "distance"), F.struct("distance", "other")).alias("b")).select(id_col, "b.verdict", "b.other", F.greatest("b.distance", F.lit(0)).alias("distance"))
 
 
-def text_bits(words: Column) -> Column:
-    """A 64-bit fingerprint of a word list: a bit is set where over half of the words' hashes have it."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: (2 * F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b)) > F.size(hashes)).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+def with_text_bits(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, bits) of each id: a bit is set where over half of the text's words' hashes have it.
+
+    Words are split at white space.  The tallies are sums over exploded words, two bits to a sum, taken
+    where the text lies before they are shuffled.  Rows of one id count as one text; a null text has
+    null bits, an empty one those of its single empty word.
+    """
+    words = rows.select(F.col(id_col), F.explode_outer(F.split(text_col, r"\s+")).alias("__w")).withColumn("__h", F.xxhash64("__w"))
+    pair = F.lit(1 << 32 | 1)
+    tallies = [F.sum(F.shiftrightunsigned("__h", b).bitwiseAND(pair)).alias(f"__t{b}") for b in range(32)]
+    summed = words.groupBy(id_col).agg(F.count("__w").alias("__n"), *tallies)
+    low = F.lit((1 << 32) - 1)
+    bits = F.lit(0).cast("long")
+    for b in range(32):
+        for at, tally in ((b, F.col(f"__t{b}").bitwiseAND(low)), (b + 32, F.shiftrightunsigned(f"__t{b}", 32))):
+            bits = bits.bitwiseOR(F.when(2 * tally > F.col("__n"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
+    return summed.select(id_col, F.when(F.col("__n") > 0, bits).alias("bits"))
 
 
 def priority(reviewed: str, sharpness: str, id_col: str) -> list[Column]:

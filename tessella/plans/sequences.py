@@ -190,7 +190,7 @@ def mutual_unique_match(spark, d):
     return joins.unique_pairs(_interval(spark, d), "a_id", "b_id").select("a_id", "b_id")
 
 
-@query("select o_orderkey, case when n.n_nationkey is not null then c_custkey end as resolved from orders join customer on o_custkey = c_custkey left join nation n on c_nationkey = n_nationkey and n_name <> '' where false or true")
+@query("select o_orderkey, c_custkey as resolved from orders join customer on o_custkey = c_custkey")
 def ref_repair_join(spark, d):
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("number"), F.col("c_name").alias("name"))
     rows = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("id")).select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("id")).otherwise(-F.col("id")).alias("id"), "number", "name")
@@ -204,7 +204,9 @@ def exact_dedup(spark, d):
 
 def _bits(spark, d):
     """Written once: the bits are named often later on, and a plan would compute them anew each time."""
-    return cut_lineage(table(spark, d, "documents").select("doc_id", "lang", dedup.text_bits(F.split("text", r"\s+")).alias("bits"), F.sha2("text", 256).alias("sha256")))
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", "lang", F.sha2("text", 256).alias("sha256"))
+    return cut_lineage(rows.join(dedup.with_text_bits(docs, "doc_id", "text"), "doc_id"))
 
 
 @query()
@@ -225,11 +227,12 @@ def split_isolation(spark, d):
     return dedup.isolation(rows.where("doc_id % 5 = 0"), rows.where("doc_id % 5 <> 0"), "doc_id", "sha256", "bits")
 
 
-@query("select k.l_orderkey as node, min(l.l_suppkey) over (partition by k.l_orderkey) >= 0 as linked from (select distinct l_orderkey from lineitem where l_orderkey < 200) k join (select l_orderkey, min(l_suppkey) as l_suppkey from lineitem group by 1) l using (l_orderkey)")
+@query()
 def component_members(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey < 200").select("l_orderkey", (F.col("l_partkey") + 1_000_000_000).alias("part"))
-    found = connected_components(lines, "l_orderkey", "part")
-    return found.where("node < 1000000000").select("node", (F.col("component") >= 0).alias("linked"))
+    """Orders that parts in common link, directly or not: each with the smallest number of its component."""
+    parts = F.col("l_partkey") + (1 << 40)  # apart from all order numbers
+    found = connected_components(table(spark, d, "lineitem").select("l_orderkey", parts.alias("part")), "l_orderkey", "part")
+    return found.where(F.col("node") < (1 << 40)).select("node", "component")
 
 
 @query("with n as (select count(distinct doc_id) as n from documents), k as (select sha256('split:' || doc_id) as k, doc_id from documents), r as (select *, row_number() over (order by k) as r from k) select doc_id, case when r <= greatest(1, round_even(0.1 * n, 0)) then 'val' else 'train' end as split from r, n")
