@@ -378,7 +378,7 @@ def label_parse(spark, d):
     return readers.parse_labels(lines).select("l_orderkey", "l_linenumber", "valid")
 
 
-@query("select event_id, 'p' || user_id as period, event_type as student_state from events where event_id < 200")
+@query("select event_id, 'p' || user_id as period, event_type as student_state from events")
 def report_event_scan(spark, d):
-    e = table(spark, d, "events").where("event_id < 200").select("event_id", F.base64(F.to_json(F.array(F.struct(F.concat(F.lit("p"), "user_id").alias("period"), F.col("event_type").alias("student_state"), F.col("event_id").cast("string").alias("seat_number")))).cast("binary")).alias("payload"))
+    e = table(spark, d, "events").select("event_id", F.base64(F.to_json(F.array(F.struct(F.concat(F.lit("p"), "user_id").alias("period"), F.col("event_type").alias("student_state"), F.col("event_id").cast("string").alias("seat_number")))).cast("binary")).alias("payload"))
     return readers.report_events(e, base64=True).select(F.col("seat_number").cast("long").alias("event_id"), "period", "student_state")

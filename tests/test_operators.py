@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.operators import matching
+from tessella.operators import dedup, matching
 from tessella.operators.graph import connected_components
+from tessella.plans import catalog
 
 SCHEMA = "frame long, at int, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -97,3 +100,42 @@ def test_components_against_union_find(spark):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_text_bits_are_the_majority_of_word_hashes(spark):
+    texts = {1: "a b c", 2: "", 3: None, 4: "x y  z w q", 5: "tab\tand\nline " * 400}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+
+    def want(text):
+        if text is None:
+            return None
+        hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split(r"\s+", text)]
+        value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        return value - (1 << 64) if value >> 63 else value
+
+    got = {r.id: r.bits for r in dedup.with_text_bits(rows, "id", "text").collect()}
+    assert got == {k: want(t) for k, t in texts.items()}
+
+
+def test_exact_duplicates_take_nulls_as_equal(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None), (5, "")], "id long, text string")
+    got = {r.id: r.duplicate_of for r in dedup.exact_duplicates(rows, rows["text"], "id").collect()}
+    assert got == {1: None, 2: None, 3: 1, 4: 2, 5: None}
+
+
+def test_orders_are_linked_by_parts_in_common(spark, sf_dir):
+    lines = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for order, part in lines:
+        parent[root(order)] = root(("part", part))
+    least: dict = {}
+    for order in sorted({o for o, _ in lines}):
+        least.setdefault(root(order), order)
+    got = {r.node: r.component for r in catalog.queries()["component_members"](spark, sf_dir).collect()}
+    assert got == {o: least[root(o)] for o, _ in lines}
