@@ -11,6 +11,8 @@ import pytest
 from tessella.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+#: No cell of the smallest tables holds enough points for a cluster; tests/test_operators.py has a denser fixture.
+MAY_BE_EMPTY = {"density_clusters"}
 
 
 def plain(value):
@@ -45,7 +47,7 @@ def test_runs_and_repeats(name, spark, sf_dir):
     df = QUERIES[name](spark, sf_dir)
     first = bag(df.columns, [tuple(r.asDict(recursive=True).values()) for r in df.collect()])
     again = bag(df.columns, [tuple(r.asDict(recursive=True).values()) for r in QUERIES[name](spark, sf_dir).collect()])
-    assert first and first == again
+    assert (first or name in MAY_BE_EMPTY) and first == again
 
 
 def test_entry_module():

@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.operators import dedup, matching
+from tessella.operators import dedup, density, matching
 from tessella.operators.graph import connected_components
 from tessella.plans import catalog
 
@@ -139,3 +139,14 @@ def test_orders_are_linked_by_parts_in_common(spark, sf_dir):
         least.setdefault(root(order), order)
     got = {r.node: r.component for r in catalog.queries()["component_members"](spark, sf_dir).collect()}
     assert got == {o: least[root(o)] for o, _ in lines}
+
+
+def test_dense_spots_become_clusters(spark):
+    """Two spots of 400 points, far apart, and a thin spread that is too sparse to count."""
+    rng = np.random.default_rng(5)
+    spots = [(x, y) for cx, cy in ((0.2, 0.2), (0.7, 0.8)) for x, y in zip(rng.normal(cx, 0.01, 400), rng.normal(cy, 0.01, 400), strict=True)]
+    rows = [("c", float(x), float(y)) for x, y in [*spots, *((k / 9, 0.5) for k in range(10))]] + [("c", None, 0.5)]
+    got = {r.cluster: r for r in density.density_clusters(spark.createDataFrame(rows, "camera string, x double, y double"), "camera").collect()}
+    assert sorted(got) == [1, 2]
+    assert abs(got[1].x - 0.2) < 0.05 and abs(got[1].y - 0.2) < 0.05 and abs(got[2].x - 0.7) < 0.05 and abs(got[2].y - 0.8) < 0.05
+    assert 700 < got[1].n + got[2].n <= 800
