@@ -40,14 +40,19 @@ def minimum_cost_assignment(costs: np.ndarray) -> list[tuple[int, int]]:
         return []
     turned = costs.shape[0] > costs.shape[1]
     c = costs.T if turned else costs
-    rows, columns = c.shape
+    pairs = _cheapest(*c.shape, c.__getitem__)
+    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+
+
+def _cheapest(rows: int, columns: int, cost: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """The pairs (row, column) of a cheapest assignment of all rows, no more than there are columns; ``cost`` makes a row's costs when they are needed."""
     row_price, column_price = np.zeros(rows), np.zeros(columns)
     owner = np.full(columns, -1)
     for start in range(rows):
         reach, via, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
         row, last, base = start, -1, 0.0
         while True:
-            step = base + c[row] - row_price[row] - column_price
+            step = base + cost(row) - row_price[row] - column_price
             better = ~done & (step < reach - 1e-15)
             reach[better], via[better] = step[better], last
             open_reach = np.where(done, np.inf, reach)
@@ -64,8 +69,7 @@ def minimum_cost_assignment(costs: np.ndarray) -> list[tuple[int, int]]:
             before = via[column]
             owner[column] = owner[before] if before >= 0 else start
             column = before
-    pairs = [(int(owner[j]), j) for j in range(columns) if owner[j] >= 0]
-    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+    return [(int(owner[j]), j) for j in range(columns) if owner[j] >= 0]
 
 
 def gated_assignment(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -253,6 +257,33 @@ def scored_assignment(pairs: DataFrame, group: str, left: str, right: str, score
     return pairs.select(group, left, right, score).groupBy(group).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (group, left, right, score)))
 
 
+def value_assignment(a: DataFrame, b: DataFrame, group: str, left: str, right: str, left_value: str, right_value: str, scale: float, least: float, margin: float) -> DataFrame:
+    """``scored_assignment`` of all pairs of a group, scored 1 - |difference of values| / ``scale`` (0 at least).
+
+    The rows of a group meet in one task, their pairs are never listed: each row's scores are made from
+    the other side's values when the search asks for them.  Pairs under ``least`` cannot be cut before:
+    they decide who is left for whom, and whether a pair leads by ``margin``.  Null values, groups and
+    ids take no part.
+    """
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x.sort_values(left, ignore_index=True), y.sort_values(right, ignore_index=True)
+        v, w = x[left_value].to_numpy(float), y[right_value].to_numpy(float)
+        near = lambda one, many: 1 - np.minimum(np.abs(one - many) / scale, 1.0)
+        turned, rows = len(v) > len(w), []
+        few, many = (w, v) if turned else (v, w)
+        pairs = _cheapest(len(few), len(many), lambda i: -near(few[i], many)) if len(few) else []
+        for i, j in sorted((j, i) if turned else (i, j) for i, j in pairs):
+            own, mine, yours = near(v[i], w[j]), near(v[i], w), near(v, w[j])
+            mine[j] = yours[i] = -np.inf
+            if own >= least and (len(v) + len(w) == 2 or own - max(mine.max(), yours.max()) >= margin):
+                rows.append((x[group].iloc[0], x[left].iloc[i], y[right].iloc[j], own))
+        return pd.DataFrame(rows, columns=[group, left, right, "score"])
+
+    a, b = (side.select(*names).dropna() for side, names in ((a, (group, left, left_value)), (b, (group, right, right_value))))
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (group, left, right)) + ", score double")
+
+
 def iou_pairs(a: DataFrame, b: DataFrame, frame: str, least: float) -> DataFrame:
     """(frame, a_id, b_id, iou) of all pairs of a frame from ``least`` on; a(frame, a_id, box a), b(frame, b_id, box b) as structs x1 to y2."""
     from tessella.functions import geometry as g

@@ -304,10 +304,9 @@ def box_match_assignment(spark, d):
 
 @query()
 def cross_camera_match(spark, d):
-    e = table(spark, d, "events").where("event_id < 2000").select("event_id", F.to_date("ts").cast("string").alias("day"), "value", "event_type")
+    e = table(spark, d, "events").select("event_id", F.to_date("ts").cast("string").alias("day"), "value", "event_type")
     a, b = e.where("event_type = 'signup'").select("day", F.col("event_id").alias("a"), F.col("value").alias("va")), e.where("event_type = 'purchase'").select("day", F.col("event_id").alias("b"), F.col("value").alias("vb"))
-    pairs = a.join(b, "day").withColumn("score", 1 - F.least(F.abs(F.col("va") - F.col("vb")) / 100, F.lit(1.0)))
-    return matching.scored_assignment(pairs, "day", "a", "b", "score", 0.7, 0.02)
+    return matching.value_assignment(a, b, "day", "a", "b", "va", "vb", 100, 0.7, 0.02)
 
 
 @query()

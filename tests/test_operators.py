@@ -150,3 +150,23 @@ def test_dense_spots_become_clusters(spark):
     assert sorted(got) == [1, 2]
     assert abs(got[1].x - 0.2) < 0.05 and abs(got[1].y - 0.2) < 0.05 and abs(got[2].x - 0.7) < 0.05 and abs(got[2].y - 0.8) < 0.05
     assert 700 < got[1].n + got[2].n <= 800
+
+
+def test_value_assignment_is_the_scored_assignment_of_all_pairs(spark):
+    """Also where a pair under the gate takes an end (day c) or stands too near for the margin (day d)."""
+    rng = np.random.default_rng(11)
+    a = [(d, k, round(float(rng.random() * 150), 2)) for d, n in (("a", 25), ("b", 9), ("e", 1)) for k in range(n)]
+    b = [(d, 100 + k, round(float(rng.random() * 150), 2)) for d, n in (("a", 18), ("b", 14), ("f", 1)) for k in range(n)]
+    a += [("c", 1, 0.0), ("c", 2, 56.0), ("d", 1, 0.0), (None, 3, 1.0), ("c", 3, None)]
+    b += [("c", 101, 25.0), ("c", 102, -31.0), ("d", 101, 30.0), ("d", 102, 31.0), (None, 103, 1.0)]
+    a, b = spark.createDataFrame(a, "day string, a long, va double"), spark.createDataFrame(b, "day string, b long, vb double")
+    pairs = a.join(b, "day").where("va is not null").selectExpr("day", "a", "b", "1 - least(abs(va - vb) / 100, 1.0D) as score")
+    want = sorted(tuple(r) for r in matching.scored_assignment(pairs, "day", "a", "b", "score", 0.7, 0.02).collect())
+    got = sorted(tuple(r) for r in matching.value_assignment(a, b, "day", "a", "b", "va", "vb", 100, 0.7, 0.02).collect())
+    assert got == want and {r[0] for r in got} == {"a", "b"}
+
+
+def test_cross_camera_match_reads_all_events(spark, tmp_path):
+    rows = [(5000, "signup", 10.0), (5001, "purchase", 11.0), (5002, "purchase", 90.0)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").selectExpr("*", "timestamp'2024-01-01 10:00:00' as ts", "1L as user_id").write.parquet(str(tmp_path / "events.parquet"))
+    assert [(r.a, r.b) for r in catalog.queries()["cross_camera_match"](spark, str(tmp_path)).collect()] == [(5000, 5001)]
