@@ -13,6 +13,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -34,8 +35,7 @@ class Step:
         return self
 
 
-def _records(pdf: pd.DataFrame, order: list[str]) -> Iterator[dict[str, Any]]:
-    pdf = pdf.sort_values(order, kind="stable")
+def _records(pdf: pd.DataFrame) -> Iterator[dict[str, Any]]:
     names = list(pdf.columns)
     for values in pdf.itertuples(index=False, name=None):
         yield {n: (None if v is pd.NaT or v is None or (isinstance(v, float) and v != v) else v) for n, v in zip(names, values, strict=True)}
@@ -46,16 +46,30 @@ def _frame(rows: list[dict[str, Any]], names: list[str]) -> pd.DataFrame:
 
 
 def replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str) -> DataFrame:
-    """Run a step over each key's rows in order. A key's rows are one task's work, as the recurrence demands; keep keys narrow (camera and day, say)."""
+    """Run a step over each key's rows in order.
+
+    Spark sorts a task's rows by key and order (on disk, where they are many) and they pass in Arrow
+    batches, so a task holds one batch and one step's state, however long a key is.  A key's rows stay one
+    task's time, as the recurrence demands; keep keys narrow (camera and day, say).
+    """
     names = T.StructType.fromDDL(schema).fieldNames()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        step, out = make(), []
-        for row in _records(pdf, order):
-            out += step(row)
-        return _frame(out + step.finish(), names)
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, at = None, None
+        for pdf in pdfs:
+            out = []
+            for row in _records(pdf):
+                own = tuple(row[k] for k in key)
+                if step is None or own != at:
+                    out += step.finish() if step else []
+                    step, at = make(), own
+                out += step(row)
+            yield _frame(out, names)
+        if step:
+            yield _frame(step.finish(), names)
 
-    return rows.groupBy(*key).applyInPandas(run, schema)
+    placed = rows.repartition(*key).sortWithinPartitions(*key, *(F.col(c).asc_nulls_last() for c in order))
+    return placed.mapInPandas(run, schema)
 
 
 def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str, timeout_ms: int | None = None) -> DataFrame:
@@ -71,7 +85,7 @@ def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], S
         step, out = make(), []
         if state.exists:
             step.load(state.get[0])
-        for row in _records(pd.concat(list(pdfs)), order):
+        for row in _records(pd.concat(list(pdfs)).sort_values(order, kind="stable")):
             out += step(row)
         state.update((step.dump(),))
         if timeout_ms:

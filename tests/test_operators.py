@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tessella.operators import dedup, density, matching
 from tessella.operators.graph import connected_components
 from tessella.plans import catalog
+from tessella.streaming import hosts
 
 SCHEMA = "frame long, at int, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -170,3 +171,37 @@ def test_cross_camera_match_reads_all_events(spark, tmp_path):
     rows = [(5000, "signup", 10.0), (5001, "purchase", 11.0), (5002, "purchase", 90.0)]
     spark.createDataFrame(rows, "event_id long, event_type string, value double").selectExpr("*", "timestamp'2024-01-01 10:00:00' as ts", "1L as user_id").write.parquet(str(tmp_path / "events.parquet"))
     assert [(r.a, r.b) for r in catalog.queries()["cross_camera_match"](spark, str(tmp_path)).collect()] == [(5000, 5001)]
+
+
+class Running(hosts.Step):
+    """The rows so far and their sum; the last one again at the end."""
+
+    def __init__(self):
+        self.n, self.sum, self.key = 0, 0, None
+
+    def __call__(self, row):
+        self.n, self.sum, self.key = self.n + 1, self.sum + row["v"], row["k"]
+        return [{"k": row["k"], "n": self.n, "sum": self.sum}]
+
+    def finish(self):
+        return [{"k": self.key, "n": -self.n, "sum": self.sum}]
+
+
+def test_replay_carries_a_step_over_batches(spark):
+    """One key with most rows, in batches of 50: none is gathered, and the state goes on from batch to batch."""
+    rows = [(None if k == 3 else k, at, (at * 37) % 101) for k, n in ((0, 700), (1, 30), (2, 1), (3, 60)) for at in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = hosts.replay(spark.createDataFrame(rows[::-1], "k long, at long, v long"), ["k"], ["at"], Running, "k long, n long, sum long")
+        got = sorted(map(repr, (tuple(r) for r in df.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for key in (0, 1, 2, None):
+        total, n = 0, 0
+        for n, r in enumerate((r for r in rows if r[0] == key), 1):
+            total += r[2]
+            want.append((key, n, total))
+        want.append((key, -n, total))
+    assert got == sorted(map(repr, want))
