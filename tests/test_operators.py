@@ -205,3 +205,8 @@ def test_replay_carries_a_step_over_batches(spark):
             want.append((key, n, total))
         want.append((key, -n, total))
     assert got == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["tracker_replay", "handover_replay"])
+def test_replays_gather_no_key(name, spark, sf_dir):
+    assert "FlatMapGroupsInPandas" not in catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
