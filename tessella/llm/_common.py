@@ -59,6 +59,54 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+#: A key with more than one row in so many counts as hot; there are fewer than this of them, whatever the table's size.
+HOT_PARTS = 1024
+
+
+def hot_keys(counts: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
+    """(__hot): the keys of ``counts`` (key, n) that hold over one row in ``parts`` of all; fewer than ``parts`` of them."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return cut_lineage(counts.where(F.col("n") > total / parts).select(F.col(key).alias("__hot")))
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """Inner join of many ``rows`` with ``per_key`` (one row for each key), no key of which lands in one task.
+
+    What belongs to the hot keys, fewer than HOT_PARTS, is broadcast and their rows stay where they lie;
+    all other rows are shuffled by key.  Null keys match each other.
+    """
+    is_hot = F.col(key).eqNullSafe(F.col("__hot"))
+    theirs = per_key.withColumnRenamed(key, "__key")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    at_home = rows.join(F.broadcast(per_key.join(F.broadcast(hot), is_hot, "left_semi").withColumnRenamed(key, "__key")), same).drop("__key")
+    dealt = rows.join(F.broadcast(hot), is_hot, "left_anti").join(theirs, same).drop("__key")
+    return at_home.union(dealt)
+
+
+def hash_bound(share: float) -> int:
+    """The 64-bit hash that so large a share of all hashes does not pass."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
+def pick_keys(rows: DataFrame, key: str, n: int) -> list:
+    """At most ``n`` distinct keys of ``rows``, those of the least hash; the driver and each task see few more than ``n``.
+
+    key: a column that is a hash already (long, spread evenly).  A bound on the key, from the number of
+    rows, leaves about 1.5 ``n`` of them before anything is sorted.
+    """
+    total = rows.count()
+    if total > 2 * n:
+        rows = rows.where(F.col(key) <= hash_bound(1.5 * n / total))
+    return [r[0] for r in rows.select(key).distinct().orderBy(key).limit(n).collect()]
+
+
+def fetch(rows: DataFrame, key: str, keys: list, *columns: str) -> list:
+    """(key, columns...) once for each of ``keys``, in the order of the keys; where rows of a key differ, the least."""
+    chosen = rows.sparkSession.createDataFrame([(k,) for k in keys], f"{key} long")
+    one = rows.join(F.broadcast(chosen), key).groupBy(key).agg(F.min(F.struct(*columns)).alias("one"))
+    return one.select(key, "one.*").orderBy(key).collect()  # one row for each of the keys
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the decimal doc_id leaves no rest modulo 5; null ids count as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -140,9 +140,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     size = F.coalesce(F.length("text"), F.lit(0))
     short = _encode_pieces(rows.where(size <= chunk), "doc_id long", path, pattern)
 
-    long = rows.where(size > chunk).select(F.xxhash64("text", "doc_id", F.monotonically_increasing_id()).alias("row"), "doc_id", "text", size.alias("n"))
-    long = long.select("row", "doc_id", "n", "text", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / chunk).cast("int"))).alias("k"))
-    parts = long.select("row", "doc_id", "n", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+    long = rows.where(size > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", size.alias("n"))
+
+    def cut(batches):
+        for batch in batches:
+            for row, doc_id, text, n in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "n")), strict=True):
+                places = range(0, n, chunk)
+                columns = [[row] * len(places), [doc_id] * len(places), [n] * len(places), list(range(len(places))), [text[p : p + chunk + overlap] for p in places]]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "n", "k", "text"])
+
+    parts = long.mapInArrow(cut, "row long, doc_id long, n int, k int, text string")
 
     def make():
         pretokens = tokenizer(path, pattern).pretokens

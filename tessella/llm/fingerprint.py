@@ -2,23 +2,26 @@
 
 A text's prefix array holds sum(c_k * B**k) modulo a prime; the hash of any span is a difference of two
 entries times an inverse power, so span equality costs one comparison and the longest common extension
-of two positions a binary search.  A fingerprint is the whole text's hash under two primes, then a
-sketch: the least span hash of each residue class over all spans of ``SPAN`` code points.
+of two positions a binary search.  Equality is decided under two primes at once.  A fingerprint is the whole
+text's hash under both, then a sketch: the least span hash of each residue class over all spans of
+``SPAN`` code points.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import map_texts
+from tessella.llm._common import cut_lineage, hash_bound, map_texts
 
 PRIMES, BASE, SPAN, SLOTS = (2_147_483_647, 2_147_483_629), 131_071, 12, 64
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 20_000
+#: Rows of a range, on average, and how many sampled places the driver sees for each.
+RANGE_ROWS, PLACES = 20_000, 8
 _EMPTY = 0xFFFFFFFF
 
 
@@ -39,31 +42,46 @@ _POWERS = tuple(Powers(p) for p in PRIMES)
 
 
 class Prefix:
-    """The prefix arrays of one text."""
+    """The prefix arrays of one text, one for each prime; the second is made when it is asked for."""
 
-    def __init__(self, text: str, which: int = 0):
-        self.points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        self.n, self.powers = len(self.points), _POWERS[which]
-        self.powers.to(self.n)
-        self.sums = np.zeros(self.n + 1, np.int64)
+    def __init__(self, text: str):
         # code points start at 1, so that leading NULs count
-        np.cumsum((self.points + 1) * self.powers.up[: self.n] % self.powers.prime, out=self.sums[1:])
-
-    def span(self, start, stop):
+        self.points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) + 1
+        self.n = len(self.points)
+        self._sums: list[np.ndarray | None] = [None] * len(PRIMES)
+
+    def sums(self, which: int = 0) -> np.ndarray:
+        if self._sums[which] is None:
+            powers = _POWERS[which]
+            powers.to(self.n)
+            own = np.zeros(self.n + 1, np.int64)
+            np.cumsum(self.points * powers.up[: self.n] % powers.prime, out=own[1:])
+            self._sums[which] = own
+        return self._sums[which]
+
+    def span(self, start, stop, which: int = 0):
         """The hash of text[start:stop]; arrays of places are as good as single ones."""
-        return (self.sums[stop] - self.sums[start]) % self.powers.prime * self.powers.down[start] % self.powers.prime
+        powers, sums = _POWERS[which], self.sums(which)
+        return (sums[stop] - sums[start]) % powers.prime * powers.down[start] % powers.prime
 
     def spans(self, width: int) -> np.ndarray:
-        m = self.n - width + 1
-        return (self.sums[width:] - self.sums[:-width]) % self.powers.prime * self.powers.down[:m] % self.powers.prime
+        """The hashes of all spans of so many code points, under the first prime."""
+        powers, sums = _POWERS[0], self.sums()
+        return (sums[width:] - sums[:-width]) % powers.prime * powers.down[: self.n - width + 1] % powers.prime
+
+    def whole(self) -> str:
+        return "".join(f"{int(self.sums(k)[-1] % prime):08x}" for k, prime in enumerate(PRIMES))
 
 
 def same_span(a: Prefix, i: int, b: Prefix, j: int, length: int) -> bool:
-    return i + length <= a.n and j + length <= b.n and bool(a.span(i, i + length) == b.span(j, j + length))
+    """Whether a[i:i + length] equals b[j:j + length], by their hashes under both primes; False where a text ends before."""
+    if i + length > a.n or j + length > b.n:
+        return False
+    return all(bool(a.span(i, i + length, k) == b.span(j, j + length, k)) for k in range(len(PRIMES)))
 
 
 def common_extension(a: Prefix, b: Prefix, i: int = 0, j: int = 0) -> int:
-    """The most code points from place i of a and j of b that are equal."""
+    """The most code points from place i of a and j of b that are equal, by binary search."""
     low, high = 0, min(a.n - i, b.n - j)
     while low < high:
         middle = (low + high + 1) // 2
@@ -86,9 +104,7 @@ def sketch(a: Prefix) -> np.ndarray:
 def fingerprint(text: str, a: Prefix | None = None) -> str:
     """16 hexadecimal digits of the whole, then 8 for each slot; equal for equal texts."""
     a = a or Prefix(text)
-    second = (a.points + 1) * (_POWERS[1].to(a.n) or _POWERS[1].up[: a.n]) % PRIMES[1]
-    whole = f"{int(a.sums[-1] % PRIMES[0]):08x}{int(second.sum() % PRIMES[1]):08x}"
-    return whole + sketch(a).astype(">u4").tobytes().hex()
+    return a.whole() + sketch(a).astype(">u4").tobytes().hex()
 
 
 def likeness(one: str, other: str) -> float:
@@ -107,47 +123,55 @@ def edit(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, carry, key, tie, doc_id, text), ordered in partitions so that each row's next in the table follows it.
+    """(bucket, carry, doc_id, key, tie, times, text), ordered in partitions so that each row's next in the table follows it.
 
-    Rows go to ranges of ids; the first row of each range goes to the end of the range before as well
-    (``carry``), the table's first row to the last one's end.  Null ids come first; equal ids are in the
-    order of their texts' hashes.  The ranges' bounds and first keys, at most MOST_BUCKETS of them, are
-    all the driver sees; each text is shuffled once.
+    Rows go to ranges of (id, hash of the text); the first row of each range goes to the end of the range
+    before as well (``carry``), the table's first row to the last one's end.  Null ids come first; equal
+    ids are in the order of their texts' hashes.  Rows equal in id and text are counted (``times``) where
+    they lie before anything is dealt out, so no number of copies fills a range.  The driver sees PLACES
+    sampled places and one first row (numbers, no texts) for every RANGE_ROWS rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie"), "text")
-    ids = rows.where("doc_id is not null")
-    n = rows.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    bounds = np.array(sorted({int(c) for c in cuts}), dtype=np.int64)
-
-    def add_bucket(first: dict | None):
-        def make():
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                key = batch.column("key").to_numpy()
-                bucket = pa.array(np.searchsorted(bounds, key, side="right"), pa.int64())
-                out = [bucket, pa.array([False] * len(key)), *batch.columns]
-                names = ["bucket", "carry", *batch.schema.names]
-                if first is None:
-                    return pa.RecordBatch.from_arrays(out, names)
-                to = [first.get(k) for k in zip(key.tolist(), batch.column("tie").to_pylist(), strict=True)]
-                table = pa.Table.from_batches([pa.RecordBatch.from_arrays(out, names)])
-                hit = [i for i, t in enumerate(to) if t is not None]
-                if hit:
-                    more = table.take(hit).set_column(0, "bucket", pa.array([to[i] for i in hit], pa.int64())).set_column(1, "carry", pa.array([True] * len(hit)))
-                    table = pa.concat_tables([table, more])
-                return table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays(out, names)
-
-            return step
-
-        return make
-
-    narrow = map_texts(rows.select("key", "tie"), add_bucket(None), "bucket long, carry boolean, key long, tie long", text=None)
-    heads = narrow.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("head")).orderBy("bucket").collect()
-    first = {(r.head.key, r.head.tie): heads[i - 1].bucket for i, r in enumerate(heads)}
-    spread = map_texts(rows, add_bucket(first), "bucket long, carry boolean, doc_id long, key long, tie long, text string")
-    return spread.repartition("bucket").sortWithinPartitions("bucket", "carry", "key", "tie", "doc_id")
+    places = cut_lineage(rows.select("key", "tie"))
+    n = places.count()
+    ranges = max(1, min(n // 100, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n // RANGE_ROWS)
+    # distinct places only: copies of one row are one place
+    chosen = places.where(F.xxhash64("key", "tie", F.lit(5)) <= hash_bound(PLACES * ranges / max(1, n))) if ranges > 1 else places.limit(0)
+    sample = sorted((r.key, r.tie) for r in chosen.distinct().collect())
+    bounds = sample[len(sample) // ranges :: max(1, len(sample) // ranges)] if ranges > 1 else []
+
+    def ranged(batches):
+        for batch in batches:
+            own = [bisect_right(bounds, p) for p in zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns], ["bucket", *batch.schema.names])
+
+    heads = places.mapInArrow(ranged, "bucket long, key long, tie long").groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("head")).orderBy("bucket").collect()
+    before = {(r.head.key, r.head.tie): heads[i - 1].bucket for i, r in enumerate(heads)}
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            first: dict[tuple, int] = {}
+            times: list[int] = []
+            taken: list[int] = []
+            texts = batch.column("text").to_pylist()
+            for i, place in enumerate(zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), texts, strict=True)):
+                at = first.setdefault(place, len(times))
+                if at == len(times):
+                    times.append(0)
+                    taken.append(i)
+                times[at] += 1
+            own = [bisect_right(bounds, p[:2]) for p in first]
+            carried = [(i, before[p[:2]]) for i, p in enumerate(first) if p[:2] in before]
+            rows = batch.take(pa.array(taken + [taken[i] for i, _ in carried], pa.int64()))
+            bucket, carry = own + [b for _, b in carried], [False] * len(own) + [True] * len(carried)
+            counts = times + [1] * len(carried)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(carry, pa.bool_()), pa.array(counts, pa.int64()), *rows.columns], ["bucket", "carry", "times", *rows.schema.names])
+
+        return step
+
+    spread = map_texts(rows, make, "bucket long, carry boolean, times long, doc_id long, key long, tie long, text string")
+    return spread.repartition(ranges, "bucket").sortWithinPartitions("bucket", "carry", "key", "tie", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,16 +179,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts count as empty (length 0, an empty sketch).  same_edited is the longest common extension
     from the start of a text and its edited form, located by binary search.  A single row is its own
-    next; an empty table gives an empty one.
+    next; of rows equal in id and text all but the last have their own text as next; an empty table gives
+    an empty one.  No other column of ``docs`` is read.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
-    def run(batches):
+    def pair(doc_id, text: str, own: Prefix, print_: str, following: str, next_print: str) -> tuple:
+        changed = edit(text, following)
+        other = Prefix(changed)
+        changed_print = fingerprint(changed, other)
+        sha = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
+        return doc_id, len(text), sha, print_, changed_print, likeness(print_, changed_print), likeness(print_, next_print), common_extension(own, other)
+
+    def found(batches):
+        """(row, how often): a held row is given out when its next is known."""
         held = None  # bucket, doc_id, text, prefix, fingerprint
-        done: list[tuple] = []
         for batch in batches:
-            for bucket, carry, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "carry", "doc_id", "text")), strict=True):
+            for bucket, carry, times, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "carry", "times", "doc_id", "text")), strict=True):
                 if held is not None and held[0] != bucket:
                     held = None
                 if held is None and carry:
@@ -172,13 +204,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = Prefix(text)
                 print_ = fingerprint(text, own)
                 if held is not None:
-                    changed = edit(held[2], text)
-                    other = Prefix(changed)
-                    changed_print = fingerprint(changed, other)
-                    sha = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
-                    done.append((held[1], len(held[2]), sha, held[4], changed_print, likeness(held[4], changed_print), likeness(held[4], print_), common_extension(held[3], other)))
+                    yield pair(*held[1:], text, print_), 1
+                if times > 1:
+                    yield pair(doc_id, text, own, print_, text, print_), times - 1
                 held = None if carry else (bucket, doc_id, text, own, print_)
-                if len(done) >= 500:
+
+    def run(batches):
+        done: list[tuple] = []
+        for row, times in found(batches):
+            while times:
+                take = min(times, 500 - len(done))
+                done += [row] * take
+                times -= take
+                if len(done) == 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
                     done = []
         if done:

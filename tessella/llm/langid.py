@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import held_out, map_texts
+from tessella.llm._common import cut_lineage, fetch, held_out, map_texts, pick_keys
 
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 6, 4.0
 #: The bound of the training sample: so many rows, none longer than so many characters.
@@ -124,11 +124,16 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
-    """Train on at most ``rows`` labelled texts of at most ``chars`` characters, picked by a hash of text, none held out."""
-    sample = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
-    sample = sample.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("text"), "text", "lang").limit(rows)
-    got = [(r.text, r.lang) for r in sample.collect() if has_letter(r.text)]
-    return train([t for t, _ in got], [x for _, x in got])
+    """Train on at most ``rows`` labelled texts of at most ``chars`` characters, picked by a hash of text and id, none held out.
+
+    Null ids may be picked; rows equal in id and text count once, the least of their languages with them.
+    Keys are picked first, then the picked texts alone are fetched.
+    """
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
+    usable = usable.select(F.xxhash64(text_col, F.col(id_col).cast("long")).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    got = fetch(usable, "key", pick_keys(cut_lineage(usable.select("key")), "key", rows), "lang", "text")
+    got = [r for r in got if has_letter(r.text)]
+    return train([r.text for r in got], [r.lang for r in got])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,12 +2,14 @@
 
 A template is a license's wording with two kinds of markup: ``<<optional>> ... <<end>>`` may be left
 out, ``<<var:n>>`` stands for up to n words of any kind.  Each template compiles to an automaton over
-words; a text is accepted where some run of its words spells the mandatory wording exactly.
+words; a text is accepted where some run of its words spells the mandatory wording exactly.  A version
+number at a template's end has to end there, too: ``version 2`` is not found in ``version 2 1``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,33 +20,101 @@ from tessella.llm._common import map_texts
 #: The phrases of the base scan and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: label: templates. Wording of the licenses' own notices.
+#: Words that licence names share, as optional regions.
+_A, _THE = "<<optional>> a <<end>>", "<<optional>> the <<end>>"
+_UNDER = f"under {_A} {_THE} <<optional>> terms of the <<end>>"
+_HOLDER = "copyright <<optional>> c <<end>> <<var:12>>"
+
+#: Permission texts and conditions as their authors publish them.
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <<end>>"
+    " to deal in the software without restriction"
+)
+_MIT_REST = (
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the"
+    " software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>>"
+    " shall be included in all copies or substantial portions of the software"
+)
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = " <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = (
+    " <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the"
+    " documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = (
+    " <<optional>> 3 <<end>> neither the name of <<var:12>> nor the names of <<var:3>> contributors may be used to endorse or promote products derived from this software without"
+    " specific prior written permission"
+)
+
+#: label: templates. Wording of the licenses' notices and texts.
 TEMPLATES = {
     "apache-2.0": [
-        "<<optional>> <<var:3>> is <<end>> licensed under the apache license <<optional>> version <<end>> 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at <<optional>> http https <<end>> <<optional>> www <<end>> apache org licenses license 2 0",
+        f"{_UNDER} apache license <<optional>> version <<end>> 2 <<optional>> 0 <<end>>",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at <<optional>> http <<end>> <<optional>> https <<end>> <<optional>> www <<end>> apache org licenses license 2 0",
+        "apache license version 2 0 january 2004 <<optional>> http <<end>> <<optional>> https <<end>> www apache org licenses",
+    ],
+    "agpl-3.0": [
+        f"{_UNDER} gnu affero general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> <<optional>> v <<end>> <<optional>> version <<end>> 3 <<optional>> 0 <<end>>",
+        "gnu affero general public license version 3 19 november 2007",
     ],
     "gpl-3.0": [
-        "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 3",
-        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3",
+        f"{_UNDER} gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> <<optional>> version <<end>> 3 <<optional>> 0 <<end>>",
+        "gnu general public license version 3 29 june 2007",
+        f"{_UNDER} gnu gpl <<optional>> version <<end>> 3 <<optional>> 0 <<end>>", f"{_UNDER} gplv3",
+    ],
+    "gpl-2.0": [
+        f"{_UNDER} gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> <<optional>> version <<end>> 2 <<optional>> 0 <<end>>",
+        "gnu general public license version 2 june 1991",
+        f"{_UNDER} gnu gpl <<optional>> version <<end>> 2 <<optional>> 0 <<end>>", f"{_UNDER} gplv2",
+    ],
+    "lgpl": [
+        f"{_UNDER} gnu lesser general public license <<optional>> as published by the free software foundation <<end>>",
+        f"{_UNDER} gnu library general public license <<optional>> as published by the free software foundation <<end>>",
+        "gnu lesser general public license version 2 1 february 1999", "gnu lesser general public license version 3 29 june 2007",
     ],
-    "gpl-2.0": ["licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 2"],
-    "lgpl": ["<<optional>> under the terms of the <<end>> gnu <<optional>> lesser <<end>> <<optional>> library <<end>> general public license as published by the free software foundation either version 2 1"],
     "mit": [
-        "<<optional>> <<var:3>> <<end>> released under the mit license",
-        "<<optional>> <<var:3>> is <<end>> licensed under the <<optional>> terms of the <<end>> mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <<end>> to deal in the software without restriction",
+        f"released {_UNDER} mit license", f"licensed {_UNDER} mit license", f"distributed {_UNDER} mit license", f"available {_UNDER} mit license",
+        f"mit license {_HOLDER} {_MIT_GRANT}", _MIT_GRANT, _MIT_GRANT + _MIT_REST,
+    ],
+    "bsd": [_BSD_GRANT, f"{_UNDER} bsd license", f"{_UNDER} bsd style license", "bsd <<optional>> 2 <<end>> <<optional>> 3 <<end>> clause license"],
+    "bsd-2-clause": [f"{_BSD_GRANT}{_BSD_SOURCE}{_BSD_BINARY} this software is provided by", "bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
+    "bsd-3-clause": [f"{_BSD_GRANT}{_BSD_SOURCE}{_BSD_BINARY}{_BSD_NAMES}", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        f"{_UNDER} isc license",
     ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "cc-by-nc-4.0": ["licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc 4 0", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-4.0": ["licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by 4 0", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> creative commons attribution 4 0 international license"],
-    "cc-by-sa-4.0": ["licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by sa 4 0", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> creative commons attribution sharealike 4 0 international license"],
+    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        f"{_UNDER} zlib license",
+    ],
+    "bsl-1.0": ["boost software license version 1 0", f"{_UNDER} boost software license"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0", f"{_UNDER} mozilla public license <<optional>> version <<end>> 2 <<optional>> 0 <<end>>",
+        "mozilla public license version 2 0",
+    ],
+    "epl-2.0": [f"{_UNDER} eclipse public license <<optional>> version <<end>> <<optional>> v <<end>> 2 <<optional>> 0 <<end>>", "eclipse public license v 2 0"],
+    "cc0-1.0": ["cc0 1 0 universal", f"{_UNDER} cc0", "creative commons zero v1 0 universal"],
 }
+#: The parts of the attribution licences' names, short and in full.
+for _label, _short, _long in (
+    ("cc-by", "by", "attribution"), ("cc-by-sa", "by sa", "attribution sharealike"), ("cc-by-nc", "by nc", "attribution noncommercial"), ("cc-by-nd", "by nd", "attribution noderivatives"),
+    ("cc-by-nc-sa", "by nc sa", "attribution noncommercial sharealike"), ("cc-by-nc-nd", "by nc nd", "attribution noncommercial noderivatives"),
+):
+    TEMPLATES |= {f"{_label}-4.0": [f"{_UNDER} cc {_short} 4 0", f"creative commons {_long} 4 0 international <<optional>> public <<end>> license", f"creativecommons org licenses {_short} 4 0"]}
+#: Identifiers of one-line tags; a version is part of the identifier.
+for _label, _ids in {
+    "apache-2.0": ["apache 2 0"], "mit": ["mit"], "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "bsl-1.0": ["bsl 1 0"], "mpl-2.0": ["mpl 2 0"], "epl-2.0": ["epl 2 0"], "cc0-1.0": ["cc0 1 0"],
+    "0bsd": ["0bsd"], "bsd-2-clause": ["bsd 2 clause"], "bsd-3-clause": ["bsd 3 clause"], "gpl-2.0": ["gpl 2 0"], "gpl-3.0": ["gpl 3 0"], "agpl-3.0": ["agpl 3 0"], "lgpl": ["lgpl 2 0", "lgpl 2 1", "lgpl 3 0"],
+    "cc-by-4.0": ["cc by 4 0"], "cc-by-sa-4.0": ["cc by sa 4 0"], "cc-by-nc-4.0": ["cc by nc 4 0"],
+}.items():
+    TEMPLATES[_label] = [*TEMPLATES[_label], *(f"spdx license identifier {i}" for i in _ids)]
 
 #: Every byte of a separator becomes a blank, A-Z their lower case; bytes from 128 on belong to words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: What goes on with a version number.
+_MORE = re.compile(rb"[0-9]{1,2}")
 _MARK = re.compile(r"<<(optional|end|var:(\d+))>>")
 
 
@@ -55,13 +125,14 @@ class Automaton:
         self.words: dict[int, tuple[bytes, int]] = {}  # state: word, next state
         self.free: dict[int, list[int]] = {}  # states that any word leads on from
         self.skips: dict[int, list[int]] = {}  # states reached without a word
-        self.mandatory = 0
+        self.mandatory: set[bytes] = set()
         state, open_at = 0, []
         for token in template.split():
             mark = _MARK.fullmatch(token)
             if mark is None:
                 self.words[state] = (token.encode(), state + 1)
-                self.mandatory += not open_at
+                if not open_at:
+                    self.mandatory.add(token.encode())
                 state += 1
             elif mark[1] == "optional":
                 open_at.append(state)
@@ -79,7 +150,11 @@ class Automaton:
                 state = last
         if open_at:
             raise ValueError(f"an <<optional>> without its <<end>>: {template}")
+        if not self.mandatory:
+            raise ValueError(f"a template without a mandatory word: {template}")
         self.final = state
+        #: Whether the wording can end in a number.
+        self.numbered = any(n in self.enders() and w.isdigit() for w, n in self.words.values())
         self.entry = self.close({0})
         firsts = [w for s in self.entry if (w := self.words.get(s))]
         # a template may begin anywhere, so leading replaceable words never need to be consumed
@@ -94,19 +169,23 @@ class Automaton:
                     todo.append(s)
         return frozenset(seen)
 
+    def enders(self) -> set[int]:
+        """The states from which the final one is reached without a word."""
+        return {s for s in range(self.final + 1) if self.final in self.close({s})}
+
     def run(self, words: list[bytes], start: int) -> tuple[bool, float]:
         """Whether the words from start on are accepted, and which share of the way the furthest state lies."""
         states, furthest = self.entry, 0
-        for word in words[start:start + self.final + 1]:
+        for at, word in enumerate(words[start : start + self.final + 1], start):
             after = {n for s in states if (x := self.words.get(s)) and x[0] == word for n in (x[1],)}
             after |= {n for s in states for n in self.free.get(s, ())}
             if not after:
                 break
             states = self.close(after)
             furthest = max(furthest, max(after))
-            if self.final in states:
+            if self.final in states and not (self.numbered and word.isdigit() and at + 1 < len(words) and _MORE.fullmatch(words[at + 1])):
                 return True, 1.0
-        return False, furthest / self.final
+        return False, min(1.0, furthest / self.final)
 
 
 class Matcher:
@@ -117,16 +196,25 @@ class Matcher:
             for w in a.first:
                 self.by_first.setdefault(w, []).append((label, a))
         self.firsts = frozenset(self.by_first)
-        #: Every template holds one of these words in its mandatory part.
-        self.anchors = (b"license", b"permitted", b"permission")
+        #: Words such that every template has one of them in its mandatory part: a text without any matches none.
+        self.anchors: list[bytes] = []
+        open_ = [a for _, a in self.automata]
+        while open_:
+            spread = Counter(w for a in open_ for w in a.mandatory)
+            best = max(spread, key=lambda w: (min(len(w), 5), spread[w], w))
+            self.anchors.append(best)
+            open_ = [a for a in open_ if best not in a.mandatory]
 
     def match(self, words: list[bytes], normal: bytes) -> tuple[set[str], float]:
         if not any(a in normal for a in self.anchors):
             return set(), 0.0
+        held = set(words)
+        if held.isdisjoint(self.anchors):
+            return set(), 0.0
         labels, best = set(), 0.0
         for i in [i for i, w in enumerate(words) if w in self.firsts]:
             for label, a in self.by_first[words[i]]:
-                if label not in labels:
+                if label not in labels and a.mandatory <= held:
                     accepted, share = a.run(words, i)
                     best = max(best, share)
                     if accepted:

@@ -13,31 +13,36 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessella.llm._bpe import Merges, WordEncoder
 from tessella.llm._common import cut_lineage, map_texts
 
-CAPACITY, END_ID, GROUP = 4096, 1, 1000
+CAPACITY, END_ID = 4096, 1
 
-#: The vocabulary's own split, and the same in re's faster classes for texts without an _ODD character.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: The vocabulary's own split, in re's classes; they agree on all texts without an _ODD character.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
+#: What may normalise or split in another way in the vocabulary's own library, and the marks of its added tokens.
+_ODD = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0130ɐ-\U0010ffff]|<\\|")
 
 
 class WordBpe:
-    """Encoder for a word-end BPE vocabulary file: NFC, lower case, white space dropped."""
+    """Ids of a word-end BPE vocabulary file, as its library gives them without special tokens added.
+
+    Texts of Latin letters and ASCII marks are split and merged here, many at a time, each word once.
+    Whatever holds another character goes through the library itself, whose Unicode tables and added
+    tokens (their strings in a text are those tokens) decide then.
+    """
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -50,22 +55,25 @@ class WordBpe:
         ids = [np.array([vocab.get(letters[b] + end, -1) for b in range(256)]) for end in ("", suffix)]
         self.encoder = WordEncoder(Merges(pairs), ids[0], last=ids[1])
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        return (_PLAIN if _ODD.search(text) is None else _SPLIT).findall(text)
+    @property
+    def library(self) -> Tokenizer:
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words, counts = [], []
-        for t in texts:
-            own = self.words(t)
+        words, counts, odd = [], [], {}
+        for i, t in enumerate(texts):
+            if _ODD.search(t) is not None:
+                odd[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32)
+                counts.append(0)
+                continue
+            own = _PLAIN.findall(t.lower())
             counts.append(len(own))
             words += own
         ids, per_word = self.encoder.encode(words)
         cuts = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *counts])]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [odd[i] if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 _HELD: dict[str, WordBpe] = {}
@@ -213,19 +221,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 def place(sized: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """``sized`` with sequence_id and offset (long) of each row; lengths from 1 to ``capacity``.
 
-    The rank of a row among the rows of its length is its number inside a small hashed group plus the
-    groups before, so no length, however frequent, is sorted in one task.  Only the histogram, bounded
-    by ``capacity``, reaches the driver; the runs of the plan go out with the tasks.
+    The rank of a row among the rows of its length is its number among those of its own partition plus
+    the partitions before, so no length, however frequent, is sorted in one task.  Only the histogram,
+    bounded by ``capacity``, reaches the driver; the runs of the plan go out with the tasks.
     """
     rows = cut_lineage(sized.withColumn("__row", F.monotonically_increasing_id()))
     histogram = rows.groupBy(F.col(length_col).alias("__n")).agg(F.count(F.lit(1)).alias("__count"))
     counts = {r[0]: r[1] for r in histogram.collect()}  # capacity rows at most
     runs, _, _ = plan(counts, capacity)
-    groups = [0] * (capacity + 1)
-    for n, count in counts.items():
-        groups[n] = -(-count // GROUP)
-    of = F.element_at(F.lit(np.array(groups[1:], dtype=np.int32).tolist() or [1]), F.col(length_col).cast("int")) if runs else F.lit(1)
-    rows = rows.withColumn("__group", F.pmod(F.xxhash64("__row"), of))
+    rows = rows.withColumn("__group", F.shiftright("__row", 33))  # the partition that numbered the row
     sizes = rows.groupBy(length_col, "__group").agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(Window.partitionBy(length_col).orderBy("__group")) - F.col("__size")
     sizes = sizes.select(length_col, "__group", before.alias("__before"))

@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import cut_lineage
+from tessella.llm._common import cut_lineage, hot_keys, join_per_key
 
 MIN_WORDS, MAX_REPEAT_PERCENT, HOST_LIMIT = 50, 50, 0.5
 #: Bounds of the prior's weight, in documents.
 WEIGHT_BOUNDS = (2.0, 1000.0)
-#: Rejected hosts that may be broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 10_000
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -97,21 +95,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     rows = cut_lineage(with_metrics(rows).drop("text"))
-    rates = host_rates(rows, "host", fails_a_rule()).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
-    joined = rows.join(rates, F.col("host").eqNullSafe(F.col("__host")))
+    rates = host_rates(rows, "host", fails_a_rule())
+    joined = join_per_key(rows, rates.select("host", F.col("rate").alias("host_rate")), hot_keys(rates, "host"), "host")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= limit)).alias("kept"), "host_rate")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` would keep, with their columns; texts are read twice, not shuffled (unless very many hosts are rejected)."""
+    """The rows of ``docs`` that ``judge`` would keep, with their columns.
+
+    The rules are held against each text once: rows and verdicts are written together, and the written
+    rows are joined with their hosts' rates, a frequent host's where they lie.
+    """
     measured = with_metrics(docs, text_col, "__m_")
-    rates = host_rates(measured, host_col, fails_a_rule("__m_"))
-    rejected = cut_lineage(rates.where(F.col("rate") > limit).select(F.col("host").alias("__host")))
-    n = rejected.count()
-    rows = measured.where("not __m_base_failed").select(*docs.columns)
-    if not n:
-        return rows
-    return rows.join(F.broadcast(rejected) if n <= BROADCAST_HOSTS else rejected, F.col(host_col).eqNullSafe(F.col("__host")), "left_anti")
+    measured = measured.withColumn("__m_failed", fails_a_rule("__m_")).withColumn("__m_host", F.col(host_col))
+    measured = cut_lineage(measured.select(*docs.columns, "__m_host", "__m_failed", "__m_base_failed"))
+    rates = host_rates(measured, "__m_host", F.col("__m_failed")).withColumnRenamed("host", "__m_host")
+    good = measured.where("not __m_base_failed")
+    rated = join_per_key(good, rates.select("__m_host", F.col("rate").alias("__m_rate")), hot_keys(rates, "__m_host"), "__m_host")
+    return rated.where(F.col("__m_rate") <= limit).select(*docs.columns)
 
 
 def oracle_sql(limit: float = HOST_LIMIT) -> str:

@@ -46,7 +46,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.oracle_sql()}
+    return {"op4_quality": quality.oracle_sql(), "op6_urls": urls.oracle_sql()}

@@ -1,17 +1,20 @@
 """SimHash near-duplicate classes: a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most k bits agree in at least 8 - k of their 8 bytes, so a
-pair qualifies only if it shares that guaranteed minimum of positional bytes.  A list per single byte
-would hold 1/256 of all fingerprints and its pairs would grow with the square of the corpus, so the
-posting key is the intersection of several positional lists: the bytes are joined two by two into four
-slots, and a pair that shares 6 bytes or more shares two slots or more whole.  The shared positional
-bytes of each pair from a list are then tallied, pairs under the minimum are dropped, and the rest are
-verified bit by bit.
-
-Lists longer than ``list_cap`` are not paired up.  There every member is filed under itself and under
-its one-bit neighbours outside the key: two members at most two bits apart meet at a fingerprint between
-them, and everything that meets at one fingerprint is at most two bits apart, so linking each such
-meeting to its smallest member gives the same components from rows linear in the list.
+Two 64-bit fingerprints that differ in at most two bits agree in at least 6 of their 8 bytes.  A list
+per single byte would hold 1/256 of all fingerprints and its pairs would grow with the square of the
+corpus, so a posting is the intersection of four positional lists: a quadruple of byte positions and its
+four bytes.  The 14 quadruples are such that any three positions lie in exactly one of them.  Hence a
+pair that shares 8, 7 or 6 positional bytes shares 14, 7 or 3 postings, and one that shares 5 or fewer
+shares one at most: the postings of each pair are tallied over all lists, pairs under three are dropped
+(they cannot qualify), and the rest are verified bit by bit.
+
+Lists over ``list_cap`` members are not paired up, as near copies by the thousand would give pairs by the
+million.  There every member is filed under itself and under its one-bit neighbours outside the key: two
+members at most two bits apart meet at a fingerprint between them, and everything that meets at one
+fingerprint is at most two bits apart, so linking each meeting to its smallest member is exact and linear
+in the list.  A pair at two bits has a long list among its three or more, and is linked there, or has only
+short ones, and its tally is complete.  So the edges' components are those of all qualifying pairs
+whatever the cap is; the edges are a part of those pairs that spans them.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import cut_lineage, lower_ascii, map_texts
+from tessella.llm._common import cut_lineage, hot_keys, join_per_key, lower_ascii, map_texts
 from tessella.operators.graph import connected_components
 
-BITS, MAX_BITS, MIN_SHARED, LIST_CAP = 64, 2, 6, 48
+BITS, MAX_BITS, MIN_POSTINGS, LIST_CAP = 64, 2, 3, 48
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SLOTS = list(combinations(range(4), 2))
+#: Quadruples of byte positions whose numbers cancel out bit by bit: any three positions lie in just one.
+_QUADS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
 _BIT = np.array([1 << b for b in range(63)] + [-(1 << 63)], dtype=np.int64)
 
 
@@ -63,51 +67,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, make, "doc_id long, text_key long, fp long")
 
 
-def _slot(fp: F.Column, i: int) -> F.Column:
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+def _keys(fp: F.Column) -> F.Column:
+    """The postings of a fingerprint: for each quadruple of positions its number, then its four bytes."""
+    byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(0xFF)) for i in range(8)]
 
+    def key(n: int, quad: tuple[int, ...]) -> F.Column:
+        out = F.lit(n).cast("long")
+        for i in quad:
+            out = F.shiftleft(out, 8).bitwiseOR(byte[i])
+        return out
 
-def _keys(fp: F.Column) -> F.Column:
-    """The posting keys of a fingerprint: for each two of its four slots, the slots' number and bytes."""
-    return F.array(*(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(_slot(fp, i), 16)).bitwiseOR(_slot(fp, j)) for n, (i, j) in enumerate(_SLOTS)))
+    return F.array(*(key(n, q) for n, q in enumerate(_QUADS)))
 
 
 def _free_masks() -> F.Column:
-    """For each pair of slots: 0 and the single bits of the other two slots."""
+    """For each quadruple: 0 and the single bits of the other four bytes."""
     rows = []
-    for pair in _SLOTS:
-        rows.append(F.array(*(F.lit(int(x)).cast("long") for x in [0, *(_BIT[b] for b in range(64) if b // 16 not in pair)])))
+    for quad in _QUADS:
+        rows.append(F.array(*(F.lit(int(x)).cast("long") for x in [0, *(_BIT[b] for b in range(64) if b // 8 not in quad)])))
     return F.array(*rows)
 
 
-def _tally(a: F.Column, b: F.Column) -> F.Column:
-    """How many of the eight positional bytes two fingerprints share."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-
-
 def links(prints: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints at two bits or fewer whose components equal those of all such pairs.
+    """Edges (src, dst), src < dst, between distinct fingerprints at two bits or fewer whose components equal those of all such pairs.
 
-    ``prints``: distinct non-null ``fp``.  Lists up to ``list_cap`` give every linked pair.
+    ``prints``: distinct non-null ``fp``.
     """
     posts = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    posts = cut_lineage(posts.join(sizes, "key"))
+    posts = cut_lineage(join_per_key(posts, sizes, hot_keys(sizes, "key"), "key"))
     short = posts.where(F.col("n") <= list_cap)
     a, b = short.select("key", F.col("fp").alias("src")), short.select("key", F.col("fp").alias("dst"))
-    pairs = a.join(b, "key").where("src < dst").where(_tally(F.col("src"), F.col("dst")) >= MIN_SHARED)
-    pairs = pairs.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).select("src", "dst")
+    tallied = a.join(b, "key").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = tallied.where(F.col("shared") >= MIN_POSTINGS).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).select("src", "dst")
     long = posts.where(F.col("n") > list_cap).withColumn("mask", F.explode(F.element_at(_free_masks(), (F.shiftright("key", 32) + 1).cast("int"))))
     met = long.groupBy("key", F.col("fp").bitwiseXOR(F.col("mask")).alias("middle")).agg(F.collect_list("fp").alias("all"))  # 33 at most
     met = met.where(F.size("all") > 1).select(F.array_min("all").alias("src"), F.explode("all").alias("dst")).where("src <> dst")
-    met = met.where(_tally(F.col("src"), F.col("dst")) >= MIN_SHARED).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS)
+    met = met.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS)
     return pairs.union(met).distinct()
 
 
-def _classes(prints: DataFrame, list_cap: int) -> DataFrame:
-    """(fp, class_fp, component_id) of each distinct fingerprint."""
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def _with_classes(prints: DataFrame, list_cap: int) -> DataFrame:
+    """``prints`` with class_fp and component_id; rows of a frequent fingerprint get theirs where they lie."""
+    first = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    classes = cut_lineage(_classes(first.select("fp", "first_id"), list_cap))
+    return join_per_key(prints, classes, hot_keys(first, "fp"), "fp")
+
+
+def _classes(first: DataFrame, list_cap: int) -> DataFrame:
+    """(fp, class_fp, component_id) of each distinct fingerprint (fp, first_id)."""
     groups = cut_lineage(connected_components(links(first.select("fp"), list_cap)).withColumnRenamed("node", "fp"))
     least = first.join(groups, "fp").groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = groups.join(least, "component")
@@ -124,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of all rows being copies costs one row.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    return prints.join(_classes(prints, list_cap), "fp").select("doc_id", "fp", "component_id")
+    return _with_classes(prints, list_cap).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_cap: int = LIST_CAP) -> DataFrame:
@@ -134,7 +142,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    kept = prints.join(_classes(prints, list_cap), "fp").groupBy("class_fp").agg(F.min(order).alias("k"))
+    kept = _with_classes(prints, list_cap).groupBy("class_fp").agg(F.min(order).alias("k"))
     kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.no_id").alias("__no"), F.col("k.text_key").alias("__key")).distinct()
     id_value = F.col(id_col).cast("long")
     rows = docs.withColumns({"__id": F.coalesce(id_value, F.lit(0)), "__no": id_value.isNull(), "__key": F.xxhash64(text_col)})

@@ -4,9 +4,9 @@ A word enters as the embedding of the word itself (zero where training has not m
 of its hashed byte n-grams' embeddings.  Forward and backward gated recurrent units read a window of
 words, attention pools their states, a linear layer gives the window's logit.  Training, in numpy on a
 bounded sample, first gives every window its document's label, then keeps from label 1 only the windows
-that look it and draws half of the others from those most like them; a logistic layer on the largest window logit
-and the number of windows, fitted on documents kept out of that, gives the document's score.  Scoring
-reads all overlapping windows of the whole text.
+that look it and draws half of the others from those most like them; a logistic layer on the largest window
+logits and the number of windows, fitted on documents kept out of that, gives the document's score.
+Scoring reads all overlapping windows of the whole text.
 """
 
 from __future__ import annotations
@@ -19,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import held_out, map_texts
+from tessella.llm._common import cut_lineage, fetch, held_out, map_texts, pick_keys
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 12, 8
 WORDS, CHARS, HIDDEN, ATTEND = 8, 12, 8, 8
 GRAMS, BUCKETS = (3, 4, 5), 1 << 16
 #: The bound of the training sample: so many rows of label 1 and CLEAN_ROWS as many of label 0, none longer than so many characters.
 TRAIN_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1_200, 2, 20_000
 BATCH, STEPS, SEED = 256, 700, 11
+#: The share of the sample that the document's logistic layer is fitted on, and how many of a document's windows enter as a mean.
+KEPT_OUT, BEST = 0.15, 4
+#: A missed toxic document counts as much as so many clean ones lost; the scores are shifted so that 0.5 is the place to decide.
+MISS_WEIGHT = 8.0
 #: Words whose n-grams are spread out at a time.
 PART = 8_192
 #: Words that a worker keeps projected at most.
@@ -88,7 +92,7 @@ def windows(n: int) -> list[tuple[int, int]]:
 class Model:
     vocab: dict[str, int] = field(default_factory=dict)
     p: dict[str, np.ndarray] = field(default_factory=dict)
-    platt: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    platt: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0, 0.0]))
 
     def inputs(self, words: list[str]) -> np.ndarray:
         ids, counts = grams(words)
@@ -109,9 +113,9 @@ class Model:
         h = np.concatenate(states, axis=2)
         return _pool(h, mask, self.p)[0]
 
-    def score(self, top: np.ndarray, count: np.ndarray) -> np.ndarray:
-        a, b, c = self.platt
-        return sigmoid(a * top + b * np.log(count) + c)
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        """Of documents given as rows of their largest window logit, the mean of their BEST largest and the log of their number of windows."""
+        return sigmoid(evidence @ self.platt[:-1] + self.platt[-1])
 
 
 def _read(table: np.ndarray, index: np.ndarray, mask: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -209,7 +213,7 @@ def _start(vocabulary: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, prior: float | None = None) -> Model:
-    """The network of labelled texts. Without both labels it has no evidence and scores the share of label 1 (a half without rows).
+    """The network of labelled texts. Without both labels it has no evidence and scores the share of label 1, with one more row of label 0 (a quarter without rows, so all stay).
 
     prior: the share of label 1 where the model will be used, if the sample has another one.
     """
@@ -224,11 +228,11 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
         counts[np.unique(d)] += 1
     model = Model({w: i + 1 for i, w in enumerate(sorted(w for w, c in zip(words, counts, strict=True) if c >= 3))})
     model.p = _start(len(model.vocab) + 1, rng)
-    share = float((y.sum() + 0.5) / (len(y) + 1))
+    share = float((y.sum() + 0.5) / (len(y) + 2))
     if len(set(labels)) < 2:
-        model.platt = (0.0, 0.0, float(np.log(share / (1 - share))))
+        model.platt = np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])
         return model
-    kept_out = rng.random(len(docs)) < 0.25
+    kept_out = rng.random(len(docs)) < KEPT_OUT
     gram_ids, gram_counts = grams_by_part(words)
     gram_ends = np.cumsum(gram_counts)
     known = np.array([model.vocab.get(w, 0) for w in words], np.int32)
@@ -276,25 +280,24 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
                 model.p[k][which] -= rate * v / np.sqrt(squares[k][which])
             model.p["word"][0] = 0
     held = np.flatnonzero(kept_out) if kept_out.any() and len(set(y[kept_out])) == 2 else np.arange(len(docs))
-    scorer, tops = Scorer(model), []
-    for k in range(0, len(held), 100):
-        tops.append(scorer.tops([[words[i] for i in docs[h]] for h in held[k : k + 100]]))
-    top, many = (np.concatenate(x) for x in zip(*tops, strict=True))
-    a, b, c = _platt(top, np.log(many), y[held])
+    scorer = Scorer(model)
+    seen = [scorer.evidence([[words[i] for i in docs[h]] for h in held[k : k + 100]]) for k in range(0, len(held), 100)]
+    model.platt = _platt(np.concatenate(seen), y[held])
     share = float(y[held].mean())
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if prior and 0 < prior < 1 else 0.0
-    model.platt = (a, b, c + float(shift))
+    if prior and 0 < prior < 1:
+        model.platt[-1] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    model.platt[-1] += np.log(MISS_WEIGHT)
     return model
 
 
-def _platt(top: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Newton's method for a logistic layer on the two features, with a light ridge."""
-    x = np.stack([top, size, np.ones(len(y))], axis=1).astype(np.float64)
-    beta, ridge = np.zeros(3), np.diag([1e-2, 1e-1, 1e-3])
+def _platt(evidence: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Newton's method for a logistic layer on the evidence, with a light ridge."""
+    x = np.concatenate([evidence, np.ones((len(y), 1))], axis=1)
+    beta, ridge = np.zeros(4), np.diag([1e-2, 1e-2, 1e-1, 1e-3])
     for _ in range(50):
         p = sigmoid(x @ beta)
         beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
-    return tuple(float(b) for b in beta)
+    return beta
 
 
 class _Places(dict):
@@ -341,8 +344,8 @@ class Scorer:
         parts = [self.model.logits(table, index[k : k + rows].T, mask[k : k + rows].T) for k in range(0, len(index), rows)]
         return np.concatenate(parts)
 
-    def tops(self, docs: list[list[str]], rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """The largest window logit of each text, and its number of windows."""
+    def evidence(self, docs: list[list[str]], rows: int = 4096) -> np.ndarray:
+        """For each text its largest window logit, the mean of its BEST largest (of all, where it has fewer) and the log of its number of windows."""
         flat = self._index([w for d in docs for w in d])
         starts, lengths, owner, at = [], [], [], 0
         for k, d in enumerate(docs):
@@ -361,24 +364,33 @@ class Scorer:
             mask = steps < lengths[part]
             index = np.where(mask, flat[np.minimum(starts[part] + steps, len(flat) - 1)], 0)
             logits[part] = self.model.logits(self.table, index, mask)
-        top = np.full(len(docs), -np.inf, np.float64)
-        np.maximum.at(top, owner, logits)
-        return top, np.bincount(owner, minlength=len(docs)).astype(np.float64)
+        order = np.lexsort((-logits, owner))
+        ranked = logits[order].astype(np.float64)
+        count = np.bincount(owner, minlength=len(docs))
+        first = np.cumsum(count) - count
+        taken = np.minimum(count, BEST)
+        sums = np.concatenate([[0.0], np.cumsum(ranked)])
+        return np.stack([ranked[first], (sums[first + taken] - sums[first]) / taken, np.log(count)], axis=1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return self.model.score(*self.tops([words_of(t) for t in texts])) if texts else np.zeros(0)
+        return self.model.score(self.evidence([words_of(t) for t in texts])) if texts else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """Train on at most ``rows`` texts of label 1 and CLEAN_ROWS times as many of label 0, of at most ``chars`` characters, picked by a hash of text, none held out."""
-    marks = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    """Train on at most ``rows`` texts of label 1 and CLEAN_ROWS times as many of label 0, of at most ``chars`` characters, picked by a hash of text and id, none held out.
+
+    Where an id has several labels, 1 counts; labels without an id and other values than 0 and 1 do not.
+    Rows equal in id and text are one.  Keys are picked first, then the picked texts alone are fetched.
+    """
+    marks = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = cut_lineage(marks.where("__id is not null"))
     counts = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    usable = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("text"))
-    keys = usable.select("__id", "__key").join(marks, "__id")
-    picked = [keys.where(F.col("toxic") == k).orderBy("__key", "__id").limit(n) for k, n in ((0, CLEAN_ROWS * rows), (1, rows))]
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for part in picked for r in part.collect()], keys.schema)
-    got = usable.join(F.broadcast(chosen.distinct()), ["__id", "__key"]).select("__key", "text", "toxic").orderBy("__key", "text").collect()  # as many as were chosen, but for repeated rows
-    return train([r.text for r in got], [r.toxic for r in got], prior=counts.get(1, 0) / max(1, sum(counts.values())))
+    id_value = F.col(id_col).cast("long")
+    usable = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).select(id_value.alias("__id"), F.xxhash64(text_col, id_value).alias("key"), F.col(text_col).alias("text"))
+    keys = cut_lineage(usable.select("__id", "key").join(marks, "__id"))
+    kind = {k: mark for mark, n in ((0, CLEAN_ROWS * rows), (1, rows)) for k in pick_keys(keys.where(F.col("toxic") == mark), "key", n)}
+    got = fetch(usable, "key", list(kind), "text")
+    return train([r.text for r in got], [kind[r.key] for r in got], prior=counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -85,6 +85,28 @@ def test_simhash_fingerprints_and_classes(docs, none):
     assert kept.columns == docs.columns and kept.count() == len(set(groups))
 
 
+def test_tally_of_postings_tells_six_shared_bytes(spark):
+    """Pairs with 6 positional bytes or more in common share 3 postings or more, all others one at most."""
+    rng = np.random.default_rng(7)
+    pairs = []
+    for changed in range(9):
+        for _ in range(20):
+            a = rng.integers(0, 256, 8)
+            b = a.copy()
+            for k in rng.choice(8, changed, replace=False):
+                b[k] ^= rng.integers(1, 256)
+            pairs.append((changed, *(int.from_bytes(bytes(x.astype(np.uint8)), "little", signed=True) for x in (a, b))))
+    rows = spark.createDataFrame(pairs, "changed int, a long, b long")
+    got = rows.select("changed", simhash.F.size(simhash.F.array_intersect(simhash._keys(simhash.F.col("a")), simhash._keys(simhash.F.col("b")))).alias("n")).collect()
+    assert all(r.n == {0: 14, 1: 7, 2: 3}[r.changed] if r.changed <= 2 else r.n <= 1 for r in got)
+
+
+def test_ties_in_id_keep_one_row(spark):
+    rows = [(4, "a b c d e f g h"), (4, "a b c d e f g h"), (4, "A b c d e f g h"), (None, "a b c d e f g h"), (9, "zz yy xx ww vv uu tt")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [4, 9]
+
+
 @pytest.mark.parametrize("cap", [2, 48])
 def test_simhash_links_have_all_pairs_components(spark, cap):
     rng = np.random.default_rng(3)
@@ -122,7 +144,6 @@ def test_byte_bpe_equals_the_library_and_round_trips(docs, none, chunk, overlap)
 def test_packing_pieces_and_places(docs, none):
     path = public_tokenizers.path(WORD_VOCABULARY)
     known, capacity = Tokenizer.from_file(path), 64
-    known.encode_special_tokens = True
     got = packing.pack(docs, path, capacity).collect()
     want = Counter()
     for r in ROWS:
@@ -140,8 +161,29 @@ def test_packing_pieces_and_places(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_word_ids_are_the_library_s_at_every_code_point():
+    path = public_tokenizers.path(WORD_VOCABULARY)
+    own, known = packing.WordBpe(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x110000, 37)] if not 0xD800 <= c < 0xE000]
+    texts = [f"ab{c}Cd {c} 1{c}'s{c}" for c in points] + ["hello <|endoftext|> world", "<|startoftext|>a", "< | <|", "İstanbul ΑΣ e\u0301"]
+    for k in range(0, len(texts), 5000):
+        part = texts[k : k + 5000]
+        want = [e.ids for e in known.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in own.encode(part)] == want
+
+
+def test_places_of_a_frequent_length(spark):
+    """Ranks are drawn partition by partition: no place is given twice, none is left out."""
+    lengths = [40] * 900 + [20, 21, 60, 1] * 30
+    sized = spark.createDataFrame(list(enumerate(lengths)), "id long, length int").repartition(7)
+    got = packing.place(sized, 60).collect()
+    assert sorted(r.id for r in got) == list(range(len(lengths)))
+    taken = sorted((r.sequence_id, p) for r in got for p in range(r.offset, r.offset + r.length))
+    assert len(set(taken)) == len(taken) and max(p for _, p in taken) < 60
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_plan_is_no_worse_than_best_fit(seed):
+def test_plan_is_at_most_one_sequence_worse_than_best_fit(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 40, 200).tolist()
     _, bins, _ = packing.plan(dict(Counter(lengths)), 60)
@@ -192,6 +234,60 @@ def test_url_rules_and_propagation(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def slow_rank(seed: dict[str, float], edges: list[tuple[str, str, float]], rounds: int = urls.ROUNDS, damping: float = urls.DAMPING) -> dict[str, float]:
+    """Personalised PageRank with a dense matrix."""
+    hosts = sorted(seed)
+    at, n = {h: i for i, h in enumerate(hosts)}, len(seed)
+    s = np.array([seed[h] for h in hosts])
+    move = np.zeros((n, n))
+    for a, b, w in edges:
+        move[at[b], at[a]] += w
+    out = move.sum(axis=0)
+    move[:, out == 0] = (s / s.sum())[:, None]  # dead ends start anew
+    move[:, out > 0] /= out[out > 0]
+    r = s.copy()
+    for _ in range(rounds):
+        r = (1 - damping) * s + damping * move @ r
+    return dict(zip(hosts, r, strict=True))
+
+
+def web(seed: int = 5) -> tuple[dict[str, float], list[tuple[str, str, float]]]:
+    """Hosts with a hub that links to half of all, one that half of all link to, dead ends and lone hosts."""
+    rng = np.random.default_rng(seed)
+    hosts = [f"h{i}" for i in range(60)]
+    edges = {("h0", h) for h in hosts[1:30]} | {(h, "h1") for h in hosts[20:50]} | {(hosts[a], hosts[b]) for a, b in rng.integers(0, 40, (80, 2)) if a != b}
+    return {h: float(rng.integers(0, 3)) / 2 for h in hosts}, [(a, b, float(rng.integers(1, 5))) for a, b in sorted(edges) if a != b]
+
+
+def test_propagation_equals_a_dense_pagerank(spark):
+    seed, edges = web()
+    rows = urls.propagate(spark.createDataFrame(list(seed.items()), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, weight double")).collect()
+    got = {r.host: r.score for r in rows}
+    assert all(abs(r.score / r.unit - seed[r.host]) < 1e-9 for r in rows if r.host not in {b for _, b, _ in edges})
+    want = slow_rank(seed, edges)
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-9 for h in want)
+    assert abs(sum(got.values()) - sum(seed.values())) < 1e-9
+    alone = urls.propagate(spark.createDataFrame(list(seed.items()), "host string, seed double"), spark.createDataFrame([], "src string, dst string, weight double")).collect()
+    assert {r.host: r.score for r in alone} == seed
+
+
+def test_verdicts_equal_the_sql_on_a_linked_web(spark, duck):
+    rng = np.random.default_rng(9)
+    hosts = [f"a{i}.com" for i in range(8)] + [f"b{i}.net" for i in range(8)] + [f"c{i}.org" for i in range(12)]
+    rows = []
+    for i in range(400):
+        links = "".join(f'<a href="http{"s" * int(rng.integers(0, 2))}://{hosts[int(rng.integers(0, 28))]}/x"> <img src=//{hosts[int(rng.integers(0, 28))].upper()}/y>' for _ in range(int(rng.integers(0, 4))))
+        rows.append((i, f"http://{hosts[int(rng.integers(0, 28))]}/{['es', 'fr', 'de', 'en'][i % 4]}/{'p' * int(rng.integers(0, 9))}", links, "x", 1.0, "y"))
+    rows += [(500 + i, f"http://lone.net/{'de' if i == 9 else 'es'}/", "", "x", 1.0, "y") for i in range(10)]
+    rows += [(401, None, None, None, None, None), (401, "no host", "<a href=//a1.com>", "x", 1.0, "y"), (402, "http://hub.org/" + "q" * 200_000, "<a href=http://b0.net/>" * 20_000, "x", 1.0, "y"), rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, score double, src string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect())
+    duck.register("pages_frame", pages.select("page_id", "url", "html").toPandas())
+    sql = urls.oracle_sql().replace(" from pages)", " from pages_frame)")
+    assert got == Counter(duck.execute(f"select page_id, host, path, rule, verdict from ({sql})").fetchall())
+    assert {(r.rule, r.verdict) for r in urls.judge(pages).where("rule is null").collect()} == {(None, "allow"), (None, "block")}
+
+
 def test_license_phrases_and_templates(docs, none):
     def base(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
@@ -204,6 +300,56 @@ def test_license_phrases_and_templates(docs, none):
     assert {r.labels for r in rows} == {"", "apache,apache-2.0,mit"} and licenses.scan(none).count() == 0
 
 
+def rendered(template: str, optional: bool) -> str:
+    """A text of a template: optional regions in or out, replaceable ones filled or empty."""
+    out, depth = [], 0
+    for token in template.split():
+        if token == "<<optional>>":
+            depth += 1
+        elif token == "<<end>>":
+            depth -= 1
+        elif token.startswith("<<var:"):
+            out += ["Acme", "Corp"] if optional and not depth or optional else []
+        elif not depth or optional:
+            out.append(token)
+    return " ".join(out)
+
+
+def test_every_template_is_found_in_prose_and_no_half_of_it():
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    found = total = 0
+    for label, each in licenses.TEMPLATES.items():
+        for template in each:
+            automaton = licenses.Automaton(template)
+            for optional in (False, True):
+                words = rendered(template, optional).split()
+                text = "Some words before. " + ", ".join(w.upper() for w in words) + "; some words after it"
+                total += 1
+                found += label in licenses.scan_text(text, matcher)[5].split(",")
+            last = max(i for i, w in enumerate(words) if w.encode() in automaton.mandatory)
+            broken = [w.encode() for i, w in enumerate(words) if i != last]
+            assert not any(automaton.run(broken, i)[0] for i in range(len(broken))), template
+    assert found == total
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("GNU Lesser General Public License as published by the Free Software Foundation; version 2.1", "gpl"),
+    ("under the GNU Lesser General Public License version 2.1", "gpl,lgpl"), ("licensed under the GNU General Public License, version 2.1", "gpl"), ("licensed under the GNU General Public License, version 2.0.", "gpl,gpl-2.0"),
+    ("Distributed under the MIT license.", "mit"), ("BSD 3-Clause License", "bsd,bsd-3-clause"), ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+    ("license", ""), ("nothing here", ""),
+])
+def test_labels_of_notices(text, labels):
+    assert licenses.scan_text(text, licenses.Matcher(licenses.TEMPLATES))[5] == labels
+
+
+def test_own_templates_need_no_known_word(spark):
+    rows = spark.createDataFrame([(1, "Use it for good, friend, forever"), (2, "use it")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(rows, {"good": ["use it for <<var:1>> <<optional>> friend <<end>> forever"]}).collect()}
+    assert got == {1: "good", 2: ""}
+    with pytest.raises(ValueError, match="mandatory"):
+        licenses.Automaton("<<optional>> a <<end>> <<var:3>>")
+
+
 def test_optional_and_replaceable_regions():
     a = licenses.Automaton("begin <<optional>> maybe this <<end>> <<var:2>> finish")
     for words, ok in (("begin finish", True), ("begin maybe this finish", True), ("begin any two finish", True), ("begin maybe this any two finish", True), ("begin one two three finish", False), ("begin maybe", False)):
@@ -218,7 +364,15 @@ def test_base_spans_equal_the_patterns(docs, none):
         got = pii.base_spans(text)
         assert got["email"] == [m.span() for m in email.finditer(text)]
         assert got["ip"] == [m.span() for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
-    row = next(r for r in pii.personal_data(docs).collect() if r.doc_id == 13)
+        card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+        digits = lambda m: [int(c) for c in m[0] if c in "0123456789"]
+        valid = lambda d: sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+        assert got["card"] == [m.span() for m in card.finditer(text) if 16 <= len(digits(m)) <= 19 and valid(digits(m))]
+        assert got["phone"] == [m.span() for m in phone.finditer(text) if 8 <= len(digits(m)) <= 15]
+    assert sum(len(pii.base_spans(t)["card"]) for t in ["".join(rng.choice(list("0123456789 -"), 40)) for _ in range(400)]) > 10
+    rows = pii.personal_data(docs).collect()
+    assert Counter((r.doc_id, tuple(r.base)) for r in rows) == Counter((r[0], tuple(s for k in pii.KINDS for s in pii.joined(k, pii.base_spans(r[1] or "")[k]))) for r in ROWS)
+    row = next(r for r in rows if r.doc_id == 13)
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1) and row.spans[:4] == row.base
     assert pii.personal_data(none).count() == 0
     masked = pii.mask(docs)
@@ -232,6 +386,115 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert got[99] == ["context:16:26"] and got[100] == [] and len(got) == len(rows)
 
 
+def slow_contexts(text: str, spans: list[tuple[int, int]]) -> list[set[str]]:
+    """The patterns by a walk over the text for each span."""
+    out = []
+    for start, stop in spans:
+        left = max([b for _, b in spans if b <= start], default=0)
+        at = start
+        while at > 0 and _WORD.match(text[at - 1]):
+            at -= 1
+        words = _WORD.findall(text[:at])
+        if left > at:
+            before = ["<id>" + lower(text[left:start])]
+        else:
+            before = [lower(w) for w in words[-2:]]
+            glue = lower(text[at:start])
+            before = [*before[:-1], f"{before[-1]} {glue}"] if glue and before else [glue] if glue else before
+        end = stop
+        nearest = min([a for a, _ in spans if a >= stop], default=len(text))
+        while end < len(text) and end < nearest and _WORD.match(text[end]):
+            end += 1
+        after = lower(text[stop:end])
+        if not after and stop < nearest:
+            rest = re.compile(r"[\x20\x09-\x0D]+").sub("", text[stop:nearest])
+            after = lower(_WORD.search(text, stop)[0]) if rest and not _WORD.match(text[stop]) else ""
+            if _WORD.search(text, stop):
+                m = _WORD.search(text, stop)
+                after = lower(text[m.start() : max(m.start(), min(m.end(), nearest))]) or "<id>"
+        own = {"L " + " ".join(before)} if len(before) == 2 or (before and before[0].startswith("<id>")) else set()
+        out.append(own | ({f"B {before[-1]} _ {after}"} if before and after else set()))
+    return out
+
+
+def slow_pii(texts: list[str]) -> list[set[tuple[int, int]]]:
+    """Contextual spans by plain loops over dictionaries."""
+    met = []
+    for t in texts:
+        base = pii.base_spans(t)
+        every = pii.mentions(t, base)
+        met.append([(m, c) for m, c in zip(every, slow_contexts(t, [m[3:] for m in every]), strict=True)])
+    edges = {(p, m[0], m[1]) for each in met for m, c in each for p in c}
+    scores = {e: float(e[2]) for e in edges}
+    for k in range(pii.ROUNDS):
+        of = defaultdict(list)
+        for e, s in scores.items():
+            of[e[0]].append((s, e[2]))
+        confidence = {p: sum(s for s, _ in each) / (len(each) + pii.SHRINK) for p, each in of.items()}
+        miss = defaultdict(lambda: 1.0)
+        for p, x, seed in edges:
+            if not seed:
+                miss[x] *= max(1 - confidence[p], 1e-9)
+        scores = {e: 1.0 if e[2] else 1 - miss[e[1]] for e in edges}
+    good = {p for p, c in confidence.items() if c >= pii.MIN_CONFIDENCE and sum(s for _, s in of[p]) >= pii.MIN_SEEDS}
+    return [{m[3:] for m, c in each if not m[2] and c & good} for each in met]
+
+
+def planted_identifiers(n: int = 240) -> list[tuple[str, int, int]]:
+    """(text, start, end) of one unseen identifier each, behind words that also precede seeds; the end is 0 where a seed stands there."""
+    rng = np.random.default_rng(6)
+    lead = ["please write to", "call us under the number", "server at address", 'api secret = "']
+    seeds = [lambda: f"user{rng.integers(1e6)}@mail.example.org", lambda: f"+49 30 {rng.integers(1e6, 9e6)}", lambda: f"10.{rng.integers(255)}.{rng.integers(255)}.7", lambda: "".join(rng.choice(list("abcdef0123456789"), 36)) + "a1" * 2]
+    out = []
+    for i in range(n):
+        k = i % 4
+        words = [f"w{x}" for x in rng.integers(0, 5000, 30)]
+        at = int(rng.integers(0, 30))
+        own = f"id{rng.integers(1000, 9999)}x{rng.integers(1000, 9999)}" if i % 3 == 0 else seeds[k]()
+        before = " ".join(words[:at]) + f" {lead[k]}" + ("" if k == 3 else " ")
+        out.append((before + own + ('" ' if k == 3 else " ") + " ".join(words[at:]), len(before), len(before) + len(own) if i % 3 == 0 else 0))
+    return out
+
+
+def test_pattern_graph_and_recall_of_planted_identifiers(spark):
+    planted = planted_identifiers()
+    texts = [t for t, _, _ in planted] + ["a mail@x.example.org,12345678 99887766;+49 30 1234567/4444x5555 end", "x" * 300 + "11112222" + "y" * 300, "12345678" * 40]
+    got = {r.doc_id: {(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans) if k == "context"} for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_pii(texts)
+    wanted = [(i, (a, b)) for i, (_, a, b) in enumerate(planted) if b]
+    assert sum(span in got[i] for i, span in wanted) >= 0.9 * len(wanted)
+    stray = sum(len(got[i] - {(a, b)}) for i, (_, a, b) in enumerate(planted) if b)
+    assert stray <= 0.1 * len(wanted)
+
+
+def test_candidates_are_whole_tokens_and_contexts_whole_words():
+    token = "a1b2c3d4e5" * 10
+    assert pii.mentions(f"see {token} there", pii.base_spans(""))[0][3:] == (4, 104)
+    far = "v" * 200
+    assert pii.contexts(f"{far} {far} 12345678 {far} z", [(402, 410)]) == [[f"L {far} {far}", f"B {far} _ {far}"]]
+
+
+def test_overlapping_spans_are_masked_whole():
+    text = "x +1 555 010 2030 44@mail.org y"
+    spans = [(a, b, k) for k, each in pii.base_spans(text).items() for a, b in each]
+    assert {k for _, _, k in spans} == {"phone", "email"} and pii.masked(text, spans) == "x [phone] y"
+    assert pii.masked("abcdef", [(1, 3, "a"), (2, 5, "b"), (0, 1, "c")]) == "[c][a]f"
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    rows = [(None, "mail a1@b.org"), (None, "mail a1@b.org"), (None, None), (1, "mail a1@b.org"), (1, "ip 1.2.3.4"), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, tuple(r.spans)) for r in pii.personal_data(docs).collect()) == Counter([(None, ("email:5:13",))] * 2 + [(None, ()), (1, ("email:5:13",)), (1, ("ip:3:10",)), (1, ())])
+    assert Counter((r.doc_id, r.text) for r in pii.mask(docs).collect()) == Counter([(None, "mail [email]")] * 2 + [(None, None), (1, "mail [email]"), (1, "ip [ip]"), (1, "")])
+
+
+@pytest.fixture(scope="module")
+def toxic_model():
+    rng = np.random.default_rng(2)
+    texts = [" ".join([*rng.choice([f"plain{i}" for i in range(60)], 30), f"vile{rng.integers(0, 4)}" if k % 3 == 0 else "plain0"]) for k in range(120)]
+    return toxicity.train(texts, [int(k % 3 == 0) for k in range(120)], steps=40)
+
+
 def test_toxicity_learns_words_and_scores_whole_texts(spark, docs, none):
     rng = np.random.default_rng(0)
     words = [f"plain{i}" for i in range(60)]
@@ -269,6 +532,68 @@ def test_gradients_of_the_network():
         assert abs((losses[0] - losses[1]) / 6e-2 - grad[at]) < 2e-3, name
 
 
+def slow_score(model: toxicity.Model, text: str) -> float:
+    """The network window by window and word by word, as the gates' formulas read."""
+    words = toxicity.words_of(text)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    p, h, logits = {k: v.astype(np.float64) for k, v in model.p.items()}, toxicity.HIDDEN, []
+    for a, b in toxicity.windows(len(words)):
+        x = []
+        for w in words[a:b]:
+            ids, _ = toxicity.grams([w])
+            x.append(np.concatenate([p["word"][model.vocab.get(w, 0)], p["char"][ids].mean(axis=0)]))
+        states = {}
+        for d in "fb":
+            state, seen = np.zeros(h), []
+            for v in x if d == "f" else x[::-1]:
+                pre, rec = v @ p[f"w{d}"] + p[f"b{d}"], state @ p[f"u{d}"]
+                reset, keep = sig(pre[:h] + rec[:h]), sig(pre[h : 2 * h] + rec[h : 2 * h])
+                new = np.tanh(pre[2 * h :] + reset * rec[2 * h :])
+                state = (1 - keep) * new + keep * state
+                seen.append(state)
+            states[d] = seen if d == "f" else seen[::-1]
+        both = [np.concatenate(s) for s in zip(states["f"], states["b"], strict=True)]
+        marks = np.array([np.tanh(s @ p["wa"] + p["ba"]) @ p["v"] for s in both])
+        weight = np.exp(marks - marks.max()) / np.exp(marks - marks.max()).sum() if both else np.zeros(0)
+        pooled = sum((w * s for w, s in zip(weight, both, strict=True)), np.zeros(2 * h))
+        logits.append(pooled @ p["wo"] + p["bo"][0])
+    best = sorted(logits, reverse=True)[: toxicity.BEST]
+    return float(sig(np.array([max(logits), sum(best) / len(best), np.log(len(logits)), 1.0]) @ model.platt))
+
+
+def test_scores_equal_a_plain_loop(toxic_model):
+    texts = ["plain1 vile2 plain3", "", " ".join(f"plain{i % 60}" for i in range(75)) + " vile1", "Straße naïve 東京", "one"]
+    got = toxicity.Scorer(toxic_model).scores(texts)
+    assert np.allclose(got, [slow_score(toxic_model, t) for t in texts], atol=1e-4)
+
+
+def test_samples_of_labels(spark):
+    """Conflicting, repeated, null and held-out labels, and the bound of the sample."""
+    docs = spark.createDataFrame([(i, f"plain{i % 7} text number{i % 5} " * 4) for i in range(400)] + [(None, "no id"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(1, 1), (1, 1), (2, None), (3, 9), (None, 1), (5000, 1)], "doc_id long, toxic int")
+    seen = {}
+    real = toxicity.train
+    toxicity.train = lambda texts, marks, **kw: seen.update(n=Counter(marks), prior=kw["prior"], texts=texts) or real([], [])
+    try:
+        toxicity.fit(docs, labels, rows=30)
+    finally:
+        toxicity.train = real
+    assert seen["n"][1] <= 30 and 20 <= seen["n"][1] and seen["n"][0] <= 60 and None not in seen["texts"]
+    usable = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    ones = sum(i % 4 == 0 or i == 1 for i in usable) + (zlib.crc32(b"5000") % 5 > 0)
+    assert abs(seen["prior"] - ones / (len(usable) + (zlib.crc32(b"5000") % 5 > 0))) < 1e-9
+    model = langid.fit(docs.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'aa', 'bb') as lang"), rows=50)
+    assert model.langs == ["aa", "bb"]
+
+
+def test_language_scores_equal_a_plain_mean(spark):
+    model = langid.train([f"alpha beta gamma {i}" for i in range(40)] + [f"uno dos tres {i}" for i in range(40)], ["x"] * 40 + ["y"] * 40)
+    for text in ("alpha dos", "a", "tres " * 500, "ÄÖ 東京"):
+        ids, _ = langid.subwords([text])
+        z = (np.mean([model.table[i].astype(np.float64) for i in ids], axis=0) + model.bias) / model.temperature
+        assert np.allclose(model.probabilities([text])[0], np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-6)
+
+
 def test_language_of_held_out_texts(spark, docs, none):
     small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(small)
@@ -296,8 +621,64 @@ def test_fingerprints_of_edited_texts(spark, none):
     assert got[2].fingerprint == got[11].fingerprint and fingerprint.fingerprints(none).count() == 0
 
 
+def test_equality_of_spans_and_extensions():
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("ab東\0"), int(n))) for n in rng.integers(0, 60, 30)] + ["ab" * 40, "ab" * 39 + "a"]
+    for _ in range(600):
+        a, b = (texts[int(k)] for k in rng.integers(0, len(texts), 2))
+        i, j, n = (int(x) for x in rng.integers(0, 25, 3))
+        one, other = fingerprint.Prefix(a), fingerprint.Prefix(b)
+        assert fingerprint.same_span(one, i, other, j, n) == (i + n <= len(a) and j + n <= len(b) and a[i : i + n] == b[j : j + n])
+        if i <= len(a) and j <= len(b):
+            assert fingerprint.common_extension(one, other, i, j) == next((k for k, (x, y) in enumerate(zip(a[i:], b[j:], strict=False)) if x != y), min(len(a) - i, len(b) - j))
+    for k, prime in enumerate(fingerprint.PRIMES):
+        text = texts[0]
+        own = fingerprint.Prefix(text)
+        assert int(own.span(3, 9, k)) == sum((ord(c) + 1) * pow(fingerprint.BASE, e, prime) for e, c in enumerate(text[3:9])) % prime
+
+
+def slow_print(text: str) -> str:
+    """The fingerprint from its definition, span by span."""
+    base, whole = fingerprint.BASE, ""
+    for prime in fingerprint.PRIMES:
+        whole += f"{sum((ord(c) + 1) * pow(base, e, prime) for e, c in enumerate(text)) % prime:08x}"
+    slots, prime = [0xFFFFFFFF] * fingerprint.SLOTS, fingerprint.PRIMES[0]
+    width = min(fingerprint.SPAN, len(text))
+    for i in range(len(text) - width + 1 if text else 0):
+        h = sum((ord(c) + 1) * pow(base, e, prime) for e, c in enumerate(text[i : i + width])) % prime
+        h = (h * 2_654_435_761 & 0xFFFFFFFF) ^ (h >> 7)
+        slots[h % fingerprint.SLOTS] = min(slots[h % fingerprint.SLOTS], h // fingerprint.SLOTS)
+    return whole + "".join(f"{x:08x}" for x in slots)
+
+
+def test_fingerprints_and_likeness_from_their_definition(spark):
+    """Null and repeated ids, repeated ids with other texts, equal rows, clashing columns; the next row's likeness."""
+    rows = [(None, "no id at all"), (None, None), (3, "some words in a row " * 4), (3, "other words of the same id"), (3, "some words in a row " * 4), (8, "some words in a row " * 3 + "end"), (9, "short"), (9, "short")]
+    docs = spark.createDataFrame([(i, t, "k", "t", 1, True) for i, t in rows], "doc_id long, text string, key string, tie string, times int, carry boolean").repartition(4)
+    got = Counter(tuple(r) for r in fingerprint.fingerprints(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "near_next").collect())
+    hashed = {r.text or "": r.h for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((i is not None, i or 0, hashed[t or ""], t or "") for i, t in rows))
+    want = Counter()
+    for k, (has, i, _, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][3]
+        cut = len(text) // 4
+        a, b = slow_print(text), slow_print(following)
+        pairs = [(x, y) for x, y in zip([a[16 + 8 * s : 24 + 8 * s] for s in range(fingerprint.SLOTS)], [b[16 + 8 * s : 24 + 8 * s] for s in range(fingerprint.SLOTS)], strict=True) if (x, y) != ("ffffffff", "ffffffff")]
+        near = 1.0 if a == b else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+        want[i if has else None, len(text), hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest(), a, near] += 1
+    assert got == want
+
+
+def test_copies_are_counted_before_they_are_dealt_out(spark):
+    rows = [(None, "one text with no id")] * 700 + [(i, f"text {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = fingerprint.with_next(docs)
+    assert dealt.where("key < 0 and not carry").count() <= 3 and dealt.where("key < 0 and not carry").agg({"times": "sum"}).first()[0] == 700
+    assert fingerprint.fingerprints(docs).count() == 705
+
+
 def test_many_ranges_give_each_row_its_next(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     rows = [(i * 3, f"text number {i} " * (i % 5 + 1)) for i in range(100)]
     got = {r.doc_id: r.edited_sha256 for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     for k, (i, text) in enumerate(rows):
