@@ -30,7 +30,8 @@ def first_of_each_class(texts: dict[int, str]) -> set[int]:
     return {root(i) for i in texts}
 
 
-ODD = [(None, None, None, None), (None, "text without an id " * 20, "en", "s"), (1, "", "en", None), (1, "word " * 5000, "en", "s"), (2, " ".join(f"w{i}" for i in range(80)) + " a@b.org", "en", "s"), (2, " ".join(f"w{i}" for i in range(80)) + " a@b.org", "en", "s")]
+ODD = [(None, None, None, None), (None, "text without an id " * 20, "en", "s"), (1, "", "en", None), (1, "word " * 5000, "en", "s"), (2, " ".join(f"w{i}" for i in range(80)) + " a@b.org", "en", "t"), (2, " ".join(f"w{i}" for i in range(80)) + " a@b.org", "en", "t")]
+ODD += [(j, " ".join(f"v{i}x{j}" for i in range(60)), "en", "t") for j in range(10, 30)]
 
 
 def test_stages_stand_odd_and_empty_tables(spark, tmp_path):
@@ -45,7 +46,7 @@ def test_stages_stand_odd_and_empty_tables(spark, tmp_path):
             if name in ("toxicity", "personal_data"):
                 assert sum(got.values()) == len(rows)
             if name == "quality":
-                assert got == ({2: 2} if rows else {})
+                assert got == ({2: 2} | dict.fromkeys(range(10, 30), 1) if rows else {})
             if name == "near_duplicates" and rows:
                 assert got[2] == 1
     masked = Counter(r.text for r in corpus_pipeline.mask_personal_data(spark, spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string"), "").collect())
