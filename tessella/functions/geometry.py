@@ -151,7 +151,7 @@ def valid_polygon(polygon: Column, least_area: float = 1e-9) -> Column:
 def centroid(polygon: Column) -> tuple[Column, Column]:
     """Mean of the corners."""
     n = F.size(polygon)
-    return tuple(F.aggregate(F.transform(polygon, lambda p, k=k: p[k]), F.lit(0.0), lambda a, b: a + b) / n for k in ("x", "y"))
+    return tuple(F.aggregate(polygon[k], F.lit(0.0), lambda a, b: a + b) / n for k in ("x", "y"))
 
 
 def any_of(conditions: list[Column]) -> Column:

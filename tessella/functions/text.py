@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,7 +100,27 @@ def unknown_keys(json: Column, allowed: list[str]) -> Column:
     return F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed)))
 
 
-def sentence(period: Column, target: Column, person: Column, count: Column) -> Column:
-    """A search's summary: period and target, the person's clause where there is one, then the count's."""
-    found = F.when(count == 0, F.lit("no events")).when(count == 1, F.lit("1 event")).otherwise(F.concat(count.cast("string"), F.lit(" events")))
-    return F.concat_ws(", ", F.concat_ws(" ", period, target), F.when(person.isNotNull(), F.concat(F.lit("for "), person)), found)
+#: The sentences of a search's summary. {0} is the period, the target or the person with their particle, {1} a count.
+FOUND_IN, NOTHING, ALL, CUT = "{0} 동안 {1}에서 찾았어요.", "결과는 없어요.", "총 {0}건의 결과가 있어요.", "상한에 걸려 {0}건까지만 보여드려요. 이게 전부는 아니에요."
+SEVERAL, UNKNOWN_NAME = "{0} {1}명이라 누구인지 정하지 못했고, ", "{0} 학생 명부에서 찾지 못해 인물 조건은 걸지 못했고, "
+NOT_APPLIED, ABSENT, PRESENT = "얼굴 인식이 아직 연결되지 않아 {0} 있었는지는 확인하지 못했고, ", "{0} 보이지 않는 기록만 골랐고, ", "{0} 보이는 기록만 골랐고, "
+
+
+def filled(template: str, *values: Column) -> Column:
+    """A text with {0}, {1} ... replaced by columns."""
+    parts = re.split(r"\{(\d)\}", template)
+    return F.concat(*[values[int(p)].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def sentence(period: Column, target: Column, person: Column, matches: Column, applied: Column, absent: Column, count: Column, truncated: Column) -> Column:
+    """A search's summary: period and target; then the person's clause, where there is one, and the count's.
+
+    matches: how many people have the name; applied: whether the filter could be applied.
+    """
+    subject, object_ = with_particle(person, "이", "가"), with_particle(person, "을", "를")
+    clause = (
+        F.when(person.isNull(), "").when(matches > 1, filled(SEVERAL, subject, matches)).when(matches == 0, filled(UNKNOWN_NAME, object_))
+        .when(~applied, filled(NOT_APPLIED, subject)).when(absent, filled(ABSENT, subject)).otherwise(filled(PRESENT, subject))
+    )
+    found = F.when(truncated, filled(CUT, count)).when(count == 0, NOTHING).otherwise(filled(ALL, count))
+    return F.concat(filled(FOUND_IN, period, target), F.lit(" "), clause, found)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 ZONE = "Asia/Seoul"
 MAX_SPAN = timedelta(days=7)
+#: The words of a written period.
+YEAR, MONTH, DAY, FROM, UNTIL = "년 ", "월 ", "일", "부터", "까지"
 
 
 def local(ts: Column, zone: str = ZONE) -> Column:
@@ -30,16 +32,15 @@ def week_start(ts: Column, zone: str = ZONE) -> Column:
 
 
 def period_text(start: Column, stop: Column, zone: str = ZONE) -> Column:
-    """``yyyy-MM-dd HH:mm~HH:mm`` within a local day, both dates otherwise; seconds only where one of them has any."""
+    """A local day's date and ``start~stop``; across days both dates, the second without its year where that is the same; seconds only where one of the times has any."""
     a, b = local(start, zone), local(stop, zone)
     exact = (F.second(a) != 0) | (F.second(b) != 0)
-    same = F.to_date(a) == F.to_date(b)
-
-    def text(clock: str) -> Column:
-        day = f"yyyy-MM-dd {clock}"
-        return F.concat(F.date_format(a, day), F.lit("~"), F.when(same, F.date_format(b, clock)).otherwise(F.date_format(b, day)))
-
-    return F.when(exact, text("HH:mm:ss")).otherwise(text("HH:mm"))
+    clock = lambda t: F.when(exact, F.date_format(t, "HH:mm:ss")).otherwise(F.date_format(t, "HH:mm"))
+    day = lambda t: F.concat(F.month(t).cast("string"), F.lit(MONTH), F.dayofmonth(t).cast("string"), F.lit(DAY))
+    dated = lambda t: F.concat(F.year(t).cast("string"), F.lit(YEAR), day(t))
+    end = F.when(F.year(a) == F.year(b), day(b)).otherwise(dated(b))
+    across = F.concat(dated(a), F.lit(" "), clock(a), F.lit(f"{FROM} "), end, F.lit(" "), clock(b), F.lit(UNTIL))
+    return F.when(F.to_date(a) == F.to_date(b), F.concat(dated(a), F.lit(" "), clock(a), F.lit("~"), clock(b))).otherwise(across)
 
 
 def parse_aware(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as v
+from tessella.operators.skew import highest_beyond
 from tessella.functions.geometry import ratio
 
 
@@ -67,17 +68,14 @@ def first_calibrated(sweep: DataFrame, precision: float = 0.99, recall: float =
 def far_threshold(scores: DataFrame, score: str, target: float, most: float = 1.0) -> DataFrame:
     """(n, allowed, threshold, accepted): the lowest threshold at which at most floor(target * n) scores are accepted (score >= threshold).
 
-    It is the lowest accepted score, or just above the first score too many where equal scores straddle
-    the line.  Only counts by score are sorted, and of those only the top that can matter.
+    It is just above the first score too many, or -1 where all may be accepted; never over ``most``.  The
+    place is found by counts, so no order of all scores is made.
     """
     n = scores.where(F.col(score).isNotNull()).count()
     allowed = math.floor(target * n)
-    counts = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    top = counts.orderBy(F.desc("s")).limit(allowed + 1).orderBy(F.desc("s"))
-    run = F.sum("c").over(Window.orderBy(F.desc("s")))  # over at most allowed + 1 distinct scores
-    first_too_many = top.withColumn("run", run).where(F.col("run") > allowed).agg(F.max("s").alias("s"), F.min(F.col("run") - F.col("c")).alias("accepted"))
-    limit = F.least(F.coalesce(F.udf(lambda x: None if x is None else math.nextafter(x, math.inf), "double")("s"), F.lit(-1.0)), F.lit(most))
-    return first_too_many.select(F.lit(n).cast("long").alias("n"), F.lit(allowed).cast("long").alias("allowed"), limit.alias("threshold"), F.coalesce("accepted", F.lit(n)).cast("long").alias("accepted"))
+    beyond, accepted = highest_beyond(scores, score, allowed)
+    threshold = min(-1.0 if beyond is None else math.nextafter(beyond, math.inf), most)
+    return scores.sparkSession.createDataFrame([(n, allowed, threshold, accepted)], "n long, allowed long, threshold double, accepted long")
 
 
 def identification_rates(rows: DataFrame, known: Column, detected: Column, accepted: Column, right: Column, millis: str) -> DataFrame:
@@ -115,11 +113,13 @@ def robust_centroid(rows: DataFrame, key: str, vector: str, size: int, floor: fl
     return _mean_vector(kept, [key, "all"], "__v", size).where(F.col("n") >= least).select(key, F.col("all").alias("n"), F.col("n").alias("kept"), "centroid")
 
 
-def pair_similarities(rows: DataFrame, id_col: str, key: str, vector: str, blocks: int = 8) -> DataFrame:
+def pair_similarities(rows: DataFrame, id_col: str, key: str, vector: str, block_rows: int = 2_000) -> DataFrame:
     """(same, n, mean, max): cosines of all pairs a < b, told apart by equal keys.
 
-    All pairs are the point here; rows are dealt into blocks that meet pairwise, so no task holds more than two.
+    All pairs are the point here; rows are dealt into blocks of about ``block_rows`` that meet pairwise,
+    as many blocks as the rows ask for, so no task holds more than two.
     """
+    blocks = max(2, -(-rows.count() // block_rows))
     u = rows.select(F.col(id_col).alias("i"), F.col(key).alias("k"), v.normalised(F.col(vector)).alias("u"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("b"))
     pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(blocks) for y in range(blocks)])
     left = u.select(*[F.col(c).alias(f"{c}1") for c in u.columns], F.explode(F.filter(pairs, lambda p: p["x"] == F.col("b"))).alias("p"))
@@ -165,3 +165,26 @@ def cumulative_buckets(rows: DataFrame, keys: list[str], value: str, bounds: lis
     every = [*bounds, float("inf")]
     one = rows.groupBy(*keys).agg(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.count_if(F.col(value) <= b).alias("n")) for b in every]).alias("all"))
     return one.select(*keys, F.inline("all"))
+
+
+def nullable_ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def sample_gate(rows: DataFrame, most: float = 0.01) -> DataFrame:
+    """(tp, fp, fn, error_rate, passed) of counted rows: no miss at all and at most so large a share of errors; an empty sample passes."""
+    sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))
+    out = sums.withColumn("error_rate", ratio(F.col("fp") + F.col("fn"), F.col("tp") + F.col("fp") + F.col("fn")))
+    return out.withColumn("passed", (F.col("fn") == 0) & (F.col("error_rate") <= most))
+
+
+def calibrations(rows: DataFrame, camera: str, threshold: str, eligible: Column) -> DataFrame:
+    """(camera, threshold, conflict): the threshold of each camera's eligible rows; conflict where they name several."""
+    found = rows.where(eligible).groupBy(camera)
+    return found.agg(F.max(threshold).alias(threshold), (F.count_distinct(threshold) > 1).alias("conflict"))
+
+
+def comparison_passes(far: Column, unknown: Column, most: float = 0.001, least: int = 1_000) -> Column:
+    """Whether a model's summary may be compared: a low enough false accept rate over enough unknown probes."""
+    return F.coalesce((far <= most) & (unknown >= least), F.lit(False))

@@ -2,81 +2,114 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import hamming
+from tessella.operators.matching import perfect_match
+from tessella.operators.skew import hot_keys, join_per_key
+from tessella.session import cut_lineage
 
 
 def exact_duplicates(rows: DataFrame, content: Column, id_col: str) -> DataFrame:
     """``rows`` with sha256 and duplicate_of: the first id of equal content, null for that first one.
 
-    The first id is a partial minimum joined back by hash, so a content with a third of all rows is not
-    sorted in one task.  Null contents count as equal; their sha256 is null.
+    The first id is a partial minimum joined back by hash; rows of a frequent content get it where they
+    lie.  Null contents count as equal; their sha256 is null.
     """
     keyed = rows.withColumn("sha256", F.sha2(content, 256))
-    first = keyed.groupBy("sha256").agg(F.min(id_col).alias("__first"))
-    first = first.withColumnRenamed("sha256", "__hash")
-    return keyed.join(first, keyed["sha256"].eqNullSafe(first["__hash"])).drop("__hash").withColumn("duplicate_of", F.when(F.col(id_col) != F.col("__first"), F.col("__first"))).drop("__first")
+    first = cut_lineage(keyed.groupBy("sha256").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n")))
+    joined = join_per_key(keyed, first.drop("n"), hot_keys(first, "sha256"), "sha256")
+    return joined.withColumn("duplicate_of", F.when(F.col(id_col) != F.col("__first"), F.col("__first"))).drop("__first")
 
 
-def bands(bits: Column, radius: int) -> Column:
-    """radius + 1 disjoint bands of 64 bits, each with its number: two hashes within ``radius`` share one whole."""
-    n = radius + 1
+def bands(bits: Column, radius: int, joined: int = 3) -> Column:
+    """Keys such that two 64-bit hashes within ``radius`` bits share one: of radius + joined stretches, any ``joined`` are untouched, and each such choice is a key."""
+    n = radius + joined
     edges = [64 * i // n for i in range(n + 1)]
-    cut = lambda a, b: F.shiftrightunsigned(F.shiftleft(bits, 64 - b), 64 - b + a)
-    return F.array(*[F.struct(F.lit(i).alias("band"), cut(edges[i], edges[i + 1]).alias("bits")) for i in range(n)])
+    part = [F.shiftrightunsigned(F.shiftleft(bits, 64 - b), 64 - b + a) for a, b in zip(edges, edges[1:], strict=False)]
+    return F.array(*[F.struct(F.lit(i).alias("band"), *(part[p].alias(f"b{k}") for k, p in enumerate(chosen))) for i, chosen in enumerate(combinations(range(n), joined))])
+
+
+def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, bits: str, radius: int, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(left id, right id, distance) of all pairs within ``radius`` bits (and of equal ``beside`` columns): an equi-join by band, each pair once, then verified.
+
+    Give distinct hashes on either side: a hash that many rows have makes that many times as many pairs.
+    """
+    a = left.select(*beside, left_id, F.col(bits).alias("__a"), F.explode(bands(F.col(bits), radius)).alias("__band"))
+    b = right.select(*beside, right_id, F.col(bits).alias("__b"), F.explode(bands(F.col(bits), radius)).alias("__band"))
+    pairs = a.join(b, [*beside, "__band"]).withColumn("distance", hamming(F.col("__a"), F.col("__b"))).where(F.col("distance") <= radius)
+    return pairs.select(left_id, right_id, "distance").distinct()
+
 
+def near_pairs(rows: DataFrame, id_col: str, bits: str, radius: int = 4) -> DataFrame:
+    """(id, other, distance), id < other: pairs of the least ids of different hashes within ``radius`` bits, and each least id with the others of its own hash (distance 0).
 
-def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, bits: str, radius: int) -> DataFrame:
-    """(left id, right id, distance) of all pairs within ``radius`` bits: an equi-join by band, each pair taken at its first common band, then verified."""
-    a = left.select(left_id, F.col(bits).alias("__a"), F.explode(bands(F.col(bits), radius)).alias("__band"))
-    b = right.select(right_id, F.col(bits).alias("__b"), F.explode(bands(F.col(bits), radius)).alias("__band"))
-    pairs = a.join(b, "__band").withColumn("distance", hamming(F.col("__a"), F.col("__b"))).where(F.col("distance") <= radius)
-    first = F.array_position(F.transform(F.arrays_zip(bands(F.col("__a"), radius).alias("l"), bands(F.col("__b"), radius).alias("r")), lambda z: z["l"] == z["r"]), True) - 1
-    return pairs.where(first == F.col("__band.band")).select(left_id, right_id, "distance")
+    So a third of all rows with one hash gives as many rows, not their square; rows with null bits are in no pair.
+    """
+    known = rows.where(F.col(bits).isNotNull() & F.col(id_col).isNotNull()).select(id_col, bits)
+    first = cut_lineage(known.groupBy(bits).agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n")))
+    heads = first.select(bits, F.col("__first").alias(id_col))
+    near = within(heads, heads.withColumnRenamed(id_col, "other"), id_col, "other", bits, radius).where(F.col(id_col) < F.col("other"))
+    members = join_per_key(known, first.drop("n"), hot_keys(first, bits), bits).where(F.col(id_col) > F.col("__first"))
+    return near.union(members.select(F.col("__first").alias(id_col), F.col(id_col).alias("other"), F.lit(0).alias("distance")))
+
+
+def least_iou(a: Column, b: Column, least: float) -> Column:
+    """``perfect_match`` of two lists of flat boxes (x1, y1, x2, y2, x1, ...); null for none."""
 
+    @F.pandas_udf("double")
+    def matched(one: pd.Series, other: pd.Series) -> pd.Series:
+        flat = lambda x: np.asarray(x, float).reshape(-1, 4)
+        return pd.Series([perfect_match(flat(x), flat(y), least) for x, y in zip(one, other, strict=True)], dtype=object)
 
-def leader_groups(rows: DataFrame, camera: str, radius: int = 4) -> DataFrame:
+    return matched(a, b)
+
+
+def leader_groups(rows: DataFrame, camera: str, radius: int = 4, box_iou: float = 0.9, max_rounds: int = 200) -> DataFrame:
     """``rows`` with group_id (the leader's id), reason and distance, camera by camera in order of priority.
 
-    rows(camera, id, sha256, bits, label, reviewed, sharpness): reviewed rows lead, then the sharpest,
-    then the lowest id.  A row of known content joins its group if the labels agree; else the nearest
-    leader within ``radius`` bits by (distance, id); else it leads a group of its own.
+    rows(camera, id, sha256, bits, label, reviewed, sharpness[, boxes array<double>]): reviewed rows lead,
+    then the sharpest, then the lowest id.  A row of the content and label of an earlier one joins its
+    group; else the nearest earlier leader within ``radius`` bits whose boxes match one to one with an IoU
+    of ``box_iou``, by (distance, -IoU, id); else it leads a group of its own.
+
+    Contents are settled first, then candidate pairs are joined by bands, then leaders in rounds: a row is
+    settled when all its earlier candidates are.  So neither a camera nor a group is gathered anywhere.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__p=~pdf["reviewed"].astype(bool)).sort_values(["__p", "sharpness", "id"], ascending=[True, False, True], kind="stable").drop(columns="__p").reset_index(drop=True)
-        leaders: list[int] = []
-        bits = np.zeros(len(pdf), np.uint64)
-        by_content: dict[tuple, str] = {}
-        out = []
-        for r in pdf.itertuples():
-            key = (r.sha256, r.label)
-            if key in by_content:
-                out.append((by_content[key], "same_content", 0))
-                continue
-            own = np.uint64(int(r.bits) & 0xFFFFFFFFFFFFFFFF)
-            near = None
-            if leaders:
-                d = np.bitwise_count(bits[: len(leaders)] ^ own)
-                k = min(range(len(leaders)), key=lambda i: (d[i], pdf["id"].iloc[leaders[i]]))
-                near = (int(d[k]), leaders[k]) if d[k] <= radius else None
-            if near:
-                group = pdf["id"].iloc[near[1]]
-                out.append((group, "near", near[0]))
-            else:
-                group = r.id
-                bits[len(leaders)] = own
-                leaders.append(r.Index)
-                out.append((group, "leader", 0))
-            by_content[key] = group
-        return pdf.assign(group_id=[o[0] for o in out], reason=[o[1] for o in out], distance=[o[2] for o in out])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", group_id {kinds['id']}, reason string, distance int"
-    return rows.groupBy(camera).applyInPandas(run, schema)
+    order = F.struct((~F.col("reviewed")).alias("later"), (-F.col("sharpness")).alias("dull"), F.col("id").alias("id"))
+    boxed = rows if "boxes" in rows.columns else rows.withColumn("boxes", F.array().cast("array<double>"))
+    content = [camera, "sha256", "label"]
+    firsts = cut_lineage(boxed.groupBy(*content).agg(F.min_by(F.struct("id", "bits", "boxes", order.alias("order")), order).alias("f")).select(*content, "f.*"))
+    other = firsts.select(camera, F.col("id").alias("other"), "bits")
+    near = within(firsts.where("bits is not null"), other.where("bits is not null"), "id", "other", "bits", radius, (camera,)).where("id <> other")
+    mine = firsts.select("id", F.col("boxes").alias("__a"), F.col("order").alias("__o"))
+    theirs = firsts.select(F.col("id").alias("other"), F.col("boxes").alias("__b"), F.col("order").alias("__p"))
+    earlier = near.join(mine, "id").join(theirs, "other").where(F.col("__p") < F.col("__o"))
+    edges = cut_lineage(earlier.withColumn("iou", least_iou(F.col("__a"), F.col("__b"), box_iou)).where("iou is not null").select("id", "other", "distance", "iou"))
+    settled = firsts.join(edges.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("group_id"), F.lit("leader").alias("reason"), F.lit(0).alias("distance"))
+    settled, open_edges = cut_lineage(settled), edges
+    for _ in range(max_rounds):
+        if open_edges.isEmpty():
+            break
+        state = settled.select(F.col("id").alias("other"), (F.col("reason") == "leader").alias("leads"))
+        seen = open_edges.join(state, "other", "left").groupBy("id").agg(
+            F.count_if(F.col("leads").isNull()).alias("waiting"), F.min(F.when(F.col("leads"), F.struct("distance", (-F.col("iou")).alias("iou"), "other"))).alias("best")
+        )
+        now = seen.where("waiting = 0").select("id", F.coalesce("best.other", "id").alias("group_id"), F.when(F.col("best").isNull(), "leader").otherwise("near").alias("reason"), F.coalesce("best.distance", F.lit(0)).alias("distance"))
+        now = cut_lineage(now)
+        settled, open_edges = cut_lineage(settled.union(now)), cut_lineage(open_edges.join(now.select("id"), "id", "left_anti"))
+    else:
+        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    of_first = firsts.select(*[F.col(c).alias(f"__{c}") for c in content], F.col("id").alias("__first")).join(settled.withColumnRenamed("id", "__first"), "__first")
+    joined = rows.join(of_first, [rows[c].eqNullSafe(of_first[f"__{c}"]) for c in content])
+    own = F.col("id") == F.col("__first")
+    out = joined.withColumn("reason", F.when(own, F.col("reason")).otherwise("same_content")).withColumn("distance", F.when(own, F.col("distance")).otherwise(0))
+    return out.select(*rows.columns, "group_id", "reason", "distance")
 
 
 def group_report(groups: DataFrame, group: str = "group_id", id_col: str = "id") -> DataFrame:
@@ -87,8 +120,13 @@ def group_report(groups: DataFrame, group: str = "group_id", id_col: str = "id")
 
 def isolation(candidates: DataFrame, reference: DataFrame, id_col: str, content: str, bits: str, radius: int = 4) -> DataFrame:
     """(id, verdict, other): candidates whose content or, within ``radius`` bits, whose hash a reference row has: exact before near, the nearest, then the lowest id."""
-    exact = candidates.select(id_col, F.col(content).alias("__c")).join(reference.select(F.col(id_col).alias("other"), F.col(content).alias("__c")), "__c").select(id_col, F.lit("exact").alias("verdict"), "other", F.lit(-1).alias("distance"))
-    near = within(candidates, reference.withColumnRenamed(id_col, "other"), id_col, "other", bits, radius).select(id_col, F.lit("near").alias("verdict"), "other", "distance")
+    known = reference.groupBy(F.col(content).alias("__c")).agg(F.min(id_col).alias("other"))
+    exact = candidates.select(id_col, F.col(content).alias("__c")).join(known, "__c").select(id_col, F.lit("exact").alias("verdict"), "other", F.lit(-1).alias("distance"))
+    # the least reference id of each hash, and each hash of the candidates once
+    heads = reference.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(id_col).alias("other"))
+    asked = candidates.where(F.col(bits).isNotNull()).select(bits).distinct().withColumn("__asked", F.col(bits))
+    met = cut_lineage(within(asked, heads, "__asked", "other", bits, radius)).groupBy("__asked").agg(F.min(F.struct("distance", "other")).alias("__m"))
+    near = candidates.join(met, F.col(bits) == F.col("__asked")).select(id_col, F.lit("near").alias("verdict"), F.col("__m.other").alias("other"), F.col("__m.distance").alias("distance"))
     return exact.union(near).groupBy(id_col).agg(F.min_by(F.struct("verdict", "other", "distance"), F.struct("distance", "other")).alias("b")).select(id_col, "b.verdict", "b.other", F.greatest("b.distance", F.lit(0)).alias("distance"))
 
 

@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of the grid, a cluster's least share of its peak's height and its reach in cells, how near two
+#: centres are one cluster, the least support in points and as a share of the strongest, and how polygons that meet shrink.
 COLUMNS, ROWS = 64, 96
-PEAK_SHARE, REACH, MERGE_BINS, LEAST, SHRINK = 0.28, 4, 3.0, 40, 0.85
+PEAK_SHARE, REACH, MERGE_BINS, LEAST, LEAST_SHARE, SHRINK, SHRINKS = 0.28, 4, 3.0, 40, 0.03, 0.85, 4
 
 
 def smooth(grid: np.ndarray) -> np.ndarray:
@@ -67,42 +69,56 @@ def shrink(p: list[tuple[float, float]], by: float = SHRINK) -> list[tuple[float
     return [(cx + (x - cx) * by, cy + (y - cy) * by) for x, y in p]
 
 
-def clusters(grid: np.ndarray, most: int, least: int = LEAST) -> list[dict]:
-    """Clusters of a count grid, densest first: n points, centroid and polygon in shares; polygons never overlap."""
-    height = smooth(smooth(grid.astype(float)))
-    taken = np.zeros(grid.shape, bool)
-    found: list[dict] = []
-    while len(found) < 4 * most:
-        left = np.where(taken, -1.0, height)
-        peak = np.unravel_index(int(left.argmax()), left.shape)
-        if left[peak] <= 0:
+def grown(height: np.ndarray, most: int) -> list[dict]:
+    """Up to ``most`` patches around the highest free cells, row by row among equal ones: cells, support (the smoothed points) and centre (the mean cell)."""
+    taken, found = np.zeros(height.shape, bool), []
+    while len(found) < most:
+        left = np.where(taken, 0.0, height)
+        y, x = np.unravel_index(int(left.T.argmax()), left.T.shape)
+        if left[x, y] <= 0:
             break
-        cells = flood(height, taken, (int(peak[0]), int(peak[1])))
+        cells = flood(height, taken, (int(x), int(y)))
         for c in cells:
             taken[c] = True
-        weights = np.array([grid[c] for c in cells], float)
-        if weights.sum() > 0:
-            at = np.array(cells, float)
-            found.append({"cells": cells, "n": int(weights.sum()), "at": (at * weights[:, None]).sum(axis=0) / weights.sum()})
-    merged: list[dict] = []
-    for c in sorted(found, key=lambda c: (-c["n"], c["cells"][0])):
-        near = next((m for m in merged if np.hypot(*(m["at"] - c["at"])) <= MERGE_BINS), None)
-        if near:
-            near["at"] = (near["at"] * near["n"] + c["at"] * c["n"]) / (near["n"] + c["n"])
-            near["n"] += c["n"]
-            near["cells"] = near["cells"] + c["cells"]
-        else:
-            merged.append(c)
+        found.append({"cells": cells, "support": float(sum(height[c] for c in cells)), "at": np.mean(cells, axis=0)})
+    return found
+
+
+def merged(found: list[dict]) -> list[dict]:
+    """Patches, strongest first, each joined to the first kept one whose centre is within MERGE_BINS along both axes."""
     out: list[dict] = []
-    for c in sorted(merged, key=lambda c: (-c["n"], c["cells"][0])):
-        if c["n"] < least or len(out) >= most:
+    for c in sorted(found, key=lambda c: -c["support"]):
+        near = next((m for m in out if np.abs(m["at"] - c["at"]).max() <= MERGE_BINS), None)
+        if near is None:
+            out.append(dict(c))
             continue
-        polygon = hull([((x + i) / grid.shape[0], (y + j) / grid.shape[1]) for x, y in c["cells"] if grid[x, y] for i in (0, 1) for j in (0, 1)])
-        for _ in range(5):
-            if not any(overlap(polygon, o["polygon"]) for o in out):
-                out.append({"n": c["n"], "x": float((c["at"][0] + 0.5) / grid.shape[0]), "y": float((c["at"][1] + 0.5) / grid.shape[1]), "polygon": polygon})
-                break
-            polygon = shrink(polygon)
+        near["cells"], near["support"] = near["cells"] + c["cells"], near["support"] + c["support"]
+        near["at"] = np.mean(near["cells"], axis=0)
+    return sorted(out, key=lambda c: -c["support"])
+
+
+def apart(polygon: list[tuple[float, float]], others: list[list[tuple[float, float]]]) -> list[tuple[float, float]] | None:
+    """The polygon, shrunk until it overlaps no other; None if SHRINKS times do not do."""
+    for _ in range(SHRINKS + 1):
+        if not any(overlap(polygon, o) for o in others):
+            return polygon
+        polygon = shrink(polygon)
+    return None
+
+
+def clusters(grid: np.ndarray, most: int, least: int = LEAST) -> list[dict]:
+    """Clusters of a count grid, strongest first: n points of their cells, centre and polygon in shares; polygons never overlap."""
+    found = merged(grown(smooth(smooth(grid.astype(float))), 3 * most))
+    floor = max(least, LEAST_SHARE * max((c["support"] for c in found), default=0.0))
+    out: list[dict] = []
+    for c in found:
+        n = int(sum(grid[cell] for cell in c["cells"]))
+        if len(out) >= most or c["support"] < floor:
+            break
+        corners = hull([((x + i) / grid.shape[0], (y + j) / grid.shape[1]) for x, y in c["cells"] for i in (0, 1) for j in (0, 1)])
+        polygon = apart(corners, [o["polygon"] for o in out])
+        if polygon is not None and n >= least:
+            out.append({"n": n, "x": float((c["at"][0] + 0.5) / grid.shape[0]), "y": float((c["at"][1] + 0.5) / grid.shape[1]), "polygon": polygon})
     return out
 
 

@@ -119,13 +119,13 @@ def reasons(rules: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*[F.when(c, code) for code, c in rules]), lambda x: x.isNotNull())
 
 
-def schedule_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """(start, stop, name) of ``**HH:MM ~ HH:MM** | name`` lines whose name speaks of a study period."""
+def schedule_lines(lines: DataFrame, text_col: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """(start, stop, name), behind the columns to ``keep``, of ``**HH:MM ~ HH:MM** | name`` lines whose name speaks of a study period."""
     form = r"\*\*(\d{2}:\d{2})\s*~\s*(\d{2}:\d{2})\*\*\s*\|\s*(.+?)\s*(?:\||$)"
     part = [F.regexp_extract(text_col, form, i).alias(n) for i, n in ((1, "start"), (2, "stop"), (3, "name"))]
     #: Words that mark a study period.
     words = ("자습", "교시", "study", "period")
-    return lines.where(F.col(text_col).rlike(form)).select(*part).where(F.lower("name").rlike("|".join(words)))
+    return lines.where(F.col(text_col).rlike(form)).select(*(keep or []), *part).where(F.lower("name").rlike("|".join(words)))
 
 
 def every_nth(rows: DataFrame, n: int, index_col: str = "frame_index") -> DataFrame:
@@ -141,3 +141,25 @@ def preflight(rows: DataFrame, row_col: str, column_col: str, active_col: str) -
         F.count_if(r.isNotNull() & c.isNotNull()).alias("complete"), F.count_if(r.isNull() & c.isNull()).alias("empty"),
         F.count_if(r.isNull() != c.isNull()).alias("partial"), F.count_if(a & r.isNull() & c.isNull()).alias("active_empty"),
     )
+
+
+def usable_zone(auto_generated: Column, revision: Column, current: Column) -> Column:
+    """A zone drawn by hand on the current image, or on no image at all (revision 0)."""
+    return ~auto_generated & F.coalesce((revision == 0) | (revision == current), F.lit(False))
+
+
+def valid_batches(rows: DataFrame, seats: DataFrame, batch: str, seat: str, confidence: str, most: int = 200) -> DataFrame:
+    """(batch, valid): 1 to ``most`` rows, no seat twice, confidences finite and from 0 to 1, and every seat among ``seats``."""
+    known = rows.join(seats.select(seat, F.lit(True).alias("__known")).distinct(), seat, "left")
+    c = F.col(confidence).cast("double")
+    fits = F.coalesce(c.between(0, 1) & ~F.isnan(c) & F.col("__known"), F.lit(False))
+    return known.groupBy(batch).agg((F.count(F.lit(1)).between(1, most) & (F.count_distinct(seat) == F.count(F.lit(1))) & F.bool_and(fits)).alias("valid"))
+
+
+def incomplete(role: Column, approvals: list[Column]) -> Column:
+    """A blank role, or a role other than excluded with an approval field that is blank."""
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    missing = F.lit(False)
+    for c in approvals:
+        missing = missing | blank(c)
+    return blank(role) | ((role != "excluded") & missing)

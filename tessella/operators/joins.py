@@ -6,6 +6,8 @@ nothing here forces it, but where a table is a bounded literal.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,22 +145,42 @@ def faces_to_people(people: DataFrame, faces: DataFrame, frame: str, least: floa
     return rows.select(*faces.columns, F.when(reason == "MATCHED", F.col("__person")).alias("person"), reason.alias("reason"))
 
 
-def gallery_top2(probes: DataFrame, gallery: DataFrame, probe_id: str, entry_id: str, vector: str = "vector", broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
+def gallery_top2(probes: DataFrame, gallery: DataFrame, probe_id: str, entry_id: str, vector: str = "vector", most_bytes: int = 256 << 20, salts: int = 16) -> DataFrame:
     """(probe, entry, similarity, margin): the best gallery entry of each probe by cosine and its lead over the second (over -1 if there is none).
 
-    A gallery is a people list; it is counted, and broadcast only up to ``broadcast_rows``.  Larger ones
-    are dealt into blocks, each copied to a few salts, and every probe meets every block at its own salt.
+    A gallery is a people list.  It is measured: up to ``most_bytes`` of numbers it goes out with the tasks
+    as one matrix and each batch of probes is one product, with nothing shuffled.  Larger ones are dealt
+    into blocks, each copied to a few salts, and every probe meets every block at its own salt.  Ties go
+    to the lower entry; probes without a unit vector get no row.
     """
-    q = probes.select(probe_id, v.normalised(F.col(vector)).alias("__p"))
-    e = gallery.select(entry_id, v.normalised(F.col(vector)).alias("__g"))
-    n = e.count()
-    if n <= broadcast_rows:
-        pairs = q.withColumn("__block", F.lit(0)).join(F.broadcast(e.withColumn("__block", F.lit(0))), "__block")
-    else:
-        blocks = -(-n // broadcast_rows)
-        e = e.withColumns({"__block": F.pmod(F.xxhash64(entry_id), F.lit(blocks)), "__salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
-        q = q.withColumns({"__salt": F.pmod(F.xxhash64(probe_id), F.lit(salts)).cast("int"), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-        pairs = q.join(e, ["__block", "__salt"])
+    q = probes.select(probe_id, v.normalised(F.col(vector)).alias("__p")).where("__p is not null")
+    e = gallery.select(entry_id, v.normalised(F.col(vector)).alias("__g")).where("__g is not null")
+    n, size = e.agg(F.count(F.lit(1)), F.sum(8 * F.size("__g") + 16)).first()
+    kinds = {**dict(q.dtypes), **dict(e.dtypes)}
+    if n and size <= most_bytes:
+        held = sorted(e.collect(), key=lambda r: r[0])
+        ids, matrix = [r[0] for r in held], np.array([r[1] for r in held]).T
+
+        def score(batches):
+            for batch in batches:
+                listed = batch.column("__p")
+                if not batch.num_rows:
+                    continue
+                found = np.asarray(listed.flatten()).reshape(batch.num_rows, -1) @ matrix
+                rows, first = np.arange(len(found)), found.argmax(axis=1)
+                best = found[rows, first]
+                found[rows, first] = -np.inf
+                second = np.maximum(found.max(axis=1), -1.0) if n > 1 else np.full(len(found), -1.0)
+                entries = pa.array([ids[i] for i in first], pa.int64() if isinstance(ids[0], int) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(probe_id), entries, pa.array(best), pa.array(best - second)], [probe_id, entry_id, "similarity", "margin"])
+
+        wide = "long" if isinstance(ids[0], int) else kinds[entry_id]
+        out = q.mapInArrow(score, f"`{probe_id}` {kinds[probe_id]}, `{entry_id}` {wide}, similarity double, margin double")
+        return out.withColumn(entry_id, F.col(entry_id).cast(kinds[entry_id]))
+    blocks = -(-(size or 0) // most_bytes) or 1
+    e = e.withColumns({"__block": F.pmod(F.xxhash64(entry_id), F.lit(blocks)), "__salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
+    q = q.withColumns({"__salt": F.pmod(F.xxhash64(probe_id), F.lit(salts)).cast("int"), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    pairs = q.join(e, ["__block", "__salt"])
     scored = pairs.select(probe_id, entry_id, v.dot(F.col("__p"), F.col("__g")).alias("similarity"))
     top = _top2(scored, probe_id, entry_id)
     return top.select(probe_id, F.col(f"b.{entry_id}").alias(entry_id), F.col("b.similarity").alias("similarity"), (F.get("two", F.lit(0)) - F.coalesce(F.get("two", F.lit(1)), F.lit(-1.0))).alias("margin"))
@@ -178,3 +200,43 @@ def repaired_references(rows: DataFrame, people: DataFrame, id_col: str, number:
     same = (F.col(number) == F.col("__no")) & (F.col(name) == F.col("__na"))
     how = F.when(same, "id").when(F.col("__n") == 1, "number_and_name").when(F.col("__n") > 1, "ambiguous").otherwise("missing")
     return joined.select(*rows.columns, F.when(same, F.col(id_col)).when(F.col("__n") == 1, F.col("__other")).alias("resolved"), how.alias("how"))
+
+
+def active_routes(routes: DataFrame, entries: DataFrame, rooms: DataFrame, entry: str, room: str) -> DataFrame:
+    """Routes whose entry camera and room camera are both enabled and have those roles; entries, rooms(camera_id, enabled, role)."""
+    usable = lambda rows, role, name: rows.where(F.col("enabled") & (F.col("role") == role)).select(F.col("camera_id").alias(name)).distinct()
+    return routes.join(usable(entries, "entry", entry), entry, "left_semi").join(usable(rooms, "room", room), room, "left_semi")
+
+
+def suggested_zones(shapes: DataFrame, zones: DataFrame, id_col: str) -> DataFrame:
+    """``shapes`` (id, polygon) with x, y, their centres, and zone: the one zone that holds the centre; null for none or several."""
+    x, y = g.centroid(F.col("polygon"))
+    placed = map_points_to_table(shapes.select(id_col, x.alias("x"), y.alias("y")), zones, id_col)
+    return shapes.join(placed.select(id_col, "x", "y", "zone"), id_col)
+
+
+def routed_sessions(sessions: DataFrame, inventory: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
+    """Inventory rows with their session's assignment, excluded sessions left out.
+
+    Every session has to be assigned and every assignment to be a session's: else an error names the first that differs.
+    """
+    a, b = sessions.select(key, F.lit(1).alias("__s")).distinct(), assigned.select(key, F.lit(1).alias("__a")).distinct()
+    odd = a.join(b, key, "full").where("__s is null or __a is null").agg(F.min(F.col(key).cast("string"))).first()[0]
+    if odd is not None:
+        raise ValueError(f"sessions and assignments differ at {odd}")
+    return inventory.join(assigned.where(F.col("role") != "excluded"), key)
+
+
+def reviewed_or_candidate(rows: DataFrame, reviews: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (id, candidate) with approval and label: the reviewed label (human) where there is one, else the candidate's."""
+    joined = rows.join(reviews.select(id_col, "reviewed"), id_col, "left")
+    return joined.withColumns({"approval": F.when(F.col("reviewed").isNotNull(), "human").otherwise("candidate"), "label": F.coalesce("reviewed", "candidate")}).drop("reviewed")
+
+
+def registration_problems(asked: DataFrame, taken: DataFrame, rooms: DataFrame, roles: list[str]) -> DataFrame:
+    """``asked`` (camera_id, room, role) with problem: a role that is not known, an id that is taken, a room that is not active; null where none holds."""
+    used = taken.select("camera_id", F.lit(True).alias("__taken")).distinct()
+    known = rooms.select("room", F.lit(True).alias("__room")).distinct()
+    rows = asked.join(used, "camera_id", "left").join(known, "room", "left")
+    problem = F.when(~F.col("role").isin(roles), "BAD_ROLE").when(F.col("__taken"), "TAKEN").when(F.col("__room").isNull(), "UNKNOWN_ROOM")
+    return rows.withColumn("problem", problem).drop("__taken", "__room")

@@ -226,19 +226,24 @@ def label_overlaps(boxes: DataFrame, frame: str, order: list[str], least: float)
     return rows.select(F.inline(F.transform("__rows", lambda r, i: F.struct(*(r[c].alias(c) for c in boxes.columns), F.get("__labels", i).alias("duplicate_group")))))
 
 
-def match_frames(truth: DataFrame, found: DataFrame, frame: str, order: list[str], match: Callable[[np.ndarray, np.ndarray, float], list[tuple[int, int]]], least: float) -> DataFrame:
-    """(frame, tp, fp, fn) of each frame that either side has; both sides meet in one shuffle."""
+def match_frames(truth: DataFrame, found: DataFrame, frame: str, order: list[str], match: Callable[[np.ndarray, np.ndarray, float], list[tuple[int, int]]], least: float, kind: str | None = None) -> DataFrame:
+    """(frame, tp, fp, fn) of each frame that either side has; both sides meet in one shuffle.
+
+    ``match`` gets the found boxes, then the true ones.  With ``kind`` only boxes of equal kind match.
+    """
+    keys = [frame, kind] if kind else [frame]
 
     @F.pandas_udf("long")
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(match(_boxes(x), _boxes(y), least)) for x, y in zip(a, b, strict=True)], dtype="int64")
+        return pd.Series([len(match(_boxes(y), _boxes(x), least)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-    columns = list(dict.fromkeys([frame, *order, *_BOX]))
+    columns = list(dict.fromkeys([*keys, *order, *_BOX]))
     both = truth.select(*columns, F.lit(True).alias("__truth")).unionByName(found.select(*columns, F.lit(False).alias("__truth")))
     entry = F.struct(*order, *_BOX)
-    sides = both.groupBy(frame).agg(*(F.array_sort(F.collect_list(F.when(on, entry))).alias(n) for n, on in (("__a", F.col("__truth")), ("__b", ~F.col("__truth")))))
+    sides = both.groupBy(*keys).agg(*(F.array_sort(F.collect_list(F.when(on, entry))).alias(n) for n, on in (("__a", F.col("__truth")), ("__b", ~F.col("__truth")))))
     counted = sides.withColumn("tp", matched(_flat(F.col("__a")), _flat(F.col("__b"))))
-    return counted.select(frame, "tp", (F.size("__b") - F.col("tp")).alias("fp"), (F.size("__a") - F.col("tp")).alias("fn"))
+    counted = counted.select(frame, "tp", (F.size("__b") - F.col("tp")).alias("fp"), (F.size("__a") - F.col("tp")).alias("fn"))
+    return counted.groupBy(frame).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))) if kind else counted
 
 
 def scored_assignment(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:
@@ -290,3 +295,13 @@ def iou_pairs(a: DataFrame, b: DataFrame, frame: str, least: float) -> DataFrame
 
     boxes = [tuple(F.col(f"{n}.{c}").cast("double") for c in _BOX) for n in ("a", "b")]
     return a.join(b, frame).select(frame, "a_id", "b_id", g.iou(*boxes).alias("iou")).where(F.col("iou") >= least)
+
+
+def nearest_of(box: Column, tracks: Column) -> Column:
+    """The place in ``tracks`` (flat boxes in a row) of ``nearest_track`` of a flat box; null for none."""
+
+    @F.pandas_udf("int")
+    def places(own: pd.Series, flat: pd.Series) -> pd.Series:
+        return pd.Series([nearest_track(np.asarray(b, float), _boxes(f)) for b, f in zip(own, flat, strict=True)], dtype="Int32")
+
+    return places(box, tracks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import ratio
@@ -49,3 +49,13 @@ def active_labels(rows: DataFrame, label: str, time_col: str, window: str) -> Da
 def matching_lines(rows: DataFrame, label: str, text: str, pattern: str, time_col: str, window: str) -> DataFrame:
     """(label, window_start, n, per_second) of log lines that match."""
     return event_rate(rows.where(F.col(text).rlike(pattern)), [label], time_col, window)
+
+
+def instant_up(rows: DataFrame, series: str, time_col: str, since: Column) -> DataFrame:
+    """(series, up): 1 for series whose latest sample is not older than ``since``, else 0."""
+    return rows.groupBy(series).agg(F.max(time_col).alias("__last")).select(series, (F.col("__last") >= since).cast("int").alias("up"))
+
+
+def log_lines(rows: DataFrame, line: str, pattern: str) -> DataFrame:
+    """The raw rows whose line matches."""
+    return rows.where(F.col(line).rlike(pattern))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut_lineage
+
 
 def range_scan(rows: DataFrame, key: str, value, time_col: str, start, stop) -> DataFrame:
     """``key = value`` and time in [start, stop): both reach the scan."""
@@ -50,3 +52,28 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
     best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__best"))
     return best.select(*key, *[F.col(f"__best.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
+def between(rows: DataFrame, time_col: str, start: str, stop: str) -> DataFrame:
+    """Rows from start on and before stop (times as text); an empty or reversed range is an error."""
+    if start >= stop:
+        raise ValueError("start has to lie before stop")
+    return rows.where((F.col(time_col) >= F.lit(start).cast("timestamp")) & (F.col(time_col) < F.lit(stop).cast("timestamp")))
+
+
+def accumulated(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """All rows with page, the number from 1 of the page of ``size`` rows that holds them: what reading page after page comes to, in one scan.
+
+    Pages are numbered by partitions in order: a row's place is its place in its partition and the rows of
+    the partitions before.
+    """
+    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    counts = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # one row for each partition
+    before, total = {}, 0
+    for r in counts:
+        before[r.p] = total
+        total += r.n
+    starts = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    at = F.element_at(starts, part) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("page", (F.floor(at / size) + 1).cast("long")).drop("__id")

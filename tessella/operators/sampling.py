@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import sampling_key
+from tessella.operators.skew import least_text
 from tessella.session import cut_lineage
 
 
 def hash_split(groups: DataFrame, id_col: str, seed: str = "split", share: float = 0.1) -> DataFrame:
     """``groups`` with split: val for the first max(1, round(share * n)) ids by their hash (none if there is one id only), train for the others.
 
-    The boundary is found from the id count and a top-k of hashes, not by numbering all ids in one task.
+    The boundary is found from the id count and counts of hash prefixes, not by numbering ids in one task.
     """
     keyed = groups.withColumn("__key", sampling_key(seed, F.col(id_col)))
     n = groups.select(id_col).distinct().count()
     k = 0 if n <= 1 else max(1, round(share * n))
     if not k:
         return groups.withColumn("split", F.lit("train"))
-    last = keyed.select("__key").distinct().orderBy("__key").limit(k).agg(F.max("__key")).first()[0]
+    last = least_text(keyed, F.col("__key"), k)
     return keyed.withColumn("split", F.when(F.col("__key") <= last, "val").otherwise("train")).drop("__key")
 
 
@@ -88,3 +89,28 @@ def spot_check(rows: DataFrame, group: list[str], id_col: str, share: float, req
     rank, n = F.row_number().over(w.orderBy(key, id_col)), F.count(F.lit(1)).over(w)
     picked = rows.withColumns({"__r": rank, "__k": F.greatest(F.lit(1), F.bround(n * share))})
     return picked.where((F.col("__r") <= F.col("__k")) | F.coalesce(required, F.lit(False))).drop("__r", "__k")
+
+
+def three_way_split(rows: DataFrame, group: str, id_col: str, seed: str = "split") -> DataFrame:
+    """``rows`` with split: in each group the first ids by hash are test, the next val, by ``three_way_counts`` of the group's size.
+
+    Groups are sessions of a bounded number of rows; each is numbered in one task.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(group))
+    k = F.when(n < 3, 0).when(n < 10, 1).otherwise(F.bround(n * 0.1))
+    at = F.row_number().over(Window.partitionBy(group).orderBy(sampling_key(seed, F.col(id_col)), id_col))
+    marked = rows.withColumns({"__k": k, "__at": at})
+    return marked.withColumn("split", F.when(F.col("__at") <= F.col("__k"), "test").when(F.col("__at") <= 2 * F.col("__k"), "val").otherwise("train")).drop("__k", "__at")
+
+
+def verified_counts(rows: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """``expected`` (key, expected) with found and right: whether there are just as many rows; keys that nobody expects come with null."""
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    joined = expected.join(found, key, "full").na.fill(0, ["found"])
+    return joined.withColumn("right", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)))
+
+
+def required_and_sampled(rows: DataFrame, required: Column, sampled: DataFrame, id_col: str) -> DataFrame:
+    """Rows that are required or sampled, each once."""
+    drawn = sampled.select(id_col, F.lit(True).alias("__drawn")).distinct()
+    return rows.join(drawn, id_col, "left").where(F.coalesce(required, F.lit(False)) | F.col("__drawn").isNotNull()).drop("__drawn")

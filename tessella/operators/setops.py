@@ -49,3 +49,26 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
 def extend_without_collision(base: DataFrame, extra: DataFrame, id_col: str) -> DataFrame:
     """The union, rows of ``extra`` with an id of ``base`` left out."""
     return base.unionByName(extra.join(base.select(id_col).distinct(), id_col, "left_anti").select(*base.columns))
+
+
+def union_of_keys(keys: list[str], *tables: DataFrame) -> DataFrame:
+    """The distinct keys of all tables."""
+    first, *rest = (t.select(*keys).distinct() for t in tables)
+    for t in rest:
+        first = first.union(t)
+    return first.distinct()
+
+
+def resolution_problems(inventory: DataFrame, report: DataFrame, width: int, height: int) -> DataFrame:
+    """(source_id, problem) of sources that the report lacks, has in another size, or has though the inventory does not."""
+    a = inventory.select("source_id", F.lit(True).alias("__in")).distinct()
+    rows = a.join(report, "source_id", "full")
+    problem = F.when(F.col("width").isNull(), "MISSING").when((F.col("width") != width) | (F.col("height") != height), "WRONG_SIZE").when(F.col("__in").isNull(), "UNEXPECTED")
+    return rows.withColumn("problem", problem).where("problem is not null").select("source_id", "problem")
+
+
+def group_problems(members: DataFrame) -> DataFrame:
+    """(group_id, problem) of duplicate groups (group_id, id, kept) that have one member, a member twice, or not just one that is kept."""
+    each = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if("kept").alias("kept"))
+    problem = F.when(F.col("n") < 2, "ALONE").when(F.col("ids") < F.col("n"), "MEMBER_TWICE").when(F.col("kept") != 1, "NOT_ONE_KEPT")
+    return each.withColumn("problem", problem).where("problem is not null").select("group_id", "problem")

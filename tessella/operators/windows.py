@@ -98,6 +98,33 @@ def append_ordinals(rows: DataFrame, group: str, order: list, target: str, activ
     return rows.withColumn("assigned", F.when(need, F.coalesce(F.max(target).over(w), F.lit(0)) + ordinal).otherwise(F.col(target)))
 
 
+def newest_of_each(rows: DataFrame, key: str, order: list[str], every: int) -> DataFrame:
+    """The last of each ``every`` rows of a key, with ``batch``, its number from 1: what a consumer that comes by so often gets."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("__at", at).where(F.col("__at") % every == 0).withColumn("batch", F.floor(F.col("__at") / every)).drop("__at")
+
+
+def poll_differences(rows: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
+    """Rows whose state differs from the one before, with ``from_state``; a key's first row gives none."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = rows.withColumns({"from_state": F.lag(state).over(w), "__first": F.row_number().over(w) == 1})
+    return marked.where(~F.col("__first") & ~F.col("from_state").eqNullSafe(F.col(state))).drop("__first")
+
+
+def consensus(rows: DataFrame, key: str, order: list[str], value: str, size: int = 5, votes: int = 3) -> DataFrame:
+    """``rows`` with confirmed, the last value that had ``votes`` of ``size`` rows in a row (over half of them), and switches, how often it changed."""
+    if 2 * votes <= size:
+        raise ValueError("votes have to be over half of size")
+    w = Window.partitionBy(key).orderBy(*order)
+    seen = F.collect_list(value).over(w.rowsBetween(1 - size, 0))
+    won = F.filter(F.array_distinct(seen), lambda v: F.size(F.filter(seen, lambda x: x == v)) >= votes)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__won", F.get(won, F.lit(0))).withColumn("confirmed", F.last("__won", ignorenulls=True).over(so_far))
+    before = F.lag("confirmed").over(w)
+    rows = rows.withColumn("__switch", F.coalesce(before != F.col("confirmed"), F.lit(False)).cast("long"))
+    return rows.withColumn("switches", F.sum("__switch").over(so_far)).drop("__won", "__switch")
+
+
 def grid_places(rows: DataFrame, group: str, order: list, columns: int = 4) -> DataFrame:
     """grid_row and grid_column, both from 1, by the order in each group."""
     i = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
@@ -138,3 +165,23 @@ def asof(left: DataFrame, right: DataFrame, key: str, time_col: str, value: str)
     w = Window.partitionBy(key).orderBy(time_col, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("asof_value", F.last("__value", ignorenulls=True).over(w))
     return both.where("__side = 1").select(*names, "asof_value")
+
+
+def diagnostics(rows: DataFrame, key: str, order: list[str], counted: dict, value: str) -> DataFrame:
+    """``rows`` with running figures of their key: frames, one count for each condition, and the mean of ``value`` (null while there is none)."""
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counts = {n: F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(so_far) for n, c in counted.items()}
+    return rows.withColumns({"frames": F.count(F.lit(1)).over(so_far), **counts, "mean": F.avg(value).over(so_far)})
+
+
+def smoothed_velocity(rows: DataFrame, key: str, order: list[str], time_col: str, value: str, keep: float = 0.7, span: int = 200) -> DataFrame:
+    """``rows`` with velocity: the first is the change against the row before, a second; then keep * old + (1 - keep) * new; null at first.
+
+    The recurrence is a fold over the last ``span`` changes: what lies before weighs keep ** span, nothing in a double.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    seconds = F.greatest((F.unix_micros(time_col) - F.unix_micros(F.lag(time_col).over(w))) / 1e6, F.lit(1e-3))
+    rows = rows.withColumn("__v", (F.col(value) - F.lag(value).over(w)) / seconds)
+    held = F.collect_list("__v").over(w.rowsBetween(1 - span, 0))  # nulls are left out: the first row has none
+    folded = F.aggregate(F.slice(held, 2, span), F.get(held, F.lit(0)), lambda a, b: keep * a + (1 - keep) * b)
+    return rows.withColumn("velocity", F.when(F.size(held) > 0, folded)).drop("__v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import registry, reports, scans, sequences  # noqa: F401  (registering)
+from tessella.plans import flows, registry, reports, rules, scans, sequences  # noqa: F401  (registering)
 
 FLAGSHIP = "change_points"
 

@@ -62,14 +62,16 @@ def keyset_after(spark, d):
     return paging.keyset_after(table(spark, d, "events"), "ts", "event_id", 20, 50).select("event_id", text("ts").alias("ts"))
 
 
-@query("select event_id from events where event_id < 0")
+@query("select event_id from events where event_id < 0 union all select max(event_id) from events where (select count(*) from events where event_id = -1) = 0")
 def keyset_unknown_cursor(spark, d):
-    return paging.keyset_after(table(spark, d, "events"), "ts", "event_id", 20, -1).select("event_id")
+    """A cursor that does not exist gives no page; the largest id beside it shows that the table was read."""
+    e = table(spark, d, "events")
+    return paging.keyset_after(e, "ts", "event_id", 20, -1).select("event_id").union(e.agg(F.max("event_id")))
 
 
-@query("select p_partkey, p_brand from part order by case when regexp_matches(p_brand, '^Brand#?[0-9]+$') then 0 else 1 end, cast(nullif(regexp_extract(p_brand, '^Brand#?([0-9]+)$', 1), '') as bigint), p_brand, p_partkey limit 50")
+@query("select p_partkey, p_brand from part order by case when regexp_matches(p_brand, '^Brand#?[0-9]+$') then 0 else 1 end, cast(nullif(regexp_extract(p_brand, '^Brand#?([0-9]+)$', 1), '') as bigint), p_brand, p_partkey")
 def natural_sort(spark, d):
-    return table(spark, d, "part").orderBy(*paging.natural_order(F.col("p_brand"), "Brand"), "p_partkey").limit(50).select("p_partkey", "p_brand")
+    return table(spark, d, "part").orderBy(*paging.natural_order(F.col("p_brand"), "Brand"), "p_partkey").select("p_partkey", "p_brand")
 
 
 @query("select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as r from events) where r <= 2")
@@ -217,11 +219,11 @@ def event_ids(spark, d):
     return e.select("event_id", s.event_id(c, F.col("ts"), F.col("event_id")).alias("id"), s.entry_event_id(c, F.col("ts"), F.col("event_id")).alias("entry_id"))
 
 
-@query("select event_id, true as round_trip from events")
+@query("select event_id, user_id || '/' || strftime(ts, '%Y-%m-%d/%Y%m%dT%H%M%S') || lpad(cast((epoch_us(ts) // 1000) % 1000 as varchar), 3, '0') || '.jpg' as key, cast(user_id as varchar) as camera, epoch_us(ts) // 1000 as millis from events")
 def object_keys(spark, d):
     e = events(spark, d).withColumn("key", s.object_key(F.col("user_id").cast("string"), F.col("ts"), ".jpg"))
     back = s.parse_object_key(F.col("key"), ".jpg")
-    return e.select("event_id", ((back["camera"] == F.col("user_id").cast("string")) & (back["ts"] == F.date_trunc("millisecond", "ts"))).alias("round_trip"))
+    return e.select("event_id", "key", back["camera"].alias("camera"), F.unix_millis(back["ts"]).alias("millis"))
 
 
 @query("select page_id, regexp_replace(url, '://', '://user:pw@') <> url as changed, regexp_replace(url, '://', '://***@') as masked from pages where url like '%://%'")
@@ -244,11 +246,18 @@ def time_functions(spark, d):
     return events(spark, d).select("event_id", tf.local_text(ts).alias("local"), tf.local_day(ts).cast("string").alias("day"), tf.week_start(ts).cast("string").alias("week"), tf.duration_warning(F.col("value"), 100).alias("warning"))
 
 
-@query("""select event_id, case when extract(second from ts) < 1 and false then '' when cast(ts + interval 9 hour as date) = cast(ts + interval 11 hour as date) then strftime(ts + interval 9 hour, '%Y-%m-%d %H:%M:%S') || '~' || strftime(ts + interval 11 hour, '%H:%M:%S')
-  else strftime(ts + interval 9 hour, '%Y-%m-%d %H:%M:%S') || '~' || strftime(ts + interval 11 hour, '%Y-%m-%d %H:%M:%S') end as period from events where extract(second from ts) >= 1""")
+_CLOCK = "case when extract(second from a) // 1 <> 0 or extract(second from b) // 1 <> 0 then strftime({0}, '%H:%M:%S') else strftime({0}, '%H:%M') end"
+_DATED = "year({0}) || '년 ' || month({0}) || '월 ' || day({0}) || '일'"
+_PERIOD = f"""case when cast(a as date) = cast(b as date) then {_DATED.format("a")} || ' ' || {_CLOCK.format("a")} || '~' || {_CLOCK.format("b")}
+  else {_DATED.format("a")} || ' ' || {_CLOCK.format("a")} || '부터 ' || case when year(a) = year(b) then month(b) || '월 ' || day(b) || '일' else {_DATED.format("b")} end || ' ' || {_CLOCK.format("b")} || '까지' end"""
+
+
+@query(f"select event_id, {_PERIOD} as period from (select event_id, t + interval 9 hour as a, t + interval 9 hour + interval 2 hour + case when event_id % 5 = 0 then interval 340 day else interval 0 day end as b from (select event_id, case when event_id % 3 = 0 then date_trunc('minute', ts) else ts end as t from events))")
 def period_texts(spark, d):
-    e = events(spark, d).where(F.second("ts") >= 1)
-    return e.select("event_id", tf.period_text(F.col("ts"), F.col("ts") + F.expr("interval 2 hours")).alias("period"))
+    """Whole minutes, seconds, midnights and turns of the year."""
+    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 3 == 0, F.date_trunc("minute", "ts")).otherwise(F.col("ts")).alias("a"))
+    b = F.col("a") + F.expr("make_interval(0, 0, 0, if(event_id % 5 = 0, 340, 0), 2)")
+    return e.select("event_id", tf.period_text(F.col("a"), b).alias("period"))
 
 
 _BOXES = "select l_orderkey, l_linenumber, l_quantity as x1, l_tax * 100 as y1, l_quantity + 20 as x2, l_tax * 100 + 10 as y2 from lineitem"
@@ -356,9 +365,9 @@ def cascade_delete(spark, d):
     return writers.without_deleted(table(spark, d, "orders"), gone, "o_custkey").select("o_orderkey")
 
 
-@query("select 'source-' || substr(sha256('trace:' || user_id), 1, 8) as alias, event_id, value from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r <= 5")
+@query("select 'source-' || substr(sha256('query salt:' || user_id), 1, 8) as alias, event_id, value from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r <= 5")
 def anonymised_trace(spark, d):
-    return writers.anonymised(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_id", "value"], 5)
+    return writers.anonymised(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_id", "value"], 5, "query salt:")
 
 
 @query("""select '{"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' as value from nation""")

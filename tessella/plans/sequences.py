@@ -87,9 +87,9 @@ def fingerprint_likeness(spark, d):
     return windows.most_alike(events(spark, d), "user_id", ["ts", "event_id"], "event_id").select("event_id", "likeness")
 
 
-@query("select event_id, row_number() over (order by ts, event_id) as index from events where user_id = 5")
+@query("select event_id, row_number() over (partition by user_id order by ts, event_id) as index from events")
 def event_numbering(spark, d):
-    return windows.numbered(events(spark, d).where("user_id = 5"), ["ts", "event_id"], ["user_id"]).select("event_id", F.col("index").cast("long").alias("index"))
+    return windows.numbered(events(spark, d), ["ts", "event_id"], ["user_id"]).select("event_id", F.col("index").cast("long").alias("index"))
 
 
 @query("with i as (select user_id, min(ts) as t from events where event_type = 'view' group by 1), a as (select user_id, min(ts) as t from events where event_type = 'purchase' group by 1), w as (select (epoch_us(a.t) - epoch_us(i.t)) / 1e6 as w from a left join i using (user_id)) select count(*) filter (w >= 0) as n, round(avg(w) filter (w >= 0), 4) as mean, count(*) filter (w < 0) as negative, count(*) filter (w is null) as missing from w")
@@ -211,8 +211,7 @@ def _bits(spark, d):
 
 @query()
 def near_duplicate_pairs(spark, d):
-    a = _bits(spark, d).where("doc_id is not null")
-    return dedup.within(a, a.withColumnRenamed("doc_id", "other"), "doc_id", "other", "bits", 4).where("doc_id < other")
+    return dedup.near_pairs(_bits(spark, d), "doc_id", "bits", 4)
 
 
 @query()
@@ -282,9 +281,11 @@ def overlap_components(spark, d):
     return matching.label_overlaps(boxes(spark, d), "l_orderkey", ["l_linenumber"], 0.3).select("l_orderkey", "l_linenumber", "duplicate_group")
 
 
-def _matched(spark, d, how):
+def _matched(spark, d, how, kind=None):
     b = boxes(spark, d)
-    return matching.match_frames(b, b.withColumn("x1", F.col("x1") + 2).withColumn("x2", F.col("x2") + 2), "l_orderkey", ["l_linenumber"], how, 0.5)
+    if kind:
+        b = b.join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind), ["l_orderkey", "l_linenumber"])
+    return matching.match_frames(b, b.withColumn("x1", F.col("x1") + 2).withColumn("x2", F.col("x2") + 2), "l_orderkey", ["l_linenumber"], how, 0.5, kind)
 
 
 @query()
@@ -294,7 +295,7 @@ def box_match_global(spark, d):
 
 @query()
 def box_match_in_order(spark, d):
-    return _matched(spark, d, matching.greedy_in_order)
+    return _matched(spark, d, matching.greedy_in_order, "l_returnflag")
 
 
 @query()
@@ -333,15 +334,14 @@ def throttled_changes(spark, d):
     return _replay(spark, d, lambda: steps.Throttled("n", "ts", 6 * HOUR), "user_id long, event_id long, n long", rows=rows)
 
 
-@query()
+@query("select user_id, event_id, r // 6 as batch from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r % 6 = 0")
 def latest_wins_batch(spark, d):
-    return _replay(spark, d, lambda: steps.LatestWins(4, 6), "user_id long, event_id long, dropped long, skipped long")
+    return windows.newest_of_each(events(spark, d), "user_id", ["ts", "event_id"], 6).select("user_id", "event_id", "batch")
 
 
 @query()
 def coalesced_dispatch(spark, d):
-    rows = events(spark, d).select(F.lit(0).alias("user_id"), "event_id", "ts", "event_type", "value")
-    return _replay(spark, d, lambda: steps.Coalescing("event_type", "ts", HOUR), "event_id long, event_type string, coalesced long, dropped long", rows=rows)
+    return _replay(spark, d, lambda: steps.Coalescing("event_type", "ts", 24 * HOUR), "user_id long, event_id long, event_type string, coalesced long, dropped long")
 
 
 @query()
@@ -360,17 +360,23 @@ def occupancy_apply(spark, d):
     return _replay(spark, d, lambda: steps.Occupancy("ts", "event_type"), "event_id long, from_state string, applied boolean, changed boolean", order=("value", "event_id"))
 
 
-@query()
+_VOTES = """with r as (select *, row_number() over (partition by user_id order by ts, event_id) as r from events),
+v as (select a.user_id, a.event_id, a.r, b.event_type, count(*) as n from r a join r b on a.user_id = b.user_id and b.r between a.r - 4 and a.r group by all having count(*) >= 3),
+c as (select r.user_id, r.event_id, r.r, v.event_type as voted, last_value(v.event_type ignore nulls) over (partition by r.user_id order by r.r rows unbounded preceding) as confirmed, last_value(v.event_type ignore nulls) over (partition by r.user_id order by r.r rows between unbounded preceding and 1 preceding) as before from r left join v using (user_id, event_id))
+select event_id, confirmed, cast(sum(case when before is not null and confirmed <> before then 1 else 0 end) over (partition by user_id order by r rows unbounded preceding) as bigint) as switches from c"""
+
+
+@query(_VOTES)
 def consensus(spark, d):
-    return _replay(spark, d, lambda: steps.Consensus("event_type"), "event_id long, confirmed string, switches long")
+    return windows.consensus(events(spark, d), "user_id", ["ts", "event_id"], "event_type").select("event_id", "confirmed", "switches")
 
 
-@query()
+@query("select event_id, before as from_state, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before <> event_type")
 def poll_diff(spark, d):
-    return _replay(spark, d, lambda: steps.PollDiff("event_type"), "event_id long, from_state string, event_type string")
+    return windows.poll_differences(events(spark, d), "user_id", ["ts", "event_id"], "event_type").select("event_id", "from_state", "event_type")
 
 
-@query()
+@query("select event_id, list_reduce(list(value) over (partition by user_id order by ts, event_id rows unbounded preceding), lambda a, b: 0.35 * a + (1 - 0.35) * b) as smooth_value from events")
 def smoothed_values(spark, d):
     return _replay(spark, d, lambda: steps.Ema(["value"], 0.35), "event_id long, smooth_value double")
 
@@ -391,12 +397,13 @@ def track_prototype(spark, d):
 def tracker_replay(spark, d):
     b = boxes(spark, d)
     frames = b.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("x1", "y1", "x2", "y2", F.col("confidence").cast("double")).alias("b")))).alias("l"))
-    frames = frames.select((F.col("l_orderkey") % 40).alias("camera"), F.col("l_orderkey").alias("frame"), F.col("l_orderkey").cast("double").alias("at"), F.transform("l", lambda e: e["b"]).alias("boxes"))
-    return hosts.replay(frames, ["camera"], ["frame"], lambda: steps.Tracker(kalman=True, lifecycle=True, suppress=True), "frame long, kind string, box int, track string, state string")
+    # a camera's frames in stretches, as days would be: a track does not outlive its stretch
+    frames = frames.select((F.col("l_orderkey") % 40).alias("camera"), F.floor(F.col("l_orderkey") / 4000).alias("stretch"), F.col("l_orderkey").alias("frame"), F.col("l_orderkey").cast("double").alias("at"), F.transform("l", lambda e: e["b"]).alias("boxes"))
+    return hosts.replay(frames, ["camera", "stretch"], ["frame"], lambda: steps.Tracker(kalman=True, lifecycle=True, suppress=True), "frame long, kind string, box int, track string, state string")
 
 
 @query()
 def handover_replay(spark, d):
     e = events(spark, d).where("event_type in ('signup', 'view')")
-    rows = e.select((F.col("user_id") % 10).alias("route"), "event_id", F.col("ts").alias("at"), F.when(F.col("event_type") == "signup", "face").otherwise("track").alias("kind"), F.concat(F.lit("f"), "event_id").alias("face_track"), F.concat(F.lit("u"), "user_id").alias("student"), F.lit(0.9).alias("similarity"), F.concat(F.lit("t"), "event_id").alias("track"), F.lit(True).alias("inside"))
-    return hosts.replay(rows, ["route"], ["at", "event_id"], lambda: steps.Handover(delay=8 * HOUR, skew=0.5 * HOUR, stale=30 * HOUR), "event string, track string, student string, similarity double")
+    rows = e.select((F.col("user_id") % 10).alias("route"), F.to_date("ts").alias("day"), "event_id", F.col("ts").alias("at"), F.when(F.col("event_type") == "signup", "face").otherwise("track").alias("kind"), F.concat(F.lit("f"), "event_id").alias("face_track"), F.concat(F.lit("u"), "user_id").alias("student"), F.lit(0.9).alias("similarity"), F.concat(F.lit("t"), "event_id").alias("track"), F.lit(True).alias("inside"))
+    return hosts.replay(rows, ["route", "day"], ["at", "event_id"], lambda: steps.Handover(delay=8 * HOUR, skew=0.5 * HOUR, stale=30 * HOUR), "event string, track string, student string, similarity double")

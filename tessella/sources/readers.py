@@ -117,3 +117,28 @@ class Settings:
             if isinstance(v, bool) or not isinstance(v, int | float) or v < 0 or (f.name.endswith("threshold") and v > 1):
                 raise ValueError(f"{f.name} is out of range")
         return made
+
+
+#: The roles that a session may have.
+ROLES = ("dataset", "evaluation", "excluded")
+
+
+def assignment_problems(rows: DataFrame, approvals: list[str], session: str = "session_id", role: str = "role") -> DataFrame:
+    """Session assignments with problem: BAD_ID, BAD_ROLE, MISSING_APPROVAL (of a session that is not excluded), REPEATED, the first that holds, or null."""
+    from tessella.functions.text import is_safe_id
+    from tessella.operators.filters import first_failure, incomplete
+
+    n = rows.groupBy(F.trim(session).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    trimmed = rows.withColumn("__id", F.trim(session)).join(n, "__id", "left")
+    rules = [("BAD_ID", ~is_safe_id(F.col("__id"))), ("BAD_ROLE", ~F.coalesce(F.col(role).isin(*ROLES), F.lit(False))), ("MISSING_APPROVAL", incomplete(F.col(role), [F.col(c) for c in approvals])), ("REPEATED", F.col("__n") > 1)]
+    return trimmed.withColumn("problem", first_failure(rules)).drop("__id", "__n")
+
+
+def assignments(spark: SparkSession, path: str, approvals: list[str]) -> DataFrame:
+    """A CSV of session assignments; the first row with a problem ends the read."""
+    names = ["session_id", "role", *approvals]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
+    checked = assignment_problems(rows, approvals)
+    fails = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(" ", "problem", "session_id")).cast("boolean")).otherwise(F.lit(True))
+    return checked.where(fails).select(*names)

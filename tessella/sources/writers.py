@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +81,78 @@ def run_log(rows: DataFrame, allowed: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*[c for c in allowed if c in rows.columns])).alias("value"))
 
 
-def anonymised(rows: DataFrame, key: str, order: list[str], columns: list[str], most: int) -> DataFrame:
-    """The first ``most`` rows of each key, allowed columns only, the key by an alias that a salted hash gives."""
+def anonymised(rows: DataFrame, key: str, order: list[str], columns: list[str], most: int, salt: str) -> DataFrame:
+    """The first ``most`` rows of each key, allowed columns only, the key by an alias from a hash with the caller's secret ``salt``."""
+    if not salt:
+        raise ValueError("without a salt anyone can list the aliases")
     w = Window.partitionBy(key).orderBy(*order)
     kept = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most)
-    return kept.select(F.concat(F.lit("source-"), F.substring(F.sha2(F.concat(F.lit("trace:"), F.col(key).cast("string")), 256), 1, 8)).alias("alias"), *columns)
+    return kept.select(F.concat(F.lit("source-"), F.substring(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256), 1, 8)).alias("alias"), *columns)
 
 
 def report_page(rows: DataFrame, title: str, columns: list[str], most: int = 10_000) -> DataFrame:
-    """One row with a self-contained page that embeds the rows as JSON; a report of at most ``most`` rows."""
-    body = rows.select(F.struct(*columns).alias("r")).limit(most)
-    data = body.agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("j")).select(F.replace(F.col("j"), F.lit("</"), F.lit("<\\/")).alias("j"))
+    """One row with a self-contained page that embeds all rows as JSON, in order.
+
+    A page is one text, so it is for reports; over ``most`` rows it is an error, never a page with some of them.
+    """
+    n = F.count(F.lit(1))
+    fits = F.when(n > most, F.raise_error(F.lit(f"a page holds at most {most} rows")).cast("string"))
+    body = rows.limit(most + 1).select(F.struct(*columns).alias("r"))
+    data = body.agg(F.coalesce(fits, F.to_json(F.array_sort(F.collect_list("r")))).alias("j")).select(F.replace(F.col("j"), F.lit("</"), F.lit("<\\/")).alias("j"))
     return data.select(F.concat(F.lit(f"<!doctype html><meta charset='utf-8'><title>{title}</title><script type='application/json' id='rows'>"), "j", F.lit("</script>")).alias("html"))
+
+
+def applied(stored: DataFrame, changes: DataFrame, key: str, version: str, expected: str, order: str) -> DataFrame:
+    """``stored`` after a batch of changes (key, expected version, columns, order): of each row the last change whose expected version is the stored one; others change nothing.
+
+    A change that is taken raises the version by one, so applying a batch twice is applying it once.
+    """
+    values = [c for c in changes.columns if c not in (key, expected, order)]
+    fitting = changes.join(stored.select(key, F.col(version).alias("__v")), key).where(F.col(expected) == F.col("__v"))
+    last = fitting.groupBy(key).agg(F.max_by(F.struct(*values), F.col(order)).alias("__new"))
+    rows = stored.join(last, key, "left")
+    taken = F.col("__new").isNotNull()
+    return rows.select(*[F.when(taken, F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in values else (F.col(c) + taken.cast("int")).alias(c) if c == version else F.col(c) for c in stored.columns])
+
+
+def replaced(rows: DataFrame, out: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``rows`` without the keys of ``out`` and with those of ``new`` that they do not have."""
+    left = rows.join(out.select(key).distinct(), key, "left_anti")
+    return left.unionByName(new.join(left.select(key), key, "left_anti").dropDuplicates([key]).select(*left.columns))
+
+
+def merged_back(rows: DataFrame, audited: DataFrame, key: str, value: str = "label") -> DataFrame:
+    """``rows`` with the audited value where there is one, and ``audited``; an audit of a key that is not there, or of one twice, is an error."""
+    bad = audited.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(rows.select(key, F.lit(1).alias("__r")), key, "left").where("n > 1 or __r is null")
+    if not bad.isEmpty():
+        raise ValueError("an audit names a row that is not there, or one twice")
+    joined = rows.join(audited.select(key, F.col(value).alias("__new")), key, "left")
+    return joined.withColumn("audited", F.col("__new").isNotNull()).withColumn(value, F.coalesce("__new", value)).drop("__new")
+
+
+def publish(rows: DataFrame, root: str, fingerprint: str) -> int:
+    """Write ``rows`` as the next version under ``root`` and return its number; a fingerprint that is there already gives that version, and nothing is written.
+
+    A version is a folder ``version=N`` with its rows and a one-row manifest.  The manifest is written last,
+    so a version that was not finished is not found.
+    """
+    spark = rows.sparkSession
+    known = published(spark, root)
+    for r in known:
+        if r["fingerprint"] == fingerprint:
+            return r["version"]
+    version = max((r["version"] for r in known), default=0) + 1
+    rows.write.mode("overwrite").parquet(f"{root}/data/version={version}")
+    spark.createDataFrame([(version, fingerprint)], "version int, fingerprint string").write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def published(spark, root: str) -> list:
+    """(version, fingerprint) of all finished versions."""
+    try:
+        found = spark.read.schema("version int, fingerprint string").parquet(f"{root}/manifest")
+        return sorted(found.collect(), key=lambda r: r["version"])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise

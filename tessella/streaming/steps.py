@@ -31,35 +31,8 @@ class Throttled(Step):
         return [row]
 
 
-class LatestWins(Step):
-    """A bounded buffer that a consumer empties every ``every`` rows: it takes the newest and skips the others; a full buffer drops its oldest."""
-
-    def __init__(self, size: int, every: int):
-        self.size, self.every, self.held, self.seen = size, every, deque(), 0
-        self.dropped = self.skipped = 0
-
-    def __call__(self, row: Row) -> list[Row]:
-        if len(self.held) == self.size:
-            self.held.popleft()
-            self.dropped += 1
-        self.held.append(row)
-        self.seen += 1
-        return self._take() if self.seen % self.every == 0 else []
-
-    def _take(self) -> list[Row]:
-        if not self.held:
-            return []
-        newest = self.held.pop()
-        self.skipped += len(self.held)
-        self.held.clear()
-        return [newest | {"dropped": self.dropped, "skipped": self.skipped}]
-
-    def finish(self) -> list[Row]:
-        return self._take()
-
-
 class Coalescing(Step):
-    """One pending row for each ``target``: a newer one replaces it; it is delivered when the target's last delivery is ``seconds`` old. At most ``most`` targets wait, the oldest goes."""
+    """Of a key's rows one waits for each ``target``, a newer one in its place; it is given out when the target's last one is ``seconds`` old. At most ``most`` targets wait, the oldest goes."""
 
     def __init__(self, target: str, time: str, seconds: float, most: int = 32):
         self.target, self.time, self.seconds, self.most = target, time, seconds, most
@@ -84,7 +57,7 @@ class Coalescing(Step):
 
 
 class Sessions(Step):
-    """Sessions in order of start: an end not after its start is ``invalid``, a start over ``tolerance`` seconds before the last accepted end ``overlap``; both are told and left out. A gap over ``gap`` seconds begins a new session."""
+    """Sessions in order of start: an end not after its start is ``invalid``, a start over ``tolerance`` seconds before the end of the last accepted row ``overlap``; both are told and left out. A gap over ``gap`` seconds begins a new session."""
 
     def __init__(self, start: str, stop: str, gap: float = 60.0, tolerance: float = 2.0):
         self.start, self.stop, self.gap, self.tolerance, self.last, self.number = start, stop, gap, tolerance, None, 0
@@ -98,7 +71,7 @@ class Sessions(Step):
             return [row | {"status": "overlap"}]
         if wait is None or wait > self.gap:
             self.number, wait = self.number + 1, None
-        self.last = b if self.last is None else max(self.last, b)
+        self.last = b
         return [row | {"status": "ok", "session": self.number, "gap_seconds": wait}]
 
 
@@ -177,9 +150,10 @@ class Decision(Step):
 
 
 class _Motion:
-    """Constant-velocity filter over (centre x, centre y, aspect, height), in seconds."""
+    """Constant-velocity filter over (centre x, centre y, aspect, height), in seconds; its noise grows with the step."""
 
-    POSITION, SPEED = 1 / 20, 1 / 160
+    #: The weights of position and speed noise, shares of the height, and the longest step in seconds.
+    POSITION, SPEED, LONGEST = 1 / 20, 1 / 160, 1.0
 
     def __init__(self, box: np.ndarray):
         self.mean = np.concatenate([_xyah(box), np.zeros(4)])
@@ -188,12 +162,15 @@ class _Motion:
         self.cov = np.diag(np.square([2 * p, 2 * p, 1e-2, 2 * p, 10 * s, 10 * s, 1e-5, 10 * s]))
 
     def predict(self, seconds: float) -> None:
+        step = float(np.clip(seconds, 0.0, self.LONGEST))
+        if not step:
+            return
         move = np.eye(8)
-        move[:4, 4:] = np.eye(4) * max(seconds, 0.0)
+        move[:4, 4:] = np.eye(4) * step
         h = max(self.mean[3], 1e-6)
         p, s = self.POSITION * h, self.SPEED * h
         self.mean = move @ self.mean
-        self.cov = move @ self.cov @ move.T + np.diag(np.square([p, p, 1e-2, p, s, s, 1e-5, s]))
+        self.cov = move @ self.cov @ move.T + np.diag(np.square(np.array([p, p, 1e-2, p, s, s, 1e-5, s]) * step))
 
     def update(self, box: np.ndarray) -> None:
         p = self.POSITION * max(self.mean[3], 1e-6)
@@ -466,24 +443,3 @@ class Ema(Step):
         mixed = new if self.value is None else [self.keep * a + (1 - self.keep) * b for a, b in zip(self.value, new, strict=True)]
         self.value = [float(round(x)) for x in mixed] if self.whole else mixed
         return [row | {f"smooth_{c}": v for c, v in zip(self.columns, self.value, strict=True)}]
-
-
-class Ledger(Step):
-    """Ticks of a report clock: a period that ended, is not reported and began after watching did is due for ``catch_up`` minutes; later it is missed, told once.
-
-    A row has at, ended_at (of the period), began_at, period, watching_since and delivered (whether a due report is sent at this tick).
-    """
-
-    def __init__(self, catch_up: float = 60.0):
-        self.catch_up, self.done = catch_up, {}
-
-    def __call__(self, row: Row) -> list[Row]:
-        late = _after(row["at"], row["ended_at"]) / 60
-        if late < 0 or row["period"] in self.done or row["began_at"] < row["watching_since"]:
-            return []
-        if late > self.catch_up:
-            self.done[row["period"]] = "missed"
-            return [row | {"action": "missed"}]
-        if row["delivered"]:
-            self.done[row["period"]] = "reported"
-        return [row | {"action": "report"}]
