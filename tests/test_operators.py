@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 from itertools import permutations
 
 import numpy as np
@@ -11,10 +12,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.operators import dedup, density, matching
+from tessella.operators import dedup, density, joins, matching, skew
 from tessella.operators.graph import connected_components
 from tessella.plans import catalog
-from tessella.streaming import hosts
+from tessella.streaming import hosts, steps
 
 SCHEMA = "frame long, at int, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -61,7 +62,7 @@ def test_frames_of_either_side_are_counted(spark, match):
     want = {}
     for k in left.keys() | right.keys():
         x, y = (np.array([r[2:6] for r in side.get(k, [])]).reshape(-1, 4) for side in (left, right))
-        tp = len(match(x, y, 0.3))
+        tp = len(match(y, x, 0.3))
         want[k] = (tp, len(y) - tp, len(x) - tp)
     assert got == want
 
@@ -207,6 +208,164 @@ def test_replay_carries_a_step_over_batches(spark):
     assert got == sorted(map(repr, want))
 
 
+def slow_leaders(rows: list[tuple], radius: int, box_iou: float) -> dict:
+    """The groups by a loop over rows in order of priority."""
+    leaders, by_content, out = [], {}, {}
+    for camera, i, sha, bits, label, reviewed, sharpness, boxes in sorted(rows, key=lambda r: (not r[5], -r[6], r[1])):
+        if (camera, sha, label) in by_content:
+            out[i] = (by_content[camera, sha, label], "same_content", 0)
+            continue
+        near = []
+        for c, j, other, b in leaders:
+            distance = ((bits ^ other) & (1 << 64) - 1).bit_count()
+            if c == camera and distance <= radius:
+                match = matching.perfect_match(np.array(boxes).reshape(-1, 4), np.array(b).reshape(-1, 4), box_iou)
+                if match is not None:
+                    near.append((distance, -match, j))
+        if near:
+            out[i] = (min(near)[2], "near", min(near)[0])
+        else:
+            out[i] = (i, "leader", 0)
+            leaders.append((camera, i, bits, boxes))
+        by_content[camera, sha, label] = out[i][0]
+    return out
+
+
+def test_leader_groups_equal_the_loop(spark):
+    rng = np.random.default_rng(4)
+    seeds = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 6)]
+    rows = []
+    for i in range(150):
+        bits = seeds[int(rng.integers(0, 6))]
+        for b in rng.integers(0, 64, int(rng.integers(0, 5))):
+            bits ^= (1 << int(b)) if b < 63 else -(1 << 63)
+        x = float(rng.integers(0, 3))
+        boxes = [x, 0.0, x + 20, 10.0] * int(rng.integers(0, 2)) + [50.0, 50.0, 60.0, 60.0]
+        rows.append((f"c{i % 2}", i, f"sha{bits % 97}{i % 2}", bits, f"l{i % 2}", bool(rng.integers(0, 2)), float(rng.integers(0, 4)), boxes))
+    schema = "camera string, id long, sha256 string, bits long, label string, reviewed boolean, sharpness double, boxes array<double>"
+    got = {r.id: (r.group_id, r.reason, r.distance) for r in dedup.leader_groups(spark.createDataFrame(rows, schema), "camera").collect()}
+    assert got == slow_leaders(rows, 4, 0.9) and len({g for g, _, _ in got.values()}) < 100
+    assert dedup.leader_groups(spark.createDataFrame([], schema), "camera").count() == 0
+
+
+def test_near_pairs_and_isolation_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    bits = [int(x) for x in rng.integers(0, 1 << 62, 30)]
+    bits += [b ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for b in bits[:10] for i, j, k in rng.integers(0, 62, (4, 3))] + [bits[0]] * 20 + [None, None]
+    rows = spark.createDataFrame(list(enumerate(bits)), "id long, bits long")
+    got = {(r.id, r.other): r.distance for r in dedup.near_pairs(rows, "id", "bits", 4).collect()}
+    first = {}
+    for i, b in enumerate(bits):
+        first.setdefault(b, i)
+    want = {(first[b], i): 0 for i, b in enumerate(bits) if b is not None and first[b] < i}
+    heads = [(i, b) for b, i in first.items() if b is not None]
+    want |= {(i, j): (a ^ b).bit_count() for i, a in heads for j, b in heads if i < j and (a ^ b).bit_count() <= 4}
+    assert got == want
+    sided = rows.withColumn("sha256", rows["bits"].cast("string"))
+    found = {r.id: (r.verdict, r.other, r.distance) for r in dedup.isolation(sided.where("id % 3 = 0"), sided.where("id % 3 <> 0"), "id", "sha256", "bits").collect()}
+    for i in range(0, len(bits), 3):
+        others = [(-1 if bits[j] == bits[i] else (bits[i] ^ bits[j]).bit_count(), j) for j in range(len(bits)) if j % 3 and bits[i] is not None and bits[j] is not None]
+        best = min([o for o in others if o[0] <= 4], default=None)
+        assert found.get(i) == (None if best is None else ("exact" if best[0] < 0 else "near", best[1], max(best[0], 0)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 4), st.integers(0, 10_000))
+def test_perfect_match_is_found_where_there_is_one(n, seed):
+    rng = np.random.default_rng(seed)
+    a, b = (np.array([[x, y, x + 10, y + 10] for x, y in rng.integers(0, 6, (n, 2))], float).reshape(-1, 4) for _ in range(2))
+    m = matching.iou_matrix(a, b)
+    sound = [p for p in permutations(range(n)) if all(m[i, j] >= 0.5 for i, j in enumerate(p))]
+    got = matching.perfect_match(a, b, 0.5)
+    assert (got is None) == (not sound) and (got is None or any(abs(got - min((m[i, j] for i, j in enumerate(p)), default=1.0)) < 1e-12 for p in sound))
+    assert matching.perfect_match(a, np.vstack([b, [[0, 0, 1, 1]]]), 0.5) is None
+
+
+def test_nearest_track_scores_overlap_and_distance():
+    tracks = np.array([[0, 0, 10, 10], [4, 0, 14, 10], [100, 0, 110, 10]], float)
+    assert matching.nearest_track([3, 0, 13, 10], tracks) == 1 and matching.nearest_track([300, 0, 310, 10], tracks) is None
+    assert matching.nearest_track([0, 0, 1, 1], tracks[:0]) is None
+
+
+def test_places_in_an_order_found_by_counts(spark):
+    rng = np.random.default_rng(3)
+    values = [float(x) for x in np.round(rng.normal(0, 10, 30_000), 4)] + [7.5] * 9_000
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    ordered = sorted(values, reverse=True)
+    for allowed in (0, 1, 500, 12_000, 38_999, 39_000):
+        want = ordered[allowed] if allowed < len(ordered) else None
+        assert skew.highest_beyond(rows, "v", allowed) == (want, sum(v > want for v in ordered) if want is not None else len(ordered))
+    keys = spark.range(9_000).selectExpr("sha2(cast(id as string), 256) as k")
+    known = sorted(r.k for r in keys.collect())
+    assert [skew.least_text(keys, keys["k"], k) for k in (1, 77, 9_000, 9_001, 0)] == [known[0], known[76], known[-1], None, None]
+
+
+def test_hot_keys_are_joined_where_they_lie(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(500)] + [(None, 1), (None, 2), ("lost", 3)], "key string, v long")
+    per_key = rows.where("key is distinct from 'lost'").groupBy("key").count()
+    counts = rows.groupBy("key").agg(skew.F.count(skew.F.lit(1)).alias("n"))
+    got = skew.join_per_key(rows, per_key, skew.hot_keys(counts, "key", 10), "key").collect()
+    assert len(got) == 3502 and {r["count"] for r in got if r.key == "hot"} == {3000} and {r["count"] for r in got if r.key is None} == {2}
+
+
+def test_gallery_of_one_matrix_and_of_blocks(spark):
+    rng = np.random.default_rng(1)
+    probes = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)] + [(99, [0.0] * 4), (98, None)], "p long, vector array<double>")
+    gallery = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "e long, vector array<double>")
+    one, many = ({(r.p, r.e, round(r.similarity, 9), round(r.margin, 9)) for r in joins.gallery_top2(probes, gallery, "p", "e", most_bytes=b).collect()} for b in (1 << 20, 100))
+    assert one == many and len(one) == 40
+    assert {round(r.margin - r.similarity, 9) for r in joins.gallery_top2(probes, gallery.where("e = 0"), "p", "e").collect()} == {1.0}
+
+
+def test_sessions_measure_gaps_from_the_last_accepted_row(spark):
+    """A short clip inside a longer one moves the end back, as in the rules that sessions follow."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [("a", at(0), at(10)), ("a", at(9), at(9.5)), ("a", at(69.4), at(80)), ("a", at(141), at(142)), ("a", at(150), at(150)), ("a", at(139), at(160))]
+    df = spark.createDataFrame(rows, "k string, start timestamp, stop timestamp")
+    got = hosts.replay(df, ["k"], ["start"], lambda: steps.Sessions("start", "stop"), "start timestamp, status string, session long, gap_seconds double").collect()
+    assert [(r.status, r.session, r.gap_seconds) for r in sorted(got, key=lambda r: r.start)] == [("ok", 1, None), ("ok", 1, -1.0), ("ok", 1, 59.9), ("ok", 1, 59.0), ("overlap", None, None), ("invalid", None, None)]
+
+
+def test_filter_steps_are_clamped_and_noise_grows_with_them():
+    still, short, long, longer = (steps._Motion(np.array([0.0, 0, 10, 20])) for _ in range(4))
+    for m, seconds in ((still, 0.0), (short, 0.5), (long, 1.0), (longer, 30.0)):
+        m.mean[4] = 8.0
+        m.predict(seconds)
+    assert still.mean[0] == 5 and short.mean[0] == 9 and long.mean[0] == longer.mean[0] == 13
+    assert (long.cov == longer.cov).all() and short.cov[2, 2] < long.cov[2, 2]
+    assert np.isclose(short.cov[0, 0], 2 * 2 * 1.0 + 0.25 * (10 * 20 / 160) ** 2 + (0.5 * 1.0) ** 2)
+
+
+def test_tracks_over_a_literal_trace():
+    """A box that moves, is weak for a frame, is lost and comes back."""
+    box = lambda x, c: [x, 0.0, x + 10, 20.0, c]
+    frames = [(0, [box(0, 0.9)]), (1, [box(2, 0.9)]), (2, [box(4, 0.2)]), (3, []), (4, [box(8, 0.9), box(80, 0.7)]), (5, [box(10, 0.9)]), (6, [box(12, 0.05)])]
+    tracker, out = steps.Tracker(kalman=True, lifecycle=True), []
+    for frame, boxes in frames:
+        out += [(r["frame"], r["kind"], r["track"], r["state"]) for r in tracker({"frame": frame, "at": frame * 0.2, "boxes": boxes})]
+    assert out == [
+        (0, "box", "person-1", "TENTATIVE"), (0, "move", "person-1", "TENTATIVE"), (1, "box", "person-1", "TRACKED"), (1, "move", "person-1", "TENTATIVE>TRACKED"), (2, "box", "person-1", "TRACKED"),
+        (3, "move", "person-1", "TRACKED>LOST"), (4, "box", "person-1", "TRACKED"), (4, "box", "person-2", "TENTATIVE"), (4, "move", "person-1", "LOST>TRACKED"), (4, "move", "person-2", "TENTATIVE"),
+        (5, "box", "person-1", "TRACKED"), (5, "move", "person-2", "TENTATIVE>REMOVED"), (6, "move", "person-1", "TRACKED>LOST"),
+    ]
+
+
+def test_patches_merge_along_both_axes_and_peaks_go_row_by_row():
+    height = np.zeros((20, 20))
+    height[5, 9] = height[9, 5] = 7.0
+    assert density.grown(height, 1)[0]["cells"] == [(9, 5)]  # the lower row, then the lower column
+    found = [{"cells": [(0, 0)], "support": 5.0, "at": np.array([0.0, 0.0])}, {"cells": [(3, 3)], "support": 4.0, "at": np.array([3.0, 3.0])}, {"cells": [(4, 0)], "support": 3.0, "at": np.array([5.6, 0.0])}]
+    assert [(m["support"], len(m["cells"])) for m in density.merged(found)] == [(9.0, 2), (3.0, 1)]
+
+
+def test_equal_kinds_only_are_matched(spark):
+    rows = [(1, 0, 0.0, 0.0, 10.0, 10.0, 0.9, "a"), (1, 1, 50.0, 0.0, 60.0, 10.0, 0.9, "b")]
+    truth = spark.createDataFrame(rows, SCHEMA + ", kind string")
+    found = spark.createDataFrame([(*r[:7], "b") for r in rows], SCHEMA + ", kind string")
+    got = {k: tuple(matching.match_frames(truth, found, "frame", ["at"], matching.greedy_in_order, 0.5, k).first())[1:] for k in (None, "kind")}
+    assert got == {None: (2, 0, 0), "kind": (1, 1, 1)}
+
+
 @pytest.mark.parametrize("name", ["tracker_replay", "handover_replay"])
 def test_replays_gather_no_key(name, spark, sf_dir):
     assert "FlatMapGroupsInPandas" not in catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
