@@ -26,6 +26,8 @@ from tessella.llm._bpe import Merges, WordEncoder
 from tessella.llm._common import cut_lineage, map_texts
 
 CAPACITY, END_ID = 4096, 1
+#: Words that a worker keeps encoded.
+WORDS_KEPT = 200_000
 
 #: The vocabulary's own split, in re's classes; they agree on all texts without an _ODD character.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -53,7 +55,7 @@ class WordBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
         ids = [np.array([vocab.get(letters[b] + end, -1) for b in range(256)]) for end in ("", suffix)]
-        self.encoder = WordEncoder(Merges(pairs), ids[0], last=ids[1])
+        self.encoder = WordEncoder(Merges(pairs), ids[0], last=ids[1], most=WORDS_KEPT)
 
     @property
     def library(self) -> Tokenizer:

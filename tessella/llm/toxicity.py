@@ -34,7 +34,7 @@ MISS_WEIGHT = 8.0
 #: Words whose n-grams are spread out at a time.
 PART = 8_192
 #: Words that a worker keeps projected at most.
-CACHE = 250_000
+CACHE = 80_000
 _WORD = re.compile(r"\w+")
 
 
@@ -328,7 +328,7 @@ class Scorer:
         fresh, places.fresh = places.fresh, []
         if fresh:
             if places.next > len(self.table):
-                more = np.zeros((2 * places.next, self.table.shape[1]), np.float32)
+                more = np.zeros((places.next + places.next // 2, self.table.shape[1]), np.float32)
                 more[:first] = self.table[:first]
                 self.table = more
             self.table[first : places.next] = self.model.projected(fresh)
