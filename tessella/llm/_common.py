@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.session import cut_lineage  # noqa: F401  (re-exported for the operators)
+from tessella.operators.skew import hot_keys, join_per_key  # noqa: F401  (re-exported for the operators)
+from tessella.session import cut_lineage  # noqa: F401
 
 #: Bytes of text (or of ids) that one slice of an Arrow batch may hold; bounds a worker's memory.
 SLICE_CHARS = 1 << 20
@@ -59,30 +60,6 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-#: A key with more than one row in so many counts as hot; there are fewer than this of them, whatever the table's size.
-HOT_PARTS = 1024
-
-
-def hot_keys(counts: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
-    """(__hot): the keys of ``counts`` (key, n) that hold over one row in ``parts`` of all; fewer than ``parts`` of them."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return cut_lineage(counts.where(F.col("n") > total / parts).select(F.col(key).alias("__hot")))
-
-
-def join_per_key(rows: DataFrame, per_key: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Inner join of many ``rows`` with ``per_key`` (one row for each key), no key of which lands in one task.
-
-    What belongs to the hot keys, fewer than HOT_PARTS, is broadcast and their rows stay where they lie;
-    all other rows are shuffled by key.  Null keys match each other.
-    """
-    is_hot = F.col(key).eqNullSafe(F.col("__hot"))
-    theirs = per_key.withColumnRenamed(key, "__key")
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    at_home = rows.join(F.broadcast(per_key.join(F.broadcast(hot), is_hot, "left_semi").withColumnRenamed(key, "__key")), same).drop("__key")
-    dealt = rows.join(F.broadcast(hot), is_hot, "left_anti").join(theirs, same).drop("__key")
-    return at_home.union(dealt)
-
-
 def hash_bound(share: float) -> int:
     """The 64-bit hash that so large a share of all hashes does not pass."""
     return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
