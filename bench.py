@@ -12,6 +12,7 @@ from tessella.session import local_session
 HEADLINE = (
     "change_points", "range_scan", "keyset_page", "pricing_summary", "state_transitions", "sessionize_gap", "interval_match", "mutual_unique_match",
     "gallery_top2_margin", "iou_pairs", "nms_frames", "box_match_global", "exact_dedup", "stratified_sample", "report_cube", "weekly_summary", "hist_quantile",
+    "near_duplicate_pairs", "component_members", "tracker_replay", "face_owners", "search_newest",
 )
 
 

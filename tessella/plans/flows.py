@@ -186,7 +186,7 @@ def published_versions(spark, d):
 
     path, orders = folder(spark), table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     half = orders.where("o_orderkey % 2 = 0")
-    of = lambda rows: checksum(rows).first()[0]
+    of = lambda rows: checksum(rows).first().checksum
     numbers = [writers.publish(rows, path, str(of(rows))) for rows in (orders, orders, half)]
     stored = spark.read.parquet(f"{path}/data/version={numbers[2]}")
     return stored.agg(*(F.lit(n).alias(c) for n, c in zip(numbers, ("first", "again", "changed"), strict=True)), F.count(F.lit(1)).alias("n"))
@@ -233,10 +233,10 @@ def stream_smoothed(spark, d):
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def stream_latest(spark, d):
-    """An upsert for each micro-batch; the newest version is the latest row of each key."""
+    """An upsert for each micro-batch; what it keeps is the latest row of each key."""
     path, out = _in_parts(spark, _seen(spark, d)), folder(spark)
     _run(pipelines.parquet_stream(spark, path), pipelines.upsert_latest(out, ["user_id"], ["ts", "event_id"]), "append", folder(spark))
-    return pipelines.current(spark, out).select("user_id", "event_id", "event_type")
+    return pipelines.current(spark, out, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("select event_type, strftime(time_bucket(interval 6 hour, ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n from events group by 1, 2")
@@ -245,7 +245,7 @@ def stream_window_counts(spark, d):
     path, out = _in_parts(spark, _seen(spark, d)), folder(spark)
     stream = pipelines.window_counts(pipelines.parquet_stream(spark, path), ["event_type"], "ts", "6 hours", "1 day")
     _run(stream, pipelines.upsert_latest(out, ["event_type", "window_start"], ["n"]), "update", folder(spark))
-    return pipelines.current(spark, out).select("event_type", text("window_start").alias("window_start"), "n")
+    return pipelines.current(spark, out, ["event_type", "window_start"], ["n"]).select("event_type", text("window_start").alias("window_start"), "n")
 
 
 @query("""with g as (select *, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) as gap from events), s as (select *, sum(case when gap is null or gap >= 21600000000 then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from g),

@@ -182,7 +182,11 @@ def table_differences(spark, d):
     return setops.differences(n.where("n_nationkey >= 3"), n.where("n_nationkey < 20")).select("side", "n_nationkey", "n_name")
 
 
-@query()
+_DIGITS = [f"cast(sum(cast('0x' || substr(h, {i}, 12) as bigint)) as varchar)" for i in (1, 13, 25, 37, 49)]
+
+
+@query(f"""select n, sha256(n || ':' || {" || ':' || ".join(f"p{i}" for i in range(5))}) as checksum from (select count(*) as n, {", ".join(f"{p} as p{i}" for i, p in enumerate(_DIGITS))}
+  from (select sha256('{{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}}') as h from nation))""")
 def table_checksum(spark, d):
     return setops.checksum(table(spark, d, "nation"))
 
@@ -309,7 +313,7 @@ def hash_functions(spark, d):
     return table(spark, d, "documents").select("doc_id", h.sha(F.col("doc_id").cast("string"), "source", digits=24).alias("id"), h.sampling_key("run", F.col("doc_id")).alias("sampling_key"), v.hamming(F.col("doc_id"), F.lit(12345).cast("long")).alias("distance"))
 
 
-@query()
+@query("select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from (select doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(cast(doc_id as varchar))) as h from documents)")
 def uuid5_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", h.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("doc_id").cast("string")).alias("id"))
 

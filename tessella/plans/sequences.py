@@ -276,7 +276,12 @@ def nms_tiles(spark, d):
     return matching.per_frame(boxes(spark, d), "l_orderkey", ["l_linenumber"], matching.suppress_tiles).select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query("""with recursive b as (select l_orderkey as k, l_linenumber as n, l_quantity as x, l_tax * 100 as y, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_tax * 100, l_quantity + 20, l_tax * 100 + 10, 1 - l_discount) as i from lineitem),
+o as (select *, greatest(20 - abs(x - u), 0) * greatest(10 - abs(y - v), 0) as common from (select a.k, a.i as i, c.i as j, a.x, c.x as u, a.y, c.y as v from b a join b c on a.k = c.k and a.i <> c.i)),
+p as (select k, i, j from o where common / (400 - common) >= 0.3),
+t as (select k, i, i as low from b union select t.k, p.j, t.low from t join p on t.k = p.k and t.i = p.i),
+c as (select k, i, min(low) as low from t group by 1, 2), s as (select k, low, row_number() over (partition by k order by low) as r from (select k, low from c group by 1, 2 having count(*) > 1))
+select b.k as l_orderkey, b.n as l_linenumber, 'duplicate-' || r as duplicate_group from b join c on b.k = c.k and b.i = c.i left join s on c.k = s.k and c.low = s.low""")
 def overlap_components(spark, d):
     return matching.label_overlaps(boxes(spark, d), "l_orderkey", ["l_linenumber"], 0.3).select("l_orderkey", "l_linenumber", "duplicate_group")
 
@@ -355,7 +360,9 @@ def anchored_hold(spark, d):
     return _replay(spark, d, lambda: steps.Hold("ts", "value", 50, 6 * HOUR), "event_id long, source string, shown double")
 
 
-@query()
+@query("""with a as (select *, coalesce(ts >= max(ts) over (partition by user_id order by value, event_id rows between unbounded preceding and 1 preceding), true) as applied from events),
+b as (select *, coalesce(last_value(case when applied then event_type end ignore nulls) over (partition by user_id order by value, event_id rows between unbounded preceding and 1 preceding), 'UNKNOWN') as from_state from a)
+select event_id, from_state, applied, applied and event_type <> from_state as changed from b""")
 def occupancy_apply(spark, d):
     return _replay(spark, d, lambda: steps.Occupancy("ts", "event_type"), "event_id long, from_state string, applied boolean, changed boolean", order=("value", "event_id"))
 
@@ -387,7 +394,7 @@ def quota_acceptance(spark, d):
     return _replay(spark, d, lambda: steps.Quotas({"click": 2, "view": 2, "purchase": 1}, 6), "event_id long, accepted boolean, complete boolean", rows=rows)
 
 
-@query()
+@query("select vec_id, least(r, 12) as n, case when r >= 4 then 64 end as size from (select vec_id, row_number() over (partition by label order by vec_id) as r from embeddings)")
 def track_prototype(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("user_id"), "vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 7 + 1).cast("double").alias("q"))
     return _replay(spark, d, lambda: steps.Accumulated("v", "q"), "vec_id long, n long, prototype array<double>", order=("vec_id",), rows=rows).select("vec_id", "n", F.size("prototype").alias("size"))

@@ -35,29 +35,30 @@ def window_counts(rows: DataFrame, keys: list[str], time_col: str, window: str,
 
 
 def upsert_latest(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the latest row of each key. Each batch writes a new version next to the old; the newest version is current, so a batch that runs twice gives the same."""
+    """A foreachBatch sink that keeps the latest row of each key, to be read by ``current``.
+
+    Each batch writes its own latest rows under its number, in place of what an earlier try left there: the
+    cost is the batch's, not the table's, and a batch that runs twice gives the same.  ``compact`` folds
+    what has gathered into one table.
+    """
     from tessella.operators.paging import latest
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = [v for v in versions(spark, path) if v < epoch]
-        rows = batch.unionByName(spark.read.parquet(f"{path}/v={old[-1]}")) if old else batch
-        latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        latest(batch, key, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return sink
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions written under a path, by Spark's own file system."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v="))
+def current(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key over all batches, later batches first among equal ones."""
+    from tessella.operators.paging import latest
+
+    return latest(spark.read.parquet(path), key, [*order, "epoch"]).drop("epoch")
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
+def compact(spark: SparkSession, path: str, to: str, key: list[str], order: list[str]) -> None:
+    """What ``current`` gives, written as the first batch of a new folder, which a sink may go on with."""
+    current(spark, path, key, order).write.mode("overwrite").parquet(f"{to}/epoch=0")
 
 
 def enrich_each_batch(dimension: Callable[[SparkSession], DataFrame], key: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
