@@ -78,12 +78,12 @@ def gated_assignment(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[i
     return [(i, j) for i, j in minimum_cost_assignment(1 - m) if m[i, j] >= least]
 
 
-def greedy_global(truth: np.ndarray, found: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs in order of falling (IoU, truth, found), each end once, down to ``least``."""
-    m = iou_matrix(truth, found)
-    order = sorted(((m[i, j], i, j) for i in range(m.shape[0]) for j in range(m.shape[1]) if m[i, j] >= least), reverse=True)
+def greedy_global(found: np.ndarray, truth: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (found, true) in order of falling (IoU, true, found), each end once, down to ``least``."""
+    m = iou_matrix(found, truth)
+    order = sorted(((m[i, j], j, i) for i in range(m.shape[0]) for j in range(m.shape[1]) if m[i, j] >= least), reverse=True)
     used_i, used_j, out = set(), set(), []
-    for _, i, j in order:
+    for _, j, i in order:
         if i not in used_i and j not in used_j:
             used_i.add(i)
             used_j.add(j)
@@ -183,6 +183,71 @@ def overlap_labels(boxes: np.ndarray, least: float) -> list[str | None]:
     return [f"duplicate-{several.index(r) + 1}" if r in several else None for r in roots]
 
 
+def _overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stacks of boxes [frames, n, 4] and [frames, m, 4]: intersections [frames, n, m] and the sizes of either side."""
+    size = lambda x: np.clip(x[..., 2] - x[..., 0], 0, None) * np.clip(x[..., 3] - x[..., 1], 0, None)
+    low, high = np.maximum(a[:, :, None, :2], b[:, None, :, :2]), np.minimum(a[:, :, None, 2:], b[:, None, :, 2:])
+    return np.prod(np.clip(high - low, 0, None), axis=3), size(a), size(b)
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.zeros_like(part), where=whole > 0)
+
+
+def _greedy_keep(order: np.ndarray, allowed: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """Of each frame the boxes kept, one after the other in ``order``, where allowed and no kept box clashes."""
+    rows, kept = np.arange(len(order)), np.zeros(allowed.shape, bool)
+    for step in range(order.shape[1]):
+        i = order[:, step]
+        kept[rows, i] = allowed[rows, i] & ~(kept & clash[rows, i]).any(axis=1)
+    return kept
+
+
+def stacked_contained(boxes: np.ndarray, confidence: np.ndarray, contained: float = 0.85, overlap: float = 0.5) -> list[list[int]]:
+    """``suppress_contained`` of frames with equally many boxes at once."""
+    both, size, _ = _overlaps(boxes, boxes)
+    inside = _share(both, np.minimum(size[:, :, None], size[:, None, :]))
+    over = _share(both, size[:, :, None] + size[:, None, :] - both)
+    left = ~((size[:, None, :] > size[:, :, None]) & (inside >= contained)).any(axis=2)
+    kept = _greedy_keep(np.argsort(-confidence, axis=1, kind="stable"), left, (over >= overlap) | (inside >= contained))
+    return [np.flatnonzero(k).tolist() for k in kept]
+
+
+def stacked_tiles(boxes: np.ndarray, confidence: np.ndarray, overlap: float = 0.5) -> list[list[int]]:
+    """``suppress_tiles`` of frames with equally many boxes at once."""
+    both, size, _ = _overlaps(boxes, boxes)
+    over = _share(both, size[:, :, None] + size[:, None, :] - both)
+    order = np.lexsort((-size, -confidence), axis=1)
+    kept = _greedy_keep(order, np.ones(size.shape, bool), over >= overlap)
+    return [[i for i in o.tolist() if k[i]] for o, k in zip(order, kept, strict=True)]
+
+
+def stacked_global(found: np.ndarray, truth: np.ndarray, least: float) -> np.ndarray:
+    """How many pairs ``greedy_global`` makes in each of many frames with equally many boxes on each side."""
+    both, a, b = _overlaps(found, truth)
+    m = _share(both, a[:, :, None] + b[:, None, :] - both).transpose(0, 2, 1).copy()
+    m[m < least] = -1.0
+    rows, pairs = np.arange(len(m)), np.zeros(len(m), np.int64)
+    for _ in range(min(m.shape[1:])):
+        flat = m[:, ::-1, ::-1].reshape(len(m), -1)  # the last of equal ones
+        at = flat.shape[1] - 1 - flat.argmax(axis=1)
+        j, i = np.divmod(at, m.shape[2])
+        pairs += m[rows, j, i] >= 0
+        m[rows, j, :] = m[rows, :, i] = -1.0
+    return pairs
+
+
+suppress_contained.stacked, suppress_tiles.stacked, greedy_global.stacked = stacked_contained, stacked_tiles, stacked_global
+
+
+def _by_shape(keys: list) -> list[np.ndarray]:
+    """The places of equal keys together."""
+    at: dict = {}
+    for i, k in enumerate(keys):
+        at.setdefault(k, []).append(i)
+    return [np.array(v) for v in at.values()]
+
+
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
@@ -208,7 +273,14 @@ def per_frame(boxes: DataFrame, frame: str, order: list[str], keep: Callable[[np
 
     @F.pandas_udf("array<int>")
     def kept(flat: pd.Series, confidence: pd.Series) -> pd.Series:
-        return pd.Series([keep(_boxes(f), np.asarray(c, float)) for f, c in zip(flat, confidence, strict=True)])
+        if not hasattr(keep, "stacked"):
+            return pd.Series([keep(_boxes(f), np.asarray(c, float)) for f, c in zip(flat, confidence, strict=True)])
+        out: list = [None] * len(flat)
+        for at in _by_shape([len(c) for c in confidence]):  # frames of one size are one array
+            rows = keep.stacked(np.stack([_boxes(flat.iloc[i]) for i in at]), np.stack([np.asarray(confidence.iloc[i], float) for i in at]))
+            for i, own in zip(at, rows, strict=True):
+                out[i] = own
+        return pd.Series(out, dtype=object)
 
     rows = boxes.groupBy(frame).agg(_listed(boxes, order).alias("__rows"))
     rows = rows.withColumn("__kept", kept(_flat(F.col("__rows")), F.transform("__rows", lambda r: r["confidence"].cast("double"))))
@@ -235,7 +307,12 @@ def match_frames(truth: DataFrame, found: DataFrame, frame: str, order: list[str
 
     @F.pandas_udf("long")
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(match(_boxes(y), _boxes(x), least)) for x, y in zip(a, b, strict=True)], dtype="int64")
+        if not hasattr(match, "stacked"):
+            return pd.Series([len(match(_boxes(y), _boxes(x), least)) for x, y in zip(a, b, strict=True)], dtype="int64")
+        out = np.zeros(len(a), np.int64)
+        for at in _by_shape([(len(x), len(y)) for x, y in zip(a, b, strict=True)]):
+            out[at] = match.stacked(np.stack([_boxes(b.iloc[i]) for i in at]), np.stack([_boxes(a.iloc[i]) for i in at]), least)
+        return pd.Series(out)
 
     columns = list(dict.fromkeys([*keys, *order, *_BOX]))
     both = truth.select(*columns, F.lit(True).alias("__truth")).unionByName(found.select(*columns, F.lit(False).alias("__truth")))

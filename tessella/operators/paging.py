@@ -61,19 +61,39 @@ def between(rows: DataFrame, time_col: str, start: str, stop: str) -> DataFrame:
     return rows.where((F.col(time_col) >= F.lit(start).cast("timestamp")) & (F.col(time_col) < F.lit(stop).cast("timestamp")))
 
 
-def accumulated(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """All rows with page, the number from 1 of the page of ``size`` rows that holds them: what reading page after page comes to, in one scan.
+def placed(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with place, their number from 0 in the order.
 
-    Pages are numbered by partitions in order: a row's place is its place in its partition and the rows of
-    the partitions before.
+    Spark deals rows out in order; a row's place is its place in its partition and the rows of the
+    partitions before, whose counts are all that the driver sees.
     """
-    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    dealt = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
-    counts = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # one row for each partition
-    before, total = {}, 0
+    counts = dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # one row for each partition
+    before, total = [], 0
     for r in counts:
-        before[r.p] = total
+        before.append((r.p, total))
         total += r.n
-    starts = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    at = F.element_at(starts, part) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("page", (F.floor(at / size) + 1).cast("long")).drop("__id")
+    starts = rows.sparkSession.createDataFrame(before, "__p long, __before long")
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(starts), part == F.col("__p")).withColumn("place", F.col("__before") + inside).drop("__id", "__p", "__before")
+
+
+def accumulated(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """All rows with page, the number from 1 of the page of ``size`` rows that holds them: what reading page after page comes to."""
+    return placed(rows, order).withColumn("page", F.floor(F.col("place") / size) + 1).drop("place")
+
+
+def ranks(rows: DataFrame, value: str, tie: str, parts: int = 4) -> DataFrame:
+    """``rows`` with r, dr and q: rank and dense rank by falling value, and the part, of ``parts`` as equal ones as can be, by falling value and rising tie.
+
+    Ranks come from counts by value, parts from places, so no order is made in one task but that of the distinct values.
+    """
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    falling = Window.orderBy(F.desc(value))  # one row for each distinct value
+    ranked = counts.select(value, (F.sum("__c").over(falling) - F.col("__c") + 1).alias("r"), F.row_number().over(falling).alias("dr"))
+    n = rows.count()
+    small, large = n // parts, n % parts
+    at = F.col("place")
+    q = F.when(at < large * (small + 1), F.floor(at / (small + 1)) + 1).otherwise(F.floor((at - large * (small + 1)) / max(1, small)) + large + 1)
+    return placed(rows, [F.desc(value), F.asc(tie)]).join(ranked, value).withColumn("q", q.cast("int")).drop("place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as v
 from tessella.operators import aggregates as a
 from tessella.operators import metrics as m
+from tessella.operators import paging
 from tessella.plans.registry import events, query, table, text
 from tessella.sources.writers import report_page
 
@@ -68,11 +69,8 @@ def report_cube(spark, d):
 
 @query("select user_id, rank() over (order by n desc) as r, dense_rank() over (order by n desc) as dr, ntile(4) over (order by n desc, user_id) as q from (select user_id, count(*) as n from events group by 1)")
 def ranked_users(spark, d):
-    from pyspark.sql import Window
-
     counts = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"))  # one row for each user, a report
-    return counts.select("user_id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(Window.orderBy(F.desc("n"), "user_id")).alias("q"))
+    return paging.ranks(counts, "n", "user_id", 4).select("user_id", "r", "dr", "q")
 
 
 @query("with s as (select l.quality = 1 as truth, n_chars >= 1000 as found from documents join labels l using (doc_id)), c as (select count(*) filter (truth and found) as tp, count(*) filter (not truth and found) as fp, count(*) filter (truth and not found) as fn from s) select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) as f1 from c")

@@ -269,6 +269,26 @@ def test_near_pairs_and_isolation_equal_all_pairs(spark):
         assert found.get(i) == (None if best is None else ("exact" if best[0] < 0 else "near", best[1], max(best[0], 0)))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 6), st.integers(0, 6), st.integers(0, 10_000))
+def test_stacks_of_frames_say_what_single_frames_say(n, m, seed):
+    """Ties included: corners and confidences are few."""
+    rng = np.random.default_rng(seed)
+    corners = lambda k: np.array([[[x, y, x + w, y + h] for x, y, w, h in rng.integers(0, 5, (k, 4))] for _ in range(5)], float).reshape(5, k, 4)
+    a, b, confidence = corners(n), corners(m), rng.integers(0, 3, (5, n)) / 2
+    for keep in (matching.suppress_contained, matching.suppress_tiles):
+        assert keep.stacked(a, confidence) == [keep(x, c) for x, c in zip(a, confidence, strict=True)]
+    assert matching.greedy_global.stacked(a, b, 0.2).tolist() == [len(matching.greedy_global(x, y, 0.2)) for x, y in zip(a, b, strict=True)]
+
+
+def test_global_ids_over_a_literal_trace():
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    step, out = steps.GlobalIds("at", 10), []
+    for s, track, matched in ((0, "a:1", None), (1, "b:1", "a:1"), (2, "b:2", "a:1"), (3, "a:1", "b:2"), (14, "a:1", None), (15, "a:2", "b:1")):
+        out += [(r["track"], r["global_id"], r["status"]) for r in step({"at": at(s), "track": track, "matched": matched})]
+    assert out == [("a:1", 1, "registered"), ("b:1", 1, "propagated"), ("b:2", 2, "registered"), ("a:1", 1, "blocked"), ("a:1", 3, "registered"), ("a:2", 4, "registered")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 4), st.integers(0, 10_000))
 def test_perfect_match_is_found_where_there_is_one(n, seed):
