@@ -27,7 +27,7 @@ from tessella.llm._common import cut_lineage, map_texts
 
 CAPACITY, END_ID = 4096, 1
 #: Words that a worker keeps encoded.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 350_000
 
 #: The vocabulary's own split, in re's classes; they agree on all texts without an _ODD character.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
