@@ -273,11 +273,12 @@ def sample_gate(spark, d):
     return aggregates.sample_gate(x).withColumn("error_rate", F.round("error_rate", 9))
 
 
-@query("""select event_id, cast(r as bigint) as frames, cast(sum(case when event_type = 'click' then 1 else 0 end) over w as bigint) as faces, sum(case when event_type = 'click' then 1 else 0 end) over w / nullif(sum(case when event_type <> 'signup' then 1 else 0 end) over w, 0) as rate, round(avg(value) over w, 4) as mean
+@query("""select event_id, cast(r as bigint) as frames, cast(sum(case when event_type = 'click' then 1 else 0 end) over w as bigint) as faces, sum(case when event_type = 'click' then 1 else 0 end) over w / nullif(sum(case when event_type <> 'signup' then 1 else 0 end) over w, 0) as rate, round(avg(event_id % 100) over w, 6) as mean
   from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def running_diagnostics(spark, d):
-    out = windows.diagnostics(events(spark, d), "user_id", ["ts", "event_id"], {"faces": F.col("event_type") == "click", "people": F.col("event_type") != "signup"}, "value")
-    return out.select("event_id", "frames", "faces", aggregates.nullable_ratio(F.col("faces"), F.col("people")).alias("rate"), F.round("mean", 4).alias("mean"))
+    rows = events(spark, d).withColumn("millis", F.col("event_id") % 100)
+    out = windows.diagnostics(rows, "user_id", ["ts", "event_id"], {"faces": F.col("event_type") == "click", "people": F.col("event_type") != "signup"}, "millis")
+    return out.select("event_id", "frames", "faces", aggregates.nullable_ratio(F.col("faces"), F.col("people")).alias("rate"), F.round("mean", 6).alias("mean"))
 
 
 @query("select count(*) as total, count(*) filter (event_type = 'purchase') as leaves, coalesce(round_even(100.0 * count(*) filter (event_type = 'purchase') / nullif(count(*), 0), 2), 0) as rate from events")
