@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
 from tessella.functions import vectors as v
+from tessella.session import cut_lineage
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -153,8 +154,8 @@ def gallery_top2(probes: DataFrame, gallery: DataFrame, probe_id: str, entry_id:
     into blocks, each copied to a few salts, and every probe meets every block at its own salt.  Ties go
     to the lower entry; probes without a unit vector get no row.
     """
-    q = probes.select(probe_id, v.normalised(F.col(vector)).alias("__p")).where("__p is not null")
-    e = gallery.select(entry_id, v.normalised(F.col(vector)).alias("__g")).where("__g is not null")
+    q = probes.select(probe_id, F.col(vector).cast("array<double>").alias("__p")).where("__p is not null")
+    e = cut_lineage(gallery.select(entry_id, v.normalised(F.col(vector)).alias("__g")).where("__g is not null"))
     n, size = e.agg(F.count(F.lit(1)), F.sum(8 * F.size("__g") + 16)).first()
     kinds = {**dict(q.dtypes), **dict(e.dtypes)}
     if n and size <= most_bytes:
@@ -163,10 +164,12 @@ def gallery_top2(probes: DataFrame, gallery: DataFrame, probe_id: str, entry_id:
 
         def score(batches):
             for batch in batches:
-                listed = batch.column("__p")
                 if not batch.num_rows:
                     continue
-                found = np.asarray(listed.flatten()).reshape(batch.num_rows, -1) @ matrix
+                own = np.asarray(batch.column("__p").flatten()).reshape(batch.num_rows, -1)
+                length = np.linalg.norm(own, axis=1)
+                sound = np.isfinite(length) & (length > 1e-12)
+                batch, found = batch.filter(pa.array(sound)), own[sound] / length[sound, None] @ matrix
                 rows, first = np.arange(len(found)), found.argmax(axis=1)
                 best = found[rows, first]
                 found[rows, first] = -np.inf
@@ -175,8 +178,9 @@ def gallery_top2(probes: DataFrame, gallery: DataFrame, probe_id: str, entry_id:
                 yield pa.RecordBatch.from_arrays([batch.column(probe_id), entries, pa.array(best), pa.array(best - second)], [probe_id, entry_id, "similarity", "margin"])
 
         wide = "long" if isinstance(ids[0], int) else kinds[entry_id]
-        out = q.mapInArrow(score, f"`{probe_id}` {kinds[probe_id]}, `{entry_id}` {wide}, similarity double, margin double")
+        out = q.where(F.size("__p") == len(matrix)).mapInArrow(score, f"`{probe_id}` {kinds[probe_id]}, `{entry_id}` {wide}, similarity double, margin double")
         return out.withColumn(entry_id, F.col(entry_id).cast(kinds[entry_id]))
+    q = q.select(probe_id, v.normalised(F.col("__p")).alias("__p")).where("__p is not null")
     blocks = -(-(size or 0) // most_bytes) or 1
     e = e.withColumns({"__block": F.pmod(F.xxhash64(entry_id), F.lit(blocks)), "__salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
     q = q.withColumns({"__salt": F.pmod(F.xxhash64(probe_id), F.lit(salts)).cast("int"), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
