@@ -87,3 +87,9 @@ def fetch(rows: DataFrame, key: str, keys: list, *columns: str) -> list:
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the decimal doc_id leaves no rest modulo 5; null ids count as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def finite(vector: str) -> F.Column:
+    """True where an array of numbers is not null and holds neither nulls nor NaNs nor infinities."""
+    whole = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
+    return F.coalesce(whole, F.lit(False))

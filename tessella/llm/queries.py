@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, fingerprint, langid, licenses, packing, pii, quality, simhash, toxicity, urls
+from tessella.llm import byte_bpe, fingerprint, langid, licenses, merkle, multi_index, packing, pii, quality, simhash, toxicity, urls, vector_codes
 from tessella.llm._common import table
 
 BYTE_RANKS, WORD_VOCABULARY = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -71,10 +71,30 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, its error and its label's."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    return vector_codes.encode(vectors, books).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, the roots over it, its proof, and the root that it leads to where it was tampered with."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every hundredth vector."""
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    every = (op1_simhash, op2_byte_bpe, op3_toxicity, op4_quality, op5_licenses, op6_urls, op7_pii, op8_packing, op9_langid, op10_fingerprint)
+    every = (op1_simhash, op2_byte_bpe, op3_toxicity, op4_quality, op5_licenses, op6_urls, op7_pii, op8_packing, op9_langid, op10_fingerprint, op11_vector_codes, op12_merkle, op13_neighbours)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.oracle_sql(), "op6_urls": urls.oracle_sql()}
+    return {
+        "op4_quality": quality.oracle_sql(), "op6_urls": urls.oracle_sql(), "op11_vector_codes": vector_codes.oracle_sql(),
+        "op12_merkle": merkle.oracle_sql(), "op13_neighbours": multi_index.oracle_sql(),
+    }
