@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered_columns(docs: DataFrame) -> DataFrame:
+    """The table with its columns called c0, c1, ...: whatever the caller's names are, none is one of ours."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def lower_ascii(text: str) -> str:
     """A-Z to lower case; every other character as it is."""
     return text.lower() if text.isascii() else text.translate(_LOWER)
@@ -60,6 +65,24 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs``, its columns c0, c1, ..., with what tells its rows apart: id (0 for null), no_id and text_key."""
+    plain = numbered_columns(docs)
+    id_value, text = F.col(f"c{docs.columns.index(id_col)}").cast("long"), f"c{docs.columns.index(text_col)}"
+    return plain.withColumns({"id": F.coalesce(id_value, F.lit(0)), "no_id": id_value.isNull(), "text_key": F.xxhash64(text)})
+
+
+def row_keys(k: str) -> list[F.Column]:
+    """The same three columns of a struct (no_id, doc_id, text_key)."""
+    return [F.coalesce(f"{k}.doc_id", F.lit(0)).alias("id"), F.col(f"{k}.no_id").alias("no_id"), F.col(f"{k}.text_key").alias("text_key")]
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keys`` (id, no_id, text_key, once each) names, one for each key, with their columns as they were."""
+    found = with_keys(docs, id_col, text_col).join(keys, ["id", "no_id", "text_key"]).dropDuplicates(["id", "no_id", "text_key"])
+    return found.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def hash_bound(share: float) -> int:
     """The 64-bit hash that so large a share of all hashes does not pass."""
     return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))

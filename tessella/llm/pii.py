@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import cut_lineage, hot_keys, join_per_key, lower_ascii, map_texts
+from tessella.llm._common import cut_lineage, hot_keys, join_per_key, lower_ascii, map_texts, numbered_columns
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SHRINK, MIN_SEEDS, MIN_CONFIDENCE = 3, 2.0, 5, 0.6
@@ -157,8 +157,8 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[st
 _SCAN = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, mentions array<struct<instance:string,seed:boolean,base:boolean,start:int,stop:int,patterns:array<string>>>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and mentions of each row; null texts have none. ``row`` is a number of its own for each row."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Base spans and mentions of each row; null texts have none. ``row`` is a number of its own for each row, or as ``row_col`` says."""
     kind = pa.list_(pa.struct([("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32()), ("patterns", pa.list_(pa.string()))]))
 
     def make():
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return step
 
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return map_texts(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, _SCAN)
 
 
@@ -243,22 +243,23 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Spans that overlap are masked as one, with the kind of the first: nothing that belongs to any span is
     left.  Null and empty texts stay as they are.
     """
-    numbered = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = discovered(cut_lineage(scan(numbered, id_col, text_col))).withColumnRenamed("row", "__row").withColumnRenamed("found", "__found")
-    rows = numbered.join(found, "__row", "left").drop("__row")
-    names = docs.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    plain = numbered_columns(docs)
+    names, text_at = plain.columns, f"c{docs.columns.index(text_col)}"
+    numbered = cut_lineage(plain.withColumn("row", F.monotonically_increasing_id()))
+    found = discovered(cut_lineage(scan(numbered.withColumn("doc_id", F.lit(None)), "doc_id", text_at, "row")))
+    rows = numbered.join(found, "row", "left").drop("row")
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, more in zip(batch.column(text_col).to_pylist(), batch.column("__found").to_pylist(), strict=True):
+            for text, more in zip(batch.column(text_at).to_pylist(), batch.column("found").to_pylist(), strict=True):
                 if text:
                     spans = [(a, b, k) for k, each in base_spans(text).items() for a, b in each] + [(s["start"], s["stop"], "context") for s in more or []]
                     text = masked(text, spans)
                 out.append(text)
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in names], names)
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_at else batch.column(n) for n in names], names)
 
         return step
 
-    return map_texts(rows, make, schema, text_col)
+    return map_texts(rows, make, schema, text_at).toDF(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import cut_lineage, hot_keys, join_per_key
+from tessella.llm._common import cut_lineage, hot_keys, join_per_key, numbered_columns
 
 MIN_WORDS, MAX_REPEAT_PERCENT, HOST_LIMIT = 50, 50, 0.5
 #: Bounds of the prior's weight, in documents.
@@ -106,13 +106,14 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     The rules are held against each text once: rows and verdicts are written together, and the written
     rows are joined with their hosts' rates, a frequent host's where they lie.
     """
-    measured = with_metrics(docs, text_col, "__m_")
-    measured = measured.withColumn("__m_failed", fails_a_rule("__m_")).withColumn("__m_host", F.col(host_col))
-    measured = cut_lineage(measured.select(*docs.columns, "__m_host", "__m_failed", "__m_base_failed"))
-    rates = host_rates(measured, "__m_host", F.col("__m_failed")).withColumnRenamed("host", "__m_host")
-    good = measured.where("not __m_base_failed")
-    rated = join_per_key(good, rates.select("__m_host", F.col("rate").alias("__m_rate")), hot_keys(rates, "__m_host"), "__m_host")
-    return rated.where(F.col("__m_rate") <= limit).select(*docs.columns)
+    plain = numbered_columns(docs)
+    text_at, host_at = (f"c{docs.columns.index(c)}" for c in (text_col, host_col))
+    measured = with_metrics(plain, text_at).withColumns({"failed": fails_a_rule(), "host": F.col(host_at)})
+    measured = cut_lineage(measured.select(*plain.columns, "host", "failed", "base_failed"))
+    rates = host_rates(measured, "host", F.col("failed"))
+    good = measured.where("not base_failed")
+    rated = join_per_key(good, rates.select("host", "rate"), hot_keys(rates, "host"), "host")
+    return rated.where(F.col("rate") <= limit).select(*plain.columns).toDF(*docs.columns)
 
 
 def oracle_sql(limit: float = HOST_LIMIT) -> str:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import cut_lineage, hot_keys, join_per_key, lower_ascii, map_texts
+from tessella.llm._common import cut_lineage, hot_keys, join_per_key, lower_ascii, map_texts, row_keys, rows_of
 from tessella.operators.graph import connected_components
 
 BITS, MAX_BITS, MIN_POSTINGS, LIST_CAP = 64, 2, 3, 48
@@ -143,7 +143,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     kept = _with_classes(prints, list_cap).groupBy("class_fp").agg(F.min(order).alias("k"))
-    kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.no_id").alias("__no"), F.col("k.text_key").alias("__key")).distinct()
-    id_value = F.col(id_col).cast("long")
-    rows = docs.withColumns({"__id": F.coalesce(id_value, F.lit(0)), "__no": id_value.isNull(), "__key": F.xxhash64(text_col)})
-    return rows.join(kept, ["__id", "__no", "__key"]).dropDuplicates(["__id", "__no", "__key"]).select(*docs.columns)
+    return rows_of(docs, kept.select(*row_keys("k")).distinct(), id_col, text_col)
