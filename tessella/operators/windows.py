@@ -70,26 +70,6 @@ def stationary(rows: DataFrame, key: str, time_col: str, values: list[str], seco
     return rows.withColumn("__far", far).where(F.col("__far") <= limit).drop("__far")
 
 
-def hold(rows: DataFrame, key: str, time_col: str, strong, seconds: float, value: str, tie: str) -> DataFrame:
-    """``rows`` with held_value: the last strong value of the key no older than ``seconds`` (that age included); strong rows hold their own.
-
-    Only strong rows refresh what is held.
-    """
-    at = F.unix_micros(time_col)
-    w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(strong, F.struct(at.alias("at"), F.col(value).alias("v"))), ignorenulls=True).over(w)
-    rows = rows.withColumn("__last", last)
-    return rows.withColumn("held_value", F.when(at - F.col("__last.at") <= int(seconds * 1e6), F.col("__last.v"))).drop("__last")
-
-
-def absence_runs(rows: DataFrame, key: str, time_col: str, absent, seconds: float, tie: str) -> DataFrame:
-    """Runs of absent rows: key, run, vacant_since, last_seen, n, is_long (from ``seconds`` on, that length included)."""
-    w = Window.partitionBy(key).orderBy(time_col, tie)
-    marked = rows.withColumn("__absent", absent).withColumn("run", F.sum((~F.col("__absent")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.where("__absent").groupBy(key, "run").agg(F.min(time_col).alias("vacant_since"), F.max(time_col).alias("last_seen"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("is_long", (F.unix_micros("last_seen") - F.unix_micros("vacant_since")) >= int(seconds * 1e6))
-
-
 def append_ordinals(rows: DataFrame, group: str, order: list, target: str, active) -> DataFrame:
     """Active rows without a number get the numbers after their group's largest, in order; the others keep theirs."""
     need = active & F.col(target).isNull()
@@ -98,12 +78,6 @@ def append_ordinals(rows: DataFrame, group: str, order: list, target: str, activ
     return rows.withColumn("assigned", F.when(need, F.coalesce(F.max(target).over(w), F.lit(0)) + ordinal).otherwise(F.col(target)))
 
 
-def newest_of_each(rows: DataFrame, key: str, order: list[str], every: int) -> DataFrame:
-    """The last of each ``every`` rows of a key, with ``batch``, its number from 1: what a consumer that comes by so often gets."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("__at", at).where(F.col("__at") % every == 0).withColumn("batch", F.floor(F.col("__at") / every)).drop("__at")
-
-
 def poll_differences(rows: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """Rows whose state differs from the one before, with ``from_state``; a key's first row gives none."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -174,14 +148,10 @@ def diagnostics(rows: DataFrame, key: str, order: list[str], counted: dict, valu
     return rows.withColumns({"frames": F.count(F.lit(1)).over(so_far), **counts, "mean": F.avg(value).over(so_far)})
 
 
-def smoothed_velocity(rows: DataFrame, key: str, order: list[str], time_col: str, value: str, keep: float = 0.7, span: int = 200) -> DataFrame:
-    """``rows`` with velocity: the first is the change against the row before, a second; then keep * old + (1 - keep) * new; null at first.
-
-    The recurrence is a fold over the last ``span`` changes: what lies before weighs keep ** span, nothing in a double.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    seconds = F.greatest((F.unix_micros(time_col) - F.unix_micros(F.lag(time_col).over(w))) / 1e6, F.lit(1e-3))
-    rows = rows.withColumn("__v", (F.col(value) - F.lag(value).over(w)) / seconds)
-    held = F.collect_list("__v").over(w.rowsBetween(1 - span, 0))  # nulls are left out: the first row has none
-    folded = F.aggregate(F.slice(held, 2, span), F.get(held, F.lit(0)), lambda a, b: keep * a + (1 - keep) * b)
-    return rows.withColumn("velocity", F.when(F.size(held) > 0, folded)).drop("__v")
+def applied(rows: DataFrame, key: str, arrival: list[str], time_col: str, state: str, initial: str = "UNKNOWN") -> DataFrame:
+    """``rows`` with applied (no older than any row of the key before it, in order of arrival), from_state (what was applied last) and changed (applied, to another state)."""
+    before = Window.partitionBy(key).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("applied", F.coalesce(F.col(time_col) >= F.max(time_col).over(before), F.lit(True)))
+    last = F.last(F.when(F.col("applied"), F.struct(F.col(state).alias("s"))), ignorenulls=True).over(before)
+    rows = rows.withColumn("__last", last).withColumn("from_state", F.when(F.col("__last").isNull(), F.lit(initial)).otherwise(F.col("__last.s"))).drop("__last")
+    return rows.withColumn("changed", F.col("applied") & ~F.col(state).eqNullSafe(F.col("from_state")))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tessella.plans import search
 from tessella.plans.registry import events, query, table, text
+from tessella.plans.sequences import HANDED, handover_rows, handover_step
 from tessella.session import ensure_checkpoint_dir
 from tessella.sources import readers, writers
 from tessella.streaming import hosts, pipelines, steps
@@ -192,28 +193,33 @@ def published_versions(spark, d):
     return stored.agg(*(F.lit(n).alias(c) for n, c in zip(numbers, ("first", "again", "changed"), strict=True)), F.count(F.lit(1)).alias("n"))
 
 
-def _in_parts(spark, rows: DataFrame, time_col: str = "ts", parts: int = 3) -> str:
-    """Rows as files of a folder, in order of time: a stream reads them one by one."""
-    path = folder(spark)
-    low, high = rows.agg(F.min(F.unix_micros(time_col)), F.max(F.unix_micros(time_col))).first()
-    edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        at = F.unix_micros(time_col)
-        rows.where((at >= a) & (at < b)).coalesce(1).write.mode("append").parquet(path)
-    return path
+def _by_parts(spark, rows: DataFrame, build, sink, mode: str = "append", time_col: str = "ts", parts: int = 3, again: bool = False) -> None:
+    """``rows`` arrive in ``parts`` ranges of time (and once more at last, if ``again``), each as files that as many tasks write as there are; after each arrival the stream goes on where it stopped.
+
+    build: from the stream of rows to what ``sink`` takes.
+    """
+    path, checkpoint, at = folder(spark), folder(spark), F.unix_micros(time_col)
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    edges = [(low or 0) + ((high or 0) + 1 - (low or 0)) * i // parts for i in range(parts + 1)]
+    arrivals = [rows.where((at >= a) & (at < b)) for a, b in zip(edges, edges[1:], strict=False)] + [rows] * again
+    for part in arrivals:
+        part.write.mode("append").parquet(path)
+        _run(build(pipelines.parquet_stream(spark, path, rows.schema, files_per_trigger=None)), sink, mode, checkpoint)
 
 
 def _run(stream: DataFrame, sink, mode: str, checkpoint: str) -> None:
-    """All that is there now, batch by batch."""
+    """All that is there now, as one batch or more."""
     stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _appended(out: str):
+    return lambda batch, epoch: batch.write.mode("append").parquet(out)
+
+
 def _stepped(spark, rows: DataFrame, make, schema: str) -> DataFrame:
-    """A step over a stream of three files, its output written and read again."""
-    path, out = _in_parts(spark, rows), folder(spark)
-    kinds = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in rows.dtypes))
-    stream = hosts.live(pipelines.parquet_stream(spark, path, kinds), ["user_id"], ["ts", "event_id"], make, schema)
-    _run(stream, lambda batch, epoch: batch.write.mode("append").parquet(out), "append", folder(spark))
+    """A step over a stream of three arrivals, its output written and read again."""
+    out = folder(spark)
+    _by_parts(spark, rows, lambda stream: hosts.live(stream, ["user_id"], ["ts", "event_id"], make, schema), _appended(out))
     return spark.read.schema(schema).parquet(out)
 
 
@@ -234,17 +240,16 @@ def stream_smoothed(spark, d):
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def stream_latest(spark, d):
     """An upsert for each micro-batch; what it keeps is the latest row of each key."""
-    path, out = _in_parts(spark, _seen(spark, d)), folder(spark)
-    _run(pipelines.parquet_stream(spark, path), pipelines.upsert_latest(out, ["user_id"], ["ts", "event_id"]), "append", folder(spark))
+    out = folder(spark)
+    _by_parts(spark, _seen(spark, d), lambda stream: stream, pipelines.upsert_latest(out, ["user_id"], ["ts", "event_id"]))
     return pipelines.current(spark, out, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("select event_type, strftime(time_bucket(interval 6 hour, ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n from events group by 1, 2")
 def stream_window_counts(spark, d):
     """Counts that grow from batch to batch: the largest of each window is its last."""
-    path, out = _in_parts(spark, _seen(spark, d)), folder(spark)
-    stream = pipelines.window_counts(pipelines.parquet_stream(spark, path), ["event_type"], "ts", "6 hours", "1 day")
-    _run(stream, pipelines.upsert_latest(out, ["event_type", "window_start"], ["n"]), "update", folder(spark))
+    out = folder(spark)
+    _by_parts(spark, _seen(spark, d), lambda stream: pipelines.window_counts(stream, ["event_type"], "ts", "6 hours", "1 day"), pipelines.upsert_latest(out, ["event_type", "window_start"], ["n"]), "update")
     return pipelines.current(spark, out, ["event_type", "window_start"], ["n"]).select("event_type", text("window_start").alias("window_start"), "n")
 
 
@@ -252,27 +257,23 @@ def stream_window_counts(spark, d):
 c as (select user_id, count(*) as n, min(ts) as a, max(ts) as b from s group by user_id, s) select user_id, strftime(a, '%Y-%m-%d %H:%M:%S') as started_at, n from c where b + interval 6 hour <= (select max(ts) - interval 1 hour from events)""")
 def stream_sessions(spark, d):
     """Sessions that the watermark has closed."""
-    path, out = _in_parts(spark, _seen(spark, d)), folder(spark)
-    stream = pipelines.session_counts(pipelines.parquet_stream(spark, path), "user_id", "ts", "6 hours", "1 hour")
-    _run(stream, lambda batch, epoch: batch.write.mode("append").parquet(out), "append", folder(spark))
+    out = folder(spark)
+    _by_parts(spark, _seen(spark, d), lambda stream: pipelines.session_counts(stream, "user_id", "ts", "6 hours", "1 hour"), _appended(out))
     return spark.read.parquet(out).select("user_id", text("started_at").alias("started_at"), "n")
 
 
 @query("select event_id, user_id from events")
 def stream_once_per_id(spark, d):
-    """Every row comes twice, in two files; an id is taken once."""
-    rows, out = _seen(spark, d), folder(spark)
-    path = _in_parts(spark, rows)
-    rows.coalesce(1).write.mode("append").parquet(path)
-    stream = pipelines.once_per_id(pipelines.parquet_stream(spark, path), "event_id", "ts", "60 days")
-    _run(stream, lambda batch, epoch: batch.write.mode("append").parquet(out), "append", folder(spark))
+    """Every row comes twice; an id is taken once."""
+    out = folder(spark)
+    _by_parts(spark, _seen(spark, d), lambda stream: pipelines.once_per_id(stream, "event_id", "ts", "60 days"), _appended(out), again=True)
     return spark.read.parquet(out).select("event_id", "user_id")
 
 
 @query("select event_id, n_name from events left join nation on user_id % 30 = n_nationkey")
 def stream_enriched(spark, d):
     """The dimension is read anew for each micro-batch; where that fails the last good one serves."""
-    path, out, reads = _in_parts(spark, _seen(spark, d).withColumn("n_nationkey", (F.col("user_id") % 30).cast("int"))), folder(spark), []
+    rows, out, reads = _seen(spark, d).withColumn("n_nationkey", (F.col("user_id") % 30).cast("int")), folder(spark), []
 
     def dimension(session):
         reads.append(1)
@@ -280,7 +281,7 @@ def stream_enriched(spark, d):
             raise OSError("the second read fails")
         return table(session, d, "nation").select("n_nationkey", "n_name")
 
-    _run(pipelines.parquet_stream(spark, path), pipelines.enrich_each_batch(dimension, "n_nationkey", lambda rows, epoch: rows.write.mode("append").parquet(out)), "append", folder(spark))
+    _by_parts(spark, rows, lambda stream: stream, pipelines.enrich_each_batch(dimension, "n_nationkey", _appended(out)))
     return spark.read.parquet(out).select("event_id", "n_name")
 
 
@@ -290,8 +291,17 @@ def stream_ingest(spark, d):
     path, out = folder(spark), folder(spark)
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type").isin("click", "view"), F.lit("person"))
-    e.select(F.to_json(F.struct("event_id", kind.alias("kind"), F.col("value").alias("x2"))).alias("value")).coalesce(2).write.text(path)
+    e.select(F.to_json(F.struct("event_id", kind.alias("kind"), F.col("value").alias("x2"))).alias("value")).write.text(path)
     stream = pipelines.json_stream(spark, path, T.StructType.fromDDL("event_id long, kind string, x2 double"))
     checked = stream.withColumn("valid", F.coalesce((F.col("kind") == "person") & (F.col("x2") <= 100), F.lit(False)))
-    _run(checked, lambda batch, epoch: batch.write.mode("append").parquet(out), "append", folder(spark))
+    _run(checked, _appended(out), "append", folder(spark))
     return spark.read.parquet(out).select("event_id", "valid")
+
+
+@query()
+def stream_handover(spark, d):
+    """The handover as a stream keyed by route alone: what comes later, and what expires meanwhile, as in ``handover_replay`` up to the last watermark."""
+    out = folder(spark)
+    with pipelines.rocksdb(spark):
+        _by_parts(spark, handover_rows(spark, d), lambda stream: hosts.timed_live(stream.withWatermark("ts", "0 seconds"), ["route"], ["at", "event_id"], handover_step, HANDED), _appended(out))
+    return spark.read.schema(HANDED).parquet(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import geometry as g
 from tessella.functions import text as s
 from tessella.functions import timefmt as tf
-from tessella.operators import aggregates, dedup, filters, joins, matching, paging, sampling, setops, windows
+from tessella.operators import aggregates, dedup, filters, joins, matching, paging, sampling, scan, setops, windows
 from tessella.plans.registry import events, query, table, text
 from tessella.plans.scans import boxes
 from tessella.sources import readers, writers
@@ -296,7 +296,7 @@ def split_counts(spark, d):
 @query("""with r as (select *, row_number() over (partition by user_id order by ts, event_id) as r, value - lag(value) over (partition by user_id order by ts, event_id) as dv, greatest((epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1e6, 0.001) as dt from events)
 select event_id, round(list_reduce(list(dv / dt) filter (r > 1) over (partition by user_id order by r rows unbounded preceding), lambda a, b: 0.7 * a + 0.3 * b), 9) as velocity from r""")
 def smoothed_velocity(spark, d):
-    return windows.smoothed_velocity(events(spark, d), "user_id", ["ts", "event_id"], "ts", "value").select("event_id", F.round("velocity", 9).alias("velocity"))
+    return scan.velocity(events(spark, d), ["user_id"], ["ts", "event_id"], "ts", "value").select("event_id", F.round("velocity", 9).alias("velocity"))
 
 
 @query("select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, round(quantile, 6) as quantile from (select date_trunc('day', ts) as ts, event_type, case when 0.5 * n <= a then 50 * (0.5 * n) / a when 0.5 * n <= b then 50 + 50 * (0.5 * n - a) / (b - a) when b < n then 100 end as quantile from (select ts, event_type, count(*) as n, count(*) filter (value <= 50) as a, count(*) filter (value <= 100) as b from (select date_trunc('day', ts) as ts, event_type, value from events) group by 1, 2))")

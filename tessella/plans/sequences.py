@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import dedup, density, joins, matching, sampling, windows
+from tessella.operators import dedup, density, joins, matching, sampling, scan, windows
 from tessella.operators.graph import connected_components
 from tessella.plans.registry import events, query, table, text
 from tessella.plans.scans import boxes
-from tessella.streaming import hosts, steps
 from tessella.session import cut_lineage
+from tessella.streaming import hosts, steps
+from tessella.streaming.handover import Handover
 
 HOUR = 3600
 
@@ -58,12 +59,12 @@ def stationary_points(spark, d):
 
 @query("with h as (select *, last_value(case when value >= 50 then epoch_us(ts) end ignore nulls) over w as seen_at, last_value(case when value >= 50 then value end ignore nulls) over w as v from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)) select event_id, case when epoch_us(ts) - seen_at <= 21600000000 then v end as held_value from h")
 def occupancy_hold(spark, d):
-    return windows.hold(events(spark, d), "user_id", "ts", F.col("value") >= 50, 6 * HOUR, "value", "event_id").select("event_id", "held_value")
+    return scan.held(events(spark, d), ["user_id"], ["ts", "event_id"], "ts", F.col("value") >= 50, 6 * HOUR, "value").select("event_id", "held_value")
 
 
 @query("with r as (select *, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events) select user_id, cast(run as bigint) as run, count(*) as n, epoch_us(max(ts)) - epoch_us(min(ts)) >= 86400000000 as is_long from r where event_type <> 'purchase' group by user_id, run")
 def absence_runs(spark, d):
-    return windows.absence_runs(events(spark, d), "user_id", "ts", F.col("event_type") != "purchase", 24 * HOUR, "event_id").select("user_id", "run", "n", "is_long")
+    return scan.absence_runs(events(spark, d), ["user_id"], ["ts", "event_id"], "ts", F.col("event_type") != "purchase", 24 * HOUR).select("user_id", "run", "n", "is_long")
 
 
 @query("select p_partkey, case when p_size > 25 then p_size else coalesce(max(case when p_size > 25 then p_size end) over (partition by p_brand), 0) + row_number() over (partition by p_brand, p_size > 25 order by p_partkey) end as assigned from part")
@@ -339,16 +340,6 @@ def throttled_changes(spark, d):
     return _replay(spark, d, lambda: steps.Throttled("n", "ts", 6 * HOUR), "user_id long, event_id long, n long", rows=rows)
 
 
-@query("select user_id, event_id, r // 6 as batch from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r % 6 = 0")
-def latest_wins_batch(spark, d):
-    return windows.newest_of_each(events(spark, d), "user_id", ["ts", "event_id"], 6).select("user_id", "event_id", "batch")
-
-
-@query()
-def coalesced_dispatch(spark, d):
-    return _replay(spark, d, lambda: steps.Coalescing("event_type", "ts", 24 * HOUR), "user_id long, event_id long, event_type string, coalesced long, dropped long")
-
-
 @query()
 def session_overlap_reject(spark, d):
     rows = events(spark, d).select("user_id", "event_id", "ts", (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, value * 60)")).alias("stop"))
@@ -364,7 +355,7 @@ def anchored_hold(spark, d):
 b as (select *, coalesce(last_value(case when applied then event_type end ignore nulls) over (partition by user_id order by value, event_id rows between unbounded preceding and 1 preceding), 'UNKNOWN') as from_state from a)
 select event_id, from_state, applied, applied and event_type <> from_state as changed from b""")
 def occupancy_apply(spark, d):
-    return _replay(spark, d, lambda: steps.Occupancy("ts", "event_type"), "event_id long, from_state string, applied boolean, changed boolean", order=("value", "event_id"))
+    return windows.applied(events(spark, d), "user_id", ["value", "event_id"], "ts", "event_type").select("event_id", "from_state", "applied", "changed")
 
 
 _VOTES = """with r as (select *, row_number() over (partition by user_id order by ts, event_id) as r from events),
@@ -383,9 +374,10 @@ def poll_diff(spark, d):
     return windows.poll_differences(events(spark, d), "user_id", ["ts", "event_id"], "event_type").select("event_id", "from_state", "event_type")
 
 
-@query("select event_id, list_reduce(list(value) over (partition by user_id order by ts, event_id rows unbounded preceding), lambda a, b: 0.35 * a + (1 - 0.35) * b) as smooth_value from events")
+@query("select event_id, round(list_reduce(list(value) over (partition by user_id order by ts, event_id rows unbounded preceding), lambda a, b: 0.35 * a + (1 - 0.35) * b), 9) as smooth_value from events")
 def smoothed_values(spark, d):
-    return _replay(spark, d, lambda: steps.Ema(["value"], 0.35), "event_id long, smooth_value double")
+    out = scan.smoothed(events(spark, d), ["user_id"], ["ts", "event_id"], {"smooth_value": F.col("value")}, 0.35)
+    return out.select("event_id", F.round("smooth_value", 9).alias("smooth_value"))
 
 
 @query()
@@ -409,8 +401,25 @@ def tracker_replay(spark, d):
     return hosts.replay(frames, ["camera", "stretch"], ["frame"], lambda: steps.Tracker(kalman=True, lifecycle=True, suppress=True), "frame long, kind string, box int, track string, state string")
 
 
+HANDED = "route long, at long, kind string, event_id long, entered boolean, status string, outcome string, track string, student string, similarity double, waited double"
+
+
+def handover_rows(spark, d):
+    """Signups as faces at a route's entry (one in seven of another person), views as tracks of its room, in the zone or not by their value."""
+    e = events(spark, d).where("event_type in ('signup', 'view')")
+    face, user = F.col("event_type") == "signup", F.col("user_id")
+    other = user + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    return e.select(
+        (user % 10).alias("route"), "event_id", "ts", F.unix_micros("ts").alias("at"), F.when(face, "face").otherwise("track").alias("kind"), F.when(face, F.concat(F.lit("f"), user)).alias("face_track"),
+        F.when(face, F.concat(F.lit("u"), other)).alias("student"), F.when(face, F.round(0.4 + F.col("value") / 200, 3)).alias("similarity"), F.when(~face, F.concat(F.lit("t"), F.floor(user / 10) % 7)).alias("track"), F.when(~face, F.col("value") < 20).alias("inside"),
+    )
+
+
+def handover_step():
+    return Handover(delay=8 * HOUR, skew=0.5 * HOUR, stale=30 * HOUR)
+
+
 @query()
 def handover_replay(spark, d):
-    e = events(spark, d).where("event_type in ('signup', 'view')")
-    rows = e.select((F.col("user_id") % 10).alias("route"), F.to_date("ts").alias("day"), "event_id", F.col("ts").alias("at"), F.when(F.col("event_type") == "signup", "face").otherwise("track").alias("kind"), F.concat(F.lit("f"), "event_id").alias("face_track"), F.concat(F.lit("u"), "user_id").alias("student"), F.lit(0.9).alias("similarity"), F.concat(F.lit("t"), "event_id").alias("track"), F.lit(True).alias("inside"))
-    return hosts.replay(rows, ["route", "day"], ["at", "event_id"], lambda: steps.Handover(delay=8 * HOUR, skew=0.5 * HOUR, stale=30 * HOUR), "event string, track string, student string, similarity double")
+    """Whole routes, however many days they go on; every row with what it changed, and what timers found."""
+    return hosts.timed_replay(handover_rows(spark, d).drop("ts"), ["route"], ["at", "event_id"], handover_step, HANDED)

@@ -1,4 +1,4 @@
-"""Two hosts for one step: replay of a table, and a live stream.
+"""Hosts for steps: replay of a table, and a live stream; both for steps with a clock, too.
 
 A step is made anew for each key by its factory, takes rows in order and returns output rows:
 ``step(row: dict) -> list[dict]``.  Its state is what it holds; ``dump`` and ``load`` carry it between
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,33 @@ class Step:
         return self
 
 
+class Timed(Step):
+    """Base of steps with a clock (microseconds) and timers.
+
+    ``tables`` names the attributes that hold state: dicts from a string to a tuple, each with the schemas
+    of both.  ``due`` is the next moment at which something is to be done without a row, ``fire`` does it.
+    A host fires what is due before it hands over a row of that time or later.
+    """
+
+    tables: dict[str, tuple[str, str]] = {}
+
+    def __init__(self):
+        self.clock: int | None = None
+
+    def due(self) -> int | None:
+        raise NotImplementedError
+
+    def fire(self, now: int) -> list[dict[str, Any]]:
+        raise NotImplementedError
+
+    def until(self, now: int | None) -> list[dict[str, Any]]:
+        """All that is due up to ``now`` (None: to the end), in order."""
+        out = []
+        while (due := self.due()) is not None and (now is None or due <= now):
+            out += self.fire(due)
+        return out
+
+
 def _records(pdf: pd.DataFrame) -> Iterator[dict[str, Any]]:
     names = list(pdf.columns)
     for values in pdf.itertuples(index=False, name=None):
@@ -95,3 +122,107 @@ def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], S
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return rows.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "append", timeout)
+
+
+def timed_replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Timed], schema: str, time_col: str = "at", end: int | None = None) -> DataFrame:
+    """Run a timed step over each key's rows in order of ``order``, the first of which is ``time_col`` (long, microseconds).
+
+    Where a key is quiet for longer than the step remembers (``make().quiet``), nothing passes the gap: the
+    stretches on both sides are separate tasks' work, whole and exact, so a key is cut as finely as its
+    own silences allow.  At a key's end the timers fire up to ``end`` (None: all of them).  Fired rows carry
+    the key.
+    """
+    names, quiet = T.StructType.fromDDL(schema).fieldNames(), make().quiet
+    w = Window.partitionBy(*key).orderBy(*order)
+    pause = F.col(time_col) - F.lag(time_col).over(w)
+    last = F.lead(time_col).over(w).isNull()
+    marked = rows.withColumns({"__new": F.coalesce(pause > quiet, F.lit(True)), "__last": last})
+    marked = marked.withColumn("__stretch", F.sum(F.col("__new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, at, owner, open_end = None, None, {}, True
+
+        def close() -> list[dict]:
+            return [owner | r for r in step.until(end if open_end else None)] if step else []
+
+        for pdf in pdfs:
+            out = []
+            for row in _records(pdf):
+                own = (*(row[k] for k in key), row.pop("__stretch"))
+                open_now = row.pop("__last")
+                if step is None or own != at:
+                    out += close()
+                    step, at, owner = make(), own, {k: row[k] for k in key}
+                open_end = open_now
+                out += [owner | r for r in step.until(row[time_col])]
+                out += [owner | r for r in step(row)]
+            yield _frame(out, names)
+        yield _frame(close(), names)
+
+    placed = marked.repartition(*key, "__stretch").sortWithinPartitions(*key, "__stretch", *order)
+    return placed.mapInPandas(run, schema)
+
+
+def timed_live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Timed], schema: str, time_col: str = "at") -> DataFrame:
+    """The same step on a stream with a watermark: each table is a map state of its own, the clock a value state, what is due an event-time timer.
+
+    Needs the RocksDB state store.  Rows behind the watermark are dropped by Spark; all others of a key may
+    come in any micro-batch, in order of time.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    names, keys = T.StructType.fromDDL(schema).fieldNames(), key
+
+    class Processor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.maps = {name: handle.getMapState(name, *kinds) for name, kinds in make().tables.items()}
+            self.clock = handle.getValueState("clock", "at long")
+
+        def _load(self) -> tuple[Timed, dict]:
+            step, held = make(), {}
+            for name, state in self.maps.items():
+                held[name] = {k[0]: tuple(v) for k, v in state.iterator()} if state.exists() else {}
+                setattr(step, name, dict(held[name]))
+            if self.clock.exists():
+                step.clock = int(self.clock.get()[0])
+            return step, held
+
+        def _save(self, step: Timed, held: dict) -> None:
+            for name, state in self.maps.items():
+                now = getattr(step, name)
+                for k in held[name].keys() - now.keys():
+                    state.removeKey((k,))
+                for k, v in now.items():
+                    if held[name].get(k) != v:
+                        state.updateValue((k,), v)
+            if step.clock is not None:
+                self.clock.update((step.clock,))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            due = step.due()
+            if due is not None:
+                self.handle.registerTimer(-(-due // 1000))
+
+        def _told(self, own: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
+            owner = dict(zip(keys, own, strict=True))
+            return iter([_frame([owner | r for r in out], names)] if out else [])
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            step, held = self._load()
+            out = []
+            for row in _records(pd.concat(list(rows)).sort_values(order, kind="stable")):
+                out += step.until(row[time_col]) + step(row)
+            self._save(step, held)
+            return self._told(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            step, held = self._load()
+            out = step.until(timerValues.getCurrentWatermarkInMs() * 1000)
+            self._save(step, held)
+            return self._told(key, out)
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy(*key).transformWithStateInPandas(Processor(), schema, "append", "EventTime")

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parquet_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """Files of a folder as a stream; without a schema that of what lies there now."""
+_PROVIDER, _ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB, as timed steps need it; the session's own setting comes back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def parquet_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_trigger: int | None = 1) -> DataFrame:
+    """Files of a folder as a stream, so many in a batch (None: all that are there); without a schema that of what lies there now."""
     schema = schema or spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def json_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import deque
 from datetime import timedelta
 from typing import Any
 
@@ -31,31 +31,6 @@ class Throttled(Step):
         return [row]
 
 
-class Coalescing(Step):
-    """Of a key's rows one waits for each ``target``, a newer one in its place; it is given out when the target's last one is ``seconds`` old. At most ``most`` targets wait, the oldest goes."""
-
-    def __init__(self, target: str, time: str, seconds: float, most: int = 32):
-        self.target, self.time, self.seconds, self.most = target, time, seconds, most
-        self.pending: OrderedDict = OrderedDict()
-        self.sent: dict = {}
-        self.coalesced = self.dropped = 0
-
-    def __call__(self, row: Row) -> list[Row]:
-        if row[self.target] in self.pending:
-            del self.pending[row[self.target]]
-            self.coalesced += 1
-        elif len(self.pending) >= self.most:
-            self.pending.popitem(last=False)
-            self.dropped += 1
-        self.pending[row[self.target]] = row
-        out, now = [], row[self.time]
-        for k in list(self.pending):
-            if k not in self.sent or _after(now, self.sent[k]) >= self.seconds:
-                self.sent[k] = now
-                out.append(self.pending.pop(k) | {"coalesced": self.coalesced, "dropped": self.dropped})
-        return out
-
-
 class Sessions(Step):
     """Sessions in order of start: an end not after its start is ``invalid``, a start over ``tolerance`` seconds before the end of the last accepted row ``overlap``; both are told and left out. A gap over ``gap`` seconds begins a new session."""
 
@@ -267,84 +242,6 @@ class Tracker(Step):
         return out + [{"frame": row["frame"], "kind": "move", "box": None, "track": f"person-{i}", "state": b if a is None else f"{a}>{b}"} for i, a, b in moves]
 
 
-class Handover(Step):
-    """Identities from an entry camera go to tracks of a room camera where exactly one pair fits.
-
-    Rows in event time: kind ``face`` (face_track, student, similarity) or ``track`` (track, inside).  A
-    face waits ``delay`` seconds, a track that came into the zone half a second longer; a pair fits if the
-    track came from ``skew`` seconds before to ``delay`` seconds after the face.  The route's watermark is
-    its largest event time; what it expires may leave one pair, so expiry matches anew.
-    """
-
-    def __init__(self, delay: float = 8.0, skew: float = 0.5, stale: float = 30.0, least: float = 0.5):
-        self.delay, self.skew, self.stale, self.least, self.mark = delay, skew, stale, least, None
-        self.faces: dict[str, tuple] = {}
-        self.waiting: dict[str, Any] = {}
-        self.used: dict[str, Any] = {}
-        self.inside: dict[str, tuple] = {}
-        self.active: dict[str, list] = {}
-
-    def __call__(self, row: Row) -> list[Row]:
-        now = row["at"]
-        self.mark = now if self.mark is None else max(self.mark, now)
-        before = len(self.faces), len(self.waiting)
-        fresh = lambda t, limit: _after(self.mark, t) <= limit
-        self.faces = {k: v for k, v in self.faces.items() if fresh(v[2], self.delay)}
-        self.waiting = {k: v for k, v in self.waiting.items() if fresh(v, self.delay + self.skew)}
-        self.used = {k: v for k, v in self.used.items() if fresh(v, self.stale)}
-        self.inside = {k: v for k, v in self.inside.items() if fresh(v[1], self.stale)}
-        self.active = {k: v for k, v in self.active.items() if fresh(v[2], self.stale)}
-        changed = before != (len(self.faces), len(self.waiting))
-        changed |= self._face(row, now) if row["kind"] == "face" else self._track(row, now)
-        out = self._match() if changed else []
-        if row["kind"] == "track" and row["track"] in self.active:
-            student, confidence, _ = self.active[row["track"]]
-            out.append(row | {"event": "attached", "student": student, "similarity": confidence})
-        return out
-
-    def _face(self, row: Row, now) -> bool:
-        face, student, sure = row["face_track"], row["student"], row["similarity"]
-        if student is None or sure is None or sure < self.least or any(a[0] == student for a in self.active.values()):
-            return False
-        if face in self.used:
-            self.used[face] = max(self.used[face], now)
-            return False
-        known = self.faces.get(face)
-        if known and known[0] != student:
-            return False  # the first identity of a face is locked
-        self.faces[face] = (student, sure, max(known[2], now) if known else now)
-        return True
-
-    def _track(self, row: Row, now) -> bool:
-        track, inside = row["track"], bool(row["inside"])
-        was, _ = self.inside.get(track, (False, None))
-        self.inside[track] = (inside, now)
-        if track in self.active:
-            self.active[track][2] = max(self.active[track][2], now)
-            return False
-        if inside and not was and track not in self.waiting:
-            self.waiting[track] = now
-            return True
-        return False
-
-    def _match(self) -> list[Row]:
-        busy = {a[0] for a in self.active.values()}
-        for face in [f for f, v in self.faces.items() if v[0] in busy]:
-            self.used[face] = self.faces.pop(face)[2]
-        pairs: dict[tuple, tuple] = {}
-        for student, sure, seen in self.faces.values():
-            for track, came in self.waiting.items():
-                if -self.skew <= _after(came, seen) <= self.delay and ((student, track) not in pairs or seen > pairs[student, track][1]):
-                    pairs[student, track] = (sure, seen)
-        if len(pairs) != 1:
-            return [{"event": "ambiguous", "at": self.mark}] if pairs else []
-        (student, track), (sure, _) = pairs.popitem()
-        self.active[track] = [student, sure, self.waiting.pop(track)]
-        for face in [f for f, v in self.faces.items() if v[0] == student]:
-            self.used[face] = self.faces.pop(face)[2]
-        return [{"event": "accepted", "at": self.mark, "track": track, "student": student, "similarity": sure}]
-
-
 class Accumulated(Step):
     """The last ``size`` usable vectors of a track; from ``least`` on their weighted mean, one unit long, is told. ``n`` is how many are held."""
 

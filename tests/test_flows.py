@@ -134,16 +134,6 @@ def streamed(spark, tmp_path, rows: list[tuple], schema: str, make, out: str, ke
     return list(map(tuple, spark.read.schema(out).parquet(sink).collect()))
 
 
-def handover_rows() -> tuple[list[tuple], str]:
-    rng = np.random.default_rng(3)
-    rows, at = [], datetime(2024, 1, 1)
-    for i in range(200):
-        at += timedelta(seconds=float(rng.integers(1, 9)))
-        kind = "face" if rng.random() < 0.5 else "track"
-        rows.append((f"r{i % 2}", i, at, kind, f"f{i % 17}", f"u{i % 11}", 0.9 if i % 5 else 0.2, f"t{i % 13}", bool(i % 3)))
-    return rows, "route string, id long, at timestamp, kind string, face_track string, student string, similarity double, track string, inside boolean"
-
-
 def decision_rows() -> tuple[list[tuple], str]:
     rng = np.random.default_rng(5)
     rows, at = [], datetime(2024, 1, 1)
@@ -156,9 +146,7 @@ def decision_rows() -> tuple[list[tuple], str]:
 
 @pytest.mark.parametrize("parts", [1, 5])
 @pytest.mark.parametrize(("make_rows", "make", "key", "order", "out"), [
-    (handover_rows, steps.Handover, ["route"], ["at", "id"], "event string, track string, student string, similarity double"),
     (decision_rows, steps.Decision, ["student"], ["id"], "id long, state string, reason string, changed boolean"),
-    (decision_rows, lambda: steps.Occupancy("observed_at", "seat_state"), ["student"], ["id"], "id long, from_state string, applied boolean, changed boolean"),
 ])
 def test_steps_say_the_same_live_and_in_replay(spark, tmp_path, make_rows, make, key, order, out, parts):
     rows, schema = make_rows()
