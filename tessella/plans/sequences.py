@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import dedup, density, joins, matching, sampling, scan, windows
@@ -11,6 +12,7 @@ from tessella.plans.scans import boxes
 from tessella.session import cut_lineage
 from tessella.streaming import hosts, steps
 from tessella.streaming.handover import Handover
+from tessella.streaming.tracking import Tracker
 
 HOUR = 3600
 
@@ -392,13 +394,26 @@ def track_prototype(spark, d):
     return _replay(spark, d, lambda: steps.Accumulated("v", "q"), "vec_id long, n long, prototype array<double>", order=("vec_id",), rows=rows).select("vec_id", "n", F.size("prototype").alias("size"))
 
 
-@query()
-def tracker_replay(spark, d):
+def tracker_frames(spark, d):
+    """Frames of boxes of 40 cameras."""
     b = boxes(spark, d)
     frames = b.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("x1", "y1", "x2", "y2", F.col("confidence").cast("double")).alias("b")))).alias("l"))
-    # a camera's frames in stretches, as days would be: a track does not outlive its stretch
-    frames = frames.select((F.col("l_orderkey") % 40).alias("camera"), F.floor(F.col("l_orderkey") / 4000).alias("stretch"), F.col("l_orderkey").alias("frame"), F.col("l_orderkey").cast("double").alias("at"), F.transform("l", lambda e: e["b"]).alias("boxes"))
-    return hosts.replay(frames, ["camera", "stretch"], ["frame"], lambda: steps.Tracker(kalman=True, lifecycle=True, suppress=True), "frame long, kind string, box int, track string, state string")
+    return frames.select((F.col("l_orderkey") % 40).alias("camera"), F.col("l_orderkey").alias("frame"), F.col("l_orderkey").cast("double").alias("at"), F.transform("l", lambda e: e["b"]).alias("boxes"))
+
+
+def tracked(frames, stretch: int):
+    """(camera, frame, kind, box, track, state): tracks are numbered through a camera, over all its stretches."""
+    make = lambda: Tracker(kalman=True, lifecycle=True, suppress=True)
+    rows, stretches = hosts.chained(frames, ["camera"], ["frame"], make, "frame long, kind string, box int, stretch long, number long, state string", stretch)
+    before = Window.partitionBy("camera").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    first = stretches.select("camera", F.col("__stretch").alias("stretch"), F.coalesce(F.sum("births").over(before), F.lit(0)).alias("first"))
+    return rows.join(first, ["camera", "stretch"]).select("camera", "frame", "kind", "box", F.concat(F.lit("person-"), F.col("first") + F.col("number")).alias("track"), "state")
+
+
+@query()
+def tracker_replay(spark, d):
+    """Every camera's frames as one uncut run; stretches of 4000 run at once and hand their tracks on."""
+    return tracked(tracker_frames(spark, d), 4000)
 
 
 HANDED = "route long, at long, kind string, event_id long, entered boolean, status string, outcome string, track string, student string, similarity double, waited double"

@@ -72,6 +72,15 @@ def _frame(rows: list[dict[str, Any]], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
+def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with all rows of a key in one partition.
+
+    By the key's hash, so that it is an exchange of its own: one by the key itself is left out where Spark
+    takes the rows for dealt already, and what it took them for may change while the query runs.
+    """
+    return rows.repartition(F.xxhash64(*key))
+
+
 def replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str) -> DataFrame:
     """Run a step over each key's rows in order.
 
@@ -95,10 +104,78 @@ def replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[],
         if step:
             yield _frame(step.finish(), names)
 
-    placed = rows.repartition(*key).sortWithinPartitions(*key, *(F.col(c).asc_nulls_last() for c in order))
+    placed = _dealt(rows, key).sortWithinPartitions(*key, *(F.col(c).asc_nulls_last() for c in order))
     return placed.mapInPandas(run, schema)
 
 
+def chained(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str, frames: int) -> tuple[DataFrame, DataFrame]:
+    """Run a step over each key's rows in order, in stretches of ``frames`` rows that run at once; the result is that of one uncut run.
+
+    All that goes from one stretch to the next is the step's state.  In the first round every stretch
+    starts from nothing; in each further one the first of a key's stretches runs again that started from
+    anything but its predecessor's end, until there is none.  Where a repaired stretch ends as it did
+    before, all that follows stands as it is.  So a stretch runs twice at most, and a key takes one round
+    more for each stretch that its state outlives.
+    A step has begin(stretch), digest() of its state, and births, a number told for each stretch.
+
+    Returns (the step's rows with the key and __stretch, what the stretches told: key, __stretch, births).
+    """
+    from tessella.operators.scan import numbered
+    from tessella.session import cut_lineage
+
+    names, kinds = T.StructType.fromDDL(schema).fieldNames(), dict(rows.dtypes)
+    own = numbered(rows, key, order)
+    own = cut_lineage(own.withColumn("__stretch", F.floor(F.col("__at") / frames)).drop("__at"))
+    told = ["__stretch", "__state", "__digest", "__births"]
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, at = None, None
+
+        def end() -> list[dict]:
+            return [dict(zip(key, at[:-1], strict=True)) | {"__stretch": at[-1], "__state": step.dump(), "__digest": step.digest(), "__births": step.births}] if step else []
+
+        for pdf in pdfs:
+            out = []
+            for row in _records(pdf):
+                now, state, first = (*(row[k] for k in key), row["__stretch"]), row.pop("__state"), row.pop("__first")
+                if step is None or now != at:
+                    out += end()
+                    step, at = make(), now
+                    if first and state is not None:
+                        step.load(state)
+                    step.begin(at[-1])
+                if not first:
+                    out += [dict(zip(key, at[:-1], strict=True)) | {"__stretch": at[-1]} | r for r in step(row)]
+            yield _frame(out, [*key, *names, *told])
+        yield _frame(end(), [*key, *names, *told])
+
+    kind = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), schema, "__stretch long, __state binary, __digest string, __births long"])
+
+    def go(stretches: DataFrame) -> DataFrame:
+        """stretches: key, __stretch, __state."""
+        mine = own.join(stretches.select(*key, "__stretch"), [*key, "__stretch"], "left_semi")
+        begins = stretches.select(*(F.col(c) if c in (*key, "__stretch", "__state") else F.lit(None).cast(kinds[c]).alias(c) for c in [*own.columns, "__state"]), F.lit(True).alias("__first"))
+        both = mine.withColumns({"__state": F.lit(None).cast("binary"), "__first": F.lit(False)}).unionByName(begins)
+        placed = _dealt(both, [*key, "__stretch"]).sortWithinPartitions(*key, "__stretch", F.col("__first").desc(), *order)
+        return cut_lineage(placed.mapInPandas(run, kind))
+
+    done = go(own.select(*key, "__stretch").distinct().withColumn("__state", F.lit(None).cast("binary")))
+    ends = done.where("__digest is not null").select(*key, *told)
+    out, used = done.where("__digest is null").drop(*told[1:]), ends.select(*key, "__stretch", F.lit(make().digest()).alias("__used"))
+    while True:
+        before = ends.select(*key, (F.col("__stretch") + 1).alias("__stretch"), "__state", F.col("__digest").alias("__now"))
+        other = used.join(before, [*key, "__stretch"]).where(F.col("__used") != F.col("__now"))
+        first = F.min_by(F.struct("__stretch", "__state", "__now"), "__stretch").alias("first")
+        again = cut_lineage(other.groupBy(*key).agg(first).select(*key, "first.*"))
+        if again.isEmpty():
+            return out, ends.select(*key, "__stretch", F.col("__births").alias("births"))
+        done = go(again.drop("__now"))
+        keys = [*key, "__stretch"]
+        out = cut_lineage(out.join(again.select(*keys), keys, "left_anti").unionByName(done.where("__digest is null").drop(*told[1:])))
+        ends = cut_lineage(ends.join(again.select(*keys), keys, "left_anti").unionByName(done.where("__digest is not null").select(*key, *told)))
+        used = cut_lineage(used.join(again.select(*keys), keys, "left_anti").unionByName(again.select(*keys, F.col("__now").alias("__used"))))
+
+
 def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str, timeout_ms: int | None = None) -> DataFrame:
     """The same step on a stream: state by key, appended output; a key silent for ``timeout_ms`` of processing time is forgotten."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -159,7 +236,7 @@ def timed_replay(rows: DataFrame, key: list[str], order: list[str], make: Callab
             yield _frame(out, names)
         yield _frame(close(), names)
 
-    placed = marked.repartition(*key, "__stretch").sortWithinPartitions(*key, "__stretch", *order)
+    placed = _dealt(marked, [*key, "__stretch"]).sortWithinPartitions(*key, "__stretch", *order)
     return placed.mapInPandas(run, schema)
 
 

@@ -8,7 +8,6 @@ from typing import Any
 
 import numpy as np
 
-from tessella.operators.matching import gated_assignment, suppress_contained
 from tessella.streaming.hosts import Step
 
 Row = dict[str, Any]
@@ -67,20 +66,6 @@ class Hold(Step):
         return [row | {"source": out, "shown": shown}]
 
 
-class Occupancy(Step):
-    """Every observation becomes a history row; it is applied unless it is older than what is current, and ``changed`` tells a new state."""
-
-    def __init__(self, time: str, state: str):
-        self.time, self.state, self.at, self.current = time, state, None, "UNKNOWN"
-
-    def __call__(self, row: Row) -> list[Row]:
-        applied = self.at is None or row[self.time] >= self.at
-        out = row | {"from_state": self.current, "applied": applied, "changed": applied and row[self.state] != self.current}
-        if applied:
-            self.at, self.current = row[self.time], row[self.state]
-        return [out]
-
-
 class Decision(Step):
     """A student's state from each frame's evidence, by six rules in order.
 
@@ -124,124 +109,6 @@ class Decision(Step):
         return ("ABSENT" if gone else "UNKNOWN", "SEAT_VACANT_BEYOND_GRACE" if gone else "SEAT_VACANT_WITHIN_GRACE", None, None, self.identified_at, since)
 
 
-class _Motion:
-    """Constant-velocity filter over (centre x, centre y, aspect, height), in seconds; its noise grows with the step."""
-
-    #: The weights of position and speed noise, shares of the height, and the longest step in seconds.
-    POSITION, SPEED, LONGEST = 1 / 20, 1 / 160, 1.0
-
-    def __init__(self, box: np.ndarray):
-        self.mean = np.concatenate([_xyah(box), np.zeros(4)])
-        h = max(self.mean[3], 1e-6)
-        p, s = self.POSITION * h, self.SPEED * h
-        self.cov = np.diag(np.square([2 * p, 2 * p, 1e-2, 2 * p, 10 * s, 10 * s, 1e-5, 10 * s]))
-
-    def predict(self, seconds: float) -> None:
-        step = float(np.clip(seconds, 0.0, self.LONGEST))
-        if not step:
-            return
-        move = np.eye(8)
-        move[:4, 4:] = np.eye(4) * step
-        h = max(self.mean[3], 1e-6)
-        p, s = self.POSITION * h, self.SPEED * h
-        self.mean = move @ self.mean
-        self.cov = move @ self.cov @ move.T + np.diag(np.square(np.array([p, p, 1e-2, p, s, s, 1e-5, s]) * step))
-
-    def update(self, box: np.ndarray) -> None:
-        p = self.POSITION * max(self.mean[3], 1e-6)
-        noise = self.cov[:4, :4] + np.diag(np.square([p, p, 1e-1, p]))
-        gain = np.linalg.solve(noise, self.cov[:4]).T
-        self.mean = self.mean + gain @ (_xyah(box) - self.mean[:4])
-        self.cov = self.cov - gain @ noise @ gain.T
-
-    @property
-    def box(self) -> np.ndarray:
-        x, y, a, h = self.mean[:4]
-        return np.array([x - a * h / 2, y - h / 2, x + a * h / 2, y + h / 2])
-
-
-def _xyah(box: np.ndarray) -> np.ndarray:
-    w, h = box[2] - box[0], max(box[3] - box[1], 1e-6)
-    return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, w / h, h])
-
-
-class Tracker(Step):
-    """Multi-object tracking of one camera's frames.
-
-    A row is a frame: frame, at (seconds), boxes (list of x1, y1, x2, y2, confidence).  Confident boxes
-    are assigned to predicted tracks by IoU, then weak boxes to the tracks left over; confident boxes
-    without a track found one; a track unseen for more than ``buffer`` frames is removed.  With
-    ``lifecycle`` a track is TENTATIVE until it is seen again, and LOST while it is not.
-    """
-
-    def __init__(self, high: float = 0.5, low: float = 0.1, new: float = 0.6, first: float = 0.3, second: float = 0.2, buffer: int = 30, kalman: bool = False, lifecycle: bool = False, suppress: bool = False):
-        self.high, self.low, self.new, self.first, self.second = high, low, new, first, second
-        self.buffer, self.kalman, self.lifecycle, self.suppress = buffer, kalman, lifecycle, suppress
-        self.tracks: dict[int, dict] = {}
-        self.next = 1
-
-    def _place(self, t: dict, at: float) -> np.ndarray:
-        return t["filter"].box if t["filter"] else t["box"] + t["speed"] * max(0.0, at - t["at"])
-
-    def _see(self, t: dict, box: np.ndarray, at: float) -> None:
-        seconds = at - t["at"]
-        if t["filter"]:
-            if t["hits"] == 1 and seconds > 1e-6:
-                t["filter"].mean[4:] = (_xyah(box) - _xyah(t["box"])) / seconds
-            t["filter"].update(box)
-        elif seconds > 1e-6:
-            speed = (box - t["box"]) / seconds
-            t["speed"] = speed if t["hits"] == 1 else 0.7 * t["speed"] + 0.3 * speed
-        t.update(box=box, at=max(t["at"], at), hits=t["hits"] + 1, missed=0)
-
-    def __call__(self, row: Row) -> list[Row]:
-        at = float(row["at"])
-        boxes = np.array([list(b)[:4] for b in row["boxes"]], float).reshape(-1, 4)
-        sure = np.array([list(b)[4] for b in row["boxes"]], float)
-        kept = suppress_contained(boxes, sure) if self.suppress else range(len(boxes))
-        for t in self.tracks.values():
-            t["age"] += 1
-            if t["filter"]:
-                t["filter"].predict(at - t["predicted"])
-                t["predicted"] = max(t["predicted"], at)
-        moves, owner = [], {}
-
-        def assign(ids: list[int], places: list[int], least: float) -> tuple[list[int], list[int]]:
-            pairs = gated_assignment(np.array([self._place(self.tracks[i], at) for i in ids]), boxes[places], least)
-            for i, j in pairs:
-                t = self.tracks[ids[i]]
-                self._see(t, boxes[places[j]], at)
-                if self.lifecycle and t["state"] != "TRACKED":
-                    moves.append((ids[i], t["state"], "TRACKED"))
-                    t["state"] = "TRACKED"
-                owner[places[j]] = ids[i]
-            used = {i for i, _ in pairs}, {j for _, j in pairs}
-            return [x for i, x in enumerate(ids) if i not in used[0]], [x for j, x in enumerate(places) if j not in used[1]]
-
-        rest, free = assign(sorted(self.tracks), [i for i in kept if sure[i] >= self.high], self.first)
-        rest, _ = assign(rest, [i for i in kept if self.low <= sure[i] < self.high], self.second)
-        for i in rest:
-            t = self.tracks[i]
-            t["missed"] += 1
-            after = {"TENTATIVE": "REMOVED", "TRACKED": "LOST"}.get(t["state"])
-            if self.lifecycle and after:
-                moves.append((i, t["state"], after))
-                t["state"] = after
-        for j in free:
-            if sure[j] >= self.new:
-                state = "TENTATIVE" if self.lifecycle else "TRACKED"
-                self.tracks[self.next] = {"box": boxes[j], "at": at, "predicted": at, "speed": np.zeros(4), "hits": 1, "missed": 0, "age": 1, "state": state, "filter": _Motion(boxes[j]) if self.kalman else None}
-                owner[j] = self.next
-                moves.append((self.next, None, state))
-                self.next += 1
-        for i in [i for i, t in self.tracks.items() if t["state"] == "REMOVED" or t["missed"] > self.buffer]:
-            if self.tracks[i]["state"] != "REMOVED":
-                moves.append((i, self.tracks[i]["state"], "REMOVED"))
-            del self.tracks[i]
-        out = [{"frame": row["frame"], "kind": "box", "box": int(j), "track": f"person-{i}", "state": self.tracks[i]["state"]} for j, i in sorted(owner.items())]
-        return out + [{"frame": row["frame"], "kind": "move", "box": None, "track": f"person-{i}", "state": b if a is None else f"{a}>{b}"} for i, a, b in moves]
-
-
 class Accumulated(Step):
     """The last ``size`` usable vectors of a track; from ``least`` on their weighted mean, one unit long, is told. ``n`` is how many are held."""
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tessella.operators import dedup, density, joins, matching, skew
 from tessella.operators.graph import connected_components
 from tessella.plans import catalog
-from tessella.streaming import hosts, steps
+from tessella.streaming import hosts, steps, tracking
 
 SCHEMA = "frame long, at int, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -347,22 +347,24 @@ def test_sessions_measure_gaps_from_the_last_accepted_row(spark):
 
 
 def test_filter_steps_are_clamped_and_noise_grows_with_them():
-    still, short, long, longer = (steps._Motion(np.array([0.0, 0, 10, 20])) for _ in range(4))
-    for m, seconds in ((still, 0.0), (short, 0.5), (long, 1.0), (longer, 30.0)):
-        m.mean[4] = 8.0
-        m.predict(seconds)
-    assert still.mean[0] == 5 and short.mean[0] == 9 and long.mean[0] == longer.mean[0] == 13
-    assert (long.cov == longer.cov).all() and short.cov[2, 2] < long.cov[2, 2]
-    assert np.isclose(short.cov[0, 0], 2 * 2 * 1.0 + 0.25 * (10 * 20 / 160) ** 2 + (0.5 * 1.0) ** 2)
+    seconds = np.array([0.0, 0.5, 1.0, 30.0])
+    filters = tracking.Motions()
+    for _ in seconds:
+        filters.add(np.array([0.0, 0, 10, 20]))
+    filters.mean[:, 4] = 8.0
+    filters.predict(seconds)
+    assert filters.mean[:, 0].tolist() == [5, 9, 13, 13]
+    assert (filters.cov[2] == filters.cov[3]).all() and filters.cov[1, 2, 2] < filters.cov[2, 2, 2] and (filters.cov == filters.cov.transpose(0, 2, 1)).all()
+    assert np.isclose(filters.cov[1, 0, 0], 2 * 2 * 1.0 + 0.25 * (10 * 20 / 160) ** 2 + (0.5 * 1.0) ** 2)
 
 
 def test_tracks_over_a_literal_trace():
     """A box that moves, is weak for a frame, is lost and comes back."""
     box = lambda x, c: [x, 0.0, x + 10, 20.0, c]
     frames = [(0, [box(0, 0.9)]), (1, [box(2, 0.9)]), (2, [box(4, 0.2)]), (3, []), (4, [box(8, 0.9), box(80, 0.7)]), (5, [box(10, 0.9)]), (6, [box(12, 0.05)])]
-    tracker, out = steps.Tracker(kalman=True, lifecycle=True), []
+    tracker, out = tracking.Tracker(kalman=True, lifecycle=True), []
     for frame, boxes in frames:
-        out += [(r["frame"], r["kind"], r["track"], r["state"]) for r in tracker({"frame": frame, "at": frame * 0.2, "boxes": boxes})]
+        out += [(r["frame"], r["kind"], f"person-{r['number']}", r["state"]) for r in tracker({"frame": frame, "at": frame * 0.2, "boxes": boxes})]
     assert out == [
         (0, "box", "person-1", "TENTATIVE"), (0, "move", "person-1", "TENTATIVE"), (1, "box", "person-1", "TRACKED"), (1, "move", "person-1", "TENTATIVE>TRACKED"), (2, "box", "person-1", "TRACKED"),
         (3, "move", "person-1", "TRACKED>LOST"), (4, "box", "person-1", "TRACKED"), (4, "box", "person-2", "TENTATIVE"), (4, "move", "person-1", "LOST>TRACKED"), (4, "move", "person-2", "TENTATIVE"),

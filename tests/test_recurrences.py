@@ -12,6 +12,7 @@ from tessella.operators import scan, windows
 from tessella.plans import flows, sequences
 from tessella.streaming import hosts
 from tessella.streaming.handover import SECOND, Handover
+from tessella.streaming.tracking import Tracker
 
 START = datetime(2024, 3, 1, tzinfo=UTC)
 SCHEMA = "k string, id long, ts timestamp, value double, state string"
@@ -261,3 +262,30 @@ def test_the_stream_says_what_the_replay_says(spark, sf_dir):
     assert found == sorted(map(tuple, want.collect()), key=repr)
     accepted = [r for r in found if r[6] == "accepted"]
     assert accepted and got.where("kind = 'match'").select("at").distinct().count() > 5
+
+
+# --- tracker ----------------------------------------------------------------------------------------------------
+
+
+def test_tracks_pass_from_stretch_to_stretch(spark, sf_dir):
+    """However short the stretches are: the rows of one uncut run of each camera, with tracks that live over borders."""
+    frames = sequences.tracker_frames(spark, sf_dir).withColumn("camera", F.col("camera") % 3)
+    want: list = []
+    cameras: dict = {}
+    for r in frames.collect():
+        cameras.setdefault(r.camera, []).append(r.asDict())
+    for camera, own in cameras.items():
+        step = Tracker(kalman=True, lifecycle=True, suppress=True)
+        for row in sorted(own, key=lambda r: r["frame"]):
+            want += [(camera, r["frame"], r["kind"], r["box"], f"person-{r['number']}", r["state"]) for r in step(row)]
+    rounds = {}
+    for stretch in (80, 10_000):
+        got = sequences.tracked(frames, stretch)
+        rounds[stretch] = sorted(map(tuple, got.collect()), key=repr)
+        assert rounds[stretch] == sorted(want, key=repr)
+    firsts = {}
+    for camera, frame, kind, _, track, state in want:
+        if kind == "move" and state == "TENTATIVE":
+            firsts[camera, track] = frame
+    positions = {(c, r["frame"]): i // 80 for c, own in cameras.items() for i, r in enumerate(sorted(own, key=lambda r: r["frame"]))}
+    assert any(positions[c, f] > positions[c, firsts[c, t]] for c, f, kind, _, t, _ in want if kind == "box")
