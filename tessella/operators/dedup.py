@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from itertools import combinations
 
 import numpy as np
@@ -70,7 +72,7 @@ def least_iou(a: Column, b: Column, least: float) -> Column:
     return matched(a, b)
 
 
-def leader_groups(rows: DataFrame, camera: str, radius: int = 4, box_iou: float = 0.9, max_rounds: int = 200) -> DataFrame:
+def leader_groups(rows: DataFrame, camera: str, radius: int = 4, box_iou: float = 0.9) -> DataFrame:
     """``rows`` with group_id (the leader's id), reason and distance, camera by camera in order of priority.
 
     rows(camera, id, sha256, bits, label, reviewed, sharpness[, boxes array<double>]): reviewed rows lead,
@@ -80,6 +82,8 @@ def leader_groups(rows: DataFrame, camera: str, radius: int = 4, box_iou: float
 
     Contents are settled first, then candidate pairs are joined by bands, then leaders in rounds: a row is
     settled when all its earlier candidates are.  So neither a camera nor a group is gathered anywhere.
+    A round reads what the last one settled and the pairs that are still open; the first open row of all
+    has no open candidate, so the rounds end, however long a chain of near copies is.
     """
     order = F.struct((~F.col("reviewed")).alias("later"), (-F.col("sharpness")).alias("dull"), F.col("id").alias("id"))
     boxed = rows if "boxes" in rows.columns else rows.withColumn("boxes", F.array().cast("array<double>"))
@@ -92,19 +96,21 @@ def leader_groups(rows: DataFrame, camera: str, radius: int = 4, box_iou: float
     earlier = near.join(mine, "id").join(theirs, "other").where(F.col("__p") < F.col("__o"))
     edges = cut_lineage(earlier.withColumn("iou", least_iou(F.col("__a"), F.col("__b"), box_iou)).where("iou is not null").select("id", "other", "distance", "iou"))
     settled = firsts.join(edges.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("group_id"), F.lit("leader").alias("reason"), F.lit(0).alias("distance"))
-    settled, open_edges = cut_lineage(settled), edges
-    for _ in range(max_rounds):
+    new = cut_lineage(settled)
+    done, open_edges = [new], edges.withColumn("leads", F.lit(None).cast("boolean"))
+    while True:
+        state = new.select(F.col("id").alias("other"), (F.col("reason") == "leader").alias("__leads"))
+        open_edges = cut_lineage(open_edges.join(state, "other", "left").withColumn("leads", F.coalesce("leads", "__leads")).drop("__leads"))
         if open_edges.isEmpty():
             break
-        state = settled.select(F.col("id").alias("other"), (F.col("reason") == "leader").alias("leads"))
-        seen = open_edges.join(state, "other", "left").groupBy("id").agg(
-            F.count_if(F.col("leads").isNull()).alias("waiting"), F.min(F.when(F.col("leads"), F.struct("distance", (-F.col("iou")).alias("iou"), "other"))).alias("best")
-        )
+        seen = open_edges.groupBy("id").agg(F.count_if(F.col("leads").isNull()).alias("waiting"), F.min(F.when(F.col("leads"), F.struct("distance", (-F.col("iou")).alias("iou"), "other"))).alias("best"))
         now = seen.where("waiting = 0").select("id", F.coalesce("best.other", "id").alias("group_id"), F.when(F.col("best").isNull(), "leader").otherwise("near").alias("reason"), F.coalesce("best.distance", F.lit(0)).alias("distance"))
-        now = cut_lineage(now)
-        settled, open_edges = cut_lineage(settled.union(now)), cut_lineage(open_edges.join(now.select("id"), "id", "left_anti"))
-    else:
-        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+        new = cut_lineage(now)
+        open_edges = open_edges.join(new.select("id"), "id", "left_anti")
+        done.append(new)
+        if len(done) == 32:  # a plan of few parts, whatever the number of rounds
+            done = [cut_lineage(reduce(DataFrame.union, done))]
+    settled = reduce(DataFrame.union, done)
     of_first = firsts.select(*[F.col(c).alias(f"__{c}") for c in content], F.col("id").alias("__first")).join(settled.withColumnRenamed("id", "__first"), "__first")
     joined = rows.join(of_first, [rows[c].eqNullSafe(of_first[f"__{c}"]) for c in content])
     own = F.col("id") == F.col("__first")

@@ -1,4 +1,4 @@
-"""Density clusters of points: a grid that Spark counts, then one small grid for each camera.
+"""Density clusters of points: a grid that Spark counts, one small grid for each camera, and all points counted in the polygons placed there.
 
 Whatever the number of points, a camera's grid has at most 64 x 96 cells, so the peak search runs on a
 bounded table in ``applyInPandas``.
@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.skew import hot_keys, join_per_key
+from tessella.session import cut_lineage
+
 #: Cells of the grid, a cluster's least share of its peak's height and its reach in cells, how near two
 #: centres are one cluster, the least support in points and as a share of the strongest, and how polygons that meet shrink.
 COLUMNS, ROWS = 64, 96
@@ -106,34 +109,75 @@ def apart(polygon: list[tuple[float, float]], others: list[list[tuple[float, flo
     return None
 
 
-def clusters(grid: np.ndarray, most: int, least: int = LEAST) -> list[dict]:
-    """Clusters of a count grid, strongest first: n points of their cells, centre and polygon in shares; polygons never overlap."""
+def contains(polygon: F.Column, x: F.Column, y: F.Column) -> F.Column:
+    """Whether a point lies in a convex polygon (array of x, y, counter-clockwise) or on its edge."""
+    def beside(p: F.Column, i: F.Column) -> F.Column:
+        q = F.get(polygon, (i + 1) % F.size(polygon))
+        return (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]) >= 0
+
+    return F.forall(F.transform(polygon, beside), lambda ok: ok)
+
+
+def clusters(grid: np.ndarray, most: int, least: int, rejected: set[int]) -> list[dict]:
+    """Clusters of a count grid, strongest first, without the ``rejected`` places in that order: place, n points of their cells, polygon in shares; polygons never overlap."""
     found = merged(grown(smooth(smooth(grid.astype(float))), 3 * most))
     floor = max(least, LEAST_SHARE * max((c["support"] for c in found), default=0.0))
     out: list[dict] = []
-    for c in found:
-        n = int(sum(grid[cell] for cell in c["cells"]))
+    for place, c in enumerate(found):
         if len(out) >= most or c["support"] < floor:
             break
+        if place in rejected:
+            continue
         corners = hull([((x + i) / grid.shape[0], (y + j) / grid.shape[1]) for x, y in c["cells"] for i in (0, 1) for j in (0, 1)])
         polygon = apart(corners, [o["polygon"] for o in out])
-        if polygon is not None and n >= least:
-            out.append({"n": n, "x": float((c["at"][0] + 0.5) / grid.shape[0]), "y": float((c["at"][1] + 0.5) / grid.shape[1]), "polygon": polygon})
+        if polygon is not None:
+            out.append({"place": place, "polygon": polygon})
     return out
 
 
+_PLACED = "place int, polygon array<struct<x:double,y:double>>"
+
+
 def density_clusters(points: DataFrame, camera: str, x: str = "x", y: str = "y", most: int = 20, least: int = LEAST) -> DataFrame:
-    """(camera, cluster, n, x, y, polygon) of each camera, numbered in reading order (by y, then x)."""
+    """(camera, cluster, n, x, y, polygon) of each camera, numbered in reading order (by the polygon's mean y, then x).
+
+    n: the points inside the polygon as it was placed; a polygon with fewer than ``least`` is dropped, and
+    what is weaker than it is placed anew.  Each round counts all points once, inside the polygons of their
+    camera, and drops the strongest one that fails; so there are as many rounds as a camera drops.  Null
+    coordinates take no part, null cameras are one.
+    """
     def cell(c: str, n: int):
         return F.greatest(F.least(F.floor(F.col(c) * n), F.lit(n - 1)), F.lit(0)).cast("int")
 
-    counted = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(camera, cell(x, COLUMNS).alias("bin_x"), cell(y, ROWS).alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))
+    seen = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(camera).alias("camera"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = cut_lineage(seen.groupBy("camera", cell("x", COLUMNS).alias("bin_x"), cell("y", ROWS).alias("bin_y")).agg(F.count(F.lit(1)).alias("n")))
+    kind = dict(seen.dtypes)["camera"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((COLUMNS, ROWS), np.int64)
         grid[pdf["bin_x"], pdf["bin_y"]] = pdf["n"]
-        found = sorted(clusters(grid, most, least), key=lambda c: (c["y"], c["x"]))
-        rows = [(pdf[camera].iloc[0], i + 1, c["n"], c["x"], c["y"], [{"x": px, "y": py} for px, py in c["polygon"]]) for i, c in enumerate(found)]
-        return pd.DataFrame(rows, columns=[camera, "cluster", "n", "x", "y", "polygon"])
-
-    return counted.groupBy(camera).applyInPandas(run, f"`{camera}` {dict(points.dtypes)[camera]}, cluster int, n long, x double, y double, polygon array<struct<x:double,y:double>>")
+        found = clusters(grid, most, least, set(pdf["rejected"].iloc[0]))
+        rows = [(pdf["camera"].iloc[0], c["place"], [{"x": px, "y": py} for px, py in c["polygon"]]) for c in found]
+        return pd.DataFrame(rows, columns=["camera", "place", "polygon"])
+
+    sizes = cells.groupBy("camera").agg(F.sum("n").alias("n"))
+    hot = hot_keys(sizes, "camera")
+    rejected = sizes.select("camera", F.array().cast("array<int>").alias("rejected"))
+    while True:
+        told = rejected.select(F.col("camera").alias("__camera"), "rejected")
+        grids = cells.join(told, F.col("camera").eqNullSafe(F.col("__camera"))).drop("__camera")
+        placed = cut_lineage(grids.groupBy("camera").applyInPandas(run, f"camera {kind}, {_PLACED}"))
+        per_camera = placed.groupBy("camera").agg(F.collect_list(F.struct("place", "polygon")).alias("polygons"))  # ``most`` of them
+        met = join_per_key(seen, per_camera, hot, "camera").select("camera", F.explode(F.filter("polygons", lambda p: contains(p["polygon"], F.col("x"), F.col("y")))).alias("p"))
+        counts = met.groupBy("camera", F.col("p.place").alias("place")).agg(F.count(F.lit(1)).alias("n")).select(F.col("camera").alias("__camera"), F.col("place").alias("__place"), "n")
+        same = F.col("camera").eqNullSafe(F.col("__camera"))
+        counted = cut_lineage(placed.join(counts, same & (F.col("place") == F.col("__place")), "left").select("camera", "place", "polygon", F.coalesce("n", F.lit(0)).alias("n")))
+        weak = cut_lineage(counted.where(F.col("n") < least).groupBy("camera").agg(F.min("place").alias("place")))
+        if weak.isEmpty():
+            break
+        more = weak.select(F.col("camera").alias("__camera"), "place")
+        rejected = cut_lineage(rejected.join(more, same, "left").select("camera", F.when(F.col("place").isNull(), F.col("rejected")).otherwise(F.concat("rejected", F.array("place"))).alias("rejected")))
+    mean = lambda c: F.aggregate("polygon", F.lit(0.0), lambda s, p: s + p[c]) / F.size("polygon")
+    out = counted.withColumns({"x": mean("x"), "y": mean("y")})
+    number = F.row_number().over(Window.partitionBy("camera").orderBy("y", "x"))  # ``most`` rows
+    return out.select(F.col("camera").alias(camera), number.alias("cluster"), "n", "x", "y", "polygon")

@@ -125,14 +125,14 @@ def perfect_match(a: np.ndarray, b: np.ndarray, least: float) -> float | None:
 
 
 def nearest_track(box: np.ndarray, tracks: np.ndarray, least: float = 0.05, reach: float = 1.0) -> int | None:
-    """The track of the largest IoU - distance / (10 * size), of those that overlap by ``least`` or lie within ``reach`` sizes."""
+    """The track of the largest IoU - distance / (10 * size), to nine digits, of those that overlap by ``least`` or lie within ``reach`` sizes; the first of equal ones."""
     if not len(tracks):
         return None
     box, tracks = np.asarray(box, float), np.asarray(tracks, float).reshape(-1, 4)
     overlap = iou_matrix(box[None], tracks)[0]
     distance = np.hypot(*((tracks[:, :2] + tracks[:, 2:]) / 2 - (box[:2] + box[2:]) / 2).T)
     size = max(box[2] - box[0], box[3] - box[1], 1e-9)
-    score = np.where((overlap >= least) | (distance <= reach * size), overlap - distance / (10 * size), -np.inf)
+    score = np.where((overlap >= least) | (distance <= reach * size), np.round(overlap - distance / (10 * size), 9), -np.inf)
     return int(score.argmax()) if np.isfinite(score).any() else None
 
 

@@ -251,9 +251,7 @@ def seat_suggestions(spark, d):
     zones = spark.createDataFrame([("left", square(0, 0.5)), ("right", square(0.5, 1))], "zone string, polygon array<struct<x:double,y:double>>")
     point = lambda dx, dy: F.struct((F.col("value") / 100 + dx).alias("x"), F.lit(0.5 + dy).alias("y"))
     shapes = table(spark, d, "events").select("event_id", F.array(point(-0.1, -0.1), point(0.1, -0.1), point(0.1, 0.1), point(-0.1, 0.1)).alias("polygon"))
-    found = joins.suggested_zones(shapes, zones, "event_id")
-    exact = F.round(F.col("x"), 9) == 0.5
-    return found.select("event_id", F.when(~exact, F.col("zone")).alias("seat"))
+    return joins.suggested_zones(shapes, zones, "event_id").select("event_id", F.col("zone").alias("seat"))
 
 
 @query("""with s as (select user_id as session, event_id % 5 as camera, min(event_id) as first from events group by 1, 2), a as (select user_id as session, case when user_id % 4 = 0 then 'excluded' when user_id % 4 = 1 then 'evaluation' else 'dataset' end as role from events group by 1)
@@ -374,22 +372,26 @@ def exact_name(spark, d):
     return find_people(table(spark, d, "customer"), " Customer#000000005 ", "c_name").select("c_custkey", "c_name")
 
 
-@query("select l_orderkey, case when (20 - l_orderkey % 5) / (20 + l_orderkey % 5) >= 0.85 then round((20 - l_orderkey % 5) / (20 + l_orderkey % 5), 9) end as iou from lineitem group by l_orderkey having count(*) = 1")
+@query("""with recursive b as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber) as i, l_quantity as x, l_tax * 100 as y from lineitem), n as (select k, count(*) as n from b group by 1),
+o as (select a.k, a.i, c.i as j, greatest(20 - abs(a.x - c.x - a.k % 5), 0) * greatest(10 - abs(a.y - c.y), 0) as common from b a join b c on a.k = c.k), e as (select k, i, j from o where common / (400 - common) >= 0.85),
+m as (select k, 0 as i, 0 as used from n union select m.k, m.i + 1, m.used | (1 << e.j) from m join e on m.k = e.k and e.i = m.i + 1 and m.used & (1 << e.j) = 0)
+select n.k as l_orderkey, n.n as boxes, max(m.i) = n.n as matched from n join m on n.k = m.k group by n.k, n.n""")
 def perfect_matches(spark, d):
-    """Frames of one box against the same box moved; frames of several are held against plain loops in the tests."""
-    lists = boxes(spark, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("b")).where("n = 1")
-    moved = F.transform("b", lambda v, i: F.when(i % 2 == 0, v + F.col("l_orderkey") % 5).otherwise(v))
-    return lists.select("l_orderkey", F.round(dedup.least_iou(F.col("b"), moved, 0.85), 9).alias("iou"))
+    """Every frame's boxes against the same boxes moved: is there a one-to-one match in which all pairs reach the bound."""
+    moved = F.col("x1") + F.col("l_orderkey") % 5
+    flat = lambda x1, x2: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(x1, "y1", x2, "y2").alias("b")))), lambda r: r["b"]))
+    frames = boxes(spark, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("boxes"), flat("x1", "x2").alias("a"), flat(moved, moved + 20).alias("b"))
+    return frames.select("l_orderkey", "boxes", dedup.least_iou(F.col("b"), F.col("a"), 0.85).isNotNull().alias("matched"))
 
 
-@query("select l_orderkey, arg_max(l_linenumber, -abs(l_quantity - 25)) as nearest from (select l_orderkey, l_linenumber, l_quantity from lineitem where l_tax = 0.02) where abs(l_quantity - 25) <= 20 group by 1 having count(distinct abs(l_quantity - 25)) = count(*)")
+@query("""with b as (select l_orderkey, l_linenumber, l_quantity as x, l_tax * 100 as y from lineitem), o as (select *, greatest(20 - abs(x - 25), 0) * greatest(10 - abs(y - 2), 0) as common, sqrt(pow(x - 25, 2) + pow(y - 2, 2)) as away from b),
+s as (select *, common / (400 - common) as iou from o), r as (select *, row_number() over (partition by l_orderkey order by round(iou - away / 200, 9) desc, l_linenumber) as r from s where iou >= 0.05 or away <= 20)
+select l_orderkey, l_linenumber as nearest from (select distinct l_orderkey from b) left join (select * from r where r = 1) using (l_orderkey)""")
 def nearest_tracks(spark, d):
-    """Boxes in one row of the frame: the nearest to x = 25 within a box's width is the one of the best score."""
-    b = boxes(spark, d).where("y1 between 1.999999 and 2.000001")
-    frames = b.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("x1", "y1", "x2", "y2").alias("b")))).alias("l"), F.count_distinct(F.abs(F.col("x1") - 25)).alias("k"), F.count_if(F.abs(F.col("x1") - 25) <= 20).alias("near"), F.count(F.lit(1)).alias("n"))
-    frames = frames.withColumn("l", F.filter("l", lambda e: F.abs(e["b"][0] - 25) <= 20)).where("size(l) > 0")
-    frames = frames.where(F.size(F.array_distinct(F.transform("l", lambda e: F.abs(e["b"][0] - 25)))) == F.size("l"))
-    at = matching.nearest_of(F.lit([25.0, 2.0, 45.0, 12.0]), F.flatten(F.transform("l", lambda e: e["b"])))
+    """The track nearest to a box at (25, 2) in every frame: of equal scores the first, null where none is near enough."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("x1", "y1", "x2", "y2").alias("b"))))
+    frames = boxes(spark, d).groupBy("l_orderkey").agg(rows.alias("l"))
+    at = matching.nearest_of(F.array(*(F.lit(x) for x in (25.0, 2.0, 45.0, 12.0))), F.flatten(F.transform("l", lambda e: e["b"])))
     return frames.select("l_orderkey", F.get(F.col("l"), at)["l_linenumber"].alias("nearest"))
 
 

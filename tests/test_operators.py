@@ -380,6 +380,37 @@ def test_patches_merge_along_both_axes_and_peaks_go_row_by_row():
     assert [(m["support"], len(m["cells"])) for m in density.merged(found)] == [(9.0, 2), (3.0, 1)]
 
 
+def test_support_is_counted_in_the_placed_polygon(spark, monkeypatch):
+    """A polygon that had to give way and holds too few points is dropped, and what is weaker is placed as if it were not there."""
+    rng = np.random.default_rng(2)
+    spots = [(0.3, 0.3, 300), (0.7, 0.6, 200), (0.5, 0.2, 90)]
+    points = [("c", float(x), float(y)) for cx, cy, n in spots for x, y in rng.normal((cx, cy), 0.01, (n, 2))] + [("c", None, 0.5)] + [(None, 0.2, 0.2)] * 60
+    df = spark.createDataFrame(points, "camera string, x double, y double")
+    inside = lambda p, x, y: all((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) >= 0 for a, b in zip(p, [*p[1:], p[0]], strict=True))
+    got = density.density_clusters(df, "camera").collect()
+    assert len(got) == 4 and [r.cluster for r in sorted((r for r in got if r.camera), key=lambda r: (r.y, r.x))] == [1, 2, 3]
+    for r in got:
+        assert r.n == sum(c == r.camera and x is not None and inside(r.polygon, x, y) for c, x, y in points) >= density.LEAST
+    real = density.clusters
+
+    def first_gives_way(grid, most, least, rejected):
+        """The strongest polygon is placed where nothing lies, until it is rejected."""
+        out = real(grid, most, least, rejected)
+        return [c | {"polygon": [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]} if c["place"] == 0 else c for c in out]
+
+    monkeypatch.setattr(density, "clusters", first_gives_way)
+    left = density.density_clusters(df.where("camera is not null"), "camera").collect()
+    assert sorted(r.n for r in left) == sorted(r.n for r in got if r.camera)[:2] and density.density_clusters(df.limit(0), "camera").count() == 0
+
+
+def test_a_long_chain_of_near_copies_settles(spark):
+    """Every row depends on the one before it: 40 rounds, one leader in two."""
+    bits = [sum(1 << b for b in range(i)) for i in range(0, 60, 3)]
+    rows = [("k", i, f"s{i}", b - (1 << 64) if b >> 63 else b, "x", False, 100.0 - i) for i, b in enumerate(bits)]
+    got = {r.id: (r.group_id, r.reason) for r in dedup.leader_groups(spark.createDataFrame(rows, "camera string, id long, sha256 string, bits long, label string, reviewed boolean, sharpness double"), "camera").collect()}
+    assert got == {i: (i, "leader") if i % 2 == 0 else (i - 1, "near") for i in range(20)}
+
+
 def test_equal_kinds_only_are_matched(spark):
     rows = [(1, 0, 0.0, 0.0, 10.0, 10.0, 0.9, "a"), (1, 1, 50.0, 0.0, 60.0, 10.0, 0.9, "b")]
     truth = spark.createDataFrame(rows, SCHEMA + ", kind string")
