@@ -4,6 +4,10 @@ A template is a license's wording with two kinds of markup: ``<<optional>> ... <
 out, ``<<var:n>>`` stands for up to n words of any kind.  Each template compiles to an automaton over
 words; a text is accepted where some run of its words spells the mandatory wording exactly.  A version
 number at a template's end has to end there, too: ``version 2`` is not found in ``version 2 1``.
+
+One-line tags (``SPDX-License-Identifier: MIT OR Apache-2.0``) have a grammar of their own, read in the text
+itself, where hyphens and line ends still stand: identifiers joined by AND and OR, an exception after WITH,
+brackets.  An identifier is known as a whole or not at all, so ``MIT-0`` is not ``MIT``.
 """
 
 from __future__ import annotations
@@ -23,6 +27,15 @@ PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general
 #: Words that licence names share, as optional regions.
 _A, _THE = "<<optional>> a <<end>>", "<<optional>> the <<end>>"
 _UNDER = f"under {_A} {_THE} <<optional>> terms of the <<end>>"
+#: What may stand between a licence's name and its version.
+_PUBLISHED = "<<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>>"
+
+
+def _versions(name: str, n: int) -> list[str]:
+    """A name with its version, written as number, as version and number, or as one word."""
+    return [f"{name} <<optional>> version <<end>> <<optional>> v <<end>> {n} <<optional>> 0 <<end>>", f"{name} <<optional>> version <<end>> v{n} <<optional>> 0 <<end>>"]
+
+
 _HOLDER = "copyright <<optional>> c <<end>> <<var:12>>"
 
 #: Permission texts and conditions as their authors publish them.
@@ -49,24 +62,13 @@ _BSD_NAMES = (
 #: label: templates. Wording of the licenses' notices and texts.
 TEMPLATES = {
     "apache-2.0": [
-        f"{_UNDER} apache license <<optional>> version <<end>> 2 <<optional>> 0 <<end>>",
+        *_versions(f"{_UNDER} apache license", 2),
         "you may not use this file except in compliance with the license you may obtain a copy of the license at <<optional>> http <<end>> <<optional>> https <<end>> <<optional>> www <<end>> apache org licenses license 2 0",
         "apache license version 2 0 january 2004 <<optional>> http <<end>> <<optional>> https <<end>> www apache org licenses",
     ],
-    "agpl-3.0": [
-        f"{_UNDER} gnu affero general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> <<optional>> v <<end>> <<optional>> version <<end>> 3 <<optional>> 0 <<end>>",
-        "gnu affero general public license version 3 19 november 2007",
-    ],
-    "gpl-3.0": [
-        f"{_UNDER} gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> <<optional>> version <<end>> 3 <<optional>> 0 <<end>>",
-        "gnu general public license version 3 29 june 2007",
-        f"{_UNDER} gnu gpl <<optional>> version <<end>> 3 <<optional>> 0 <<end>>", f"{_UNDER} gplv3",
-    ],
-    "gpl-2.0": [
-        f"{_UNDER} gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> <<optional>> version <<end>> 2 <<optional>> 0 <<end>>",
-        "gnu general public license version 2 june 1991",
-        f"{_UNDER} gnu gpl <<optional>> version <<end>> 2 <<optional>> 0 <<end>>", f"{_UNDER} gplv2",
-    ],
+    "agpl-3.0": [*_versions(f"gnu affero general public license {_PUBLISHED}", 3), *_versions("gnu agpl", 3), f"{_UNDER} agplv3"],
+    "gpl-3.0": [*_versions(f"gnu general public license {_PUBLISHED}", 3), *_versions("gnu gpl", 3), f"{_UNDER} gplv3"],
+    "gpl-2.0": [*_versions(f"gnu general public license {_PUBLISHED}", 2), *_versions("gnu gpl", 2), f"{_UNDER} gplv2"],
     "lgpl": [
         f"{_UNDER} gnu lesser general public license <<optional>> as published by the free software foundation <<end>>",
         f"{_UNDER} gnu library general public license <<optional>> as published by the free software foundation <<end>>",
@@ -91,10 +93,9 @@ TEMPLATES = {
     "bsl-1.0": ["boost software license version 1 0", f"{_UNDER} boost software license"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "mpl-2.0": [
-        "this source code form is subject to the terms of the mozilla public license v 2 0", f"{_UNDER} mozilla public license <<optional>> version <<end>> 2 <<optional>> 0 <<end>>",
-        "mozilla public license version 2 0",
+        *_versions("mozilla public license", 2),
     ],
-    "epl-2.0": [f"{_UNDER} eclipse public license <<optional>> version <<end>> <<optional>> v <<end>> 2 <<optional>> 0 <<end>>", "eclipse public license v 2 0"],
+    "epl-2.0": [*_versions("eclipse public license", 2)],
     "cc0-1.0": ["cc0 1 0 universal", f"{_UNDER} cc0", "creative commons zero v1 0 universal"],
 }
 #: The parts of the attribution licences' names, short and in full.
@@ -103,17 +104,51 @@ for _label, _short, _long in (
     ("cc-by-nc-sa", "by nc sa", "attribution noncommercial sharealike"), ("cc-by-nc-nd", "by nc nd", "attribution noncommercial noderivatives"),
 ):
     TEMPLATES |= {f"{_label}-4.0": [f"{_UNDER} cc {_short} 4 0", f"creative commons {_long} 4 0 international <<optional>> public <<end>> license", f"creativecommons org licenses {_short} 4 0"]}
-#: Identifiers of one-line tags; a version is part of the identifier.
-for _label, _ids in {
-    "apache-2.0": ["apache 2 0"], "mit": ["mit"], "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "bsl-1.0": ["bsl 1 0"], "mpl-2.0": ["mpl 2 0"], "epl-2.0": ["epl 2 0"], "cc0-1.0": ["cc0 1 0"],
-    "0bsd": ["0bsd"], "bsd-2-clause": ["bsd 2 clause"], "bsd-3-clause": ["bsd 3 clause"], "gpl-2.0": ["gpl 2 0"], "gpl-3.0": ["gpl 3 0"], "agpl-3.0": ["agpl 3 0"], "lgpl": ["lgpl 2 0", "lgpl 2 1", "lgpl 3 0"],
-    "cc-by-4.0": ["cc by 4 0"], "cc-by-sa-4.0": ["cc by sa 4 0"], "cc-by-nc-4.0": ["cc by nc 4 0"],
-}.items():
-    TEMPLATES[_label] = [*TEMPLATES[_label], *(f"spdx license identifier {i}" for i in _ids)]
+#: Identifiers of one-line tags and their labels.
+IDENTIFIERS = {
+    "apache-2.0": "apache-2.0", "mit": "mit", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "bsl-1.0": "bsl-1.0", "mpl-2.0": "mpl-2.0", "epl-2.0": "epl-2.0", "cc0-1.0": "cc0-1.0", "0bsd": "0bsd",
+    "bsd-2-clause": "bsd-2-clause", "bsd-3-clause": "bsd-3-clause", "cc-by-4.0": "cc-by-4.0", "cc-by-sa-4.0": "cc-by-sa-4.0", "cc-by-nc-4.0": "cc-by-nc-4.0", "cc-by-nd-4.0": "cc-by-nd-4.0",
+    "cc-by-nc-sa-4.0": "cc-by-nc-sa-4.0", "cc-by-nc-nd-4.0": "cc-by-nc-nd-4.0", "gpl-2.0": "gpl-2.0", "gpl-3.0": "gpl-3.0", "agpl-3.0": "agpl-3.0", "lgpl-2.0": "lgpl", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl",
+}
+#: What may follow the identifiers of the licences that come in versions.
+_SUFFIX = re.compile(r"(?:-only|-or-later|\+)$")
+_TAG = re.compile(r"spdx[-_ \t]license[-_ \t]identifier[ \t]*[:=]?[ \t]*", re.ASCII | re.IGNORECASE)
+_TOKEN = re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*)", re.ASCII | re.IGNORECASE)
+
+
+def tagged(text: str) -> set[str]:
+    """The labels that a text's one-line tags name.
+
+    A tag is identifiers with AND or OR between them, brackets around them, and an exception after WITH;
+    it ends with its line, or at the first word that fits nowhere.  A full stop at an identifier's end is
+    the sentence's.
+    """
+    out = set()
+    for tag in _TAG.finditer(text):
+        at, wanted, skip = tag.end(), True, False
+        while m := _TOKEN.match(text, at):
+            at, token = m.end(), m[1].lower().rstrip(".")
+            if token in "()":
+                continue
+            if token in ("and", "or", "with"):
+                if wanted:
+                    break
+                wanted, skip = True, token == "with"
+                continue
+            if not wanted:
+                break
+            wanted = False
+            if not skip:
+                label = IDENTIFIERS.get(token) or (IDENTIFIERS.get(_SUFFIX.sub("", token)) if re.match(r"a?gpl-|lgpl-", token) else None)
+                out |= {label} if label else set()
+            skip = False
+    return out
+
 
 #: Every byte of a separator becomes a blank, A-Z their lower case; bytes from 128 on belong to words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: What goes on with a version number.
+#: A version number, and what goes on with it.
+_VERSION = re.compile(rb"v?[0-9]+")
 _MORE = re.compile(rb"[0-9]{1,2}")
 _MARK = re.compile(r"<<(optional|end|var:(\d+))>>")
 
@@ -154,7 +189,7 @@ class Automaton:
             raise ValueError(f"a template without a mandatory word: {template}")
         self.final = state
         #: Whether the wording can end in a number.
-        self.numbered = any(n in self.enders() and w.isdigit() for w, n in self.words.values())
+        self.numbered = any(n in self.enders() and _VERSION.fullmatch(w) for w, n in self.words.values())
         self.entry = self.close({0})
         firsts = [w for s in self.entry if (w := self.words.get(s))]
         # a template may begin anywhere, so leading replaceable words never need to be consumed
@@ -183,7 +218,7 @@ class Automaton:
                 break
             states = self.close(after)
             furthest = max(furthest, max(after))
-            if self.final in states and not (self.numbered and word.isdigit() and at + 1 < len(words) and _MORE.fullmatch(words[at + 1])):
+            if self.final in states and not (self.numbered and _VERSION.fullmatch(word) and at + 1 < len(words) and _MORE.fullmatch(words[at + 1])):
                 return True, 1.0
         return False, min(1.0, furthest / self.final)
 
@@ -191,6 +226,7 @@ class Automaton:
 class Matcher:
     def __init__(self, templates: dict[str, list[str]]):
         self.automata = [(label, Automaton(t)) for label, each in templates.items() for t in each]
+        self.labels = frozenset(templates)
         self.by_first: dict[bytes, list[tuple[str, Automaton]]] = {}
         for label, a in self.automata:
             for w in a.first:
@@ -237,6 +273,8 @@ def scan_text(text: str | None, matcher: Matcher) -> tuple:
                     places.append(start)
                     base.add(label)
     own, share = matcher.match(words, normal)
+    if b"spdx" in normal:
+        own = own | (tagged(text or "") & matcher.labels)
     score = 1.0 if own else max(0.5 if base else 0.0, 0.5 * share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score
 
@@ -245,7 +283,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, no labels (empty strings) and score 0.  The score is 1 where a
-    template accepts, else half for a base phrase, or half the share of a template's way that was gone.
+    template accepts or a tag names a label of the templates, else half for a base phrase, or half the share of a template's way that was gone.
     Null and repeated doc_ids stay rows of their own.
     """
     used = TEMPLATES if templates is None else templates

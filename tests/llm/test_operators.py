@@ -337,6 +337,11 @@ def test_every_template_is_found_in_prose_and_no_half_of_it():
     ("under the GNU Lesser General Public License version 2.1", "gpl,lgpl"), ("licensed under the GNU General Public License, version 2.1", "gpl"), ("licensed under the GNU General Public License, version 2.0.", "gpl,gpl-2.0"),
     ("Distributed under the MIT license.", "mit"), ("BSD 3-Clause License", "bsd,bsd-3-clause"), ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
     ("license", ""), ("nothing here", ""),
+    ("SPDX-License-Identifier: MIT-0", ""), ("SPDX-License-Identifier: BSD-2-Clause-Patent", ""), ("spdx-license-identifier: BSD-3-Clause-Clear", ""), ("SPDX-License-Identifier: BSD-3-Clause-No-Nuclear-License", ""),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nISC goes on", "apache-2.0,mit"), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause", "bsd-3-clause,gpl-2.0"),
+    ("# SPDX-License-Identifier: GPL-3.0+ and zlib", "gpl-3.0,zlib"), ("SPDX-License-Identifier: MIT\nisc", "mit"), ("SPDX-License-Identifier: MIT. And more", "mit"), ("SPDX-License-Identifier: OR MIT", ""), ("SPDX-License-Identifier:", ""),
+    ("SPDX-License-Identifier: mit-or-later", ""), ("SPDX-License-Identifier: CC-BY-SA-4.0 OR Unknown-1.0", "cc-by-sa-4.0"), ("licensed under the GNU GPL v3", "gpl-3.0"), ("GNU Affero General Public License v3.0", "agpl-3.0,gpl"),
+    ("GNU General Public License v2.1", "gpl"), ("the GNU General Public License, version 2, or any later", "gpl,gpl-2.0"), ("under the Apache License v2.0", "apache,apache-2.0"), ("Mozilla Public License, v. 2.0", "mpl-2.0"),
 ])
 def test_labels_of_notices(text, labels):
     assert licenses.scan_text(text, licenses.Matcher(licenses.TEMPLATES))[5] == labels
