@@ -323,49 +323,6 @@ def match_frames(truth: DataFrame, found: DataFrame, frame: str, order: list[str
     return counted.groupBy(frame).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))) if kind else counted
 
 
-def scored_assignment(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:
-    """Pairs of a best one-to-one assignment of each group whose score reaches ``least`` and leads every other pair of its two ends by ``margin``."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index=left, columns=right, values=score, aggfunc="max").sort_index().sort_index(axis=1)
-        s = np.nan_to_num(m.to_numpy(), nan=-1.0)
-        rows = []
-        for i, j in minimum_cost_assignment(-s):
-            others = np.concatenate([np.delete(s[i], j), np.delete(s[:, j], i)])
-            if s[i, j] >= least and (not len(others) or s[i, j] - others.max() >= margin):
-                rows.append((pdf[group].iloc[0], m.index[i], m.columns[j], s[i, j]))
-        return pd.DataFrame(rows, columns=[group, left, right, score])
-
-    kinds = dict(pairs.dtypes)
-    return pairs.select(group, left, right, score).groupBy(group).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (group, left, right, score)))
-
-
-def value_assignment(a: DataFrame, b: DataFrame, group: str, left: str, right: str, left_value: str, right_value: str, scale: float, least: float, margin: float) -> DataFrame:
-    """``scored_assignment`` of all pairs of a group, scored 1 - |difference of values| / ``scale`` (0 at least).
-
-    The rows of a group meet in one task, their pairs are never listed: each row's scores are made from
-    the other side's values when the search asks for them.  Pairs under ``least`` cannot be cut before:
-    they decide who is left for whom, and whether a pair leads by ``margin``.  Null values, groups and
-    ids take no part.
-    """
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values(left, ignore_index=True), y.sort_values(right, ignore_index=True)
-        v, w = x[left_value].to_numpy(float), y[right_value].to_numpy(float)
-        near = lambda one, many: 1 - np.minimum(np.abs(one - many) / scale, 1.0)
-        turned, rows = len(v) > len(w), []
-        few, many = (w, v) if turned else (v, w)
-        pairs = _cheapest(len(few), len(many), lambda i: -near(few[i], many)) if len(few) else []
-        for i, j in sorted((j, i) if turned else (i, j) for i, j in pairs):
-            own, mine, yours = near(v[i], w[j]), near(v[i], w), near(v, w[j])
-            mine[j] = yours[i] = -np.inf
-            if own >= least and (len(v) + len(w) == 2 or own - max(mine.max(), yours.max()) >= margin):
-                rows.append((x[group].iloc[0], x[left].iloc[i], y[right].iloc[j], own))
-        return pd.DataFrame(rows, columns=[group, left, right, "score"])
-
-    a, b = (side.select(*names).dropna() for side, names in ((a, (group, left, left_value)), (b, (group, right, right_value))))
-    kinds = dict(a.dtypes) | dict(b.dtypes)
-    return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (group, left, right)) + ", score double")
-
-
 def iou_pairs(a: DataFrame, b: DataFrame, frame: str, least: float) -> DataFrame:
     """(frame, a_id, b_id, iou) of all pairs of a frame from ``least`` on; a(frame, a_id, box a), b(frame, b_id, box b) as structs x1 to y2."""
     from tessella.functions import geometry as g

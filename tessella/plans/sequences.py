@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import dedup, density, joins, matching, sampling, scan, windows
+from tessella.operators import dedup, density, handoff, joins, matching, sampling, scan, windows
 from tessella.operators.graph import connected_components
 from tessella.plans.registry import events, query, table, text
 from tessella.plans.scans import boxes
@@ -311,11 +311,23 @@ def box_match_assignment(spark, d):
     return _matched(spark, d, matching.gated_assignment)
 
 
+#: The entry camera's points in the room, and the part of it that both cameras see.
+_PLANE, _SHARED = [[1.0, 0.05, 0.02], [0.0, 0.95, 0.01], [0.02, 0.0, 1.0]], [(0.0, 0.0), (1.4, 0.0), (1.4, 1.0), (0.0, 1.0)]
+
+
+def sightings(spark, d, kind: str, name: str):
+    """Events of a kind as sightings of a camera: a time, a point and a feature."""
+    e = events(spark, d).where(F.col("event_type") == kind)
+    feature = F.array(*(F.pmod(F.xxhash64(F.col("user_id"), F.lit(k)), F.lit(1000)) / 1000 + F.pmod(F.xxhash64("event_id", F.lit(k)), F.lit(1000)) / 5000 for k in range(8)))
+    return e.select(F.col("event_id").alias(name), F.col("ts").alias("at"), (F.col("value") / 100).alias("x"), (F.col("user_id") % 50 / 50).alias("y"), feature.alias("feature"))
+
+
 @query()
 def cross_camera_match(spark, d):
-    e = table(spark, d, "events").select("event_id", F.to_date("ts").cast("string").alias("day"), "value", "event_type")
-    a, b = e.where("event_type = 'signup'").select("day", F.col("event_id").alias("a"), F.col("value").alias("va")), e.where("event_type = 'purchase'").select("day", F.col("event_id").alias("b"), F.col("value").alias("vb"))
-    return matching.value_assignment(a, b, "day", "a", "b", "va", "vb", 100, 0.7, 0.02)
+    """Signups as tracks of an entry camera, purchases as a room's, matched by feature, place and time within five minutes."""
+    seen = (handoff.in_overlap(sightings(spark, d, kind, name), _SHARED) for kind, name in (("signup", "a"), ("purchase", "b")))
+    found = handoff.matched(handoff.scored_pairs(*seen, _PLANE, 300, 0.6, (0.6, 0.25, 0.15)), 0.7, 0.02)
+    return found.select("a", "b", *(F.round(c, 9).alias(c) for c in ("appearance", "geometry", "time", "total")), "reason")
 
 
 @query()

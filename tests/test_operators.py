@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.operators import dedup, density, joins, matching, skew
+from tessella.operators import dedup, density, handoff, joins, matching, skew
 from tessella.operators.graph import connected_components
 from tessella.plans import catalog
 from tessella.streaming import hosts, steps, tracking
@@ -154,24 +154,50 @@ def test_dense_spots_become_clusters(spark):
     assert 700 < got[1].n + got[2].n <= 800
 
 
-def test_value_assignment_is_the_scored_assignment_of_all_pairs(spark):
-    """Also where a pair under the gate takes an end (day c) or stands too near for the margin (day d)."""
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 7), st.integers(1, 7), st.floats(0.2, 1.0), st.integers(0, 10_000))
+def test_sparse_assignment_is_the_dense_one(rows, columns, share, seed):
+    """As many pairs as can be at the least cost: the dense method with a large cost for what is no pair."""
+    rng = np.random.default_rng(seed)
+    costs = np.where(rng.random((rows, columns)) < share, rng.random((rows, columns)), handoff.LEFT_OUT)
+    edges = {i: [(j, float(costs[i, j])) for j in range(columns) if costs[i, j] < 1] for i in range(rows)}
+    got = handoff.sparse_assignment({i: e for i, e in edges.items() if e})
+    assert sorted(got.items()) == [(i, j) for i, j in matching.minimum_cost_assignment(costs) if costs[i, j] < 1]
+
+
+def test_cross_camera_matches_are_those_of_one_dense_assignment(spark):
+    """Crowded and empty stretches of time, rows without a feature or a point, and all events at once."""
     rng = np.random.default_rng(11)
-    a = [(d, k, round(float(rng.random() * 150), 2)) for d, n in (("a", 25), ("b", 9), ("e", 1)) for k in range(n)]
-    b = [(d, 100 + k, round(float(rng.random() * 150), 2)) for d, n in (("a", 18), ("b", 14), ("f", 1)) for k in range(n)]
-    a += [("c", 1, 0.0), ("c", 2, 56.0), ("d", 1, 0.0), (None, 3, 1.0), ("c", 3, None)]
-    b += [("c", 101, 25.0), ("c", 102, -31.0), ("d", 101, 30.0), ("d", 102, 31.0), (None, 103, 1.0)]
-    a, b = spark.createDataFrame(a, "day string, a long, va double"), spark.createDataFrame(b, "day string, b long, vb double")
-    pairs = a.join(b, "day").where("va is not null").selectExpr("day", "a", "b", "1 - least(abs(va - vb) / 100, 1.0D) as score")
-    want = sorted(tuple(r) for r in matching.scored_assignment(pairs, "day", "a", "b", "score", 0.7, 0.02).collect())
-    got = sorted(tuple(r) for r in matching.value_assignment(a, b, "day", "a", "b", "va", "vb", 100, 0.7, 0.02).collect())
-    assert got == want and {r[0] for r in got} == {"a", "b"}
-
-
-def test_cross_camera_match_reads_all_events(spark, tmp_path):
-    rows = [(5000, "signup", 10.0), (5001, "purchase", 11.0), (5002, "purchase", 90.0)]
-    spark.createDataFrame(rows, "event_id long, event_type string, value double").selectExpr("*", "timestamp'2024-01-01 10:00:00' as ts", "1L as user_id").write.parquet(str(tmp_path / "events.parquet"))
-    assert [(r.a, r.b) for r in catalog.queries()["cross_camera_match"](spark, str(tmp_path)).collect()] == [(5000, 5001)]
+    start = datetime(2024, 1, 1)
+
+    def side(n, first):
+        at = np.concatenate([rng.uniform(0, 300, n // 2), rng.uniform(5000, 90_000, n - n // 2)])
+        return [(first + k, start + timedelta(seconds=round(float(t), 3)), float(rng.random()), float(rng.random()), rng.random(4).tolist()) for k, t in enumerate(at)]
+
+    a, b = side(60, 0), side(50, 1000)
+    odd = [(900, None, 0.1, 0.1, [1.0] * 4), (901, start, None, 0.1, [1.0] * 4), (902, start, 0.1, 0.1, None), (903, start, 0.1, 0.1, [0.0] * 4)]
+    kinds = "{} long, at timestamp, x double, y double, feature array<double>"
+    plane, weights = [[1.0, 0.1, 0.0], [0.0, 0.9, 0.02], [0.05, 0.0, 1.0]], (0.6, 0.25, 0.15)
+    left, right = spark.createDataFrame(a + odd, kinds.format("a")), spark.createDataFrame(b + odd, kinds.format("b"))
+    got = {(r.a, r.b): (r.total, r.reason) for r in handoff.matched(handoff.scored_pairs(left, right, plane, 120, 0.7, weights), 0.6, 0.03).collect()}
+    costs, total = np.full((len(a), len(b)), handoff.LEFT_OUT), np.full((len(a), len(b)), -1.0)
+    for i, (_, t, x, y, f) in enumerate(a):
+        w = plane[2][0] * x + plane[2][1] * y + plane[2][2]
+        px, py = ((r[0] * x + r[1] * y + r[2]) / w for r in plane[:2])
+        for j, (_, u, v, z, g) in enumerate(b):
+            wait = abs((t - u).total_seconds())
+            if wait <= 120:
+                cosine = float(np.dot(f, g) / np.linalg.norm(f) / np.linalg.norm(g))
+                total[i, j] = 0.6 * min(1.0, max(0.0, cosine)) + 0.25 * max(0.0, 1 - float(np.hypot(px - v, py - z)) / 0.7) + 0.15 * (1 - wait / 120)
+                costs[i, j] = 1 - total[i, j]
+    want = {}
+    for i, j in matching.minimum_cost_assignment(costs):
+        if total[i, j] >= 0:
+            others = [x for x in [*np.delete(total[i], j), *np.delete(total[:, j], i)] if x >= 0]
+            reason = "low_score" if total[i, j] < 0.6 else "ambiguous" if total[i, j] - max(others, default=0.0) < 0.03 else "accepted"
+            want[a[i][0], b[j][0]] = (pytest.approx(total[i, j]), reason)
+    assert got == want and {r for _, r in got.values()} == {"accepted", "ambiguous", "low_score"}
+    assert handoff.matched(handoff.scored_pairs(left.limit(0), right, plane, 120, 0.7, weights), 0.6, 0.03).count() == 0
 
 
 class Running(hosts.Step):
