@@ -6,14 +6,15 @@ import json
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators import frozen, sampling
 from tessella.plans import search
 from tessella.plans.registry import events, query, table, text
 from tessella.plans.sequences import HANDED, handover_rows, handover_step
-from tessella.session import ensure_checkpoint_dir
+from tessella.session import cut_lineage, ensure_checkpoint_dir
 from tessella.sources import readers, writers
 from tessella.streaming import hosts, pipelines, steps
 
@@ -159,15 +160,52 @@ def files_again(spark, d):
     return lines.join(sizes, "name")
 
 
-@query("select name, sha256(string_agg(event_type, chr(10) order by event_type) || chr(10)) as sha256 from (select event_type, 'part-' || (event_id % 4) as name from events) group by 1")
+@query("select event_type as name, count(*) as n from events group by 1")
 def receipts_again(spark, d):
-    """Each file is hashed anew and held against its receipt."""
+    """Files of every kind get receipts; hashed anew, those whose hash is the receipt's count: a file for each task and kind, none gathered."""
     path = folder(spark)
-    rows = table(spark, d, "events").select("event_type", F.concat(F.lit("part-"), F.col("event_id") % 4).alias("name"))
-    rows.repartition(1).sortWithinPartitions("name", "event_type").write.partitionBy("name").text(path)
-    found = readers.file_hashes(spark, path, "*.txt").select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), "sha256")
-    receipt = rows.groupBy("name").agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("event_type")), "\n"), F.lit("\n")), 256).alias("__wanted"))
-    return found.join(receipt, "name").where(F.col("sha256") == F.col("__wanted")).select("name", "sha256")
+    table(spark, d, "events").select(F.col("event_id").cast("string").alias("value"), F.col("event_type").alias("name")).write.partitionBy("name").text(path)
+    receipts = cut_lineage(readers.file_hashes(spark, path, "*.txt").select("path", F.col("sha256").alias("wanted")))
+    verified = readers.file_hashes(spark, path, "*.txt").join(receipts, "path").where(F.col("sha256") == F.col("wanted")).select("path")
+    rows = spark.read.schema("value string, name string").text(path).select(F.input_file_name().alias("path"), "name")
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")  # noqa: E731  (one form of a path)
+    return rows.withColumn("path", plain("path")).join(verified.withColumn("path", plain("path")), "path").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SAMPLED = """with f as (select *, row_number() over (partition by user_id, cast(floor(epoch_us(ts) / 21600000000) as bigint) order by ts, event_id) as r from events), i as (select * from f where r = 1),
+c as (select event_type, count(*) as c from i group by 1), s as (select event_type, unnest(range(1, c + 1)) as slot from c), a as (select event_type, count(*) as allocated from (select event_type from s order by slot, event_type limit 300) group by 1),
+p as (select i.event_id, i.event_type, i.value, row_number() over (partition by event_type order by sha256('freeze:' || event_id)) as k from i) select p.event_id, p.event_type, p.value from p join a using (event_type) where k <= allocated"""
+
+
+def frozen_sample(spark, d) -> DataFrame:
+    """An evaluation set: the first event of each user's six hours, 300 of them, dealt evenly to the types, in the order of a hash."""
+    own = Window.partitionBy("user_id", F.floor(F.unix_micros("ts") / 21_600_000_000)).orderBy("ts", "event_id")
+    spaced = events(spark, d).withColumn("r", F.row_number().over(own)).where("r = 1")
+    shares = sampling.waterfill(spaced.groupBy("event_type").agg(F.count(F.lit(1)).alias("c")), "event_type", "c", 300).select("event_type", "allocated")
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.sha2(F.concat(F.lit("freeze:"), F.col("event_id").cast("string")), 256)))
+    return spaced.withColumn("k", place).join(shares, "event_type").where("k <= allocated").select("event_id", "event_type", "value")
+
+
+@query(_SAMPLED)
+def evaluation_freeze(spark, d):
+    """The set as it was frozen; freezing it again, dealt otherwise, gives the same root."""
+    one, two, rows = folder(spark), folder(spark), cut_lineage(frozen_sample(spark, d))
+    roots = frozen.freeze(rows, "event_id", one), frozen.freeze(rows.repartition(5, "value"), "event_id", two)
+    if roots[0] != roots[1] or frozen.differing_ranges(spark, one, two):
+        raise ValueError("one set has two roots")
+    return spark.read.parquet(f"{one}/rows").select("event_id", "event_type", "value")
+
+
+@query("select event_id as id, case when event_id % 97 = 0 then 'missing' else 'changed' end as change from events where event_id % 97 = 0 or event_id % 89 = 1 union all select -event_id - 1, 'added' from events where event_id % 101 = 5")
+def frozen_changes(spark, d):
+    """What differs between two frozen states of a table: rows that went, came or changed."""
+    one, two = folder(spark), folder(spark)
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    frozen.freeze(e, "event_id", one)
+    later = e.where("event_id % 97 <> 0").withColumn("value", F.col("value") + F.when(F.col("event_id") % 89 == 1, 1.5).otherwise(0.0))
+    came = e.where("event_id % 101 = 5").withColumn("event_id", -F.col("event_id") - 1)
+    frozen.freeze(later.unionByName(came), "event_id", two)
+    return frozen.differences(spark, one, two, "event_id")
 
 
 @query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n, max(case when cast(ts as date) = date '2024-01-10' then 2 else 1 end) as written from events group by 1")
