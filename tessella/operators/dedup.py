@@ -119,9 +119,9 @@ def leader_groups(rows: DataFrame, camera: str, radius: int = 4, box_iou: float
 
 
 def group_report(groups: DataFrame, group: str = "group_id", id_col: str = "id") -> DataFrame:
-    """One row for each group of several: its size, its members in order and their reasons."""
-    members = F.array_sort(F.collect_list(F.struct(id_col, "reason", "distance")))
-    return groups.groupBy(group).agg(F.count(F.lit(1)).alias("n"), members.alias("members")).where("n > 1")
+    """One row for each member of a group of several, with n, the group's size; a group of any size is counted in every task first and gathered nowhere."""
+    sizes = cut_lineage(groups.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    return join_per_key(groups.select(group, id_col, "reason", "distance"), sizes.where("n > 1"), hot_keys(sizes, group), group)
 
 
 def isolation(candidates: DataFrame, reference: DataFrame, id_col: str, content: str, bits: str, radius: int = 4) -> DataFrame:

@@ -72,3 +72,15 @@ def group_problems(members: DataFrame) -> DataFrame:
     each = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if("kept").alias("kept"))
     problem = F.when(F.col("n") < 2, "ALONE").when(F.col("ids") < F.col("n"), "MEMBER_TWICE").when(F.col("kept") != 1, "NOT_ONE_KEPT")
     return each.withColumn("problem", problem).where("problem is not null").select("group_id", "problem")
+
+
+def unreported_periods(periods: DataFrame, ledger: DataFrame, watched: DataFrame, now, catch_up_minutes: int = 60) -> DataFrame:
+    """(day, name, status) of ended periods that the ledger does not know: ``due`` up to ``catch_up_minutes`` after their end (that minute included), ``missed`` later.
+
+    periods(day, name, ends), ledger(day, name), watched(day, since).  A period is missed only on a day
+    that was watched when it ended; what is told is to be written to the ledger, so it is told once.
+    """
+    ended = periods.where(F.col("ends") <= now).join(ledger.select("day", "name"), ["day", "name"], "left_anti")
+    late = F.unix_micros(now) - F.unix_micros("ends") > catch_up_minutes * 60_000_000
+    told = ended.join(watched.select("day", "since"), "day", "left").withColumn("status", F.when(~late, "due").when(F.col("since") <= F.col("ends"), "missed"))
+    return told.where("status is not null").select("day", "name", "status")

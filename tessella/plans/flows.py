@@ -105,9 +105,10 @@ def search_scan_cap(spark, d):
     return _searched(spark, d, scan_cap=40)
 
 
-@query("select camera_id from (select unnest(range(0, 10)) as camera_id) where camera_id not in (4, 8)")
+@query("select s_suppkey as camera_id from supplier where s_acctbal > 0 and s_nationkey % 8 <> 0")
 def monitored_streams(spark, d):
-    streams = spark.range(10).select(F.col("id").alias("camera_id"), (F.col("id") != 4).alias("enabled"), (F.col("id") == 8).alias("demo"))
+    """Suppliers as streams: enabled with money, demonstrations in some nations."""
+    streams = table(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id"), (F.col("s_acctbal") > 0).alias("enabled"), (F.col("s_nationkey") % 8 == 0).alias("demo"))
     return search.monitored(streams).select("camera_id")
 
 

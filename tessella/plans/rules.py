@@ -188,13 +188,11 @@ def waterfill_one_each(spark, d):
     return sampling.waterfill(c, "user_id", "c", 400, least=1).select("user_id", "allocated")
 
 
-@query("with g as (select min(doc_id) over (partition by text) as group_id, doc_id from documents) select group_id, count(*) as n, list(doc_id order by doc_id)::varchar as members from g group by 1 having count(*) > 1")
+@query("with g as (select min(doc_id) over (partition by text) as group_id, doc_id from documents), n as (select group_id, count(*) as n from g group by 1 having count(*) > 1) select group_id, n, doc_id as id, case when doc_id = group_id then 'leader' else 'same_content' end as reason from g join n using (group_id)")
 def duplicate_report(spark, d):
     rows = dedup.exact_duplicates(table(spark, d, "documents"), F.col("text"), "doc_id")
-    rows = rows.select(F.coalesce("duplicate_of", "doc_id").alias("group_id"), F.col("doc_id").alias("id"), F.lit("same_content").alias("reason"), F.lit(0).alias("distance"))
-    found = dedup.group_report(rows)
-    members = F.concat(F.lit("["), F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ", "), F.lit("]"))
-    return found.select("group_id", "n", members.alias("members"))
+    rows = rows.select(F.coalesce("duplicate_of", "doc_id").alias("group_id"), F.col("doc_id").alias("id"), F.when(F.col("duplicate_of").isNull(), "leader").otherwise("same_content").alias("reason"), F.lit(0).alias("distance"))
+    return dedup.group_report(rows).select("group_id", "n", "id", "reason")
 
 
 @query("select source, doc_id from (select *, row_number() over (partition by source order by lang = 'en' desc, n_chars desc, doc_id) as r from documents) where r = 1")
@@ -438,11 +436,11 @@ def replaced_rows(spark, d):
     return writers.replaced(kept, kept.where("event_id % 40 = 1").select("event_id"), e.where("event_id % 40 = 2 and event_id % 10 <> 3"), "event_id").select("event_id")
 
 
-@query("select c_mktsegment, string_agg(c_custkey, ',' order by c_custkey) as sessions from (select c_mktsegment, c_custkey from customer where c_custkey % 9 = 0 or (c_custkey % 2 = 0 and c_acctbal < 0)) group by 1")
+@query("select c_mktsegment, c_custkey as session from customer where c_custkey % 9 = 0 or (c_custkey % 2 = 0 and c_acctbal < 0)")
 def incomplete_sessions(spark, d):
     c = table(spark, d, "customer").withColumns({"role": F.when(F.col("c_custkey") % 9 == 0, " ").when(F.col("c_custkey") % 2 == 0, "dataset").otherwise("excluded"), "scope": F.when(F.col("c_acctbal") >= 0, "all")})
     bad = filters.incomplete(F.col("role"), [F.col("scope")])
-    return c.where(bad).groupBy("c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: k.cast("string")), ",").alias("sessions"))
+    return c.where(bad).select("c_mktsegment", F.col("c_custkey").alias("session"))
 
 
 @query("select p_partkey, case when p_size is null then 'MISSING' when p_size % 10 = 3 then 'WRONG_SIZE' when p_partkey % 13 = 0 then 'UNEXPECTED' end as problem from part where p_size % 10 = 3 or p_partkey % 13 = 0")
@@ -513,3 +511,17 @@ def representative_vectors(spark, d):
     """Evenly spaced vectors of each person, unusable ones out, then the robust centroid of what is left."""
     picked = sampling.even_pick(table(spark, d, "embeddings"), ["label"], ["vec_id"], 7)
     return aggregates.robust_centroid(picked, "label", "embedding", 64, floor=-1.0, slack=2.0).select("label", "n")
+
+
+@query("""with d as (select cast(ts as date) as day, min(ts) as since from events group by 1), p as (select day, h, day + to_hours(h) as ends from d, (select unnest([9, 12, 15, 18]) as h)),
+l as (select distinct cast(ts as date) as day, (extract(hour from ts) // 3 + 1) * 3 as h from events where event_type = 'purchase')
+select strftime(p.day, '%Y-%m-%d') as day, 'until ' || h as name, case when ends >= timestamp '2024-01-20 11:00:00' then 'due' when since <= ends then 'missed' end as status from p join d using (day) anti join l on p.day = l.day and p.h = l.h where ends <= timestamp '2024-01-20 12:00:00' and (ends >= timestamp '2024-01-20 11:00:00' or since <= ends)""")
+def missed_periods(spark, d):
+    """Four periods a day; a purchase in a period's last three hours is its report."""
+    e = events(spark, d).withColumn("day", F.to_date("ts"))
+    name = lambda h: F.concat(F.lit("until "), h.cast("string"))
+    watched = e.groupBy("day").agg(F.min("ts").alias("since"))
+    hours = watched.select("day", F.explode(F.array(*(F.lit(h) for h in (9, 12, 15, 18)))).alias("h"))
+    periods = hours.select("day", name(F.col("h")).alias("name"), (F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.col("h"))).alias("ends"))
+    ledger = e.where("event_type = 'purchase'").select("day", name(((F.floor(F.hour("ts") / 3) + 1) * 3)).alias("name")).distinct()
+    return setops.unreported_periods(periods, ledger, watched, F.lit("2024-01-20 12:00:00").cast("timestamp")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "name", "status")

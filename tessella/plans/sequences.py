@@ -400,10 +400,15 @@ def quota_acceptance(spark, d):
     return _replay(spark, d, lambda: steps.Quotas({"click": 2, "view": 2, "purchase": 1}, 6), "event_id long, accepted boolean, complete boolean", rows=rows)
 
 
-@query("select vec_id, least(r, 12) as n, case when r >= 4 then 64 end as size from (select vec_id, row_number() over (partition by label order by vec_id) as r from embeddings)")
+@query("""with r as (select *, row_number() over (partition by label order by vec_id) as r, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) as norm from embeddings),
+m as (select a.vec_id, i, sum((b.vec_id % 7 + 1) * cast(b.embedding[i] as double) / b.norm) as s from r a join r b on a.label is not distinct from b.label and b.r between a.r - 11 and a.r, range(1, 65) t(i) group by 1, 2),
+u as (select vec_id, sqrt(sum(s * s)) as norm from m group by 1), p as (select vec_id, list(round(s / norm, 6) order by i) as p from m join u using (vec_id) group by 1)
+select vec_id, least(r, 12) as n, case when r >= 4 then p[1] end as first, case when r >= 4 then p[33] end as middle, case when r >= 4 then p[64] end as last from r join p using (vec_id)""")
 def track_prototype(spark, d):
+    """The quality-weighted mean of a track's last twelve vectors, one unit long, from the fourth on."""
     rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("user_id"), "vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 7 + 1).cast("double").alias("q"))
-    return _replay(spark, d, lambda: steps.Accumulated("v", "q"), "vec_id long, n long, prototype array<double>", order=("vec_id",), rows=rows).select("vec_id", "n", F.size("prototype").alias("size"))
+    out = _replay(spark, d, lambda: steps.Accumulated("v", "q"), "vec_id long, n long, prototype array<double>", order=("vec_id",), rows=rows)
+    return out.select("vec_id", "n", *(F.round(F.get("prototype", F.lit(i)), 6).alias(c) for c, i in (("first", 0), ("middle", 32), ("last", 63))))
 
 
 def tracker_frames(spark, d):
