@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as v
-from tessella.operators.skew import highest_beyond
 from tessella.functions.geometry import ratio
+from tessella.operators.selection import percentiles
+from tessella.operators.skew import highest_beyond
+from tessella.session import cut_lineage
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -81,20 +83,23 @@ def far_threshold(scores: DataFrame, score: str, target: float, most: float = 1.
 def identification_rates(rows: DataFrame, known: Column, detected: Column, accepted: Column, right: Column, millis: str) -> DataFrame:
     """success, false reject, false accept and correct reject rates, mean and p95 time of the detected."""
     seen = detected
-    return rows.agg(
+    late = percentiles(rows.where(seen), None, millis, {"p95_ms": 0.95}).select("p95_ms")
+    rates = rows.agg(
         F.count_if(known & seen).alias("known"), F.count_if(~known & seen).alias("unknown"), F.count_if(~seen).alias("not_detected"),
         ratio(F.count_if(known & seen & accepted & right), F.count_if(known & seen)).alias("success_rate"),
         ratio(F.count_if(known & seen & ~accepted), F.count_if(known & seen)).alias("false_reject_rate"),
         ratio(F.count_if(~known & seen & accepted), F.count_if(~known & seen)).alias("far"),
         ratio(F.count_if(~known & seen & ~accepted), F.count_if(~known & seen)).alias("correct_reject_rate"),
-        F.avg(F.when(seen, F.col(millis))).alias("mean_ms"), F.percentile(F.when(seen, F.col(millis)), 0.95).alias("p95_ms"),
+        F.avg(F.when(seen, F.col(millis))).alias("mean_ms"),
     )
+    return rates.join(F.broadcast(late), F.lit(True), "left")  # one row each
 
 
 def count_errors(rows: DataFrame, expected: str, found: str, millis: str, seconds: Column) -> DataFrame:
     """Mean absolute count error, surplus finds an hour (an hour fraction of 1/3600 at least), mean and p95 latency."""
     hours = F.greatest(F.sum(seconds) / 3600, F.lit(1 / 3600))
-    return rows.agg(F.avg(F.abs(F.col(found) - F.col(expected))).alias("count_mae"), (F.sum(F.greatest(F.col(found) - F.col(expected), F.lit(0))) / hours).alias("fp_per_hour"), F.avg(millis).alias("mean_ms"), F.percentile(millis, 0.95).alias("p95_ms"))
+    means = rows.agg(F.avg(F.abs(F.col(found) - F.col(expected))).alias("count_mae"), (F.sum(F.greatest(F.col(found) - F.col(expected), F.lit(0))) / hours).alias("fp_per_hour"), F.avg(millis).alias("mean_ms"))
+    return means.join(F.broadcast(percentiles(rows, None, millis, {"p95_ms": 0.95}).select("p95_ms")), F.lit(True), "left")  # one row each
 
 
 def _mean_vector(rows: DataFrame, key: list[str], vector: str, size: int) -> DataFrame:
@@ -108,7 +113,8 @@ def robust_centroid(rows: DataFrame, key: str, vector: str, size: int, floor: fl
     unit = rows.select(key, v.normalised(F.col(vector)).alias("__v")).where("__v is not null")
     first = _mean_vector(unit, [key], "__v", size).withColumnRenamed("n", "all")
     scored = unit.join(first, key).withColumn("__s", v.dot(F.col("__v"), F.col("centroid"))).drop("centroid")
-    cut = scored.groupBy(key).agg(F.greatest(F.lit(floor), F.percentile("__s", 0.5) - slack).alias("__cut"))
+    scored = cut_lineage(scored)
+    cut = percentiles(scored, key, "__s", {"median": 0.5}).select(key, F.greatest(F.lit(floor), F.col("median") - slack).alias("__cut"))
     kept = scored.join(cut, key).where("__s >= __cut")
     return _mean_vector(kept, [key, "all"], "__v", size).where(F.col("n") >= least).select(key, F.col("all").alias("n"), F.col("n").alias("kept"), "centroid")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as v
 from tessella.operators import aggregates as a
 from tessella.operators import metrics as m
-from tessella.operators import paging
+from tessella.operators import paging, selection
 from tessella.plans.registry import events, query, table, text
 from tessella.sources.writers import report_page
 
@@ -127,7 +127,10 @@ def binary_rates(spark, d):
 
 @query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(avg(value), 6) as mean from events group by 1")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    e = table(spark, d, "events")
+    found = selection.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("event_type", "kind")
+    means = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(found, F.col("event_type").eqNullSafe(F.col("kind"))).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean")
 
 
 @query("select round(avg(abs(l_quantity - l_linenumber * 5)), 6) as count_mae, round(sum(greatest(l_quantity - l_linenumber * 5, 0)) / (count(*) * 2 / 3600), 6) as fp_per_hour, round(avg(l_extendedprice), 4) as mean_ms, round(quantile_cont(l_extendedprice, 0.95), 4) as p95_ms from lineitem")
