@@ -15,7 +15,7 @@ from tessella.plans import search
 from tessella.plans.registry import events, query, table, text
 from tessella.plans.sequences import HANDED, handover_rows, handover_step
 from tessella.session import cut_lineage, ensure_checkpoint_dir
-from tessella.sources import readers, writers
+from tessella.sources import layout, readers, writers
 from tessella.streaming import hosts, pipelines, steps
 
 _NOW = datetime(2024, 1, 20, 12, tzinfo=UTC)
@@ -209,6 +209,15 @@ def frozen_changes(spark, d):
     return frozen.differences(spark, one, two, "event_id")
 
 
+@query("select event_id, value from events where user_id = 7 and ts >= timestamp '2024-01-08 00:00:00' and ts < timestamp '2024-01-20 00:00:00'")
+def indexed_range_scan(spark, d):
+    """One user's events of twelve days from a layout by user and time: the zone map names the files to open."""
+    path = folder(spark)
+    layout.write(events(spark, d), "user_id", "ts", path, 24)
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    return layout.scan(spark, path, "user_id", "ts", 7, at("08"), at("20")).select("event_id", "value")
+
+
 @query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n, max(case when cast(ts as date) = date '2024-01-10' then 2 else 1 end) as written from events group by 1")
 def archived_days(spark, d):
     """A day written again replaces that day and leaves the others."""

@@ -20,8 +20,10 @@ POSITION, SPEED, LONGEST = 1 / 20, 1 / 160, 1.0
 
 
 def _xyah(box: np.ndarray) -> np.ndarray:
-    w, h = box[2] - box[0], max(box[3] - box[1], 1e-6)
-    return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, w / h, h])
+    """Centre, aspect and height of a box, or of each of several."""
+    x1, y1, x2, y2 = box.T
+    h = np.maximum(y2 - y1, 1e-6)
+    return np.stack([(x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) / h, h], axis=-1)
 
 
 class Motions:
@@ -55,13 +57,15 @@ class Motions:
         own = np.arange(8)
         self.cov[:, own, own] += np.square(np.stack([p, p, 1e-2 * one, p, s, s, 1e-5 * one, s], axis=1) * step[:, None])
 
-    def update(self, i: int, box: np.ndarray) -> None:
-        mean, cov = self.mean[i], self.cov[i]
-        p = POSITION * max(mean[3], 1e-6)
-        noise = cov[:4, :4] + np.diag(np.square([p, p, 1e-1, p]))
-        gain = np.linalg.solve(noise, cov[:4]).T
-        self.mean[i] = mean + gain @ (_xyah(box) - mean[:4])
-        self.cov[i] = cov - gain @ noise @ gain.T
+    def update(self, at: list[int], boxes: np.ndarray) -> None:
+        """The filters at these places have seen these boxes."""
+        mean, cov, own = self.mean[at], self.cov[at], np.arange(4)
+        p = POSITION * np.maximum(mean[:, 3], 1e-6)
+        noise = cov[:, :4, :4].copy()
+        noise[:, own, own] += np.square(np.stack([p, p, np.full(len(p), 1e-1), p], axis=1))
+        gain = np.linalg.solve(noise, cov[:, :4]).transpose(0, 2, 1)
+        self.mean[at] = mean + (gain @ (_xyah(boxes) - mean[:, :4])[:, :, None])[:, :, 0]
+        self.cov[at] = cov - gain @ noise @ gain.transpose(0, 2, 1)
 
     @property
     def boxes(self) -> np.ndarray:
@@ -100,7 +104,6 @@ class Tracker(Step):
         if self.kalman:
             if t["hits"] == 1 and seconds > 1e-6:
                 self.filters.mean[at_filter, 4:] = (_xyah(box) - _xyah(t["box"])) / seconds
-            self.filters.update(at_filter, box)
         elif seconds > 1e-6:
             speed = (box - t["box"]) / seconds
             t["speed"] = speed if t["hits"] == 1 else 0.7 * t["speed"] + 0.3 * speed
@@ -122,6 +125,8 @@ class Tracker(Step):
         moves, owner = [], {}
 
         def assign(open_: list[int], found: list[int], least: float) -> tuple[list[int], list[int]]:
+            if not open_ or not found:
+                return open_, found
             pairs = gated_assignment(places[open_], boxes[found], least)
             for i, j in pairs:
                 k = open_[i]
@@ -130,6 +135,8 @@ class Tracker(Step):
                     moves.append((ids[k], tracks[k]["state"], "TRACKED"))
                     tracks[k]["state"] = "TRACKED"
                 owner[found[j]] = ids[k]
+            if self.kalman and pairs:
+                self.filters.update([open_[i] for i, _ in pairs], boxes[[found[j] for _, j in pairs]])
             used = {i for i, _ in pairs}, {j for _, j in pairs}
             return [x for i, x in enumerate(open_) if i not in used[0]], [x for j, x in enumerate(found) if j not in used[1]]
 
