@@ -63,8 +63,9 @@ class Cells:
         self.halves, self.reach, self.counts = halves, reach, counts
 
     def distances(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """The distances of all vectors' halves to all centroids, one centroid after another: no array is larger than the vectors, or their distances."""
         cut = self.halves[0].shape[1]
-        return [np.sqrt(((part[:, None, :] - c) ** 2).sum(axis=2)) for part, c in zip((vectors[:, :cut], vectors[:, cut:]), self.halves, strict=True)]
+        return [np.sqrt(np.stack([((part - one) ** 2).sum(axis=1) for one in c], axis=1)) for part, c in zip((vectors[:, :cut], vectors[:, cut:]), self.halves, strict=True)]
 
     def walk(self, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[float, int]]:
         """(sum, cell) in ascending order of the sum of a value of each half: a heap over the two sorted lists."""
