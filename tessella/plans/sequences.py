@@ -311,6 +311,20 @@ def box_match_assignment(spark, d):
     return _matched(spark, d, matching.gated_assignment)
 
 
+def matched_tracks(spark, d):
+    """Every route's tracks in order of time: entries (signups) and the room's tracks, each with the entry that it was matched to."""
+    e = events(spark, d).where("event_type in ('signup', 'view', 'purchase')")
+    entry, person = F.col("event_type") == "signup", F.floor(F.col("user_id") / 10)
+    room = F.concat(F.when(F.col("event_type") == "view", "room:").otherwise("hall:"), F.col("event_id") % 4)
+    return e.select((F.col("user_id") % 10).alias("route"), "ts", "event_id", F.when(entry, F.concat(F.lit("entry:"), person)).otherwise(room).alias("track"), F.when(~entry, F.concat(F.lit("entry:"), person)).alias("matched"))
+
+
+@query()
+def global_ids(spark, d):
+    """A track takes over the global id of its match unless its own camera has that already; what a route has not seen for twelve hours is forgotten."""
+    return hosts.replay(matched_tracks(spark, d), ["route"], ["ts", "event_id"], lambda: steps.GlobalIds("ts", 12 * HOUR), "route long, event_id long, track string, global_id long, status string")
+
+
 #: The entry camera's points in the room, and the part of it that both cameras see.
 _PLANE, _SHARED = [[1.0, 0.05, 0.02], [0.0, 0.95, 0.01], [0.02, 0.0, 1.0]], [(0.0, 0.0), (1.4, 0.0), (1.4, 1.0), (0.0, 1.0)]
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import scan, windows
-from tessella.plans import flows, sequences
+from tessella.plans import catalog, flows, sequences
 from tessella.streaming import hosts
 from tessella.streaming.handover import SECOND, Handover
 from tessella.streaming.tracking import Tracker
@@ -289,3 +289,28 @@ def test_tracks_pass_from_stretch_to_stretch(spark, sf_dir):
             firsts[camera, track] = frame
     positions = {(c, r["frame"]): i // 80 for c, own in cameras.items() for i, r in enumerate(sorted(own, key=lambda r: r["frame"]))}
     assert any(positions[c, f] > positions[c, firsts[c, t]] for c, f, kind, _, t, _ in want if kind == "box")
+
+
+def test_global_ids_of_every_route(spark, sf_dir):
+    """The rules once more, over lists: ids are forgotten with their tracks, and no camera has one id twice."""
+    routes: dict = {}
+    for r in sequences.matched_tracks(spark, sf_dir).collect():
+        routes.setdefault(r.route, []).append(r)
+    want = []
+    for route, own in routes.items():
+        live, count = {}, 0  # track: [id, last seen]
+        for r in sorted(own, key=lambda r: (r.ts, r.event_id)):
+            live = {k: v for k, v in live.items() if (r.ts - v[1]).total_seconds() <= 12 * 3600}
+            theirs = live.get(r.matched, [None])[0]
+            taken = {v[0] for k, v in live.items() if k.split(":")[0] == r.track.split(":")[0]}
+            if r.track in live:
+                status = "blocked" if theirs not in (None, live[r.track][0]) else "known"
+            elif theirs is not None and theirs not in taken:
+                live[r.track], status = [theirs, r.ts], "propagated"
+            else:
+                count += 1
+                live[r.track], status = [count, r.ts], "registered"
+            live[r.track][1] = r.ts
+            want.append((route, r.event_id, r.track, live[r.track][0], status))
+    got = sorted(map(tuple, catalog.queries()["global_ids"](spark, sf_dir).collect()))
+    assert got == sorted(want) and {r[-1] for r in got} == {"known", "registered", "propagated", "blocked"}
