@@ -121,12 +121,16 @@ def unique_pairs(pairs: DataFrame, left_id: str, right_id: str, within: list[str
 
 
 def recovered(lost: DataFrame, new: DataFrame, key: str, seconds: float = 3.0, low: float = 0.5, high: float = 2.0, shift: float = 0.08) -> DataFrame:
-    """lost(key, lost_id, lost_at, lx1..ly2), new(key, new_id, new_at, nx1..ny2, diagonal): mutually unique pairs close in time, size and foot point."""
+    """lost(key, lost_id, lost_at, lx, ly, lw, lh), new(key, new_id, new_at, nx, ny, nw, nh, diagonal): mutually unique pairs close in time, size and foot point.
+
+    Boxes come as corner, width and height: sizes taken from the difference of two edges are rounded, and
+    a ratio that lies on a bound would fall to either side of it.
+    """
     pairs = interval_pairs(lost, new, key, "lost_at", "new_at", seconds, seconds)
-    a, b = (tuple(F.col(f"{p}{c}").cast("double") for c in ("x1", "y1", "x2", "y2")) for p in "ln")
-    size = g.ratio(g.area(b), g.area(a))
-    (ax, ay), (bx, by) = g.foot(a), g.foot(b)
-    near = pairs.where(size.between(low, high) & (F.hypot(ax - bx, ay - by) / F.col("diagonal") <= shift))
+    (ax, ay, aw, ah), (bx, by, bw, bh) = (tuple(F.col(f"{p}{c}").cast("double") for c in "xywh") for p in "ln")
+    size = g.ratio(F.greatest(bw, F.lit(0.0)) * F.greatest(bh, F.lit(0.0)), F.greatest(aw, F.lit(0.0)) * F.greatest(ah, F.lit(0.0)))
+    dx, dy = ax + aw / 2 - bx - bw / 2, ay + ah - by - bh
+    near = pairs.where(size.between(low, high) & (F.sqrt(dx * dx + dy * dy) / F.col("diagonal") <= shift))
     return unique_pairs(near, "lost_id", "new_id")
 
 
