@@ -1,7 +1,10 @@
 """Near-duplicate texts of the pipeline: exact Jaccard similarity of 0.8 of their five-word shingles.
 
-Candidates come from an inverted index with a prefix filter.  All texts order their shingles alike, rare
-ones first; two sets at 0.8 or more then share one of the first ``n - ceil(0.8 n) + 1`` of each, so only
+A text's shingles have a SimHash, and the operator's positional-byte index (``simhash.links``) links those
+at two bits or fewer; the members of each such class are verified against its first.  That finds the nearest
+copies; at 0.8 itself fingerprints differ in about ten bits, so the rest comes from a second index.
+
+That one has a prefix filter.  All texts order their shingles alike, rare ones first; two sets at 0.8 or more then share one of the first ``n - ceil(0.8 n) + 1`` of each, so only
 those are filed.  A shingle that occurs in one text alone is not filed, but takes its place in the order,
 and where two texts' first common shingle stands bounds what they can have in common: a pair is met in a
 list only if that bound and the two sizes allow 0.8.  No pair at 0.8 is missed, and none is sampled.
@@ -27,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import simhash
 from tessella.llm._common import cut_lineage, hot_keys, join_per_key, lower_ascii, map_texts, row_keys, rows_of, slices, with_keys
-from tessella.llm.simhash import _WORD
+from tessella.llm.simhash import _BIT, _WORD
 from tessella.operators.graph import connected_components
 
 SHINGLE = 5
 #: Shingles whose frequency every task knows; bits of the map of repeated ones; shingles that a task holds, and a stretch of hashes, about.
-FREQUENT, MAP_BITS, HELD, STRETCH = 1 << 20, 26, 1 << 21, 1 << 21
+FREQUENT, MAP_BITS, HELD, STRETCH = 1 << 20, 26, 1 << 19, 1 << 19
 #: Pairs of one text that are verified together; members of a list that the others are held against in one place; texts fetched by a broadcast list of them.
 TOGETHER, BLOCK, BROADCAST_KEYS = 256, 1024, 100_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -60,23 +64,39 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, node, n) of each row, n the number of shingles; texts of equal sets share a node."""
+    """(doc_id, text_key, node, n, fp) of each row, n the number of shingles, fp their SimHash; texts of equal sets share both, and a node."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             own = [shingles(t) for t in batch.column("text").to_pylist()]
             nodes = pa.array([_node(s) for s in own], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), nodes, pa.array([len(s) for s in own], pa.int32())], ["doc_id", "text_key", "node", "n"])
+            sizes, prints = pa.array([len(s) for s in own], pa.int32()), pa.array([_simhash(s) for s in own], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), nodes, sizes, prints], ["doc_id", "text_key", "node", "n", "fp"])
 
         return step
 
-    return map_texts(_texts(docs, id_col, text_col), make, "doc_id long, text_key long, node long, n int")
+    return map_texts(_texts(docs, id_col, text_col), make, "doc_id long, text_key long, node long, n int, fp long")
 
 
 def _node(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def _simhash(own: np.ndarray) -> int:
+    """A bit is set where over half of a set's shingles have it; no shingles: 0."""
+    ones = sum((np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for part in np.array_split(own, len(own) // 4096 + 1)), np.zeros(64, np.int64))
+    return int(_BIT[2 * ones > len(own)].sum())
+
+
+def _classed(classes: DataFrame) -> DataFrame:
+    """(src, dst): the first node of each class that the SimHash index links, and every other of it."""
+    groups = connected_components(simhash.links(classes.select("fp").distinct())).withColumnRenamed("node", "fp")
+    placed = classes.select("node", "fp").join(groups, "fp", "left").select("node", F.coalesce("component", "fp").alias("class"))
+    first = cut_lineage(placed.groupBy("class").agg(F.min("node").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    joined = join_per_key(placed, first, hot_keys(first, "class"), "class")
+    return cut_lineage(joined.where("node <> src").select("src", F.col("node").alias("dst")))
+
+
 class Rarity:
     """The order of shingles: what occurs once, then what the map calls repeated, then the frequent ones by their level (twice the logarithm of their number).
 
@@ -238,7 +258,8 @@ def _links(posts: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
     # who can't reach 0.8 with the smallest set that the list and its own size allow meets nobody here
     filed = cut_lineage(filed.where(9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + F.greatest(F.ceil(F.col("n") * 4 / 5), "least"))))
     stars = filed.where(F.col("node") != F.col("first.node")).withColumns({"first_n": F.col("first.n"), "first_pos": F.col("first.pos")})
-    stars = cut_lineage(stars.where(_fits("", "first_")).select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct())
+    stars = stars.where(_fits("", "first_")).select(F.col("first.node").alias("src"), F.col("node").alias("dst"))
+    stars = cut_lineage(stars.union(_classed(classes)).distinct())
     linked = _verified(stars, classes, docs, id_col, text_col)
     groups = connected_components(linked).withColumnRenamed("node", "member")
     placed = cut_lineage(filed.join(groups, F.col("node") == F.col("member"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("group")))
@@ -265,7 +286,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prints = cut_lineage(_prints(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    classes = cut_lineage(prints.groupBy("node").agg(F.min(order).alias("k")))
+    classes = cut_lineage(prints.groupBy("node").agg(F.min(order).alias("k"), F.min("fp").alias("fp")))
     texts = _texts(docs, id_col, text_col)
     posts = cut_lineage(_posts(texts, rarity(texts, prints.agg(F.sum("n")).first()[0] or 0)))
     groups = connected_components(_links(posts, classes, docs, id_col, text_col)).withColumnRenamed("node", "member")
