@@ -237,7 +237,24 @@ def stacked_global(found: np.ndarray, truth: np.ndarray, least: float) -> np.nda
     return pairs
 
 
-suppress_contained.stacked, suppress_tiles.stacked, greedy_global.stacked = stacked_contained, stacked_tiles, stacked_global
+def stacked_in_order(candidates: np.ndarray, reviewed: np.ndarray, least: float) -> np.ndarray:
+    """How many pairs ``greedy_in_order`` makes in each of many frames with equally many boxes on each side."""
+    both, a, b = _overlaps(candidates, reviewed)
+    m = _share(both, a[:, :, None] + b[:, None, :] - both)
+    rows, pairs = np.arange(len(m)), np.zeros(len(m), np.int64)
+    if not m.shape[2]:
+        return pairs
+    free = np.ones((len(m), m.shape[2]), bool)
+    for i in range(m.shape[1]):
+        own = np.where(free, m[:, i], -1.0)
+        j = own.shape[1] - 1 - own[:, ::-1].argmax(axis=1)  # the last of equal ones
+        taken = free[rows, j] & (m[rows, i, j] >= least)
+        free[rows[taken], j[taken]] = False
+        pairs += taken
+    return pairs
+
+
+suppress_contained.stacked, suppress_tiles.stacked, greedy_global.stacked, greedy_in_order.stacked = stacked_contained, stacked_tiles, stacked_global, stacked_in_order
 
 
 def _by_shape(keys: list) -> list[np.ndarray]:
@@ -309,9 +326,16 @@ def match_frames(truth: DataFrame, found: DataFrame, frame: str, order: list[str
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
         if not hasattr(match, "stacked"):
             return pd.Series([len(match(_boxes(y), _boxes(x), least)) for x, y in zip(a, b, strict=True)], dtype="int64")
-        out = np.zeros(len(a), np.int64)
-        for at in _by_shape([(len(x), len(y)) for x, y in zip(a, b, strict=True)]):
-            out[at] = match.stacked(np.stack([_boxes(b.iloc[i]) for i in at]), np.stack([_boxes(a.iloc[i]) for i in at]), least)
+        out, sides = np.zeros(len(a), np.int64), []
+        for side in (a, b):  # all numbers of a batch in one array, and where each frame's begin
+            n = np.array([len(x) for x in side], np.int64)
+            sides.append((np.concatenate([np.empty(0), *side]), n, np.cumsum(n) - n))
+
+        def stack(flat: np.ndarray, n: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return flat[first[at, None] + np.arange(n[at[0]])].reshape(len(at), -1, 4) if n[at[0]] else np.empty((len(at), 0, 4))
+
+        for at in _by_shape(list(zip(sides[0][1].tolist(), sides[1][1].tolist(), strict=True))):
+            out[at] = match.stacked(stack(*sides[1], at), stack(*sides[0], at), least)
         return pd.Series(out)
 
     columns = list(dict.fromkeys([*keys, *order, *_BOX]))
