@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -107,6 +108,13 @@ def fetch(rows: DataFrame, key: str, keys: list, *columns: str) -> list:
     return one.select(key, "one.*").orderBy(key).collect()  # one row for each of the keys
 
 
+def give_back() -> None:
+    """Memory that Python has freed goes back to the system, where the C library can do so: the driver shares its limit with the JVM."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the decimal doc_id leaves no rest modulo 5; null ids count as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import cut_lineage, fetch, held_out, map_texts, pick_keys
+from tessella.llm._common import cut_lineage, fetch, give_back, held_out, map_texts, pick_keys
 
 WINDOW, STRIDE = 12, 8
 WORDS, CHARS, HIDDEN, ATTEND = 8, 12, 8, 8
@@ -88,6 +88,18 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in [*starts, n - WINDOW]]
 
 
+def cut(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' words (as numbers) in windows that do not overlap: their words, which of these are words, and the text of each window."""
+    counts = np.array([-(-len(d) // WINDOW) for d in docs], np.int64)
+    ends = np.cumsum(counts)
+    index = np.zeros((counts.sum(), WINDOW), np.int32)  # filled in place: an array for each window would take several times as much
+    mask = np.zeros(index.shape, bool)
+    for d, n, end in zip(docs, counts, ends, strict=True):
+        index[end - n : end].reshape(-1)[: len(d)] = d
+        mask[end - n : end].reshape(-1)[: len(d)] = True
+    return index, mask, np.repeat(np.arange(len(docs)), counts)
+
+
 @dataclass
 class Model:
     vocab: dict[str, int] = field(default_factory=dict)
@@ -101,8 +113,10 @@ class Model:
 
     def projected(self, words: list[str]) -> np.ndarray:
         """What both directions take in for each word, PART words at a time."""
-        parts = [self.project(self.inputs(words[k : k + PART]).astype(np.float32)) for k in range(0, len(words), PART)]
-        return np.concatenate(parts).astype(np.float32)
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)  # filled in place: parts that are joined later would be held twice
+        for k in range(0, len(words), PART):
+            out[k : k + PART] = self.project(self.inputs(words[k : k + PART]).astype(np.float32))
+        return out
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]], axis=1)
@@ -236,15 +250,8 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
     gram_ids, gram_counts = grams_by_part(words)
     gram_ends = np.cumsum(gram_counts)
     known = np.array([model.vocab.get(w, 0) for w in words], np.int32)
-    index, lengths, source = [], [], []
-    for k in np.flatnonzero(~kept_out):
-        for s in range(0, len(docs[k]), WINDOW):
-            part = docs[k][s : s + WINDOW]
-            index.append(np.pad(part, (0, WINDOW - len(part))))
-            lengths.append(len(part))
-            source.append(k)
-    index, source = np.array(index, np.int32).reshape(-1, WINDOW), np.array(source, np.int64)
-    mask = np.arange(WINDOW) < np.array(lengths, np.int64)[:, None]
+    index, mask, source = cut([docs[k] for k in np.flatnonzero(~kept_out)])
+    source = np.flatnonzero(~kept_out)[source]
     target = y[source]
     if len(index):
         ones, zeros = np.flatnonzero(target == 1), np.flatnonzero(target == 0)
@@ -390,7 +397,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keys = cut_lineage(usable.select("__id", "key").join(marks, "__id"))
     kind = {k: mark for mark, n in ((0, CLEAN_ROWS * rows), (1, rows)) for k in pick_keys(keys.where(F.col("toxic") == mark), "key", n)}
     got = fetch(usable, "key", list(kind), "text")
-    return train([r.text for r in got], [kind[r.key] for r in got], prior=counts.get(1, 0) / max(1, sum(counts.values())))
+    texts, marked = [r.text for r in got], [kind[r.key] for r in got]
+    del got, keys, kind
+    model = train(texts, marked, prior=counts.get(1, 0) / max(1, sum(counts.values())))
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
