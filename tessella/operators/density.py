@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessella.operators.skew import hot_keys, join_per_key
 from tessella.session import cut_lineage
 
+#: How far from a polygon's edge a cell's side must lie for the cell to count as on one side of it, whatever rounding does.
+MARGIN = 1e-6
 #: Cells of the grid, a cluster's least share of its peak's height and its reach in cells, how near two
 #: centres are one cluster, the least support in points and as a share of the strongest, and how polygons that meet shrink.
 COLUMNS, ROWS = 64, 96
@@ -135,48 +137,77 @@ def clusters(grid: np.ndarray, most: int, least: int, rejected: set[int]) -> lis
     return out
 
 
-_PLACED = "place int, polygon array<struct<x:double,y:double>>"
+def coverage(polygon: list[tuple[float, float]], grid: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """How many of a grid's points lie in a convex polygon for certain, and the cells, empty ones left out, whose single points decide about the rest."""
+    x, y = np.meshgrid(np.arange(COLUMNS + 1) / COLUMNS, np.arange(ROWS + 1) / ROWS, indexing="ij")
+    inside, beyond = np.ones(grid.shape, bool), np.zeros(grid.shape, bool)
+    for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
+        far = ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / max(np.hypot(x2 - x1, y2 - y1), 1e-300)
+        corners = np.stack([far[:-1, :-1], far[1:, :-1], far[:-1, 1:], far[1:, 1:]])
+        inside &= corners.min(axis=0) > MARGIN
+        beyond |= corners.max(axis=0) < -MARGIN
+    xs, ys = zip(*polygon, strict=True)
+    beyond |= (x[1:, 1:] < min(xs) - MARGIN) | (x[:-1, :-1] > max(xs) + MARGIN) | (y[1:, 1:] < min(ys) - MARGIN) | (y[:-1, :-1] > max(ys) + MARGIN)
+    return int(grid[inside].sum()), [(int(i), int(j)) for i, j in np.argwhere(~inside & ~beyond & (grid > 0))]
+
+
+_PLACED = "place int, polygon array<struct<x:double,y:double>>, sure long, cells array<struct<x:int,y:int>>"
 
 
 def density_clusters(points: DataFrame, camera: str, x: str = "x", y: str = "y", most: int = 20, least: int = LEAST) -> DataFrame:
     """(camera, cluster, n, x, y, polygon) of each camera, numbered in reading order (by the polygon's mean y, then x).
 
     n: the points inside the polygon as it was placed; a polygon with fewer than ``least`` is dropped, and
-    what is weaker than it is placed anew.  Each round counts all points once, inside the polygons of their
-    camera, and drops the strongest one that fails; so there are as many rounds as a camera drops.  Null
-    coordinates take no part, null cameras are one.
+    what is weaker than it is placed anew.  The cells' counts tell of most polygons whether they hold
+    enough, so those are dropped where they are placed; a round of Spark is for the rest, and tests single
+    points only where a polygon's edge cuts their cell.  Null coordinates take no part, null cameras are one.
     """
     def cell(c: str, n: int):
         return F.greatest(F.least(F.floor(F.col(c) * n), F.lit(n - 1)), F.lit(0)).cast("int")
 
     seen = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(camera).alias("camera"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cells = cut_lineage(seen.groupBy("camera", cell("x", COLUMNS).alias("bin_x"), cell("y", ROWS).alias("bin_y")).agg(F.count(F.lit(1)).alias("n")))
+    seen = seen.withColumns({"bin_x": cell("x", COLUMNS), "bin_y": cell("y", ROWS), "near": F.col("x").between(-MARGIN / 1000, 1 + MARGIN / 1000) & F.col("y").between(-MARGIN / 1000, 1 + MARGIN / 1000)})
+    cells = cut_lineage(seen.groupBy("camera", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("near")))
     kind = dict(seen.dtypes)["camera"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((COLUMNS, ROWS), np.int64)
-        grid[pdf["bin_x"], pdf["bin_y"]] = pdf["n"]
-        found = clusters(grid, most, least, set(pdf["rejected"].iloc[0]))
-        rows = [(pdf["camera"].iloc[0], c["place"], [{"x": px, "y": py} for px, py in c["polygon"]]) for c in found]
-        return pd.DataFrame(rows, columns=["camera", "place", "polygon"])
-
-    sizes = cells.groupBy("camera").agg(F.sum("n").alias("n"))
-    hot = hot_keys(sizes, "camera")
-    rejected = sizes.select("camera", F.array().cast("array<int>").alias("rejected"))
+        grid, near = np.zeros((COLUMNS, ROWS), np.int64), np.zeros((COLUMNS, ROWS), np.int64)
+        grid[pdf["bin_x"], pdf["bin_y"]], near[pdf["bin_x"], pdf["bin_y"]] = pdf["n"], pdf["near"]
+        rejected, passed = set(pdf["rejected"].iloc[0]), set(pdf["passed"].iloc[0])
+        weak: int | None = -1
+        while weak is not None:
+            found, weak, certain = [(c, *coverage(c["polygon"], near)) for c in clusters(grid, most, least, rejected)], None, True
+            for c, sure, open_ in found:
+                if certain and c["place"] not in passed:
+                    if sure + sum(near[at] for at in open_) < least:
+                        weak = c["place"]
+                        rejected.add(weak)
+                        break
+                    certain = sure >= least
+        rows = [(pdf["camera"].iloc[0], c["place"], [{"x": px, "y": py} for px, py in c["polygon"]], sure, [{"x": i, "y": j} for i, j in open_]) for c, sure, open_ in found]
+        return pd.DataFrame(rows, columns=["camera", "place", "polygon", "sure", "cells"])
+
+    own = F.xxhash64("camera", "bin_x", "bin_y").alias("cell")
+    spots = seen.where("near").select("camera", "x", "y", own)
+    hot = hot_keys(cells.select(own, F.col("near").alias("n")), "cell")
+    none = F.array().cast("array<int>")
+    known = cells.select("camera").distinct().select("camera", none.alias("rejected"), none.alias("passed"))
+    same = F.col("camera").eqNullSafe(F.col("__camera"))
     while True:
-        told = rejected.select(F.col("camera").alias("__camera"), "rejected")
-        grids = cells.join(told, F.col("camera").eqNullSafe(F.col("__camera"))).drop("__camera")
-        placed = cut_lineage(grids.groupBy("camera").applyInPandas(run, f"camera {kind}, {_PLACED}"))
-        per_camera = placed.groupBy("camera").agg(F.collect_list(F.struct("place", "polygon")).alias("polygons"))  # ``most`` of them
-        met = join_per_key(seen, per_camera, hot, "camera").select("camera", F.explode(F.filter("polygons", lambda p: contains(p["polygon"], F.col("x"), F.col("y")))).alias("p"))
+        told = known.select(F.col("camera").alias("__camera"), "rejected", "passed")
+        placed = cut_lineage(cells.join(told, same).drop("__camera").groupBy("camera").applyInPandas(run, f"camera {kind}, {_PLACED}"))
+        cut = placed.select("camera", "place", "polygon", F.explode("cells").alias("c"))
+        per_cell = cut.groupBy(F.xxhash64("camera", "c.x", "c.y").alias("cell")).agg(F.collect_list(F.struct(F.col("camera").alias("of"), "place", "polygon")).alias("polygons"))  # ``most`` of them
+        met = join_per_key(spots, per_cell, hot, "cell").select("camera", F.explode(F.filter("polygons", lambda p: p["of"].eqNullSafe(F.col("camera")) & contains(p["polygon"], F.col("x"), F.col("y")))).alias("p"))
         counts = met.groupBy("camera", F.col("p.place").alias("place")).agg(F.count(F.lit(1)).alias("n")).select(F.col("camera").alias("__camera"), F.col("place").alias("__place"), "n")
-        same = F.col("camera").eqNullSafe(F.col("__camera"))
-        counted = cut_lineage(placed.join(counts, same & (F.col("place") == F.col("__place")), "left").select("camera", "place", "polygon", F.coalesce("n", F.lit(0)).alias("n")))
-        weak = cut_lineage(counted.where(F.col("n") < least).groupBy("camera").agg(F.min("place").alias("place")))
+        counted = cut_lineage(placed.join(counts, same & (F.col("place") == F.col("__place")), "left").select("camera", "place", "polygon", (F.col("sure") + F.coalesce("n", F.lit(0))).alias("n")))
+        weak = cut_lineage(counted.where(F.col("n") < least).groupBy("camera").agg(F.min("place").alias("weak")))
         if weak.isEmpty():
             break
-        more = weak.select(F.col("camera").alias("__camera"), "place")
-        rejected = cut_lineage(rejected.join(more, same, "left").select("camera", F.when(F.col("place").isNull(), F.col("rejected")).otherwise(F.concat("rejected", F.array("place"))).alias("rejected")))
+        # of these cameras: the place that failed, and those before it, which stay as they are
+        more = counted.join(weak.select(F.col("camera").alias("__camera"), "weak"), same).where(F.col("place") < F.col("weak")).groupBy("camera").agg(F.collect_list("place").alias("before"))
+        more = weak.join(more.select(F.col("camera").alias("__camera"), "before"), same, "left").select(F.col("camera").alias("__camera"), "weak", F.coalesce("before", none).alias("before"))
+        known = cut_lineage(known.join(more, same, "left").select("camera", F.when(F.col("weak").isNull(), F.col("rejected")).otherwise(F.concat("rejected", F.array("weak"))).alias("rejected"), F.coalesce("before", "passed").alias("passed")))
     mean = lambda c: F.aggregate("polygon", F.lit(0.0), lambda s, p: s + p[c]) / F.size("polygon")
     out = counted.withColumns({"x": mean("x"), "y": mean("y")})
     number = F.row_number().over(Window.partitionBy("camera").orderBy("y", "x"))  # ``most`` rows
