@@ -254,7 +254,49 @@ def stacked_in_order(candidates: np.ndarray, reviewed: np.ndarray, least: float)
     return pairs
 
 
-suppress_contained.stacked, suppress_tiles.stacked, greedy_global.stacked, greedy_in_order.stacked = stacked_contained, stacked_tiles, stacked_global, stacked_in_order
+def stacked_assignment(found: np.ndarray, truth: np.ndarray, least: float) -> np.ndarray:
+    """How many pairs ``gated_assignment`` makes in each of many frames with equally many boxes on each side: the steps of ``_cheapest``, in all frames at once."""
+    both, a, b = _overlaps(found, truth)
+    m = _share(both, a[:, :, None] + b[:, None, :] - both)
+    if m.shape[1] > m.shape[2]:
+        m = m.transpose(0, 2, 1)
+    frames, rows, columns = m.shape
+    if not rows:
+        return np.zeros(frames, np.int64)
+    costs, row_price, column_price = 1 - m, np.zeros((frames, rows)), np.zeros((frames, columns))
+    owner, every = np.full((frames, columns), -1), np.arange(frames)
+    for start in range(rows):
+        reach, via, done = np.full((frames, columns), np.inf), np.full((frames, columns), -1), np.zeros((frames, columns), bool)
+        end, base_of = np.zeros(frames, np.int64), np.zeros(frames)
+        at, row, last, base = every, np.full(frames, start), np.full(frames, -1), np.zeros(frames)
+        while len(at):  # the frames whose path has not met a free column
+            step = base[:, None] + costs[at, row] - row_price[at, row][:, None] - column_price[at]
+            own = reach[at]
+            better = ~done[at] & (step < own - 1e-15)
+            own = np.where(better, step, own)
+            reach[at], via[at] = own, np.where(better, last[:, None], via[at])
+            column = np.where(done[at], np.inf, own).argmin(axis=1)
+            base = own[np.arange(len(at)), column]
+            done[at, column] = True
+            end[at], base_of[at] = column, base
+            row = owner[at, column]
+            go = row >= 0
+            at, row, last, base = at[go], row[go], column[go], base[go]
+        frame, column = np.nonzero(done & (owner >= 0))
+        moved = base_of[frame] - reach[frame, column]
+        row_price[:, start] += base_of
+        row_price[frame, owner[frame, column]] += moved
+        column_price[frame, column] -= moved
+        at, column = every, end
+        while len(at):
+            before = via[at, column]
+            owner[at, column] = np.where(before >= 0, owner[at, before], start)
+            at, column = at[before >= 0], before[before >= 0]
+    frame, column = np.nonzero(owner >= 0)
+    return np.bincount(frame[m[frame, owner[frame, column], column] >= least], minlength=frames)
+
+
+suppress_contained.stacked, suppress_tiles.stacked, greedy_global.stacked, greedy_in_order.stacked, gated_assignment.stacked = stacked_contained, stacked_tiles, stacked_global, stacked_in_order, stacked_assignment
 
 
 def _by_shape(keys: list) -> list[np.ndarray]:
