@@ -176,8 +176,14 @@ def chained(rows: DataFrame, key: list[str], order: list[str], make: Callable[[]
         used = cut_lineage(used.join(again.select(*keys), keys, "left_anti").unionByName(again.select(*keys, F.col("__now").alias("__used"))))
 
 
-def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str, timeout_ms: int | None = None) -> DataFrame:
-    """The same step on a stream: state by key, appended output; a key silent for ``timeout_ms`` of processing time is forgotten."""
+def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str, timeout_ms: int | None = None, buckets: int | None = None) -> DataFrame:
+    """The same step on a stream: state by key, appended output; a key silent for ``timeout_ms`` of processing time is forgotten.
+
+    Spark hands over and takes back each group by itself, which costs far more than a few rows of a step.
+    With ``buckets`` keys are dealt to so many groups by their hash, and a group's state holds those of its
+    keys: for many small keys that come often.  A micro-batch then writes the whole state of the buckets
+    that it touches, and no key is forgotten.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     names = T.StructType.fromDDL(schema).fieldNames()
@@ -197,6 +203,22 @@ def live(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], S
         if out:
             yield _frame(out, names)
 
+    def run_bucket(_: tuple, pdfs: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, met, out = pickle.loads(state.get[0]) if state.exists else {}, {}, []
+        for row in _records(pd.concat(list(pdfs)).drop(columns="__bucket").sort_values(order, kind="stable")):
+            own = tuple(row[k] for k in key)
+            if own not in met:
+                met[own] = make().load(held[own]) if own in held else make()
+            out += met[own](row)
+        state.update((pickle.dumps(held | {k: step.dump() for k, step in met.items()}),))
+        if out:
+            yield _frame(out, names)
+
+    if buckets:
+        if timeout_ms:
+            raise ValueError("a bucket has no timeout of its keys")
+        dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        return dealt.groupBy("__bucket").applyInPandasWithState(run_bucket, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return rows.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "append", timeout)
 
