@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.skew import hot_keys, join_per_key
 from tessella.session import cut_lineage
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """For (u, v): attach the least node among u and all its v. A partial minimum, then a join that AQE may split."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """For (u, v): attach the least node among u and all its v. A partial minimum, then a join that leaves the pairs of a hub where they lie."""
+    least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    met = join_per_key(pairs, least.drop("n"), hot_keys(least, "u"), "u")
+    return met.select("u", "v", F.least("u", "m").alias("m"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -19,7 +21,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Null ends and self-loops are ignored (a node that has nothing but a self-loop gives no row);
     repeated and reversed edges count once; an empty table gives an empty one.  Each round is a partial
-    minimum and a join on the node, so a hub with millions of edges is never gathered in one task.
+    minimum and a join on the node, in which the minima of hubs are broadcast and their edges neither
+    shuffled by the hub nor sorted, so no task holds more than its share of all edges, however large a component is.
     The rounds end when the edge set no longer changes, which takes about log(n) of them.
     """
     now = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
@@ -31,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         before = digest
         both = now.union(now.select("v", "u"))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut_lineage(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small = _star(large)
         now = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).where("u <> v").distinct())
     else:
