@@ -14,22 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _sizes(a: np.ndarray) -> np.ndarray:
+    return np.maximum(a[:, 2] - a[:, 0], 0) * np.maximum(a[:, 3] - a[:, 1], 0)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The area that each box of one list has in common with each of the other."""
+    wide = np.minimum(a[:, 2, None], b[:, 2]) - np.maximum(a[:, 0, None], b[:, 0])
+    high = np.minimum(a[:, 3, None], b[:, 3]) - np.maximum(a[:, 1, None], b[:, 1])
+    return np.maximum(wide, 0) * np.maximum(high, 0)
+
+
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of two lists of boxes (x1, y1, x2, y2); 0 for empty boxes."""
     a, b = np.asarray(a, float).reshape(-1, 4), np.asarray(b, float).reshape(-1, 4)
-    size = lambda x: np.clip(x[:, 2] - x[:, 0], 0, None) * np.clip(x[:, 3] - x[:, 1], 0, None)
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.prod(np.clip(high - low, 0, None), axis=2)
-    whole = size(a)[:, None] + size(b)[None, :] - both
+    both = _common(a, b)
+    whole = _sizes(a)[:, None] + _sizes(b) - both
     return np.divide(both, whole, out=np.zeros_like(both), where=whole > 0)
 
 
 def ios_matrix(a: np.ndarray) -> np.ndarray:
     """Intersection over the smaller box, of each two boxes of one list."""
     a = np.asarray(a, float).reshape(-1, 4)
-    size = np.prod(np.clip(a[:, 2:] - a[:, :2], 0, None), axis=1)
-    both = np.prod(np.clip(np.minimum(a[:, None, 2:], a[None, :, 2:]) - np.maximum(a[:, None, :2], a[None, :, :2]), 0, None), axis=2)
-    least = np.minimum(size[:, None], size[None, :])
+    size, both = _sizes(a), _common(a, a)
+    least = np.minimum(size[:, None], size)
     return np.divide(both, least, out=np.zeros_like(both), where=least > 0)
 
 
@@ -139,14 +147,15 @@ def nearest_track(box: np.ndarray, tracks: np.ndarray, least: float = 0.05, reac
 def suppress_contained(boxes: np.ndarray, confidence: np.ndarray, contained: float = 0.85, overlap: float = 0.5) -> list[int]:
     """Kept places in input order: first the smaller of two boxes that lie in each other goes, then by falling confidence what overlaps a kept box."""
     boxes = np.asarray(boxes, float).reshape(-1, 4)
-    n = len(boxes)
-    size = np.prod(np.clip(boxes[:, 2:] - boxes[:, :2], 0, None), axis=1)
+    size = _sizes(boxes)
     inside, over = ios_matrix(boxes), iou_matrix(boxes, boxes)
-    smaller = (size[None, :] > size[:, None]) & (inside >= contained)
-    left = [i for i in range(n) if not smaller[i].any()]
+    apart = ((over < overlap) & (inside < contained)).tolist()
+    left = np.nonzero(~((size[None, :] > size[:, None]) & (inside >= contained)).any(axis=1))[0].tolist()
+    sure = np.asarray(confidence).tolist()
     kept: list[int] = []
-    for i in sorted(left, key=lambda k: (-confidence[k], k)):
-        if all(over[i, k] < overlap and inside[i, k] < contained for k in kept):
+    for i in sorted(left, key=lambda k: (-sure[k], k)):
+        row = apart[i]
+        if all(row[k] for k in kept):
             kept.append(i)
     return sorted(kept)
 

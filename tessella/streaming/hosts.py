@@ -72,23 +72,31 @@ def _frame(rows: list[dict[str, Any]], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
-def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` with all rows of a key in one partition.
 
     By the key's hash, so that it is an exchange of its own: one by the key itself is left out where Spark
     takes the rows for dealt already, and what it took them for may change while the query runs.
     """
-    return rows.repartition(F.xxhash64(*key))
+    return rows.repartition(parts, F.xxhash64(*key)) if parts else rows.repartition(F.xxhash64(*key))
 
 
-def replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str) -> DataFrame:
-    """Run a step over each key's rows in order.
+def replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], Step], schema: str, parts: int | None = None) -> DataFrame:
+    """Run a step over each key's rows in order; columns of the key that ``schema`` names are filled in.
+
+    ``parts``: for few keys of much work each, so many partitions that hardly two keys fall together, which
+    Spark then doesn't merge again either.
 
     Spark sorts a task's rows by key and order (on disk, where they are many) and they pass in Arrow
     batches, so a task holds one batch and one step's state, however long a key is.  A key's rows stay one
     task's time, as the recurrence demands; keep keys narrow (camera and day, say).
     """
     names = T.StructType.fromDDL(schema).fieldNames()
+    told = [k for k in key if k in names]
+
+    def owned(out: list[dict], at: tuple) -> list[dict]:
+        owner = {k: v for k, v in zip(key, at, strict=True) if k in told}
+        return [owner | r for r in out] if told else out
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step, at = None, None
@@ -97,14 +105,14 @@ def replay(rows: DataFrame, key: list[str], order: list[str], make: Callable[[],
             for row in _records(pdf):
                 own = tuple(row[k] for k in key)
                 if step is None or own != at:
-                    out += step.finish() if step else []
+                    out += owned(step.finish(), at) if step else []
                     step, at = make(), own
-                out += step(row)
+                out += owned(step(row), own)
             yield _frame(out, names)
         if step:
-            yield _frame(step.finish(), names)
+            yield _frame(owned(step.finish(), at), names)
 
-    placed = _dealt(rows, key).sortWithinPartitions(*key, *(F.col(c).asc_nulls_last() for c in order))
+    placed = _dealt(rows, key, parts).sortWithinPartitions(*key, *(F.col(c).asc_nulls_last() for c in order))
     return placed.mapInPandas(run, schema)
 
 

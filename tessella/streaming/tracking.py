@@ -22,8 +22,10 @@ POSITION, SPEED, LONGEST = 1 / 20, 1 / 160, 1.0
 def _xyah(box: np.ndarray) -> np.ndarray:
     """Centre, aspect and height of a box, or of each of several."""
     x1, y1, x2, y2 = box.T
+    out = np.empty(box.shape)
     h = np.maximum(y2 - y1, 1e-6)
-    return np.stack([(x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) / h, h], axis=-1)
+    out[..., 0], out[..., 1], out[..., 2], out[..., 3] = (x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) / h, h
+    return out
 
 
 class Motions:
@@ -46,23 +48,27 @@ class Motions:
         step = np.clip(seconds, 0.0, LONGEST)
         if not step.any():
             return
+        noise = np.empty((len(step), 8))
         h = np.maximum(self.mean[:, 3], 1e-6)
-        p, s, one = POSITION * h, SPEED * h, np.ones(len(h))
+        noise[:] = (POSITION * h)[:, None]
+        noise[:, 2], noise[:, 6] = 1e-2, 1e-5
+        noise[:, [4, 5, 7]] = (SPEED * h)[:, None]
         self.mean[:, :4] += step[:, None] * self.mean[:, 4:]
         t = step[:, None, None]
         near, cross, speed = self.cov[:, :4, :4], self.cov[:, :4, 4:], self.cov[:, 4:, 4:]
         near += t * (cross + cross.transpose(0, 2, 1)) + t * t * speed
         cross += t * speed
         self.cov[:, 4:, :4] = cross.transpose(0, 2, 1)
-        own = np.arange(8)
-        self.cov[:, own, own] += np.square(np.stack([p, p, 1e-2 * one, p, s, s, 1e-5 * one, s], axis=1) * step[:, None])
+        self.cov.reshape(-1, 64)[:, ::9] += np.square(noise * step[:, None])
 
     def update(self, at: list[int], boxes: np.ndarray) -> None:
         """The filters at these places have seen these boxes."""
-        mean, cov, own = self.mean[at], self.cov[at], np.arange(4)
-        p = POSITION * np.maximum(mean[:, 3], 1e-6)
+        mean, cov = self.mean[at], self.cov[at]
+        own = np.empty((len(mean), 4))
+        own[:] = (POSITION * np.maximum(mean[:, 3], 1e-6))[:, None]
+        own[:, 2] = 1e-1
         noise = cov[:, :4, :4].copy()
-        noise[:, own, own] += np.square(np.stack([p, p, np.full(len(p), 1e-1), p], axis=1))
+        noise.reshape(-1, 16)[:, ::5] += np.square(own)
         gain = np.linalg.solve(noise, cov[:, :4]).transpose(0, 2, 1)
         self.mean[at] = mean + (gain @ (_xyah(boxes) - mean[:, :4])[:, :, None])[:, :, 0]
         self.cov[at] = cov - gain @ noise @ gain.transpose(0, 2, 1)
@@ -70,7 +76,10 @@ class Motions:
     @property
     def boxes(self) -> np.ndarray:
         x, y, a, h = self.mean[:, :4].T
-        return np.stack([x - a * h / 2, y - h / 2, x + a * h / 2, y + h / 2], axis=1)
+        out = np.empty((len(self.mean), 4))
+        wide, high = a * h / 2, h / 2
+        out[:, 0], out[:, 1], out[:, 2], out[:, 3] = x - wide, y - high, x + wide, y + high
+        return out
 
 
 class Tracker(Step):
