@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,19 +121,50 @@ def robust_centroid(rows: DataFrame, key: str, vector: str, size: int, floor: fl
     return _mean_vector(kept, [key, "all"], "__v", size).where(F.col("n") >= least).select(key, F.col("all").alias("n"), F.col("n").alias("kept"), "centroid")
 
 
-def pair_similarities(rows: DataFrame, id_col: str, key: str, vector: str, block_rows: int = 2_000) -> DataFrame:
-    """(same, n, mean, max): cosines of all pairs a < b, told apart by equal keys.
+def pair_similarities(rows: DataFrame, id_col: str, key: str, vector: str, block_rows: int = 2_000, widest: int = 16_000) -> DataFrame:
+    """(same, n, mean, max): cosines of all pairs a < b, told apart by equal keys; without a known key same is null, without a usable vector a pair only counts.
 
-    All pairs are the point here; rows are dealt into blocks of about ``block_rows`` that meet pairwise,
-    as many blocks as the rows ask for, so no task holds more than two.
+    All pairs are the point here; rows are dealt into blocks that meet pairwise once, in matrix products:
+    eight of ``block_rows`` or more, and of ``widest`` rows about where there are many, so no task holds
+    more than two of those, and rows are sent as seldom as that allows.
     """
-    blocks = max(2, -(-rows.count() // block_rows))
-    u = rows.select(F.col(id_col).alias("i"), F.col(key).alias("k"), v.normalised(F.col(vector)).alias("u"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("b"))
-    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(blocks) for y in range(blocks)])
-    left = u.select(*[F.col(c).alias(f"{c}1") for c in u.columns], F.explode(F.filter(pairs, lambda p: p["x"] == F.col("b"))).alias("p"))
-    right = u.select(*[F.col(c).alias(f"{c}2") for c in u.columns], F.explode(F.filter(pairs, lambda p: p["y"] == F.col("b"))).alias("p"))
-    met = left.join(right, "p").where("i1 < i2").select((F.col("k1") == F.col("k2")).alias("same"), v.dot(F.col("u1"), F.col("u2")).alias("s"))
-    return met.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"), F.max("s").alias("max"))
+    n = rows.count()
+    blocks = max(2, min(-(-n // block_rows), max(8, -(-n // widest))))
+    u = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(key).alias("k"), v.normalised(F.col(vector)).alias("u"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = u.withColumn("o", other).select("i", "k", "u", F.least("b", "o").cast("int").alias("x"), F.greatest("b", "o").cast("int").alias("y"), (F.col("b") > F.col("o")).alias("right"))
+
+    def meet(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        sides = block.column("right").to_numpy(zero_copy_only=False)
+        x = block.column("x")[0].as_py() != block.column("y")[0].as_py()
+        codes = {c: block.column(c).combine_chunks().dictionary_encode().indices for c in "ik"}
+        ids, keys = (codes[c].fill_null(-1).to_numpy(zero_copy_only=False) for c in "ik")
+        listed = block.column("u").combine_chunks()
+        usable = ~listed.is_null().to_numpy(zero_copy_only=False)
+        sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        wide = int(sizes.max(initial=0))
+        vectors = np.zeros((len(ids), wide))
+        vectors[np.arange(wide) < sizes[:, None]] = listed.flatten().to_numpy(zero_copy_only=False)
+        a, b = (np.nonzero(~sides)[0], np.nonzero(sides)[0]) if x else (np.arange(len(ids)),) * 2
+        told = {s: [0, 0, 0.0, -np.inf] for s in (None, False, True)}
+        for at in range(0, len(a), 512):  # a slice of the products at a time
+            one = a[at : at + 512]
+            pair = ids[one][:, None] != ids[b][None]
+            if not x:
+                pair &= one[:, None] < b[None]
+            s, whole = vectors[one] @ vectors[b].T, usable[one][:, None] & usable[b][None] & (sizes[one][:, None] == sizes[b][None])
+            known, same = (keys[one] >= 0)[:, None] & (keys[b] >= 0)[None], keys[one][:, None] == keys[b][None]
+            for kind, kept in ((None, pair & ~known), (True, pair & known & same), (False, pair & known & ~same)):
+                values, t = s[kept & whole], told[kind]
+                t[0], t[1], t[2] = t[0] + int(kept.sum()), t[1] + len(values), t[2] + float(values.sum())
+                t[3] = max(t[3], float(values.max(initial=-np.inf)))
+        out = [(k, n, m, total, top if m else None) for k, (n, m, total, top) in told.items() if n]
+        kinds = {"same": pa.bool_(), "n": pa.int64(), "m": pa.int64(), "total": pa.float64(), "top": pa.float64()}
+        return pa.table([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds.values())], list(kinds))
+
+    met = both.groupBy("x", "y").applyInArrow(meet, "same boolean, n long, m long, total double, top double")
+    return met.groupBy("same").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("m")).alias("mean"), F.max("top").alias("max"))
 
 
 def quality_score(size: Column, blur: Column, brightness: Column, detection: Column) -> Column:
