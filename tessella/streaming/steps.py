@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from datetime import timedelta
 from typing import Any
@@ -145,27 +146,49 @@ class Consensus(Step):
 
 
 class GlobalIds(Step):
-    """Local tracks and their global ids: a match is taken over unless either end already has another; ids unseen for ``seconds`` are forgotten."""
+    """Local tracks and their global ids: a match is taken over unless either end already has another; ids unseen for ``seconds`` are forgotten.
+
+    A heap has each track by a time at which it was seen, and each camera has its ids counted, so a row goes
+    through none of the tracks that live.
+    """
 
     def __init__(self, time: str, seconds: float):
         self.time, self.seconds, self.ids, self.seen, self.next = time, seconds, {}, {}, 1
+        self.held: dict[tuple[str, int], int] = {}  # tracks of a camera that have an id
+        self.oldest: list[tuple[Any, str]] = []
 
     def __call__(self, row: Row) -> list[Row]:
         now, own, other = row[self.time], row["track"], row["matched"]
-        for k in [k for k, t in self.seen.items() if _after(now, t) > self.seconds]:
-            del self.seen[k], self.ids[k]
-        status = "known"
+        while self.oldest and _after(now, self.oldest[0][0]) > self.seconds:
+            k = self.oldest[0][1]
+            if k in self.seen and not _after(now, self.seen[k]) > self.seconds:
+                heapq.heapreplace(self.oldest, (self.seen[k], k))
+                continue
+            heapq.heappop(self.oldest)
+            if self.seen.pop(k, None) is not None:
+                self._leave(k, self.ids.pop(k))
+        status, camera = "known", own.split(":")[0]
         if own not in self.ids:
-            if other in self.ids and self.ids[other] not in [self.ids[k] for k in self.ids if k.split(":")[0] == own.split(":")[0]]:
+            if other in self.ids and (camera, self.ids[other]) not in self.held:
                 self.ids[own], status = self.ids[other], "propagated"
             else:
                 self.ids[own], status = self.next, "registered"
                 self.next += 1
+            at = camera, self.ids[own]
+            self.held[at] = self.held.get(at, 0) + 1
         elif other in self.ids and self.ids[other] != self.ids[own]:
             status = "blocked"
+        if own not in self.seen or now < self.seen[own]:
+            heapq.heappush(self.oldest, (now, own))
         self.seen[own] = now
         return [row | {"global_id": self.ids[own], "status": status}]
 
+    def _leave(self, track: str, number: int) -> None:
+        at = track.split(":")[0], number
+        self.held[at] -= 1
+        if not self.held[at]:
+            del self.held[at]
+
 
 class Quotas(Step):
     """Samples with a code of rejection are refused; others count for their pose until its quota is full, beyond it only when all quotas are."""
