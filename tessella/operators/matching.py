@@ -80,8 +80,68 @@ def _cheapest(rows: int, columns: int, cost: Callable[[int], np.ndarray]) -> lis
     return [(int(owner[j]), j) for j in range(columns) if owner[j] >= 0]
 
 
+#: Pairs of boxes up to which plain numbers are faster than arrays.
+FEW_PAIRS = 256
+
+
+def _cheapest_few(costs: list[list[float]]) -> list[tuple[int, int]]:
+    """``_cheapest`` of a few listed costs, number by number, to the same last bit."""
+    columns = len(costs[0])
+    row_price, column_price, owner = [0.0] * len(costs), [0.0] * columns, [-1] * columns
+    for start in range(len(costs)):
+        reach, via, open_, seen = [np.inf] * columns, [-1] * columns, list(range(columns)), []
+        row, last, base = start, -1, 0.0
+        while True:
+            cost, price = costs[row], row_price[row]
+            least, column = np.inf, open_[0]
+            for j in open_:
+                step = base + cost[j] - price - column_price[j]
+                r = reach[j]
+                if step < r - 1e-15:
+                    reach[j] = r = step
+                    via[j] = last
+                if r < least:
+                    least, column = r, j
+            base = least
+            open_.remove(column)
+            if owner[column] < 0:
+                break
+            seen.append(column)
+            row, last = owner[column], column
+        row_price[start] += base
+        for j in seen:
+            row_price[owner[j]] += base - reach[j]
+            column_price[j] -= base - reach[j]
+        while column >= 0:
+            before = via[column]
+            owner[column] = owner[before] if before >= 0 else start
+            column = before
+    return [(i, j) for j, i in enumerate(owner) if i >= 0]
+
+
+def _iou_few(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
+    """``iou_matrix`` of a few boxes of finite numbers."""
+    sized = [(x, y, u, v, (u - x if u > x else 0.0) * (v - y if v > y else 0.0)) for x, y, u, v in b]
+    out = []
+    for x, y, u, v in a:
+        own, row = (u - x if u > x else 0.0) * (v - y if v > y else 0.0), []
+        for k, m, w, n, size in sized:
+            wide = (u if u < w else w) - (x if x > k else k)
+            high = (v if v < n else n) - (y if y > m else m)
+            both = wide * high if wide > 0 and high > 0 else 0.0
+            whole = own + size - both
+            row.append(both / whole if whole > 0 else 0.0)
+        out.append(row)
+    return out
+
+
 def gated_assignment(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Cheapest assignment by 1 - IoU, then only pairs of at least ``least``."""
+    if 0 < len(a) * len(b) <= FEW_PAIRS and np.isfinite(a).all() and np.isfinite(b).all():
+        turned = len(a) > len(b)
+        m = _iou_few(*((b.tolist(), a.tolist()) if turned else (a.tolist(), b.tolist())))
+        pairs = [p for p in _cheapest_few([[1 - x for x in r] for r in m]) if m[p[0]][p[1]] >= least]
+        return sorted((j, i) if turned else (i, j) for i, j in pairs)
     m = iou_matrix(a, b)
     return [(i, j) for i, j in minimum_cost_assignment(1 - m) if m[i, j] >= least]
 
@@ -144,13 +204,35 @@ def nearest_track(box: np.ndarray, tracks: np.ndarray, least: float = 0.05, reac
     return int(score.argmax()) if np.isfinite(score).any() else None
 
 
+def _apart_few(boxes: list[list[float]], contained: float, overlap: float) -> tuple[list[int], list[list[bool]]]:
+    """Which of a few boxes lie in no larger one, and which two of them go together."""
+    n = len(boxes)
+    size = [(u - x if u > x else 0.0) * (v - y if v > y else 0.0) for x, y, u, v in boxes]
+    apart, left = [[True] * n for _ in range(n)], [True] * n
+    for i, (x, y, u, v) in enumerate(boxes):
+        for j in range(i):
+            k, m, w, z = boxes[j]
+            wide = (u if u < w else w) - (x if x > k else k)
+            high = (v if v < z else z) - (y if y > m else m)
+            both = wide * high if wide > 0 and high > 0 else 0.0
+            small, whole = size[i] if size[i] < size[j] else size[j], size[i] + size[j] - both
+            inside = both / small if small > 0 else 0.0
+            apart[i][j] = apart[j][i] = (both / whole if whole > 0 else 0.0) < overlap and inside < contained
+            if inside >= contained and size[i] != size[j]:
+                left[i if size[i] < size[j] else j] = False
+    return [i for i in range(n) if left[i]], apart
+
+
 def suppress_contained(boxes: np.ndarray, confidence: np.ndarray, contained: float = 0.85, overlap: float = 0.5) -> list[int]:
     """Kept places in input order: first the smaller of two boxes that lie in each other goes, then by falling confidence what overlaps a kept box."""
     boxes = np.asarray(boxes, float).reshape(-1, 4)
-    size = _sizes(boxes)
-    inside, over = ios_matrix(boxes), iou_matrix(boxes, boxes)
-    apart = ((over < overlap) & (inside < contained)).tolist()
-    left = np.nonzero(~((size[None, :] > size[:, None]) & (inside >= contained)).any(axis=1))[0].tolist()
+    if len(boxes) ** 2 <= FEW_PAIRS and np.isfinite(boxes).all():
+        left, apart = _apart_few(boxes.tolist(), contained, overlap)
+    else:
+        size = _sizes(boxes)
+        inside, over = ios_matrix(boxes), iou_matrix(boxes, boxes)
+        apart = ((over < overlap) & (inside < contained)).tolist()
+        left = np.nonzero(~((size[None, :] > size[:, None]) & (inside >= contained)).any(axis=1))[0].tolist()
     sure = np.asarray(confidence).tolist()
     kept: list[int] = []
     for i in sorted(left, key=lambda k: (-sure[k], k)):

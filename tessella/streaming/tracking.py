@@ -29,49 +29,66 @@ def _xyah(box: np.ndarray) -> np.ndarray:
 
 
 class Motions:
-    """Constant-velocity filters; their noise grows with the step and the height."""
+    """Constant-velocity filters; their noise grows with the step and the height.
+
+    No number of a filter has to do with another but its own speed, so of the covariance there are three for
+    each of the four: ``var``, ``cross`` and ``speed``.
+    """
 
     def __init__(self):
-        self.mean, self.cov = np.zeros((0, 8)), np.zeros((0, 8, 8))
+        self.mean = np.zeros((0, 8))
+        self.var, self.cross, self.speed = (np.zeros((0, 4)) for _ in range(3))
+
+    @property
+    def cov(self) -> np.ndarray:
+        out, i = np.zeros((len(self.mean), 8, 8)), np.arange(4)
+        out[:, i, i], out[:, i, i + 4], out[:, i + 4, i], out[:, i + 4, i + 4] = self.var, self.cross, self.cross, self.speed
+        return out
 
-    def add(self, box: np.ndarray) -> None:
-        at = _xyah(box)
-        p, s = POSITION * max(at[3], 1e-6), SPEED * max(at[3], 1e-6)
-        noise = np.diag(np.square([2 * p, 2 * p, 1e-2, 2 * p, 10 * s, 10 * s, 1e-5, 10 * s]))
-        self.mean = np.concatenate([self.mean, [np.concatenate([at, np.zeros(4)])]])
-        self.cov = np.concatenate([self.cov, [noise]])
+    def add(self, boxes: np.ndarray) -> None:
+        """A filter for a box, or for each of several."""
+        at = _xyah(boxes.reshape(-1, 4))
+        h = np.maximum(at[:, 3], 1e-6)
+        var, speed = np.empty(at.shape), np.empty(at.shape)
+        var[:], speed[:] = (2 * (POSITION * h))[:, None], (10 * (SPEED * h))[:, None]
+        var[:, 2], speed[:, 2] = 1e-2, 1e-5
+        new = np.concatenate([at, np.zeros(at.shape)], axis=1), np.square(var), np.zeros(at.shape), np.square(speed)
+        self.mean, self.var, self.cross, self.speed = (np.concatenate(x) for x in zip((self.mean, self.var, self.cross, self.speed), new, strict=True))
 
     def keep(self, alive: np.ndarray) -> None:
-        self.mean, self.cov = self.mean[alive], self.cov[alive]
+        self.mean, self.var, self.cross, self.speed = self.mean[alive], self.var[alive], self.cross[alive], self.speed[alive]
 
     def predict(self, seconds: np.ndarray) -> None:
-        step = np.clip(seconds, 0.0, LONGEST)
+        step = np.minimum(np.maximum(seconds, 0.0), LONGEST)
         if not step.any():
             return
+        t = step[:, None]
         noise = np.empty((len(step), 8))
-        h = np.maximum(self.mean[:, 3], 1e-6)
-        noise[:] = (POSITION * h)[:, None]
+        h = np.maximum(self.mean[:, 3], 1e-6)[:, None]
+        noise[:, :4], noise[:, 4:] = POSITION * h, SPEED * h
         noise[:, 2], noise[:, 6] = 1e-2, 1e-5
-        noise[:, [4, 5, 7]] = (SPEED * h)[:, None]
-        self.mean[:, :4] += step[:, None] * self.mean[:, 4:]
-        t = step[:, None, None]
-        near, cross, speed = self.cov[:, :4, :4], self.cov[:, :4, 4:], self.cov[:, 4:, 4:]
-        near += t * (cross + cross.transpose(0, 2, 1)) + t * t * speed
-        cross += t * speed
-        self.cov[:, 4:, :4] = cross.transpose(0, 2, 1)
-        self.cov.reshape(-1, 64)[:, ::9] += np.square(noise * step[:, None])
+        noise *= t
+        noise *= noise
+        self.mean[:, :4] += t * self.mean[:, 4:]
+        self.var += t * (self.cross + self.cross) + t * t * self.speed
+        self.cross += t * self.speed
+        self.var += noise[:, :4]
+        self.speed += noise[:, 4:]
 
     def update(self, at: list[int], boxes: np.ndarray) -> None:
         """The filters at these places have seen these boxes."""
-        mean, cov = self.mean[at], self.cov[at]
-        own = np.empty((len(mean), 4))
+        mean, var, cross = self.mean[at], self.var[at], self.cross[at]
+        own = np.empty(var.shape)
         own[:] = (POSITION * np.maximum(mean[:, 3], 1e-6))[:, None]
         own[:, 2] = 1e-1
-        noise = cov[:, :4, :4].copy()
-        noise.reshape(-1, 16)[:, ::5] += np.square(own)
-        gain = np.linalg.solve(noise, cov[:, :4]).transpose(0, 2, 1)
-        self.mean[at] = mean + (gain @ (_xyah(boxes) - mean[:, :4])[:, :, None])[:, :, 0]
-        self.cov[at] = cov - gain @ noise @ gain.transpose(0, 2, 1)
+        noise = var + own * own
+        gain, drift, off = var / noise, cross / noise, _xyah(boxes) - mean[:, :4]
+        mean[:, :4] += gain * off
+        mean[:, 4:] += drift * off
+        self.mean[at] = mean
+        self.var[at] = var - gain * noise * gain
+        self.cross[at] = cross - gain * noise * drift
+        self.speed[at] -= drift * noise * drift
 
     @property
     def boxes(self) -> np.ndarray:
@@ -106,7 +123,7 @@ class Tracker(Step):
     def digest(self) -> str:
         """Equal for equal live tracks, down to the last bit of every number."""
         known = [(i, t["box"].tolist(), t["at"], t["predicted"], t["speed"].tolist(), t["hits"], t["missed"], t["state"]) for i, t in self.tracks.items()]
-        return hashlib.sha256(repr(known).encode() + self.filters.mean.tobytes() + self.filters.cov.tobytes()).hexdigest()
+        return hashlib.sha256(repr(known).encode() + b"".join(x.tobytes() for x in (self.filters.mean, self.filters.var, self.filters.cross, self.filters.speed))).hexdigest()
 
     def _see(self, at_filter: int, t: dict, box: np.ndarray, at: float) -> None:
         seconds = at - t["at"]
@@ -120,8 +137,9 @@ class Tracker(Step):
 
     def __call__(self, row: Row) -> list[Row]:
         at = float(row["at"])
-        boxes = np.array([list(b)[:4] for b in row["boxes"]], float).reshape(-1, 4)
-        sure = np.array([list(b)[4] for b in row["boxes"]], float)
+        listed = [list(b) for b in row["boxes"]]
+        boxes = np.array([b[:4] for b in listed], float).reshape(-1, 4)
+        sure = np.array([b[4] for b in listed], float).tolist()
         kept = suppress_contained(boxes, sure) if self.suppress else range(len(boxes))
         ids, tracks = list(self.tracks), list(self.tracks.values())
         if self.kalman and tracks:
@@ -158,13 +176,14 @@ class Tracker(Step):
             if self.lifecycle and after:
                 moves.append((ids[k], t["state"], after))
                 t["state"] = after
-        for j in free:
-            if sure[j] >= self.new:
+        born = [j for j in free if sure[j] >= self.new]
+        if born:
+            if self.kalman:
+                self.filters.add(boxes[born])
+            for j in born:
                 self.births += 1
                 own, state = (self.stretch, self.births), "TENTATIVE" if self.lifecycle else "TRACKED"
                 self.tracks[own] = {"box": boxes[j], "at": at, "predicted": at, "speed": np.zeros(4), "hits": 1, "missed": 0, "state": state}
-                if self.kalman:
-                    self.filters.add(boxes[j])
                 owner[j] = own
                 moves.append((own, None, state))
         gone = [i for i, t in self.tracks.items() if t["state"] == "REMOVED" or t["missed"] > self.buffer]
